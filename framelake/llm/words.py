@@ -39,7 +39,8 @@ LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse."""
     if len(_powers[0]) < n:
         n = max(n, CHUNK_BYTES + 1024)
         for i, base in enumerate((_P, _P_INV)):
@@ -88,7 +89,7 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self.docs = len(self.offsets) - 1
         if hashed:
-            up, down = _power_tables(n + 1)
+            up, down = powers(n + 1)
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(_BYTE[data] * up[:n], out=total[1:])
             self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
@@ -118,9 +119,9 @@ def shingle_sets(column: pa.Array, k: int = 5, lower: bool = True) -> Iterator[n
         if hi - lo >= k:
             yield np.unique(grams[lo : hi - k + 1])
         elif hi > lo:
-            h = _U(0)
-            for x in words.hash[lo:hi]:
-                h = (h * _Q + x) & _U(0xFFFFFFFFFFFFFFFF)
-            yield mix(np.array([h + _U(hi - lo)], np.uint64))
+            h = 0
+            for x in words.hash[lo:hi].tolist():
+                h = (h * int(_Q) + x + hi - lo) % (1 << 64)
+            yield mix(np.array([h], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
