@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, quality, secret_scan, substring_dedup, token_counts, token_files
+from . import bpe, decontaminate, language, ngram_join, quality, secret_scan, substring_dedup, token_counts, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_classes(_documents(spark, sf_dir))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read(spark, manifest)
@@ -55,6 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_files": op4_token_files,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality": op6_quality,

@@ -119,9 +119,9 @@ def shingle_sets(column: pa.Array, k: int = 5, lower: bool = True) -> Iterator[n
         if hi - lo >= k:
             yield np.unique(grams[lo : hi - k + 1])
         elif hi > lo:
-            h = 0
+            h, n = 0, int(hi - lo)
             for x in words.hash[lo:hi].tolist():
-                h = (h * int(_Q) + x + hi - lo) % (1 << 64)
+                h = (h * int(_Q) + x + n) % (1 << 64)
             yield mix(np.array([h], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
