@@ -94,6 +94,41 @@ def _items(rows: list, k: int) -> ItemIndex:
     return ItemIndex([r[0] for r in rows], sets, short)
 
 
+def _blocks(items: DataFrame, item_col: str = "item_id", item_text: str = "text", k: int = K) -> Iterator[ItemIndex]:
+    """Indexes of the items in ascending order, BLOCK_ITEMS at a time."""
+    wanted = items.select(items[item_col].cast("long").alias("i"), items[item_text].cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").orderBy("i", "t")
+    block: list = []
+    for item in wanted.toLocalIterator():
+        block.append((item.i, item.t))
+        if len(block) == BLOCK_ITEMS:
+            yield _items(block, k)
+            block = []
+    if block:
+        yield _items(block, k)
+
+
+def _hits(index: ItemIndex, texts: pa.Array, k: int, containment: float) -> list[tuple[int, int, float]]:
+    """(row, item id, containment) of every item held by a text."""
+    need = [int(np.ceil(containment * len(s) - 1e-9)) for s in index.sets]
+    hits: list[tuple[int, int, float]] = []
+    for lo, hi in slices(texts):
+        words = Words(texts.slice(lo, hi - lo), lower=True)
+        grams, inside = words.windows(k)
+        sizes = np.maximum(words.counts - k + 1, 0)
+        for d, i in sorted(index.candidates(grams[inside], sizes)):
+            a, s = int(words.first[d]), index.sets[i]
+            common = int(np.isin(s, grams[a : a + sizes[d]]).sum())
+            if common >= need[i]:
+                hits.append((lo + d, index.ids[i], common / len(s)))
+        for n, table in index.short.items():
+            brief, inside = words.windows(n)
+            doc = np.repeat(np.arange(words.docs), words.counts)
+            at = np.flatnonzero(inside & np.isin(brief, np.array(list(table), np.uint64)))
+            for d, h in sorted(set(zip(doc[at].tolist(), brief[at].tolist(), strict=True))):
+                hits += [(lo + d, index.ids[i], 1.0) for i in table[h]]
+    return hits
+
+
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = K, containment: float = CONTAINMENT) -> DataFrame:
     """Pairs (doc_id, item_id, containment) where a document holds at least `containment` of an item's distinct k-word shingles.
 
@@ -101,43 +136,34 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     document. Null and empty texts, on either side, and null item ids match nothing; repeated items or documents give repeated pairs; an
     empty table gives no pair. Narrow: no document is shuffled; a block of items is sent to every task, further blocks take further passes.
     """
-    wanted = items.select(items[item_col].cast("long").alias("i"), items[item_text].cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").orderBy("i", "t")
     rows = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col))
-    out, block = None, []
-
-    def searched(block: list) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(_items(block, k))
+    schema = f"{id_col} long, item_id long, containment double"
+    out = None
+    for block in _blocks(items, item_col, item_text, k):
+        held = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = held.value
-            need = [int(np.ceil(containment * len(s) - 1e-9)) for s in index.sets]
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits: list[tuple] = []
-                for lo, hi in slices(batch.column(1)):
-                    words = Words(batch.column(1).slice(lo, hi - lo), lower=True)
-                    grams, inside = words.windows(k)
-                    sizes = np.maximum(words.counts - k + 1, 0)
-                    for d, i in sorted(index.candidates(grams[inside], sizes)):
-                        a, s = int(words.first[d]), index.sets[i]
-                        common = int(np.isin(s, grams[a : a + sizes[d]]).sum())
-                        if common >= need[i]:
-                            hits.append((batch.column(0)[lo + d], index.ids[i], common / len(s)))
-                    for n, table in index.short.items():
-                        brief, inside = words.windows(n)
-                        doc = np.repeat(np.arange(words.docs), words.counts)
-                        at = np.flatnonzero(inside & np.isin(brief, np.array(list(table), np.uint64)))
-                        for d, h in sorted(set(zip(doc[at].tolist(), brief[at].tolist(), strict=True))):
-                            hits += [(batch.column(0)[lo + d], index.ids[i], 1.0) for i in table[h]]
-                yield pa.RecordBatch.from_arrays([pa.array([h[0].as_py() for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.float64())], [id_col, "item_id", "containment"])
-
-        return rows.mapInArrow(run, f"{id_col} long, item_id long, containment double")
+                hits = _hits(held.value, batch.column(1), k, containment)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.float64())], [id_col, "item_id", "containment"])
 
-    for item in wanted.toLocalIterator():
-        block.append((item.i, item.t))
-        if len(block) == BLOCK_ITEMS:
-            found = searched(block)
-            out, block = found if out is None else out.unionAll(found), []
-    if block or out is None:
-        found = searched(block)
+        found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionAll(found)
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, containment: float = CONTAINMENT) -> DataFrame:
+    """The rows of `docs` that hold no item, with their columns; judged row by row in one narrow pass for each block of items."""
+    place = docs.columns.index(text_col)
+    for block in _blocks(items, k=k):
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for row, _, _ in _hits(held.value, batch.column(place), k, containment):
+                    clean[row] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

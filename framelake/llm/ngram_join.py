@@ -268,3 +268,15 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of_class = final.join(least, F.col("name") == F.col("set_name")).groupBy("class").agg(F.min("least").alias("class_least"))
     known = least.join(final.join(of_class, "class").select(F.col("name").alias("set_name"), "class_least"), "set_name", "left").select("set_name", F.coalesce("class_least", "least").alias("component_id"))
     return every.join(known, "set_name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = 75) -> DataFrame:
+    """The rows of `docs` whose document stands for its class, one a doc_id, with their columns.
+
+    Rows without a doc_id or without words are all kept. Texts cross the network once, to meet the ids that go.
+    """
+    classes = linked_classes(docs, id_col, text_col, k, percent)
+    gone = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = named.join(gone, named[id_col].cast("long") == F.col("gone_id"), "left_anti").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
