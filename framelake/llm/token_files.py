@@ -11,6 +11,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -21,36 +22,64 @@ from pyspark.sql import functions as F
 
 from .shared import shared_dir
 
-MEMO_ENTRIES = 600_000  # white-space chunks kept per Python worker
+MEMO_CHUNKS, MEMO_CORES = 700_000, 1_200_000  # white-space chunks, and their cores, kept per Python worker; beyond it a memo starts anew
 BATCH_SEQUENCES = 256
+_TAIL = b".,;:!?%&$#*|\"')]}>"
+_ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
 class ChunkEncoder:
     """Ids of a text by the tokenizers library, white-space chunk by chunk.
 
-    The vocabulary's pretokens never span white space and its normaliser works within such chunks, so the ids of a text are those of
-    its chunks in turn; each chunk is encoded once per worker by the library and kept.
+    The vocabulary's pretokens never span white space, nor the border of letters or digits and marks, and its normaliser works within such
+    pieces, so the ids of a text are those of its chunks in turn, and those of a chunk are those of its core and of the marks after it.
+    Each core is encoded once per worker by the library and kept.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # The same model for what is one pretoken and normal already: it skips the normaliser and the splitting pattern.
+        self.single = Tokenizer.from_file(path)
+        self.single.normalizer = normalizers.Sequence([])
+        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {b"": b""}
+
+    @staticmethod
+    def split(chunk: bytes) -> tuple[bytes, bytes]:
+        core = chunk.rstrip(_TAIL)
+        if not core or core[-1] not in _ENDS:
+            core = chunk
+        return (core.lower() if core.isascii() else core), chunk[len(core) :]
+
+    def learn(self, chunks: list[bytes]) -> None:
+        parts = [self.split(c) for c in chunks]
+        if new := {x for p in parts for x in p}.difference(self.cores):
+            if len(self.cores) + len(new) > MEMO_CORES:
+                self.cores = {b"": b""}
+                new = {x for p in parts for x in p if x}
+            plain, other = [], []
+            for core in new:
+                word = core.decode("utf-8")
+                (plain if word.isalpha() and word == word.lower() and is_normalized("NFC", word) else other).append(word)
+            for library, words in ((self.single, plain), (self.library, other)):
+                for word, got in zip(words, library.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                    self.cores[word.encode("utf-8")] = np.array(got.ids, self.dtype).tobytes()
+        self.memo.update((c, self.cores[a] + self.cores[b]) for c, (a, b) in zip(chunks, parts, strict=True))
 
     def encode(self, text: str) -> bytes:
         chunks = text.encode("utf-8").split()
         memo = self.memo
         if new := set(chunks).difference(memo):
-            if len(memo) + len(new) > MEMO_ENTRIES:
+            if len(memo) + len(new) > MEMO_CHUNKS:
                 memo.clear()
                 new = set(chunks)
-            new = list(new)
-            for chunk, got in zip(new, self.library.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False), strict=True):
-                memo[chunk] = np.array(got.ids, self.dtype).tobytes()
+            self.learn(list(new))
         return b"".join(map(memo.__getitem__, chunks))
 
 
