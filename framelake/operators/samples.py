@@ -35,10 +35,12 @@ def chunk_offsets(rows: DataFrame) -> DataFrame:
 
 
 def chunk_run_join(chunks: DataFrame, runs: DataFrame) -> DataFrame:
-    """Every chunk with the last run whose first_chunk is not after it, as one ordered pass over both."""
-    both = chunks.select("track", "chunk", "offset", F.lit(None).cast("long").alias("per_chunk"), F.lit(1).alias("kind")).unionByName(runs.select("track", F.col("first_chunk").alias("chunk"), F.lit(None).cast("long").alias("offset"), "per_chunk", F.lit(0).alias("kind")))
-    w = Window.partitionBy("track").orderBy("chunk", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("per_chunk", F.last("per_chunk", ignorenulls=True).over(w)).where("kind = 1").drop("kind")
+    """Every chunk with the last run whose first_chunk is not after it: runs meet the chunk they start at and are carried forward."""
+    starts = runs.select("track", F.col("first_chunk").alias("chunk"), "per_chunk")
+    w = Window.partitionBy("track").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.col("offset").isNotNull()
+    met = chunks.select("track", "chunk", "offset").join(starts, ["track", "chunk"], "full")
+    return met.withColumn("per_chunk", F.last("per_chunk", ignorenulls=True).over(w)).where(known)
 
 
 def sample_chunk_join(chunks: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def st1(t):
     return st.locate_samples(t.select("track", "sample", "size"), st.chunk_runs(t), st.chunk_offsets(t))
 
 
-@query("st1_unplaced", "f_st", oracle=f"WITH {OFFS}, {LOC}, u AS (SELECT f.*, CASE WHEN track = 1 AND chunk > 20 THEN NULL ELSE l.\"offset\" END AS at FROM loc l JOIN f_st f USING (track, sample)) SELECT track, count(*) AS n, count(at) AS placed, max(CASE WHEN track = 1 THEN concat(CAST((SELECT count(*) FROM f_st WHERE track = 1 AND chunk > 20) AS VARCHAR), ' samples unplaced') END) AS error FROM (SELECT f_st.track, f_st.sample, CASE WHEN f_st.track = 1 AND f_st.chunk > 20 THEN NULL ELSE 1 END AS at FROM f_st) GROUP BY track".replace(", u AS (SELECT f.*, CASE WHEN track = 1 AND chunk > 20 THEN NULL ELSE l.\"offset\" END AS at FROM loc l JOIN f_st f USING (track, sample))", ""))
+@query("st1_unplaced", "f_st", oracle="SELECT track, count(*) AS n, count(CASE WHEN track = 1 AND chunk > 20 THEN NULL ELSE 1 END) AS placed, max(CASE WHEN track = 1 THEN concat(CAST((SELECT count(*) FROM f_st WHERE track = 1 AND chunk > 20) AS VARCHAR), ' samples unplaced') END) AS error FROM f_st GROUP BY track")
 def st1_unplaced(t):
     offsets = st.chunk_offsets(t).where("NOT (track = 1 AND chunk > 20)")
     return st.locate_samples(t.select("track", "sample", "size"), st.chunk_runs(t), offsets).groupBy("track").agg(F.count("*").alias("n"), F.count("offset").alias("placed"), F.max("error").alias("error"))
