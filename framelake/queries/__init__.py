@@ -1,3 +1,3 @@
 """Registered queries by family."""
 
-from . import frames, rd, samples, scalars  # noqa: F401
+from . import frames, motion, rd, samples, scalars, trajectory  # noqa: F401

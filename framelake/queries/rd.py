@@ -10,7 +10,8 @@ SUMS = "sum(bits) AS bits, sum(sse) AS sse, CAST(sum(samples) AS BIGINT) AS samp
 
 
 #: The synthetic curves cross wildly; digits beyond this size are noise of the fit.
-MOST = F.when(F.col("percent").isNotNull(), F.least(F.col("percent"), F.lit(100000.0)))
+def _most():
+    return F.when(F.col("percent").isNotNull(), F.least(F.col("percent"), F.lit(100000.0)))
 
 
 def _rounded(df, **digits):
@@ -107,12 +108,12 @@ def rd9(t):
     keys = ("sb_row", "sb_col")
     totals = rd.sequence_totals(t, by=keys)
     out = rd.bd_rate(rd.curve(totals, (*keys, "grp")), "A", keys, totals)
-    return _rounded(out.withColumn("percent", MOST), percent=2, psnr_lo=4, psnr_hi=4)
+    return _rounded(out.withColumn("percent", _most()), percent=2, psnr_lo=4, psnr_hi=4)
 
 
 @query("rd10_bd_rate_report", "f_rd", oracle=f"WITH {BD} SELECT {_COLS}, round(bits_a_max, 2) AS bits_a_max, round(psnr_a_max, 4) AS psnr_a_max, samples, round(bits_b_max, 2) AS bits_b_max, round(psnr_b_max, 4) AS psnr_b_max FROM bd")
 def rd10(t):
-    return _rounded(rd.bd_rate_report(t, "A").withColumn("percent", MOST), percent=2, psnr_lo=4, psnr_hi=4, bits_a_max=2, psnr_a_max=4, bits_b_max=2, psnr_b_max=4)
+    return _rounded(rd.bd_rate_report(t, "A").withColumn("percent", _most()), percent=2, psnr_lo=4, psnr_hi=4, bits_a_max=2, psnr_a_max=4, bits_b_max=2, psnr_b_max=4)
 
 
 @query("rd11_undefined_count", "f_rd", oracle=f"WITH {BD} SELECT status, count(*) AS regions FROM (SELECT {_COLS} FROM bd) GROUP BY status")
