@@ -121,7 +121,7 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, size: int, percent: int)
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = 75) -> DataFrame:
     """The distinct sets that may have a partner: name, size, own (tokens of no other set), tokens (shared, sorted), signatures."""
     size = text_size(docs, text_col)
-    bits, home_bits = bits_for(size, 12 << 20), bits_for(size, 12 << 20)
+    bits, home_bits = bits_for(size, 16 << 20), bits_for(size, 16 << 20)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -156,7 +156,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         # A set that several slices hold counts once.
         _, first, which = np.unique(name, return_index=True, return_inverse=True)
         keep = np.repeat(first[which] == np.arange(len(name)), n)
-        doc = np.repeat(which, n)[keep]
+        doc = np.repeat(which.astype(np.int32), n)[keep]
         key = key[keep]
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
