@@ -1,3 +1,3 @@
 """Registered queries by family."""
 
-from . import frames, grid, motion, rd, samples, scalars, trajectory  # noqa: F401
+from . import diff, frames, grid, motion, rd, samples, scalars, trajectory  # noqa: F401
