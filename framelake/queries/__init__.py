@@ -1,3 +1,3 @@
 """Registered queries by family."""
 
-from . import diff, frames, grid, manifest, motion, rd, samples, scalars, trajectory  # noqa: F401
+from . import diff, frames, grid, manifest, motion, rd, samples, scalars, streaming, trajectory  # noqa: F401
