@@ -40,9 +40,11 @@ def keys_from_bytes(data: bytes, width: int, bucket: int = 0) -> np.ndarray:
 
 def dealt(bucket: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(bucket, its entries' places, its documents, entries of each); entries must come ordered by document."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket.astype(np.uint16), kind="stable")
     at = bucket[order]
-    edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     for s, e in zip(edges, [*edges[1:], len(at)], strict=True):
         own = order[s:e]
         d = doc[own]

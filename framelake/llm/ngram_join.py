@@ -91,7 +91,7 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, size: int, percent: int)
     if size <= TINY:
         # Two different sets this small that are linked have three common tokens or more (at 75 percent).
         t = np.sort(tokens)
-        out.append(np.array([mix(np.array(c, np.uint64)).sum(dtype=np.uint64) * _U(3) for c in combinations(t, 3)], np.uint64))
+        out.append(np.array([mix(np.array(c, np.uint64)).sum(dtype=np.uint64) for c in combinations(t, 3)], np.uint64) * _U(3))
     if size >= TINY - 1:
         prefix = size - int(required(size, percent)) + 1 - (size - len(tokens))  # what the shared tokens must add to the prefix
         order = np.lexsort((tokens, levels))
@@ -187,9 +187,9 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         key, level, doc = key[mask], level[mask], doc[mask]
         order = np.argsort(doc, kind="stable")
         key, level, doc = key[order], level[order], doc[order]
-        cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        cut = np.flatnonzero(np.concatenate([[len(doc) > 0], doc[1:] != doc[:-1]]))
         columns: list[list] = [[], [], [], [], []]
-        for s, e in zip(cut, [*cut[1:], len(doc)], strict=True):
+        for s, e in zip(cut, [*cut[1:], len(doc)], strict=False):
             d = int(doc[s])
             sig = signatures(key[s:e], level[s:e], int(total[d]), percent)
             for c, x in zip(columns, (int(names[d]), int(total[d]), int(total[d] - held[d]), np.sort(key[s:e]).astype("<u8").tobytes(), sig.view(np.int64)), strict=True):
