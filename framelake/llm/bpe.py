@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MEMO_ENTRIES = 1_000_000  # pretokens kept per Python worker; beyond it the memo starts anew
+MEMO_ENTRIES, PAIR_ENTRIES = 500_000, 400_000  # pretokens and token pairs kept per Python worker; beyond it a memo starts anew
 
 
 class BytePairEncoder:
@@ -32,7 +32,7 @@ class BytePairEncoder:
             self.auto.add_word(t.decode("latin-1"), (len(t) - 1, r))
         self.auto.make_automaton()
         self._parts: dict[int, tuple[int, int]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}  # by left << 32 | right
         self.size = {r: len(t) for r, t in self.token.items()}
         self.shorter = {r: self.shorter_of(r) for r in self.token}
         self.memo: dict[str, bytes] = {}
@@ -75,9 +75,9 @@ class BytePairEncoder:
                 bound, b = b + 1, pb[0]
             else:
                 break
-        if len(self._fits) > 4_000_000:
+        if len(self._fits) >= PAIR_ENTRIES:
             self._fits.clear()
-        self._fits[(left, right)] = ok
+        self._fits[left << 32 | right] = ok
         return ok
 
     def shorter_of(self, t: int) -> int:
@@ -102,7 +102,7 @@ class BytePairEncoder:
                 if open_[end]:
                     if last < 0:
                         break
-                    ok = known.get((last, t))
+                    ok = known.get(last << 32 | t)
                     if fits(last, t) if ok is None else ok:
                         break
                 t = shorter[t]

@@ -31,7 +31,7 @@ K = 5
 CLASSES = (64, 4096)  # tokens of more sets than these are indexed by pairs, by triples
 TINY = 8  # sets up to this size are indexed by all triples of their tokens
 BLOCK_TOKENS = 2_000_000  # of a block of a family
-FLUSH = 3_000_000
+FLUSH = 1_500_000  # tokens gathered before rows are made
 _U = np.uint64
 
 
