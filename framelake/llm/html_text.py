@@ -210,7 +210,9 @@ def _targets(source: str) -> tuple[Page, np.ndarray]:
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> BoostedTrees | None:
     """Trees learnt from at most SAMPLE_PAGES pages; None where no page has any text."""
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html")).where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES).collect()
+    # First the ids, then their pages: a task sends the driver no page that is not in the sample.
+    ids = [r.id for r in rows.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(SAMPLE_PAGES).collect()]
+    sample = rows.where(F.col("id").isin(ids)).dropDuplicates(["id"]).orderBy("id").collect() if ids else []
     x, y = [], []
     for r in sample:
         page, target = _targets(r.html)
