@@ -140,11 +140,13 @@ def bd_rate(curves: DataFrame, anchor: str, keys: tuple[str, ...], regions: Data
     good = pair.where(F.col("early").isNull())
     # u runs from -1 to 1 over the overlap, where the mean of a cubic is c0 + c2 / 3.
     u = (F.col("psnr") - (F.col("psnr_lo") + F.col("psnr_hi")) / 2) / ((F.col("psnr_hi") - F.col("psnr_lo")) / 2)
-    side = lambda mine: good.select(*keys, F.col("grp").alias("test"), "degree", "psnr_lo", "psnr_hi").join(mine, list(keys) if "test" not in mine.columns else [*keys, "test"]).groupBy(*keys, "test", "degree").agg(*moments(u, F.col("y")))
-    mean_of = lambda df, name: solve_moments(df, F.col("degree")).select(*keys, "test", (F.col("c0") + F.col("c2") / 3).alias(name))
-    one = mean_of(side(points.where(F.col("grp") == anchor).select(*keys, "psnr", "y")), "mean_a")
-    two = mean_of(side(points.where(F.col("grp") != anchor).select(*keys, F.col("grp").alias("test"), "psnr", "y")), "mean_b")
-    out = pair.withColumnRenamed("grp", "test").join(one.join(two, [*keys, "test"]), [*keys, "test"], "left")
+    # Both curves of a pair go through one join, one aggregate and one elimination.
+    sides = good.withColumn("test", F.col("grp")).withColumn("side", F.explode(F.array(F.struct(F.lit("a").alias("name"), F.lit(anchor).alias("grp")), F.struct(F.lit("b").alias("name"), F.col("grp")))))
+    sides = sides.select(*keys, "test", "degree", "psnr_lo", "psnr_hi", F.col("side.name").alias("side"), F.col("side.grp").alias("grp"))
+    sums = sides.join(points.select(*keys, "grp", "psnr", "y"), [*keys, "grp"]).groupBy(*keys, "test", "degree", "side").agg(*moments(u, F.col("y")))
+    mean = solve_moments(sums, F.col("degree")).withColumn("mean", F.col("c0") + F.col("c2") / 3)
+    means = mean.groupBy(*keys, "test").agg(F.max(F.when(F.col("side") == "a", F.col("mean"))).alias("mean_a"), F.max(F.when(F.col("side") == "b", F.col("mean"))).alias("mean_b"))
+    out = pair.withColumnRenamed("grp", "test").join(means, [*keys, "test"], "left")
     percent = (F.pow(F.lit(10.0), F.col("mean_b") - F.col("mean_a")) - 1) * 100
     out = out.withColumn("percent", F.when(F.abs(percent) < float("inf"), percent))
     return out.withColumn("status", F.coalesce("early", F.when(F.col("percent").isNull(), "Degenerate").otherwise("Ok"))).select(*keys, "test", "status", "percent", F.greatest("degree", F.lit(0)).alias("degree"), "psnr_lo", "psnr_hi", "n_a", "n_b")
