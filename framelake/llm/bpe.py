@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .worker import held
+
 MEMO_ENTRIES, PAIR_ENTRIES = 500_000, 400_000  # pretokens and token pairs kept per Python worker; beyond it a memo starts anew
 
 
@@ -135,16 +137,14 @@ class BytePairEncoder:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[tuple[str, str], BytePairEncoder] = {}
+def _read(path: str, pattern: str) -> BytePairEncoder:
+    with open(path, "rb") as f:
+        return BytePairEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
 
 def load(path: str, pattern: str) -> BytePairEncoder:
     """One encoder per Python worker."""
-    if (path, pattern) not in _loaded:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[path, pattern] = BytePairEncoder(ranks, pattern)
-    return _loaded[path, pattern]
+    return held(("bpe", path, pattern), lambda: _read(path, pattern))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -26,6 +26,7 @@ from .buckets import bits_for, dealt, keys_from_bytes, keys_to_bytes, text_size,
 from .components import components
 from .shared import written
 from .words import mix, shingle_sets, slices
+from .worker import release
 
 K = 5
 CLASSES = (64, 4096)  # tokens of more sets than these are indexed by pairs, by triples
@@ -124,6 +125,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     bits, home_bits = bits_for(size, 16 << 20), bits_for(size, 16 << 20)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: dict[int, np.ndarray] = {}
         count = 0
 
@@ -150,6 +152,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
             yield from flush()
 
     def shared(group: pa.Table) -> pa.Table:
+        release()
         bucket = group["bucket"][0].as_py()
         key = keys_from_bytes(b"".join(group["keys"].to_pylist()), 6, bucket)
         name, sizes, n = _cat(group["names"], "<i8"), _cat(group["sizes"], "<u4"), _cat(group["counts"], "<u4")
@@ -176,6 +179,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         return _pack(columns, _SHARED)
 
     def surviving(group: pa.Table) -> pa.Table:
+        release()
         key = np.concatenate([keys_from_bytes(x, 6, b) for x, b in zip(group["keys"].to_pylist(), group["bucket"].to_pylist(), strict=True)])
         level = _cat(group["levels"], "u1").astype(np.int64)
         name, sizes, n = _cat(group["names"], "<i8"), _cat(group["sizes"], "<u4").astype(np.int64), _cat(group["counts"], "<u4")
@@ -214,6 +218,7 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
 
 def _block_links(percent: int):
     def run(group: pa.Table) -> pa.Table:
+        release()
         root, sizes, loose = group["root"].to_numpy(), group["size"].to_numpy().astype(np.int64), group["loose"].to_numpy(zero_copy_only=False)
         part, i, j = group["part"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
         sets = [np.frombuffer(t, "<u8") for t in group["tokens"].to_pylist()]

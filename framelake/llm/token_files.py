@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import shared_dir
+from .worker import held
 
 MEMO_CHUNKS, MEMO_CORES = 700_000, 1_200_000  # white-space chunks, and their cores, kept per Python worker; beyond it a memo starts anew
 BATCH_SEQUENCES = 256
@@ -83,13 +84,8 @@ class ChunkEncoder:
         return b"".join(map(memo.__getitem__, chunks))
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return held(("chunks", path), lambda: ChunkEncoder(path))
 
 
 def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
