@@ -3,7 +3,9 @@
 Items are parted by the size of their shingle set. For a part whose largest item has u shingles a document is cut into strides of u
 shingles and each two neighbouring strides are one domain, so that a passage of an item's length lies whole in some domain of at most
 twice its size: the domains' sizes, and with them the Jaccard similarity that a contained item must have, are bounded below whatever
-the document's length. Domains and items meet where one of PERMUTATIONS min-hashes is equal (bands of one row). Candidates are
+the document's length. Domains and items meet where one of PERMUTATIONS min-hashes is equal (bands of one row). Items of the smallest
+part, which a domain of twice the part's size would miss too often, are looked up exactly: a document that holds enough of an item's n
+shingles holds one of any n - enough + 1 of them, and the ones rarest among the items are taken. Candidates are
 verified against the document's whole shingle set. Items come in blocks of BLOCK_ITEMS, which bounds what is sent to each task.
 """
 
@@ -34,14 +36,26 @@ def _part(n: int) -> int:
 
 
 class ItemIndex:
-    """The shingle sets of a block of items, and by size part their sorted min-hashes."""
+    """The shingle sets of a block of items, the shingles that small ones are looked up by, and by size part the sorted min-hashes of the others."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], short: dict[int, dict[int, list[int]]]):
+    def __init__(self, ids: list[int], sets: list[np.ndarray], short: dict[int, dict[int, list[int]]], containment: float):
         self.ids, self.sets, self.short = ids, sets, short
+        self.need = [int(np.ceil(containment * len(s) - 1e-9)) for s in sets]
         by_part: dict[int, list[int]] = {}
         for i, s in enumerate(sets):
             if len(s):
                 by_part.setdefault(_part(len(s)), []).append(i)
+        small = by_part.pop(SIZE_PARTS[0], [])
+        keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        if small:
+            values, counts = np.unique(np.concatenate([sets[i] for i in small]), return_counts=True)
+            for i in small:
+                rare = np.argsort(counts[np.searchsorted(values, sets[i])], kind="stable")[: len(sets[i]) - self.need[i] + 1]
+                keys.append(sets[i][rare])
+                owners.append(np.full(len(rare), i))
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        self.keys, self.owners = every[order], np.concatenate(owners)[order]
         self.parts = []
         for u, members in sorted(by_part.items()):
             hashes = np.stack([np.array([(sets[i] * seed).min() for seed in _SEEDS[:PERMUTATIONS]]) for i in members])
@@ -49,9 +63,18 @@ class ItemIndex:
             self.parts.append((u, np.array(members), np.take_along_axis(hashes, order, 0), order))
 
     def candidates(self, grams: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
-        """(document, item) pairs with an equal min-hash in some domain; grams: shingles in text order, sizes: how many each document has."""
+        """(document, item) pairs with an equal min-hash in some domain or, for small items, a shingle in common; grams: shingles in text order, sizes: how many each document has."""
         found: set[tuple[int, int]] = set()
-        if not self.parts or not len(grams):
+        if not len(grams):
+            return found
+        if len(self.keys):
+            lo = np.searchsorted(self.keys, grams, "left")
+            at = np.flatnonzero(self.keys[np.minimum(lo, len(self.keys) - 1)] == grams)
+            hi = np.searchsorted(self.keys, grams[at], "right")
+            doc = np.repeat(np.arange(len(sizes)), sizes)[at]
+            for d, a, b in zip(doc.tolist(), lo[at].tolist(), hi.tolist(), strict=True):
+                found.update((d, m) for m in self.owners[a:b].tolist())
+        if not self.parts:
             return found
         unit = self.parts[0][0]
         strides = -(-sizes // unit)
@@ -79,7 +102,7 @@ def _cuts(first: np.ndarray, counts: np.ndarray, step: int) -> np.ndarray:
     return np.repeat(first, counts) + step * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
 
 
-def _items(rows: list, k: int) -> ItemIndex:
+def _items(rows: list, k: int, containment: float) -> ItemIndex:
     """Items with fewer than k words have no k-word shingle; their whole word sequence is looked for as it stands."""
     texts = pa.array([r[1] for r in rows], pa.string())
     words = Words(texts, lower=True)
@@ -91,25 +114,24 @@ def _items(rows: list, k: int) -> ItemIndex:
             lo = words.first[i]
             h = int(Words(pa.array([bytes(words.data[words.start[lo] : words.end[lo + n - 1]]).decode("utf-8")]), lower=True).windows(int(n))[0][0])
             short.setdefault(int(n), {}).setdefault(h, []).append(i)
-    return ItemIndex([r[0] for r in rows], sets, short)
+    return ItemIndex([r[0] for r in rows], sets, short, containment)
 
 
-def _blocks(items: DataFrame, item_col: str = "item_id", item_text: str = "text", k: int = K) -> Iterator[ItemIndex]:
+def _blocks(items: DataFrame, item_col: str = "item_id", item_text: str = "text", k: int = K, containment: float = CONTAINMENT) -> Iterator[ItemIndex]:
     """Indexes of the items in ascending order, BLOCK_ITEMS at a time."""
     wanted = items.select(items[item_col].cast("long").alias("i"), items[item_text].cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").orderBy("i", "t")
     block: list = []
     for item in wanted.toLocalIterator():
         block.append((item.i, item.t))
         if len(block) == BLOCK_ITEMS:
-            yield _items(block, k)
+            yield _items(block, k, containment)
             block = []
     if block:
-        yield _items(block, k)
+        yield _items(block, k, containment)
 
 
-def _hits(index: ItemIndex, texts: pa.Array, k: int, containment: float) -> list[tuple[int, int, float]]:
+def _hits(index: ItemIndex, texts: pa.Array, k: int) -> list[tuple[int, int, float]]:
     """(row, item id, containment) of every item held by a text."""
-    need = [int(np.ceil(containment * len(s) - 1e-9)) for s in index.sets]
     hits: list[tuple[int, int, float]] = []
     for lo, hi in slices(texts):
         words = Words(texts.slice(lo, hi - lo), lower=True)
@@ -118,7 +140,7 @@ def _hits(index: ItemIndex, texts: pa.Array, k: int, containment: float) -> list
         for d, i in sorted(index.candidates(grams[inside], sizes)):
             a, s = int(words.first[d]), index.sets[i]
             common = int(np.isin(s, grams[a : a + sizes[d]]).sum())
-            if common >= need[i]:
+            if common >= index.need[i]:
                 hits.append((lo + d, index.ids[i], common / len(s)))
         for n, table in index.short.items():
             brief, inside = words.windows(n)
@@ -139,12 +161,12 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col))
     schema = f"{id_col} long, item_id long, containment double"
     out = None
-    for block in _blocks(items, item_col, item_text, k):
+    for block in _blocks(items, item_col, item_text, k, containment):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits = _hits(held.value, batch.column(1), k, containment)
+                hits = _hits(held.value, batch.column(1), k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.float64())], [id_col, "item_id", "containment"])
 
         found = rows.mapInArrow(run, schema)
@@ -155,13 +177,13 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, containment: float = CONTAINMENT) -> DataFrame:
     """The rows of `docs` that hold no item, with their columns; judged row by row in one narrow pass for each block of items."""
     place = docs.columns.index(text_col)
-    for block in _blocks(items, k=k):
+    for block in _blocks(items, k=k, containment=containment):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for row, _, _ in _hits(held.value, batch.column(place), k, containment):
+                for row, _, _ in _hits(held.value, batch.column(place), k):
                     clean[row] = False
                 yield batch.filter(pa.array(clean))
 

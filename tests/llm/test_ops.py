@@ -368,6 +368,24 @@ def test_decontaminate(spark, docs, empty, monkeypatch):
     assert decontaminate.without_leaks(docs, items.limit(0)).count() == len(ROWS)
 
 
+def test_decontaminate_small_items(spark):
+    rng = random.Random(11)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want, items = set(), []
+    for k in range(800):  # 1 to 8 shingles; from 4 on a quarter of them may be missing
+        i, n, at = rng.randrange(40), 5 + k % 8, rng.randrange(280)
+        item = texts[i][at : at + n]
+        if k % 3 == 2 and n > 5:
+            item[-1] = "zz"
+        s = shingles(" ".join(item))
+        items.append((k, " ".join(item)))
+        if len(s & shingles(" ".join(texts[i]))) >= 0.75 * len(s):
+            want.add((i, k))
+    found = decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 700
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
