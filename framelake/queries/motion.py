@@ -107,8 +107,13 @@ _REF = "r AS (SELECT frame, y, x, (v * 7 + y) % 256 AS v FROM f_gr WHERE y + 0 *
 
 
 def _pair(t):
-    small = t.where("y < 16")
-    return small, small.withColumn("v", (F.col("v") * 7 + F.col("y")) % 256)
+    """The picture and a reference made from it."""
+    return t, t.withColumn("v", (F.col("v") * 7 + F.col("y")) % 256)
+
+
+def _top(t):
+    """The two rows of blocks that the SQL twins of the searches cover; the queries `..._whole` search all of the picture."""
+    return _pair(t.where("y < 16"))
 
 
 _SEARCH = f"""{_REF}, h AS (SELECT frame, CAST(floor((max(y) + 1) / 8) * 8 AS BIGINT) AS height, max(y) + 1 AS nrows FROM c GROUP BY frame),
@@ -118,17 +123,29 @@ WHERE floor(c.y / 8) * 8 + dy >= 0 AND floor(c.y / 8) * 8 + 7 + dy < nrows AND f
 
 @query("mv2_block_match", "f_gr", oracle=f"WITH {_SEARCH} SELECT frame, block_y, block_x, cost, dy, dx FROM (SELECT *, row_number() OVER (PARTITION BY frame, block_y, block_x ORDER BY cost, dy, dx) AS rn FROM k) WHERE rn = 1")
 def mv2(t):
-    cur, ref = _pair(t)
-    return mv.block_match(cur, ref, 8, 2)
+    return mv.block_match(*_top(t), 8, 2)
 
 
-@query("mv1_common_sad", "f_gr", oracle=f"WITH {_REF}, e AS (SELECT frame, max(x) AS mx, max(y) AS my FROM r GROUP BY frame) SELECT c.frame, CAST(floor(c.y / 8) AS BIGINT) AS block_y, CAST(floor(c.x / 8) AS BIGINT) AS block_x, CAST(sum(abs(c.v - r.v)) AS BIGINT) AS sad FROM c JOIN e USING (frame) JOIN r ON r.frame = c.frame AND r.x = least(greatest(c.x + 1, 0), mx) AND r.y = least(greatest(c.y - 1, 0), my) GROUP BY 1, 2, 3")
-def mv1(t):
-    cur, ref = _pair(t)
+@query("mv2_block_match_whole", "f_gr")
+def mv2_whole(t):
+    return mv.block_match(*_pair(t), 8, 2)
+
+
+def _moved_sad(cur, ref):
     vectors = cur.select("frame", F.floor(F.col("y") / 8).alias("block_y"), F.floor(F.col("x") / 8).alias("block_x")).distinct().select("*", F.lit(1).alias("dx"), F.lit(-1).alias("dy"))
     return mv.common_sad(cur, ref, vectors, 8)
 
 
+@query("mv1_common_sad", "f_gr", oracle=f"WITH {_REF}, e AS (SELECT frame, max(x) AS mx, max(y) AS my FROM r GROUP BY frame) SELECT c.frame, CAST(floor(c.y / 8) AS BIGINT) AS block_y, CAST(floor(c.x / 8) AS BIGINT) AS block_x, CAST(sum(abs(c.v - r.v)) AS BIGINT) AS sad FROM c JOIN e USING (frame) JOIN r ON r.frame = c.frame AND r.x = least(greatest(c.x + 1, 0), mx) AND r.y = least(greatest(c.y - 1, 0), my) GROUP BY 1, 2, 3")
+def mv1(t):
+    return _moved_sad(*_top(t))
+
+
+@query("mv1_common_sad_whole", "f_gr")
+def mv1_whole(t):
+    return _moved_sad(*_pair(t))
+
+
 @query("mv3_static_blocks", "f_gr", oracle="WITH s AS (SELECT frame, CAST(floor(y / 8) AS BIGINT) AS block_y, CAST(floor(x / 8) AS BIGINT) AS block_x, CAST(sum(abs(v - (v + (y * x) % 5))) AS BIGINT) AS sad, count(*) AS n FROM f_gr GROUP BY 1, 2, 3) SELECT * FROM s WHERE sad <= 2 * n")
 def mv3(t):
     return mv.static_blocks(t, t.withColumn("v", F.col("v") + (F.col("y") * F.col("x")) % 5), 8)
@@ -158,10 +175,18 @@ def tk4(t):
     return mv.best_two(_costs(t), ["frame", "block_y", "block_x"], "cost", ["dy", "dx"])
 
 
-@query("jn14_candidate_search", "f_gr", oracle=f"WITH {_SEARCH} SELECT frame, block_y, block_x, min(cost) AS cost, count(*) AS candidates FROM k GROUP BY frame, block_y, block_x")
-def jn14(t):
-    cur, ref = _pair(t)
+def _candidates(cur, ref):
     best = mv.block_match(cur, ref, 8, 2)
-    edge = cur.groupBy("frame").agg((F.max("y") + 1).alias("rows"))
+    edge = cur.groupBy("frame").agg((F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("columns"))
     reach = lambda at, end: F.greatest(F.lit(0), F.least(F.lit(2), end - at * 8 - 8)) + F.least(F.lit(2), at * 8) + 1
-    return best.join(edge, "frame").select("frame", "block_y", "block_x", "cost", (reach(F.col("block_y"), F.col("rows")) * reach(F.col("block_x"), F.lit(64))).alias("candidates"))
+    return best.join(edge, "frame").select("frame", "block_y", "block_x", "cost", (reach(F.col("block_y"), F.col("rows")) * reach(F.col("block_x"), F.col("columns"))).alias("candidates"))
+
+
+@query("jn14_candidate_search", "f_gr", oracle=f"WITH {_SEARCH} SELECT frame, block_y, block_x, min(cost) AS cost, count(*) AS candidates FROM k GROUP BY frame, block_y, block_x")
+def jn14(t):
+    return _candidates(*_top(t))
+
+
+@query("jn14_candidate_search_whole", "f_gr")
+def jn14_whole(t):
+    return _candidates(*_pair(t))

@@ -135,3 +135,30 @@ def test_link_list_is_stable(spark):
     out = manifest.render_links(once).first().text
     again = spark.createDataFrame(list(enumerate(out.split("\n")[:-1])), "line_no int, line string")
     assert manifest.render_links(manifest.parse_links(again)).first().text == out
+
+
+def test_block_searches_cover_the_whole_picture(spark):
+    import random
+
+    from framelake.queries import motion as queries
+
+    rng = random.Random(3)
+    sizes = {0: (37, 24), 1: (16, 16), 2: (50, 32)}  # rows and columns of each frame
+    pixel = {(f, y, x): rng.randrange(256) for f, (h, w) in sizes.items() for y in range(h) for x in range(w)}
+    moved = {(f, y, x): (v * 7 + y) % 256 for (f, y, x), v in pixel.items()}
+    t = spark.createDataFrame([(*k, v) for k, v in pixel.items()], "frame long, y long, x long, v long").repartition(3)
+    best, count, sad = {}, {}, {}
+    for f, (h, w) in sizes.items():
+        for by in range(h // 8):
+            for bx in range(w // 8):
+                block = [(8 * by + i, 8 * bx + j) for i in range(8) for j in range(8)]
+                costs = [(sum(abs(pixel[f, y, x] - moved[f, y + dy, x + dx]) for y, x in block), dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if 0 <= 8 * by + dy and 8 * by + 7 + dy < h and 0 <= 8 * bx + dx and 8 * bx + 7 + dx < w]
+                best[f, by, bx], count[f, by, bx] = min(costs), len(costs)
+    for (f, y, x), v in pixel.items():
+        h, w = sizes[f]
+        key = (f, y // 8, x // 8)
+        sad[key] = sad.get(key, 0) + abs(v - moved[f, min(max(y - 1, 0), h - 1), min(max(x + 1, 0), w - 1)])
+    at = lambda r: (r.frame, r.block_y, r.block_x)
+    assert {at(r): (r.cost, r.dy, r.dx) for r in queries.mv2_whole(t).collect()} == best
+    assert {at(r): r.sad for r in queries.mv1_whole(t).collect()} == sad
+    assert {at(r): (r.cost, r.candidates) for r in queries.jn14_whole(t).collect()} == {k: (c[0], count[k]) for k, c in best.items()}
