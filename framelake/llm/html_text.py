@@ -26,6 +26,7 @@ SAMPLE_CHARS = 200_000  # longer pages are no sample
 BLOCKS = frozenset("html body p div article section main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre header footer nav aside form fieldset figure figcaption address hr center details summary dialog menu select option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg head".split())
+NESTED = frozenset("noscript template svg".split())  # of RAW, those that hold elements
 CLOSES_P = BLOCKS - {"html", "body", "option"}
 SAME_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = frozenset("ul ol dl table select body div article section main td th".split())
@@ -34,12 +35,39 @@ OTHER_TAGS = frozenset("nav header footer aside form menu select dialog".split()
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
 OTHER_WORDS = frozenset("ad ads advert advertisement banner promo sponsor nav navigation navbar menu header footer sidebar side aside widget cookie consent notice popup modal comment comments reply replies share social related recommended breadcrumb breadcrumbs newsletter subscribe login form search".split())
 
-_tag = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+# A quote opens a value only directly after "=", and only if it closes; any other is an ordinary character of a tag that ends at ">".
+_tag = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)|=)*)(?:>|$)", re.S)
 _attribute = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _token = re.compile(r"[a-z]+")
 TAG_KINDS = ("p", "div", "li", "h", "article", "main", "section", "nav", "header", "footer", "aside", "form", "td", "body")
 
 
+def _end(source: str, at: int, name: str, around: set[str]) -> int:
+    """Where an svg, noscript or template whose content begins at `at` ends: without an end tag of its own before that of an element
+    around it, with that element (an svg also before a block).
+    """
+    close = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
+    if close and not re.compile(rf"<{name}\b", re.I).search(source, at, close.start()):
+        return close.end()
+    inside: dict[str, int] = {}
+    for m in _tag.finditer(source, at):
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if not m[1]:
+            if name == "svg" and tag in BLOCKS:
+                return m.start()
+            if tag not in VOID and not m[3].endswith("/"):
+                inside[tag] = inside.get(tag, 0) + 1
+        elif inside.get(tag):
+            inside[tag] -= 1
+        elif tag == name:
+            return m.end()
+        elif tag in around:
+            return m.start()
+    return len(source)
+
+
 class Page:
     """Block nodes in document order (`parent`, `tag`, `words` of attributes) and the runs of text (node, text, characters in links)."""
 
@@ -92,7 +120,9 @@ class Page:
                         break
                 continue
             if name in RAW:
-                if not m[3].endswith("/"):
+                if not m[3].endswith("/") and name in NESTED:
+                    at = _end(source, at, name, {x for x, _ in stack})
+                elif not m[3].endswith("/"):
                     end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at) if name != "head" else None
                     if name != "head":
                         at = end.end() if end else n

@@ -333,6 +333,26 @@ def test_pages(spark, small):
     assert html_text.train(none) is None and html_text.extract(none, None).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<article><p>one <a href="x"">two</a> three</p><p>four five</p></article>', ["one two three", "four five"]),
+        ("<p title=it's>one</p><p>two</p>", ["one", "two"]),
+        ('<p class="a>b" id=c>one</p><p>two</p>', ["one", "two"]),
+        ("<p a = 'x>y'>one</p><p b=c='d>two</p>", ["one", "two"]),
+        ('<p><a href="x>one</a></p><p>two</p>', ["one", "two"]),
+        ("<div><svg><g><path d=1></div><p>two</p>", ["two"]),
+        ("<div><svg><title>x</title><p>one</p></div><p>two</p>", ["one", "two"]),
+        ("<div>one<noscript><div>x</div>y</div><p>two</p>", ["one", "two"]),
+        ("<div>one<template>x</div><p>two</p><template>y</template>", ["one", "two"]),
+        ("<div>one<svg><svg>x</svg>y</svg></div><p>two</p>", ["one", "two"]),
+        ("<div>one<noscript>x</noscript> two</div>", ["one two"]),
+    ],
+)
+def test_pages_drop_nothing_behind_broken_tags(source, want):
+    assert [text for _, text, _ in html_text.Page(source).runs] == want
+
+
 def test_pages_decoding_is_consistent():
     page = html_text.Page("<body><div><p>one</p><div><p>two</p></div></div><p>three</p></body>")
     rng = np.random.default_rng(1)
