@@ -1,12 +1,13 @@
 """Secret scanning: three fixed rules plus a battery of randomness tests under a length-aware false-discovery bound.
 
-The rules (assignments, access keys, long hex runs) always hold. The battery looks at the other long tokens: their encoding is inferred
-(hex, base32, base64), then
+The rules (assignments, access keys, long hex runs) always hold. The battery looks at the other long tokens, and
+at the pieces of a token between "/" and "=", and between these, "_" and "-", so that a path or a name before a secret is not mixed with
+it. Their encoding is inferred (hex, base32, base36, base64; separators within one case and digits are no symbols), then
   - chi-squared uniformity over the character classes of that alphabet and, for long tokens, over its symbols, and
   - the lag-1 serial correlation of symbol values must both not reject randomness;
   - a runs test gives the chance that written text, which rarely changes character class, would alternate as often as the token does.
 That chance is the p-value of calling the token a secret. Benjamini-Hochberg thresholds hold the false-discovery rate, apart for each
-length class, over every such token of the corpus: one pass counts p-values by class and bin, the next one marks.
+length class, over every such token and piece of the corpus: one pass counts p-values by class and bin, the next one marks.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ _hints = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{32,}")
 _long = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN)
+_pieces = (re.compile(r"[^/=]{%d,}" % MIN_TOKEN), re.compile(r"[^/=_-]{%d,}" % MIN_TOKEN))
 _UPPER, _LOWER, _DIGIT, _OTHER = range(4)
 
 
@@ -76,19 +78,26 @@ def battery(token: str) -> float | None:
         return None
     kinds = [_class(c) for c in body]
     seen = set(kinds)
-    if _DIGIT not in seen or len(seen) < 2:
+    if _OTHER in seen and not {_UPPER, _LOWER} <= seen:  # separators of a word list would count as switches
+        body = "".join(c for c, k in zip(body, kinds, strict=True) if k != _OTHER)
+        kinds = [k for k in kinds if k != _OTHER]
+        n, seen = len(body), set(kinds)
+        if n < MIN_TOKEN:
+            return None
+    if len(seen) < 2:
         return None
     if all(c in "0123456789abcdef" for c in body) or all(c in "0123456789ABCDEF" for c in body):
         symbols, share = "0123456789abcdef", {_DIGIT: 10 / 16, kinds[next(i for i, k in enumerate(kinds) if k != _DIGIT)]: 6 / 16}
         body = body.lower()
     elif all(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for c in body):
         symbols, share = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", {_UPPER: 26 / 32, _DIGIT: 6 / 32}
-    elif _OTHER not in seen and len(seen) == 2:
+    elif _DIGIT in seen and len(seen) == 2:
         letter = (seen - {_DIGIT}).pop()
         symbols, share = ("0123456789" + ("abcdefghijklmnopqrstuvwxyz" if letter == _LOWER else "ABCDEFGHIJKLMNOPQRSTUVWXYZ")), {_DIGIT: 10 / 36, letter: 26 / 36}
     elif {_UPPER, _LOWER} <= seen:
         symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + "+/-_" * (_OTHER in seen)
-        share = {_UPPER: 26, _LOWER: 26, _DIGIT: 10} | ({_OTHER: 2} if _OTHER in seen else {})
+        # Without a digit: letters alone, where so many draws of all would hardly lack one.
+        share = {_UPPER: 26, _LOWER: 26} | ({_DIGIT: 10} if _DIGIT in seen or (52 / 62) ** n > REJECT else {}) | ({_OTHER: 2} if _OTHER in seen else {})
         total = sum(share.values())
         share = {k: v / total for k, v in share.items()}
     else:
@@ -114,13 +123,18 @@ def _length_class(n: int) -> int:
     return sum(n >= c for c in LENGTH_CLASSES) - 1
 
 
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the tokens of the battery and of their pieces that are long enough."""
+    for m in _long.finditer(text):
+        yield from sorted({m.span(), *(p.span() for cut in _pieces for p in cut.finditer(text, m.start(), m.end()))})
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, length class, bin) of the tokens that the battery takes for possible secrets."""
     out = []
-    for m in _long.finditer(text):
-        token = m.group()
-        if any(c.isdigit() for c in token) and (p := battery(token)) is not None:
-            out.append((m.start(), m.end(), _length_class(len(token)), min(BINS - 1, int(2 * p))))
+    for s, e in tokens(text):
+        if (p := battery(text[s:e])) is not None:
+            out.append((s, e, _length_class(e - s), min(BINS - 1, int(2 * p))))
     return out
 
 
@@ -129,7 +143,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def calibrate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[int, int]:
-    """Lowest bin that counts as a secret, by length class, from the p-values of all tokens (Benjamini-Hochberg step-up on binned counts).
+    """Lowest bin that counts as a secret, by length class, from the p-values of all tokens and pieces (Benjamini-Hochberg step-up on binned counts).
 
     Only counts by (class, bin) - at most len(LENGTH_CLASSES) x (BINS + 1) rows - reach the driver.
     """
@@ -138,12 +152,11 @@ def calibrate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         for batch in batches:
             seen: dict[tuple[int, int], int] = {}
             for text in batch.column(0):
-                for m in _long.finditer(text.as_py() or ""):
-                    token = m.group()
-                    if any(c.isdigit() for c in token):
-                        p = battery(token)
-                        key = (_length_class(len(token)), -1 if p is None else min(BINS - 1, int(2 * p)))
-                        seen[key] = seen.get(key, 0) + 1
+                text = text.as_py() or ""
+                for s, e in tokens(text):
+                    p = battery(text[s:e])
+                    key = (_length_class(e - s), -1 if p is None else min(BINS - 1, int(2 * p)))
+                    seen[key] = seen.get(key, 0) + 1
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["size", "bin", "n"])
 
@@ -162,7 +175,11 @@ def calibrate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def _spans(text: str, thresholds: dict[int, int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     base = base_spans(text)
-    extra = [(s, 3, e) for s, e, size, b in candidates(text) if b >= thresholds.get(size, BINS) and not any(s < y and x < e for x, _, y in base)]
+    found = [(s, 3, e) for s, e, size, b in candidates(text) if b >= thresholds.get(size, BINS) and not any(s < y and x < e for x, _, y in base)]
+    extra: list[tuple[int, int, int]] = []
+    for s, k, e in sorted(found, key=lambda x: (x[0], -x[2])):  # a piece of a found token is found with it
+        if not extra or e > extra[-1][2]:
+            extra.append((s, k, e))
     return base, sorted(base + extra)
 
 

@@ -288,6 +288,30 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.scan(docs, limits).count() == len(ROWS)
 
 
+def test_secrets_behind_names_and_paths(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    uuid = lambda: "-".join(draw("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+    makers = {
+        "path": lambda: ("com/api/v1/session/", draw(letters + "0123456789", 20)),
+        "long path": lambda: ("com/files/download/shared/", draw(letters + "0123456789", 20)),
+        "name": lambda: ("x-request-signature=", draw(letters + "0123456789", 20)),
+        "url-safe": lambda: ("com/files/download/shared/", draw(letters + "0123456789-_", 40)),
+        "letters": lambda: ("", draw(letters, 40)),
+        "uuid": lambda: ("", uuid()),
+    }
+    rows = [(i, kind, *make()) for i, (kind, make) in enumerate((k, m) for k, m in makers.items() for _ in range(150))]
+    plain = ["com/files/download/shared/documents/annual-report-2024", "a-very-long-hyphenated-lowercase-word-2024-10-10", "some_internal_function_name_for_tests", "getElementByIdFromTheDocument", "ANOTHER_LONG_CONSTANT_NAME_2"]
+    d = spark.createDataFrame([*((i, f"see {a}{b} for") for i, _, a, b in rows), *((len(rows) + i, t) for i, t in enumerate(plain))], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secret_scan.redact(d, secret_scan.calibrate(d)).collect()}
+    gone = defaultdict(list)
+    for i, kind, _, b in rows:
+        gone[kind].append(b not in clean[i])
+    assert {k for k, v in gone.items() if sum(v) < (0.8 if k == "uuid" else 0.95) * len(v)} == set(), {k: sum(v) / len(v) for k, v in gone.items()}
+    assert [clean[len(rows) + i] for i in range(len(plain))] == plain
+
+
 def test_token_counts(docs, empty):
     import tiktoken
 
