@@ -111,11 +111,23 @@ def rd9(t):
     return _rounded(out.withColumn("percent", _most()), percent=2, psnr_lo=4, psnr_hi=4)
 
 
+@query("rd9_bd_rate_whole", "f_rd")
+def rd9_whole(t):
+    keys = ("sb_row", "sb_col")
+    totals = rd.sequence_totals(t, by=keys)
+    return rd.bd_rate(rd.curve(totals, (*keys, "grp")), "A", keys, totals)
+
+
 @query("rd10_bd_rate_report", "f_rd", oracle=f"WITH {BD} SELECT {_COLS}, round(bits_a_max, 2) AS bits_a_max, round(psnr_a_max, 4) AS psnr_a_max, samples, round(bits_b_max, 2) AS bits_b_max, round(psnr_b_max, 4) AS psnr_b_max FROM bd")
 def rd10(t):
     return _rounded(rd.bd_rate_report(t, "A").withColumn("percent", _most()), percent=2, psnr_lo=4, psnr_hi=4, bits_a_max=2, psnr_a_max=4, bits_b_max=2, psnr_b_max=4)
 
 
+@query("rd10_bd_rate_report_whole", "f_rd")
+def rd10_whole(t):
+    return rd.bd_rate_report(t, "A")
+
+
 @query("rd11_undefined_count", "f_rd", oracle=f"WITH {BD} SELECT status, count(*) AS regions FROM (SELECT {_COLS} FROM bd) GROUP BY status")
 def rd11(t):
     return rd.undefined_count(rd.bd_rate_report(t, "A"))
@@ -130,8 +142,17 @@ SELECT CAST(g AS VARCHAR) AS grp, 'no streams' AS rule FROM f WHERE points = 0 U
 UNION ALL SELECT CAST(g AS VARCHAR), 'other geometry than the first group' FROM f WHERE shapes = 1 AND shape <> first_shape UNION ALL SELECT CAST(g AS VARCHAR), 'missing bits' FROM f WHERE missing > 0
 UNION ALL SELECT '*', 'not exactly one original' FROM (SELECT sum(original) AS n FROM f) WHERE n <> 1""")
 def rd12(c):
+    return _groups(c.where("c_custkey <= 150"))
+
+
+@query("rd12_validate_groups_whole", "customer")
+def rd12_whole(c):
+    return _groups(c)
+
+
+def _groups(c):
     n, k = F.col("c_nationkey"), F.col("c_custkey")
-    dim = c.where("c_custkey <= 150").select(
+    dim = c.select(
         n.alias("grp"), F.when(n != 3, k % 4).alias("point"), F.when((n % 7 == 2) & (k % 2 == 0), 1280).when(n % 5 == 4, 640).otherwise(1920).alias("width"), F.lit(1080).alias("height"), F.lit(64).alias("sb_size"), ((n == 0) | (n == 9)).alias("original"), (k % 50 != 7).alias("bits_known")
     )
     return rd.validate_groups(dim)

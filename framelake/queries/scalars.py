@@ -146,3 +146,9 @@ def sc22(t):
 def sc23(t):
     two = t.where(F.col("stream").isin(0, 1))
     return two.select("stream", "frame", F.round(F.coalesce(F.log1p("bytes") / F.log1p(F.max("bytes").over(Window.partitionBy())), F.lit(0.5)), 6).alias("h"))
+
+
+@query("sc23_log_height_whole", "f_cf")
+def sc23_whole(t):
+    most = t.agg(F.max("bytes").alias("most"))
+    return t.crossJoin(F.broadcast(most)).select("stream", "frame", F.round(F.coalesce(F.log1p("bytes") / F.log1p("most"), F.lit(0.5)), 6).alias("h"))
