@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -20,37 +20,59 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .buckets import text_size
 from .shared import shared_dir
 from .worker import held
 
 MEMO_CHUNKS, MEMO_CORES = 700_000, 1_200_000  # white-space chunks, and their cores, kept per Python worker; beyond it a memo starts anew
+MEMO_BYTES = 64  # a longer chunk is encoded each time, so that the memos' bytes are bounded too
 BATCH_SEQUENCES = 256
+FILE_BYTES = 128 << 20  # of text a file
 _TAIL = b".,;:!?%&$#*|\"')]}>"
 _ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
+class _Memo(dict):
+    """Ids by chunk; one that is not kept is made by `make`."""
+
+    def __init__(self, make: Callable[[bytes], bytes]):
+        self.make = make
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        return self.make(chunk)
+
+
 class ChunkEncoder:
     """Ids of a text by the tokenizers library, white-space chunk by chunk.
 
     The vocabulary's pretokens never span white space, nor the border of letters or digits and marks, and its normaliser works within such
     pieces, so the ids of a text are those of its chunks in turn, and those of a chunk are those of its core and of the marks after it.
-    Each core is encoded once per worker by the library and kept.
+    Each core is encoded once per worker by the library and kept. A chunk that holds the string of an added token of the vocabulary goes to
+    the library as it is, which takes it for that token as the library does by default, or for ordinary text with `added` false.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = True  # but in `whole`: lower-casing must not make an added token of what is none
+        self.takes = added
+        self.added = [t.content.encode("utf-8") for t in self.library.get_added_tokens_decoder().values()]
         # The same model for what is one pretoken and normal already: it skips the normaliser and the splitting pattern.
         self.single = Tokenizer.from_file(path)
         self.single.normalizer = normalizers.Sequence([])
         self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = _Memo(self.whole)
         self.cores: dict[bytes, bytes] = {b"": b""}
 
+    def whole(self, chunk: bytes) -> bytes:
+        self.library.encode_special_tokens = not self.takes
+        ids = self.library.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
+        self.library.encode_special_tokens = True
+        return np.array(ids, self.dtype).tobytes()
+
     @staticmethod
     def split(chunk: bytes) -> tuple[bytes, bytes]:
         core = chunk.rstrip(_TAIL)
@@ -59,6 +81,10 @@ class ChunkEncoder:
         return (core.lower() if core.isascii() else core), chunk[len(core) :]
 
     def learn(self, chunks: list[bytes]) -> None:
+        if any(t in c for t in self.added for c in chunks):
+            own = [c for c in chunks if any(t in c for t in self.added)]
+            self.memo.update((c, self.whole(c)) for c in own)
+            chunks = list(set(chunks).difference(own))
         parts = [self.split(c) for c in chunks]
         if new := {x for p in parts for x in p}.difference(self.cores):
             if len(self.cores) + len(new) > MEMO_CORES:
@@ -80,12 +106,12 @@ class ChunkEncoder:
             if len(memo) + len(new) > MEMO_CHUNKS:
                 memo.clear()
                 new = set(chunks)
-            self.learn(list(new))
+            self.learn([c for c in new if len(c) <= MEMO_BYTES])
         return b"".join(map(memo.__getitem__, chunks))
 
 
-def encoder(path: str) -> ChunkEncoder:
-    return held(("chunks", path), lambda: ChunkEncoder(path))
+def encoder(path: str, added: bool = True) -> ChunkEncoder:
+    return held(("chunks", path, added), lambda: ChunkEncoder(path, added))
 
 
 def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -115,19 +141,22 @@ def _schema(kind: pa.DataType, length: int) -> pa.Schema:
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def write(docs: DataFrame, tokenizer_path: str, uri: str | None = None, end_id: int = 2, length: int = 2048, partitions: int | None = None) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, uri: str | None = None, end_id: int = 2, length: int = 2048, partitions: int | None = None, added: bool = True) -> DataFrame:
     """Encode all documents and write the files in ascending doc_id order; returns the manifest (file, n_docs, n_tokens, n_sequences).
 
-    Rows are dealt by range of doc_id (ties by a hash of the text), so file order is document order. Null and empty texts hold the end
-    id only; a null doc_id sorts first; repeated rows are written as often as they occur; an empty table makes no file. Text crosses
-    the network once, before encoding, so that the sampling of the range bounds costs no encoding.
+    Rows are dealt by range of doc_id (ties by a hash of the text), so file order is document order. There is a file for each FILE_BYTES of
+    text and two for each core at least, unless `partitions` says otherwise. Null and empty texts hold the end id only; a null doc_id sorts
+    first; repeated rows are written as often as they occur; an empty table makes no file; other columns are ignored. A very long text is
+    encoded whole, chunk by chunk, and runs on over as many sequences as it needs. The strings of the vocabulary's added tokens in a text
+    give these tokens, as the library has it by default; with `added` false they are ordinary text. Text crosses the network once, before
+    encoding, so that the sampling of the range bounds costs no encoding.
     """
     spark = docs.sparkSession
     base = f"{uri or shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(2 * spark.sparkContext.defaultParallelism, -(-text_size(docs, _TEXT) // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer_path)
+        coder = encoder(tokenizer_path, added)
         kind = pa.from_numpy_dtype(coder.dtype)
         schema, end = _schema(kind, length), np.array([end_id], coder.dtype).tobytes()
         name = f"{base}/part-{TaskContext.get().partitionId():06d}"
@@ -218,6 +247,24 @@ class TokenFile:
         return flat[start - first * self.length :][:n]
 
 
+def streamed(file: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(doc_ids, starts, ids of each) batch by batch of a file's documents; of the tokens, those of one batch are held at a time."""
+    fs, path = _store(file)
+    with fs.open_input_stream(f"{path}.tokens.arrows") as a, fs.open_input_stream(f"{path}.docs.arrows") as b:
+        tokens = iter(pa.ipc.open_stream(a))
+        flat, at = np.zeros(0, np.uint32), 0  # what is read of the stream of ids, from place `at` on
+        for batch in pa.ipc.open_stream(b):
+            starts, counts = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            parts, end = [flat], at + len(flat)
+            while end < starts[-1] + counts[-1]:
+                parts.append(next(tokens).column(0).values.to_numpy())
+                end += len(parts[-1])
+            flat = np.concatenate(parts)
+            yield batch.column(0), starts, [flat[s - at : s - at + n] for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+            done = int(starts[-1] + counts[-1])
+            flat, at = flat[done - at :].copy(), done
+
+
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Every document as the files hold it: doc_id, start over all files, n_tokens and ids_crc32 (of the ids as unsigned 32-bit little-endian)."""
     files, at = [], 0
@@ -231,9 +278,8 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = TokenFile(name)
-                starts, counts = held.docs["start"].to_pylist(), held.docs["n_tokens"].to_pylist()
-                sums = [zlib.crc32(held.span(s, n).astype("<u4").tobytes()) for s, n in zip(starts, counts, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": held.docs["doc_id"].combine_chunks(), "start": [base + s for s in starts], "n_tokens": counts, "ids_crc32": sums}, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]))
+                for ids, starts, parts in streamed(name):
+                    sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in parts]
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(starts + base), pa.array([len(x) for x in parts], pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return spark.createDataFrame(files, "file string, base long").repartition(min(len(files), 4096)).mapInArrow(run, schema)
