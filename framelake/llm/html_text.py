@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
+from .shared import least_of_tasks
 
 SAMPLE_PAGES = 300  # pages the trees learn from: those with the smallest hashed ids
 SAMPLE_CHARS = 200_000  # longer pages are no sample
@@ -29,7 +30,8 @@ RAW = frozenset("script style noscript template textarea title iframe svg head".
 NESTED = frozenset("noscript template svg".split())  # of RAW, those that hold elements
 CLOSES_P = BLOCKS - {"html", "body", "option"}
 SAME_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-LIMITS = frozenset("ul ol dl table select body div article section main td th".split())
+LIMITS = frozenset("ul ol dl table select body div article section main td th".split())  # an open p outside the innermost of these stays open
+LISTS = frozenset("ul ol dl table select".split())  # the same for items and cells
 MAIN_TAGS = frozenset(("article", "main"))
 OTHER_TAGS = frozenset("nav header footer aside form menu select dialog".split())
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
@@ -42,13 +44,27 @@ _token = re.compile(r"[a-z]+")
 TAG_KINDS = ("p", "div", "li", "h", "article", "main", "section", "nav", "header", "footer", "aside", "form", "td", "body")
 
 
-def _end(source: str, at: int, name: str, around: set[str]) -> int:
+class Ends:
+    """Where the next end tag of an element stands; each part of a page is searched once for a name, however often it is asked for."""
+
+    def __init__(self, source: str):
+        self.source, self.known = source, {}
+
+    def after(self, at: int, name: str) -> tuple[int, int]:
+        """(start, end) of the first end tag from `at` on; without one both are the page's end."""
+        if (got := self.known.get(name)) is None or got[0] < at:
+            m = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(self.source, at)
+            got = self.known[name] = m.span() if m else (len(self.source),) * 2
+        return got
+
+
+def _end(source: str, at: int, name: str, around: dict[str, list[int]], ends: Ends) -> int:
     """Where an svg, noscript or template whose content begins at `at` ends: without an end tag of its own before that of an element
     around it, with that element (an svg also before a block).
     """
-    close = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-    if close and not re.compile(rf"<{name}\b", re.I).search(source, at, close.start()):
-        return close.end()
+    start, end = ends.after(at, name)
+    if start < len(source) and not re.compile(rf"<{name}\b", re.I).search(source, at, start):
+        return end
     inside: dict[str, int] = {}
     for m in _tag.finditer(source, at):
         if m[2] is None:
@@ -63,35 +79,73 @@ def _end(source: str, at: int, name: str, around: set[str]) -> int:
             inside[tag] -= 1
         elif tag == name:
             return m.end()
-        elif tag in around:
+        elif around.get(tag):
             return m.start()
     return len(source)
 
 
+class _Open:
+    """The open elements. Besides their order it knows the places of each name, of those that end the search for an open p or item, and the
+    open block nodes, so that no step walks over the elements that stay open."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.nodes: list[int] = []  # -1 for inline elements
+        self.places: dict[str, list[int]] = {}
+        self.limits: list[int] = []
+        self.lists: list[int] = []
+        self.blocks: list[int] = []
+
+    def push(self, name: str, node: int) -> None:
+        at = len(self.names)
+        self.names.append(name)
+        self.nodes.append(node)
+        self.places.setdefault(name, []).append(at)
+        if name in LIMITS:
+            self.limits.append(at)
+        if name in LISTS:
+            self.lists.append(at)
+        if node >= 0:
+            self.blocks.append(node)
+
+    def cut(self, to: int) -> None:
+        while len(self.names) > to:
+            name = self.names.pop()
+            self.places[name].pop()
+            if name in LIMITS:
+                self.limits.pop()
+            if name in LISTS:
+                self.lists.pop()
+            if self.nodes.pop() >= 0:
+                self.blocks.pop()
+
+    def last(self, names: tuple[str, ...]) -> int:
+        """The innermost place of any of the names; the root does not count."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+
 class Page:
-    """Block nodes in document order (`parent`, `tag`, `words` of attributes) and the runs of text (node, text, characters in links)."""
+    """Block nodes in document order (`parent`, `tag`, `words` of attributes) and the runs of text (node, text, characters in links). One pass, linear in the page."""
 
     def __init__(self, source: str, plain: bool = False):
         self.parent, self.tag, self.words, self.runs = [-1], ["html"], [frozenset()], []
-        stack: list[tuple[str, int]] = [("html", 0)]
+        open_, ends = _Open(), Ends(source)
+        open_.push("html", 0)
         parts: list[str] = []
-        linked = links = at = 0
+        linked = at = 0
 
         def flush() -> None:
             nonlocal linked
             if parts:
                 text = " ".join(html.unescape("".join(parts)).split())
                 if text:
-                    self.runs.append((next(n for _, n in reversed(stack) if n >= 0), text, min(linked, len(text))))
+                    self.runs.append((open_.blocks[-1], text, min(linked, len(text))))
                 parts.clear()
             linked = 0
 
         def close(to: int) -> None:
-            nonlocal links
             flush()
-            for name, _ in stack[to:]:
-                links -= name == "a"
-            del stack[to:]
+            open_.cut(to)
 
         n = len(source)
         while at < n:
@@ -99,33 +153,27 @@ class Page:
             if m is None or m.end() == m.start():
                 text = source[at:]
                 parts.append(text)
-                linked += len(text) * (links > 0)
+                linked += len(text) * bool(open_.places.get("a"))
                 break
             if m.start() > at:
                 text = source[at : m.start()]
                 parts.append(text)
-                linked += len(text) * (links > 0)
+                linked += len(text) * bool(open_.places.get("a"))
             at = m.end()
             if m[2] is None:
                 continue
             name = m[2].lower()
             if m[1]:  # an end tag closes down to its element, if that is open
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        if any(i >= 0 for _, i in stack[k:]):
-                            close(k)
-                        else:
-                            links -= sum(x == "a" for x, _ in stack[k:])
-                            del stack[k:]
-                        break
+                if k := open_.last((name,)):
+                    if any(i >= 0 for i in open_.nodes[k:]):
+                        flush()
+                    open_.cut(k)
                 continue
             if name in RAW:
                 if not m[3].endswith("/") and name in NESTED:
-                    at = _end(source, at, name, {x for x, _ in stack})
-                elif not m[3].endswith("/"):
-                    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at) if name != "head" else None
-                    if name != "head":
-                        at = end.end() if end else n
+                    at = _end(source, at, name, open_.places, ends)
+                elif not m[3].endswith("/") and name != "head":
+                    at = ends.after(at, name)[1]
                 continue
             if name == "br" or name == "wbr":
                 parts.append(" " if name == "br" else "")
@@ -133,25 +181,15 @@ class Page:
             if name in VOID and name != "hr":
                 continue
             if name not in BLOCKS:
-                stack.append((name, -1))
-                links += name == "a"
+                open_.push(name, -1)
                 continue
             flush()
-            if name in ("html", "body") and any(x == name for x, _ in stack):
+            if name in ("html", "body") and open_.places.get(name):
                 continue
-            if name in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in LIMITS:
-                        break
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SAME_CLOSE.get(name, ()):
-                    close(k)
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
-                    break
+            if name in CLOSES_P and (k := open_.last(("p",))) > (open_.limits[-1] if open_.limits else 0):
+                close(k)
+            if name in SAME_CLOSE and (k := open_.last(SAME_CLOSE[name])) > (open_.lists[-1] if open_.lists else 0):
+                close(k)
             if name == "hr":
                 continue
             words = frozenset(w for a in _attribute.findall(m[3]) for w in _token.findall("".join(a).lower())) if m[3] else frozenset()
@@ -159,10 +197,10 @@ class Page:
             if plain:
                 words = frozenset()
                 shown = "div" if name in MAIN_TAGS or name in OTHER_TAGS or name == "section" else name
-            self.parent.append(next(i for _, i in reversed(stack) if i >= 0))
+            self.parent.append(open_.blocks[-1])
             self.tag.append(shown)
             self.words.append(words)
-            stack.append((name, len(self.tag) - 1))
+            open_.push(name, len(self.tag) - 1)
         flush()
 
 
@@ -238,11 +276,12 @@ def _targets(source: str) -> tuple[Page, np.ndarray]:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> BoostedTrees | None:
-    """Trees learnt from at most SAMPLE_PAGES pages; None where no page has any text."""
+    """Trees learnt from at most SAMPLE_PAGES pages, rows that repeat a page_id counting once; None where no page has any text."""
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html")).where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
-    # First the ids, then their pages: a task sends the driver no page that is not in the sample.
-    ids = [r.id for r in rows.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(SAMPLE_PAGES).collect()]
-    sample = rows.where(F.col("id").isin(ids)).dropDuplicates(["id"]).orderBy("id").collect() if ids else []
+    # First the ids, then their pages: a task sends on no page, and no more ids, than the sample can hold.
+    some = least_of_tasks(rows.where("id IS NOT NULL").select(F.xxhash64("id").alias("h"), "id"), ["h", "id"], SAMPLE_PAGES)
+    ids = [r.id for r in some.distinct().orderBy("h", "id").limit(SAMPLE_PAGES).collect()]
+    sample = rows.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("html").alias("html")).orderBy("id").collect() if ids else []
     x, y = [], []
     for r in sample:
         page, target = _targets(r.html)
@@ -283,8 +322,8 @@ def extract(pages: DataFrame, model: BoostedTrees | None, id_col: str = "page_id
     """page_id, url, text, n_chars: the main text of every page, block after block, one newline between them.
 
     Character references are decoded, white space inside a block becomes one space. Null and empty pages, pages without text and a missing
-    model give the empty text; repeated rows each give a row; a null url stays null. Markup may be broken off anywhere: elements left open
-    end with the page. Each page is worked on whole and alone.
+    model give the empty text; repeated rows each give a row, an empty table none; a null page_id or url stays null; other columns are ignored. Markup
+    may be broken off anywhere: elements left open end with the page. Each page is worked on whole and alone, in time linear in its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import least_of_tasks
+
 SAMPLE_DOCS = 300  # labelled documents a language, at most: those with the smallest hashed ids
+SPLITS = 256  # parts that the sample is picked in first
 SAMPLE_CHARS = (200, 8000)  # documents of this length come first in the sample
 DICTIONARY_BYTES = 96 << 10  # of raw content a language
 PIECE_BYTES = 8 << 10  # a long text is packed in such pieces, so that the dictionary counts in each
@@ -20,17 +23,22 @@ MIN_MARGIN = 0.01  # a narrower lead over the second language is rejected
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw-content dictionaries, one a language, from a bounded sample of labelled rows (SAMPLE_DOCS x languages texts reach the driver).
+    """Raw-content dictionaries, one a language: the texts of SAMPLE_DOCS labelled rows a language at most, in the order of their hashed ids,
+    up to DICTIONARY_BYTES in all. So much of each language reaches the driver.
 
-    Rows with null text or language teach nothing; no labelled row gives an empty model.
+    Rows with null text or language teach nothing; rows that repeat an id count once, with the text that sorts first; no labelled row gives
+    an empty model; other columns are ignored. The sample is picked in two steps, so that a language's task never gets more than
+    SPLITS x SAMPLE_DOCS ids, however many partitions the table has.
     """
     rows = labelled.select(labelled[id_col].cast("string").alias("id"), labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     fit = F.length("text").between(*SAMPLE_CHARS)
-    order = Window.partitionBy("lang").orderBy(F.col("far"), F.col("h"), F.col("id"))
-    ids = rows.select("lang", "id", (~fit).cast("int").alias("far"), F.xxhash64("id").alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
+    by = ["far", "h", "id"]
+    some = least_of_tasks(rows.where("id IS NOT NULL").select("lang", (~fit).cast("int").alias("far"), F.xxhash64("id").alias("h"), "id"), by, SAMPLE_DOCS, per="lang").distinct()
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(SPLITS))).orderBy(*by))).where(F.col("k") <= SAMPLE_DOCS)
+    ids = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("k") <= SAMPLE_DOCS)
     picked = rows.join(F.broadcast(ids.select("lang", "id", "k")), ["lang", "id"])
     texts: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.select("lang", "k", F.substring("text", 1, DICTIONARY_BYTES).alias("text")).dropDuplicates(["lang", "k"]).toLocalIterator():
+    for r in picked.select("lang", "k", F.substring("text", 1, DICTIONARY_BYTES).alias("text")).groupBy("lang", "k").agg(F.min("text").alias("text")).toLocalIterator():
         texts.setdefault(r.lang, []).append((r.k, r.text))
     return {lang: b" ".join(plain(t) for _, t in sorted(got))[:DICTIONARY_BYTES] for lang, got in sorted(texts.items())}
 
@@ -86,7 +94,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
     """doc_id, lang_pred, score (0 to 1: the share by which the best size is below the second), rejected (margin too narrow to trust).
 
     Null text and text without a letter: `und`, score 0, rejected. Ties go to the language that sorts first. Each row is judged alone on
-    its whole text, in one narrow pass.
+    its whole text, however long, in one narrow pass; repeated rows each give a row, an empty table none; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +29,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def least_of_tasks(rows: DataFrame, by: list[str], k: int, per: str | None = None) -> DataFrame:
+    """For each value of `per` the k smallest distinct rows of each task, ordered by the columns `by`, which hold no null: so much of a task
+    may be among the k smallest of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for key in [None] if per is None else pc.unique(batch.column(per)).to_pylist():
+                own = pa.Table.from_batches([batch if per is None else batch.filter(pc.equal(batch.column(per), key))])
+                both = (pa.concat_tables([held[key], own]) if key in held else own).group_by(own.column_names).aggregate([]).select(own.column_names)
+                held[key] = both.sort_by([(c, "ascending") for c in by]).slice(0, k)
+        for table in held.values():
+            yield from table.combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
