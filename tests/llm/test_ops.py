@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.llm import bpe, components, decontaminate, html_text, language, ngram_join, quality, secret_scan, substring_dedup, token_counts, token_files, words
 
@@ -103,6 +104,43 @@ def test_language(spark, empty, small):
     assert language.Classifier(one)("hello world")[0] == "xx"
 
 
+def brute_language(dictionaries, text):
+    """The definition: bytes packed with each dictionary, piece by piece; a narrow lead at the fast level is measured at the fine one."""
+    import zstandard
+
+    data = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).encode()
+    score, best = 0.0, ""
+    for level in (language.FAST_LEVEL, language.FINE_LEVEL):
+        sizes = {}
+        for name, content in dictionaries.items():
+            made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made.precompute_compress(level=level)
+            packer = zstandard.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_checksum=False)
+            sizes[name] = sum(len(packer.compress(data[a : a + language.PIECE_BYTES])) for a in range(0, len(data), language.PIECE_BYTES))
+        first, second = sorted(sizes.values())[:2]
+        best, score = min(sizes, key=lambda n: (sizes[n], n)), 1 - first / second
+        if score >= language.RECHECK_MARGIN:
+            break
+    return best, score
+
+
+def test_language_against_the_definition(spark, small):
+    """Every prediction as measured by hand; very long texts, repeated rows, clashing columns, repeated ids."""
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    model = language.train(d)
+    assert model == language.train(d.unionAll(d).repartition(7)) and all(len(v) <= language.DICTIONARY_BYTES for v in model.values())
+    texts = {r.doc_id: r.text for r in d.collect()}
+    rows = d.select("doc_id", "text", F.lit(1).alias("score"), F.lit("x").alias("lang_pred"))
+    got = language.predict(rows.unionAll(rows), model).collect()
+    assert len(got) == 2 * len(texts)
+    for r in got:
+        if r.lang_pred != "und":
+            name, score = brute_language(model, texts[r.doc_id])
+            assert r.lang_pred == name and abs(r.score - score) < 1e-12
+    long = max(texts.values(), key=lambda t: len(t or "")) * 50
+    assert language.Classifier(model)(long)[:2] == brute_language(model, long)
+
+
 def shingles(text):
     w = split(lower(text))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -190,7 +228,6 @@ def test_token_files(spark, docs, empty):
 
     path = P.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     manifest = token_files.write(docs, path, length=64, partitions=3)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.read(spark, manifest).collect()}
     at, stream = 0, []
@@ -206,6 +243,25 @@ def test_token_files(spark, docs, empty):
     assert none.count() == 0 and token_files.read(spark, none).count() == 0
 
 
+def test_token_files_with_added_tokens_repeats_and_null_ids(spark):
+    """Strings of added tokens, in any surroundings, as the library has them by default; long chunks; repeated rows; null ids first."""
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(8)
+    parts = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "\n", "a", "é", "í", "don't", "X9", "...", "\u0301", "日本", "x" * 90, "<|startoftext"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + ["é " * 30_000 + "<|endoftext|>" * 2]
+    for added in (True, False):
+        library, own = Tokenizer.from_file(path), token_files.ChunkEncoder(path, added)
+        library.encode_special_tokens = not added
+        for t in texts:
+            assert np.frombuffer(own.encode(t), own.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, t
+    rows = [(None, "b c", 1), (3, texts[-1], 1), (3, texts[-1], 1), (-5, texts[0], 2), (None, None, 3)]
+    manifest = token_files.write(spark.createDataFrame(rows, "doc_id long, text string, start int"), path, length=32)
+    got = token_files.read(spark, manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -5, 3, 3] and got[3].ids_crc32 == got[4].ids_crc32
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False)) and got[0].start == 0
+
+
 def brute_repeats(texts):
     seen, out = set(), {}
     for i in sorted(texts):
@@ -377,6 +433,26 @@ def test_pages_drop_nothing_behind_broken_tags(source, want):
     assert [text for _, text, _ in html_text.Page(source).runs] == want
 
 
+@pytest.mark.parametrize("part", ["<h1>", "<span>a<div>", "<svg><p>", "</script ", "<p a='", "<noscript><p>", "<ul><li>"])
+def test_pages_of_broken_markup_take_linear_time(part):
+    """A megabyte takes seconds, not hours."""
+    import time
+
+    began = time.process_time()
+    html_text.features(html_text.Page(part * (1_000_000 // len(part))))
+    assert time.process_time() - began < 30
+    began = time.process_time()
+    html_text.Page("<div>" * 100_000 + "</x>" * 100_000)
+    assert time.process_time() - began < 30
+
+
+def test_pages_repeat_rows(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").limit(20)
+    model = html_text.train(pages.unionAll(pages))
+    got = html_text.extract(pages.unionAll(pages), model).collect()
+    assert len(got) == 2 * pages.count() and len({(r.page_id, r.text) for r in got}) == pages.count()
+
+
 def test_pages_decoding_is_consistent():
     page = html_text.Page("<body><div><p>one</p><div><p>two</p></div></div><p>three</p></body>")
     rng = np.random.default_rng(1)
