@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20  # texts are worked on in slices of about this many bytes
+CHUNK_BYTES = 1 << 20  # texts are worked on in slices of about this many bytes
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15 | 1)
