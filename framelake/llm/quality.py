@@ -1,19 +1,22 @@
 """Quality rules: fixed base rules, and robust multivariate outliers by minimum covariance determinant.
 
 Each document gives a vector of transformed statistics. For each (language, source) group the mean and covariance of the most compact
-share of its documents are found by concentration steps - Spark aggregates over all documents: quantiles of binned distances choose the
-subset, sums of products give the next estimate - and documents beyond a Mahalanobis distance are rejected. Groups under a minimum size
-share their language's estimate, then that of all.
+share of its documents are found by concentration steps - Spark aggregates over all documents: sums of products by group and binned
+distance, of which the bins of the nearest share give the next estimate - and documents beyond a Mahalanobis distance are rejected.
+Estimates are regularised: a group's counts as many documents as the subset holds, that of its language stands beside it with the weight of
+PRIOR documents, and so does that of all documents beside a language's. So every group has an estimate of its own, however small, and
+nothing but the group's, its language's and the whole table's statistics decides on a document.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -21,12 +24,13 @@ from .words import Words, slices
 from .worker import release
 
 FEATURES = ("x_length", "x_symbols", "x_lines", "x_repeats", "x_distinct", "x_digits", "x_upper", "x_marks")
-FLOOR = (0.06, 0.04, 0.10, 0.10, 0.08, 0.10, 0.06, 0.06)  # smallest standard deviation of each feature; most documents have none of some
+FLOOR = (0.02, 0.04, 0.10, 0.10, 0.02, 0.10, 0.02, 0.02)  # least standard deviation of each feature: more than half of all documents have none of some
 SHARE = 0.75  # of a group, taken by the concentration steps
-STEPS = 4
-MIN_GROUP = 200  # documents of a group with an estimate of its own, and 1 / MAX_GROUPS of all at least
-MAX_GROUPS = 20_000
-CUT = 1e-9  # a document this unlikely under its group's estimate is rejected
+STEPS = 3
+PRIOR = 40  # documents that the estimate one level up counts for
+BROADCAST_GROUPS = 20_000  # so many estimates (0.4 KB each) are broadcast; more are joined by key
+CUT = 1e-15  # a document this unlikely under its group's estimate is rejected
+BINS_A_LOG, MAX_BIN = 32, 1023  # of log(1 + squared distance)
 MIN_WORDS, MAX_REPEATED, REPEAT_WORDS = 20, 30, 8  # base rules
 
 _SYMBOL = np.zeros(256, bool)
@@ -116,17 +120,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def _distance(mean: list[Column], precision: dict[tuple[int, int], Column]) -> Column:
-    d = [F.col(x) - m for x, m in zip(FEATURES, mean, strict=True)]
-    terms = [(p * d[i] * d[j]) * (1 if i == j else 2) for (i, j), p in precision.items()]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return F.greatest(total, F.lit(0.0))
-
-
-_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-_LEVELS = {"group": ("g_lang", "g_source"), "lang": ("g_lang",), "all": ()}
+_N = len(FEATURES)
+_PAIRS = [(i, j) for i in range(_N) for j in range(i, _N)]
+_LEVELS = ((), ("g_lang",), ("g_lang", "g_source"))  # all documents, a language, a language's source
+_KEYS = ("level", "g_lang", "g_source")
+_ESTIMATES = "level int, g_lang string, g_source string, mean array<double>, precision array<double>"
 
 
 def _chi2_quantile(p: float, df: int) -> float:
@@ -139,62 +137,107 @@ def _chi2_quantile(p: float, df: int) -> float:
     return lo
 
 
+def _level(k: int) -> list[Column]:
+    """The keys of a level, null where the level has none."""
+    return [F.lit(k).alias("level"), *[(F.col(c) if c in _LEVELS[k] else F.lit(None).cast("string")).alias(c) for c in _KEYS[1:]]]
+
+
+def _with_estimate(rows: DataFrame, estimates: DataFrame, k: int, few: bool) -> DataFrame:
+    """`rows` (g_lang, g_source, ...) with the mean (m_) and precision (p_) of their group at level k, null where it has none. Null keys meet null keys."""
+    numbers = [*[f"mean[{i}] AS m_{i}" for i in range(_N)], *[f"precision[{i}] AS p_{i}" for i in range(len(_PAIRS))]]
+    own = estimates.where(F.col("level") == k).selectExpr(*[f"{c} AS e_{c}" for c in _LEVELS[k]], *numbers)
+    meet = F.lit(True)
+    for c in _LEVELS[k]:
+        meet = meet & rows[c].eqNullSafe(own[f"e_{c}"])
+    return rows.join(F.broadcast(own) if few else own, meet, "left").drop(*[f"e_{c}" for c in _LEVELS[k]])
+
+
+#: Squared Mahalanobis distance from the estimate that stands beside a document.
+_FAR = "greatest(0D, " + " + ".join(f"{1 if i == j else 2} * p_{k} * ({FEATURES[i]} - m_{i}) * ({FEATURES[j]} - m_{j})" for k, (i, j) in enumerate(_PAIRS)) + ")"
+
+
+def _moments(sums: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count, mean, covariance) from rows of count, sums and sums of products; of no document both are 0."""
+    n, d = sums[:, 0], np.maximum(sums[:, 0], 1)[:, None]
+    mean = sums[:, 1 : _N + 1] / d
+    cov = np.zeros((len(sums), _N, _N))
+    for k, (i, j) in enumerate(_PAIRS):
+        cov[:, i, j] = cov[:, j, i] = (sums[:, _N + 1 + k] / d[:, 0] - mean[:, i] * mean[:, j]) * factor
+    return n, mean, cov
+
+
+def _regular(own: tuple[np.ndarray, np.ndarray, np.ndarray], above: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance: the level above weighs PRIOR documents, and no variance is below its floor."""
+    n, mean, cov = own
+    if above is not None:
+        share = (n / (n + PRIOR))[:, None]
+        mean = share * mean + (1 - share) * above[0]
+        cov = share[:, :, None] * cov + (1 - share[:, :, None]) * above[1]
+    at = np.arange(_N)
+    cov = cov.copy()
+    cov[:, at, at] = np.maximum(cov[:, at, at], np.square(FLOOR))
+    return mean, cov
+
+
 def estimate(stats: DataFrame) -> DataFrame:
-    """Estimates (g_lang, g_source, mean array, precision array): one for each group, language and the whole that is large enough.
+    """Estimates (level, g_lang, g_source, mean array, precision array) of every group, every language and the whole.
 
-    A group counts as large with MIN_GROUP documents and 1 / MAX_GROUPS of all, so at most MAX_GROUPS groups' estimates reach the driver,
-    however large the table is. Null languages and sources are groups of their own. Documents that fail a base rule are left out.
+    Null languages and sources are groups of their own, apart from any value. Documents that fail a base rule are left out; without any
+    other the result is empty. Estimates are a table from start to end: sums are combined before they are shuffled, a group is at most
+    MAX_BIN + 1 rows of sums, and matrices are inverted in tasks. Each step's estimates are written to the shared folder.
     """
-    spark = stats.sparkSession
-    usable = stats.where(~base_failed()).select(F.coalesce("lang", F.lit("\x00")).alias("g_lang"), F.coalesce("source", F.lit("\x00")).alias("g_source"), *FEATURES)
-    n = len(FEATURES)
-    total = usable.count()
-    least = max(MIN_GROUP, -(-total // MAX_GROUPS))
-    sizes = usable.groupBy("g_lang", "g_source").count()
-    big = [(r.g_lang, r.g_source) for r in sizes.where(F.col("count") >= least).collect()]
-    by_lang = [(r.g_lang, "*") for r in sizes.groupBy("g_lang").agg(F.sum("count").alias("count")).where(F.col("count") >= least).collect()]
-    schema = "g_lang string, g_source string, mean array<double>, precision array<double>"
-    if not total:
-        return spark.createDataFrame([], schema)
-    # Each document counts for its own group, its language and all; only wanted ones are kept.
-    wanted = spark.createDataFrame([*big, *by_lang, ("*", "*")], "g_lang string, g_source string")
-    levels = F.explode(F.array(F.struct("g_lang", "g_source"), F.struct("g_lang", F.lit("*").alias("g_source")), F.struct(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source")))).alias("g")
-    rows = usable.select(levels, *FEATURES).select("g.g_lang", "g.g_source", *FEATURES).join(F.broadcast(wanted), ["g_lang", "g_source"])
-    scale = 1024.0
-    # Start: medians and absolute deviations of values on a grid, so that the exact percentile holds few distinct values.
-    grid = {x: F.round(F.col(x) * scale) / scale for x in FEATURES}
-    start = rows.groupBy("g_lang", "g_source").agg(*[F.percentile(grid[x], F.lit(0.5)).alias(x) for x in FEATURES], *[(F.percentile(grid[x], F.lit(0.84)) - F.percentile(grid[x], F.lit(0.16))).alias(f"s_{x}") for x in FEATURES]).collect()
-    known = {}
-    for r in start:
-        spread = np.array([max(r[f"s_{x}"] / 2, f) for x, f in zip(FEATURES, FLOOR, strict=True)])
-        known[r.g_lang, r.g_source] = (np.array([r[x] for x in FEATURES]), np.diag(spread**2))
-
-    def frame() -> DataFrame:
-        rows = [(*k, m.tolist(), np.linalg.inv(c)) for k, (m, c) in sorted(known.items())]
-        return spark.createDataFrame([(a, b, m, [float(p[i, j]) for i, j in _PAIRS]) for a, b, m, p in rows], schema)
-
-    def binned() -> DataFrame:
-        far = _distance([F.col("mean")[i] for i in range(n)], {ij: F.col("precision")[k] for k, ij in enumerate(_PAIRS)})
-        return rows.join(F.broadcast(frame()), ["g_lang", "g_source"]).withColumn("bin", F.round(64 * F.log1p(far)).cast("int"))
-
-    inner = _chi2_quantile(0.025, n)
+    usable = stats.where(~base_failed()).select(F.col("lang").cast("string").alias("g_lang"), F.col("source").cast("string").alias("g_source"), *FEATURES)
+    # Start: medians and deviations of values on a grid, so that the exact percentile holds few distinct values.
+    grid = [F.percentile(F.round(F.col(x) * 1024) / 1024, [0.16, 0.5, 0.84]).alias(x) for x in FEATURES]
+    start = reduce(DataFrame.unionAll, [usable.groupBy(*_level(k)).agg(*grid) for k in range(3)])
+    spread = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 2, F.lit(f)) for x, f in zip(FEATURES, FLOOR, strict=True)]
+    now = written(start.select(*_KEYS, F.array(*[F.col(x)[1] for x in FEATURES]).alias("mean"), F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("precision")), "estimates")
+
+    few = now.count() <= BROADCAST_GROUPS  # the groups stay the same from step to step
+    inner = _chi2_quantile(0.025, _N)
+    group = Window.partitionBy(*_KEYS)
+    bin_ = f"cast(least({MAX_BIN}, round({BINS_A_LOG} * log1p({_FAR}))) AS int) AS bin"
+    names = ["n", *[f"s_{i}" for i in range(_N)], *[f"c_{i}_{j}" for i, j in _PAIRS]]
+    sums = ["cast(count(*) AS double) AS n", *[f"sum({x}) AS s_{i}" for i, x in enumerate(FEATURES)], *[f"sum({FEATURES[i]} * {FEATURES[j]}) AS c_{i}_{j}" for i, j in _PAIRS]]
     for step in range(STEPS + 1):
-        at = binned()
+        levels = [_with_estimate(usable, now, k, few).select(*_level(k), F.expr(bin_), *FEATURES).groupBy(*_KEYS, "bin").agg(*map(F.expr, sums)) for k in range(3)]
+        binned = reduce(DataFrame.unionAll, levels)
         if step < STEPS:  # concentrate on the nearest SHARE of each group
-            edge = at.groupBy("g_lang", "g_source").agg(F.percentile("bin", F.lit(SHARE)).alias("edge"))
-            near = at.join(F.broadcast(edge), ["g_lang", "g_source"]).where("bin <= edge")
+            binned = binned.withColumn("before", F.sum("n").over(group.orderBy("bin")) - F.col("n")).withColumn("of", F.sum("n").over(group))
+            near = F.col("before") < SHARE * F.col("of")
             # c = a / P(chi2 with n + 2 <= q_a): what the covariance of the inner share lacks
-            q = _chi2_quantile(1 - SHARE, n)
-            factor = SHARE / (1 - _tail(q, n + 2))
+            factor = SHARE / (1 - _tail(_chi2_quantile(1 - SHARE, _N), _N + 2))
         else:  # reweight: all documents within the 97.5 % ellipse
-            near, factor = at.where(F.col("bin") <= round(64 * math.log1p(inner))), 0.975 / (1 - _tail(inner, n + 2))
-        sums = near.groupBy("g_lang", "g_source").agg(F.count("*").alias("n"), *[F.avg(x).alias(x) for x in FEATURES], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS]).collect()
-        for r in sums:
-            cov = np.zeros((n, n))
-            for i, j in _PAIRS:
-                cov[i, j] = cov[j, i] = r[f"c_{i}_{j}"] * factor
-            known[r.g_lang, r.g_source] = (np.array([r[x] for x in FEATURES]), cov + np.diag(np.array(FLOOR) ** 2))
-    return frame()
+            near, factor = F.col("bin") <= round(BINS_A_LOG * math.log1p(inner)), 0.975 / (1 - _tail(inner, _N + 2))
+        total = written(binned.withColumn("near", near).groupBy(*_KEYS).agg(F.expr("array(" + ", ".join(f"sum(if(near, {x}, 0D))" for x in names) + ") AS own")), "sums")
+        now = written(_regularised(total, factor, few), "estimates")
+    return now
+
+
+def _regularised(total: DataFrame, factor: float, few: bool) -> DataFrame:
+    """Estimates from the sums of each group, of its language and of the whole."""
+    lang = total.where("level = 1").select(F.lit(2).alias("of_level"), F.col("g_lang").alias("of_lang"), F.col("own").alias("lang"))
+    every = total.where("level = 0").select(F.col("own").alias("every"))
+    rows = total.join(F.broadcast(lang) if few else lang, (total["level"] == lang["of_level"]) & total["g_lang"].eqNullSafe(lang["of_lang"]), "left")
+    rows = rows.join(F.broadcast(every), F.lit(True), "left").select(*_KEYS, "own", F.coalesce("lang", "own").alias("lang"), F.coalesce("every", "own").alias("every"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("level", pa.int32()), ("g_lang", pa.string()), ("g_source", pa.string()), ("mean", pa.list_(pa.float64())), ("precision", pa.list_(pa.float64()))])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            level = batch.column(0).to_numpy()[:, None]
+            own, lang, every = (_moments(np.array(batch.column(i).to_pylist()), factor) for i in (3, 4, 5))
+            first = _regular(every, None)
+            second = _regular(lang, first)
+            third = _regular(own, second)
+            mean = np.where(level == 0, first[0], np.where(level == 1, second[0], third[0]))
+            cov = np.where(level[:, :, None] == 0, first[1], np.where(level[:, :, None] == 1, second[1], third[1]))
+            precision = np.linalg.inv(cov)
+            upper = np.stack([precision[:, i, j] for i, j in _PAIRS], 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(mean.tolist(), schema.field(3).type), pa.array(upper.tolist(), schema.field(4).type)], schema=schema)
+
+    return rows.mapInArrow(run, _ESTIMATES)
 
 
 def _tail(x: float, df: int) -> float:
@@ -203,41 +246,35 @@ def _tail(x: float, df: int) -> float:
 
 
 def judged(stats: DataFrame, estimates: DataFrame) -> DataFrame:
-    """`stats` with base_failed, distance (squared Mahalanobis; null without an estimate) and kept.
+    """`stats` with base_failed, distance (squared Mahalanobis under its group's estimate; null where the group has none) and kept."""
+    keyed = stats.withColumn("g_lang", F.col("lang").cast("string")).withColumn("g_source", F.col("source").cast("string"))
+    near = _with_estimate(keyed, estimates, 2, estimates.count() <= BROADCAST_GROUPS)
+    out = near.select(*stats.columns, base_failed().alias("base_failed"), F.expr(_FAR).alias("distance"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= _chi2_quantile(CUT, _N)))
 
-    The estimates are at most 2 x MAX_GROUPS + 1 rows of len(FEATURES) x (len(FEATURES) + 3) / 2 numbers, which is what is broadcast.
-    """
-    n = len(FEATURES)
-    exact = estimates.where("g_source != '*'").select(F.col("g_lang").alias("e1_lang"), F.col("g_source").alias("e1_source"), F.struct("mean", "precision").alias("e1"))
-    lang = estimates.where("g_source = '*' AND g_lang != '*'").select(F.col("g_lang").alias("e2_lang"), F.struct("mean", "precision").alias("e2"))
-    every = estimates.where("g_lang = '*'").select(F.lit(1).alias("e3_key"), F.struct("mean", "precision").alias("e3"))
-    near = (
-        stats.withColumn("e_lang", F.coalesce("lang", F.lit("\x00"))).withColumn("e_source", F.coalesce("source", F.lit("\x00"))).withColumn("e_key", F.lit(1))
-        .join(F.broadcast(exact), (F.col("e_lang") == F.col("e1_lang")) & (F.col("e_source") == F.col("e1_source")), "left")
-        .join(F.broadcast(lang), F.col("e_lang") == F.col("e2_lang"), "left")
-        .join(F.broadcast(every), F.col("e_key") == F.col("e3_key"), "left")
-        .withColumn("e", F.coalesce("e1", "e2", "e3"))
-    )
-    far = _distance([F.col("e.mean")[i] for i in range(n)], {ij: F.col("e.precision")[k] for k, ij in enumerate(_PAIRS)})
-    out = near.withColumn("base_failed", base_failed()).withColumn("distance", far)
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= _chi2_quantile(CUT, n)))
-    return out.drop("e_lang", "e_source", "e_key", "e1_lang", "e1_source", "e2_lang", "e3_key", "e1", "e2", "e3", "e")
+
+def _column(docs: DataFrame, name: str) -> Column:
+    """Of that name; null where `docs` has none."""
+    return docs[name] if name in docs.columns else F.lit(None).cast("string").alias(name)
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance for every row.
 
-    Null texts have no word and fail the base rules; null lang and source are values of their own; repeated rows are judged alike; an empty
-    table gives no row; with too few documents for any estimate the base rules alone decide.
+    Null texts have no word and fail the base rules; null lang and source are values of their own, a missing column is null throughout;
+    repeated rows and ties are judged alike and each gives a row; an empty table gives no row; very long texts are measured whole; other
+    columns are ignored. Where all of a group's documents fail a base rule, that decides.
     """
-    stats = written(measured(docs), "quality")
+    stats = written(measured(docs.select("doc_id", docs["text"], _column(docs, "lang"), _column(docs, "source"))), "quality")
     return judged(stats, estimate(stats)).select("doc_id", *_COUNTS, "base_failed", "kept", "distance")
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, with their columns. Texts are read twice but never shuffled."""
-    own = [c for c in docs.columns]
-    estimates = estimate(written(measured(docs), "quality"))
-    renamed = docs.select(*[F.col(c).alias(f"own_{c}") for c in own], F.col("lang"), F.col("source"))
-    stats = measured(renamed, "own_text", (*[f"own_{c}" for c in own], "lang", "source"))
-    return judged(stats, estimates).where("kept").select(*[F.col(f"own_{c}").alias(c) for c in own])
+    """The rows of `docs` that `assess` keeps, with their columns, whatever their names; each text is read once and never shuffled.
+
+    Nulls, repeated rows, an empty table, missing lang or source: as for `assess`; a row that is kept stays as often as it occurs.
+    """
+    own = list(docs.columns)
+    renamed = docs.select(*[docs[c].alias(f"own_{c}") for c in own], _column(docs, "lang"), _column(docs, "source"))
+    stats = written(measured(renamed, "own_text", (*[f"own_{c}" for c in own], "lang", "source")), "quality")
+    return judged(stats, estimate(stats)).where("kept").select(*[F.col(f"own_{c}").alias(c) for c in own])
