@@ -558,13 +558,40 @@ def test_decontaminate(spark, docs, empty, monkeypatch):
             elif s and len(s & shingles(d)) >= 0.75 * len(s):
                 want.add((i, k))
     assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect()} == want and want
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 5)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items, exact=True).collect()} == want
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
     assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect()} == want
     assert {r.doc_id for r in decontaminate.without_leaks(docs, items).collect()} == set(TEXT) - {i for i, _ in want}
     assert decontaminate.find(empty, items).count() == 0 and decontaminate.find(docs, items.limit(0)).count() == 0
     assert decontaminate.without_leaks(docs, items.limit(0)).count() == len(ROWS)
 
 
+def test_decontaminate_scattered_items(spark):
+    """Items of 20 to 60 shingles, cut in pieces that lie anywhere in a long document: the exact mode finds all; columns of clashing names stay."""
+    rng = random.Random(13)
+    texts, items, want = [], [], set()
+    for i in range(60):
+        words_ = [f"w{rng.randrange(10**5)}" for _ in range(rng.randint(3000, 6000))]
+        item = [f"i{rng.randrange(10**6)}" for _ in range(rng.randint(24, 64))]
+        cuts = [item[: len(item) // 2], item[len(item) // 2 :]] if i % 2 else [item]
+        for c in cuts:
+            at = rng.randrange(len(words_))
+            words_[at:at] = c
+        texts.append((i, " ".join(words_), 1, "x"))
+        items.append((i, " ".join(item), "y"))
+        if len(shingles(items[-1][1]) & shingles(texts[-1][1])) >= 0.75 * len(shingles(items[-1][1])):
+            want.add((i, i))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, item_id int, tokens string").repartition(4)
+    table = spark.createDataFrame(items, "item_id long, text string, place string")
+    assert len(want) > 50
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, table, exact=True).collect()} == want
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, table).collect()}
+    assert found <= want and len(found) >= 0.9 * len(want), len(found) / len(want)
+    assert {(i, i) for i in range(60) if i % 2 == 0} <= found  # contiguous ones
+    kept = decontaminate.without_leaks(docs, table, exact=True)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(60)} - {i for i, _ in want}
+
+
 def test_decontaminate_small_items(spark):
     rng = random.Random(11)
     texts = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(40)]
