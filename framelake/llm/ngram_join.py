@@ -7,9 +7,11 @@ of tokens of a frequent class is common. Steps:
 1. tokens are packed by hash range and counted over all distinct token sets; only tokens of two sets or more go back to their documents;
 2. a document without enough shared tokens has no partner; the others (survivors) keep their shared tokens, which hold every intersection,
    and give signatures: single tokens for rare ones, pairs and triples within sub-classes for frequent ones;
-3. the documents of a signature are tied to one pivot - the one with the fewest tokens of its own - and these pairs verified;
-4. families (documents tied by any pair) that are not one class yet are searched whole, in blocks: every document outside the family's
-   largest class against all, from posting lists in the task, so that no table of pairs is ever made.
+3. the documents of a signature are tied to one pivot - the one with the fewest tokens of its own - and these pairs verified, which gives
+   classes of linked documents;
+4. a signature whose documents are all of one class is done. The others are open: documents tied by open signatures are searched in
+   blocks, every document outside the largest class of its family against all, from posting lists in the task, so that no table of pairs
+   is ever made.
 """
 
 from __future__ import annotations
@@ -30,12 +32,21 @@ from .worker import release
 
 K = 5
 CLASSES = (64, 4096)  # tokens of more sets than these are indexed by pairs, by triples
-TINY = 8  # sets up to this size are indexed by all triples of their tokens
 BLOCK_TOKENS = 2_000_000  # of a block of a family
 FLUSH = 1_500_000  # tokens gathered before rows are made
 _U = np.uint64
 
 
+def tiny(percent: int) -> int:
+    """Sets up to this size are indexed by combinations of any of their tokens: too few are left of smaller ones beside the prefix, if each class of frequent tokens takes its share."""
+    return max(8, -(-40_000 // percent**2))
+
+
+def least_common(percent: int) -> int:
+    """Fewest common tokens of two different sets that are linked: c / (c + 1) must reach `percent`."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 30
+
+
 def required(size: np.ndarray | int, percent: int):
     """Fewest common tokens that a set of this size needs with any partner."""
     return -(-size * percent // 100)
@@ -89,17 +100,21 @@ def _groups(size: int, percent: int) -> range:
 def signatures(tokens: np.ndarray, levels: np.ndarray, size: int, percent: int) -> np.ndarray:
     """Signatures of a set from its shared tokens and their frequency levels (8 log2 of the count); the other tokens, rarer than any of these, come first in the order and are shared with none."""
     out: list[np.ndarray] = []
-    if size <= TINY:
-        # Two different sets this small that are linked have three common tokens or more (at 75 percent).
+    if percent >= 100:
+        return np.zeros(0, np.uint64)  # only equal sets are linked
+    if size <= tiny(percent):
         t = np.sort(tokens)
-        out.append(np.array([mix(np.array(c, np.uint64)).sum(dtype=np.uint64) for c in combinations(t, 3)], np.uint64) * _U(3))
-    if size >= TINY - 1:
+        out.append(np.array([mix(np.array(c, np.uint64)).sum(dtype=np.uint64) for c in combinations(t, least_common(percent))], np.uint64) * _U(3))
+    if size >= required(tiny(percent) + 1, percent):
         prefix = size - int(required(size, percent)) + 1 - (size - len(tokens))  # what the shared tokens must add to the prefix
         order = np.lexsort((tokens, levels))
         t, level = tokens[order], levels[order]
         kind = np.ones(len(t), np.int64) + sum((level > 8 * np.log2(c)).astype(np.int64) for c in CLASSES)
         for g in _groups(size, percent):
-            parts = max(1, 1 << g >> 4)  # sub-classes of a frequent class for sets of this group
+            # Sub-classes of a frequent class for sets of this group: the smallest of these must fill its prefix beside the 1 + 2 tokens that
+            # each sub-class of pairs and of triples leaves out.
+            least = required(1 << g >> 1, percent)
+            parts = max(1, min(1 << g >> 4, (int(required(least, percent)) - 1) // 3))
             sub = np.where(kind > 1, kind * parts + (mix(t + _U(7)) % _U(parts)).astype(np.int64), 0)
             # A token adds to the prefix unless it is one of the first k - 1 of its sub-class.
             by = np.argsort(sub, kind="stable")
@@ -257,17 +272,22 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = alive.select("name", "size", "tokens")
     pairs = stars.join(held.select(F.col("name").alias("b"), F.col("tokens").alias("y"), F.col("size").alias("m")), "b").join(held.select(F.col("name").alias("a"), F.col("tokens").alias("x"), F.col("size").alias("n")), "a")
     links = _verified(pairs, percent)
-    family = written(components(stars).select(F.col("node").alias("name"), F.col("root").alias("family")), "families")
-    root = components(links).select(F.col("node").alias("name"), "root")
+    root = written(components(links).select(F.col("node").alias("name"), "root"), "classes")
+    # Signatures whose documents are of several classes, and what they tie together.
+    classed = signature.select("name", "sig").join(root, "name", "left").select("name", "sig", F.coalesce("root", "name").alias("root"))
+    open_sigs = classed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("name").alias("a")).where("low < high").select("sig", "a")
+    ties = signature.select("name", "sig").join(open_sigs, "sig").where("a <> name").select("a", F.col("name").alias("b")).distinct()
+    family = components(ties).select(F.col("node").alias("name"), F.col("root").alias("family"))
     nodes = written(family.join(root, "name", "left").select("name", "family", F.coalesce("root", "name").alias("root")), "nodes")
     classes = nodes.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("most")).where("classes > 1").select("family", F.col("most.root").alias("largest"))
     open_ = nodes.join(classes, "family").select("family", "name", "root", (F.col("root") != F.col("largest")).alias("loose")).join(held, "name")
     volume = nodes.join(classes.select("family"), "family").join(held.select("name", F.octet_length("tokens").alias("bytes")), "name").groupBy("family").agg(F.ceil(F.sum("bytes") / (8 * BLOCK_TOKENS)).cast("int").alias("blocks"))
     parted = open_.join(volume, "family").withColumn("part", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     cells = parted.select("family", "name", "root", "loose", "size", "tokens", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
-    late = cells.groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    late = written(cells.groupBy("family", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), "late")
     joined = components(late).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    final = nodes.join(joined, "root", "left").select("name", F.coalesce("top", "root").alias("class"))
+    of = root.unionAll(late.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(root, "name", "left_anti").select("name", F.col("name").alias("root")))
+    final = of.join(joined, "root", "left").select("name", F.coalesce("top", "root").alias("class"))
     # Names give way to the smallest doc_id.
     least = every.where("set_name IS NOT NULL").groupBy("set_name").agg(F.min("doc_id").alias("least"))
     of_class = final.join(least, F.col("name") == F.col("set_name")).groupBy("class").agg(F.min("least").alias("class_least"))
@@ -278,10 +298,11 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = 75) -> DataFrame:
     """The rows of `docs` whose document stands for its class, one a doc_id, with their columns.
 
-    Rows without a doc_id or without words are all kept. Texts cross the network once, to meet the ids that go.
+    Rows without a doc_id or without words are all kept; of rows that share a doc_id the one whose text, then whose other columns sort first
+    stays. An empty table gives no row. Columns may have any name. Texts cross the network once, to meet the ids that go.
     """
     classes = linked_classes(docs, id_col, text_col, k, percent)
-    gone = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(gone, named[id_col].cast("long") == F.col("gone_id"), "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    gone = classes.where("component_id <> doc_id").select(F.col("doc_id")).distinct()
+    rows = docs.select(docs[id_col].cast("long").alias("own"), F.struct(docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).alias("of"))
+    kept = rows.where("own IS NOT NULL").join(gone, rows["own"] == gone["doc_id"], "left_anti").groupBy("own").agg(F.min("of").alias("of"))
+    return kept.select("of.row.*").unionAll(docs.where(docs[id_col].isNull()))
