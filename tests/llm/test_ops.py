@@ -146,7 +146,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute_components(texts):
+def brute_components(texts, percent=75):
     sets = {i: shingles(t) for i, t in texts.items()}
     parent = {i: i for i in sets}
 
@@ -159,7 +159,7 @@ def brute_components(texts):
     for n, i in enumerate(ids):
         for j in ids[:n]:
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -174,24 +174,55 @@ def test_ngram_join(docs, empty, classes, monkeypatch):
         assert ngram_join.linked_classes(empty).count() == 0
 
 
-def test_signatures_meet_for_every_similar_pair():
-    """Tokens of any frequency class: two similar sets always share a signature."""
-    rng = random.Random(3)
-    for trial in range(400):
-        n = rng.randint(3, 90)
+@pytest.mark.parametrize("percent", [30, 50, 60, 75, 80, 90])
+def test_signatures_meet_for_every_similar_pair(percent):
+    """Tokens of any frequency class, sets of any size: two similar sets always share a signature."""
+    rng, met = random.Random(3), 0
+    for trial in range(1500):
+        n = rng.choice([rng.randint(1, 20), rng.randint(3, 90), rng.randint(60, 140)])
         a = [rng.getrandbits(64) for _ in range(n)]
-        level = {t: rng.choice([8, 60, 100]) for t in a}
-        common = a[: max(1, n - rng.randint(0, max(1, n // 4)))]
-        b = common + [rng.getrandbits(64) for _ in range(rng.randint(0, 3))]
-        for t in b:
-            level.setdefault(t, 8)
-        if a == b or 100 * len(common) < 75 * (len(a) + len(b) - len(common)):
+        mode = rng.choice([[8, 60, 100], [100], [60], [8, 100]])
+        level = {t: rng.choice(mode) for t in a}
+        common = a[: max(1, n - rng.randint(0, max(1, n * (100 - percent) // 100)))]
+        b = common + [rng.getrandbits(64) for _ in range(rng.randint(0, max(1, n * (100 - percent) // 120)))]
+        if a == b or 100 * len(common) < percent * (len(a) + len(b) - len(common)):
             continue
+        met += 1
         sig = []
         for s in (a, b):
             shared = np.array(sorted(common), np.uint64)
-            sig.append(set(ngram_join.signatures(shared, np.array([level[int(t)] for t in shared]), len(s), 75).tolist()))
+            sig.append(set(ngram_join.signatures(shared, np.array([level[int(t)] for t in shared]), len(s), percent).tolist()))
         assert sig[0] & sig[1], (trial, len(a), len(b), len(common))
+    assert met > 100
+
+
+@pytest.mark.parametrize("percent", [50])
+def test_ngram_join_at_other_similarities(docs, percent):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_classes(docs, percent=percent).collect()}
+    assert got == brute_components(TEXT, percent)
+
+
+def test_ngram_join_chains_and_boilerplate(spark, monkeypatch):
+    """Chains whose ends are unlike, documents that share one long line but are not linked, blocks of a few tokens, columns of clashing names."""
+    rng = random.Random(12)
+    line = [f"l{i}" for i in range(60)]
+    texts = {}
+    for c in range(6):  # each link differs from the one before it in a few words, so that classes only close over many of them
+        w = [f"c{c}w{i}" for i in range(80)]
+        for k in range(14):
+            texts[1000 * c + k] = " ".join(w)
+            for _ in range(1):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+    for k in range(40):
+        texts[9000 + k] = " ".join(line + [f"own{k}x{i}" for i in range(12)] * (1 + k % 2))
+    texts |= {9100 + k: " ".join(f"a{rng.randrange(3)}" for _ in range(rng.randint(5, 9))) for k in range(40)}
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 300)
+    d = spark.createDataFrame([(i, t, 1, 2, "g") for i, t in texts.items()], "doc_id long, text string, gone_id long, class long, set_name string").repartition(4)
+    want = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_classes(d).collect()}
+    assert got == want
+    kept = ngram_join.representatives(d)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if c == i}
 
 
 def test_representatives(docs):
