@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -32,16 +32,6 @@ _TAIL = b".,;:!?%&$#*|\"')]}>"
 _ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
-class _Memo(dict):
-    """Ids by chunk; one that is not kept is made by `make`."""
-
-    def __init__(self, make: Callable[[bytes], bytes]):
-        self.make = make
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        return self.make(chunk)
-
-
 class ChunkEncoder:
     """Ids of a text by the tokenizers library, white-space chunk by chunk.
 
@@ -64,7 +54,7 @@ class ChunkEncoder:
         self.single.normalizer = normalizers.Sequence([])
         self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = _Memo(self.whole)
+        self.memo: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {b"": b""}
 
     def whole(self, chunk: bytes) -> bytes:
@@ -106,7 +96,10 @@ class ChunkEncoder:
             if len(memo) + len(new) > MEMO_CHUNKS:
                 memo.clear()
                 new = set(chunks)
-            self.learn([c for c in new if len(c) <= MEMO_BYTES])
+            if long := {c: self.whole(c) for c in new if len(c) > MEMO_BYTES}:
+                self.learn(list(new.difference(long)))
+                return b"".join([long[c] if c in long else memo[c] for c in chunks])
+            self.learn(list(new))
         return b"".join(map(memo.__getitem__, chunks))
 
 
