@@ -54,11 +54,11 @@ SELECT conv_id AS section, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY
 FROM conversations WHERE NOT (conv_id % 5 = 3 AND turn = 2)
 """,
     "f_pl_a": """
-SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS ordinal, doc_id % 9 AS unit_type, text AS payload
+SELECT doc_id AS ordinal, doc_id % 9 AS unit_type, text AS payload
 FROM documents
 """,
     "f_pl_b": """
-SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS ordinal, doc_id % 9 AS unit_type,
+SELECT doc_id AS ordinal, doc_id % 9 AS unit_type,
        CASE WHEN doc_id % 7 = 0 THEN concat(substr(text, 1, 20), '#', substr(text, 22))
             WHEN doc_id % 13 = 0 THEN concat(text, '!') ELSE text END AS payload
 FROM documents WHERE doc_id < (SELECT max(doc_id) - 9 FROM documents)
@@ -101,12 +101,15 @@ FROM (SELECT l_orderkey % 50 AS frame, l_returnflag AS algorithm, (l_partkey % 8
 WHERE rn = 1
 """,
     "f_gm": """
-SELECT poc, poc - 1 AS ref_poc, win_i, win_j, 2 AS n, dx, dy, cost_zero AS cost_zero_x,
-       CAST(floor(cost_zero * (1 - disc * 2)) AS BIGINT) AS cost_best_x, sad_zero AS sad2d_zero,
-       CAST(floor(sad_zero * qty / 50) AS BIGINT) AS sad2d_best
+SELECT poc, poc - 1 AS ref_poc, win_i, win_j, 2 AS n, dx * 4 AS dx_qpel, dy * 4 AS dy_qpel,
+       cost_zero AS cost_zero_x, CAST(floor(cost_zero * (1 - disc * 2)) AS BIGINT) AS cost_best_x,
+       cost_zero - 7 AS cost_zero_y, CAST(floor(cost_zero * (1 - tax * 3)) AS BIGINT) AS cost_best_y,
+       4096 + dx * 8 AS a_q_x, 4096 - dy * 8 AS a_q_y, sad_zero AS sad2d_zero,
+       CAST(floor(sad_zero * qty / 50) AS BIGINT) AS sad2d_best, CAST(floor(sad_zero * (qty + 9) / 50) AS BIGINT) * line AS sad2d_no_x,
+       CAST(floor(sad_zero * (qty + 3) / 50) AS BIGINT) * (line + 1) AS sad2d_no_y, dx - line % 3 AS dx_coarse, dy + line % 5 AS dy_coarse
 FROM (SELECT l_orderkey % 200 + 1 AS poc, l_partkey % 4 AS win_i, CAST(floor((l_partkey % 16) / 4) AS BIGINT) AS win_j,
-             CAST(floor(l_quantity) AS BIGINT) - 25 AS dx, l_linenumber * 4 - 16 AS dy,
-             CAST(floor(l_extendedprice) AS BIGINT) AS cost_zero, l_discount AS disc,
+             CAST(floor(l_quantity) AS BIGINT) - 25 AS dx, CAST(l_linenumber * 4 - 16 AS BIGINT) AS dy, CAST(l_linenumber AS BIGINT) AS line,
+             CAST(floor(l_extendedprice) AS BIGINT) AS cost_zero, l_discount AS disc, l_tax AS tax,
              CAST(floor(l_extendedprice * 3) AS BIGINT) AS sad_zero, l_quantity AS qty,
              row_number() OVER (PARTITION BY l_orderkey % 200, l_partkey % 16
                                 ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS rn

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -52,20 +54,31 @@ def whole_part(mv: ColumnOrName) -> Column:
     return (_c(mv) / 8).cast("long")
 
 
-def magnitude_rate(d: ColumnOrName) -> Column:
-    """Rate of one component: magnitude clamped to 1919, in tiers of step 1, 2, 4 and 8."""
-    m = F.least(F.abs(_c(d)), F.lit(1919))
-    return (
-        F.when(m < 64, m)
-        .when(m < 192, 64 + F.floor((m - 64) / 2))
-        .when(m < 448, 128 + F.floor((m - 192) / 4))
-        .otherwise(192 + F.floor((m - 448) / 8))
-        .cast("long")
-    )
+#: Tiers of vector rates: lowest magnitude and log2 of the step of each of four tables; magnitudes are clamped to RATE_LIMIT.
+RATE_TIERS = ((0, 0), (128, 1), (384, 2), (896, 3))
+RATE_LIMIT = 1919
+
+
+def rate_tables() -> list[list[int]]:
+    """The four tables of an encoder whose rate grows with the logarithm of the magnitude. The table of the largest magnitudes ends at 1855,
+    beyond which the rate reads 0. Measured tables of another encoder can take their place in `mv_rate`."""
+    tables = [[round(41.235 + 48 * math.log2(low + (k << step) + 1)) if low + (k << step) < 1856 else 0 for k in range(128)] for low, step in RATE_TIERS]
+    tables[0][0] = 17
+    return tables
 
 
-def mv_rate(dx: ColumnOrName, dy: ColumnOrName) -> Column:
-    return magnitude_rate(dx) + magnitude_rate(dy)
+def magnitude_rate(d: ColumnOrName, tables: list[list[int]] | None = None) -> Column:
+    """Rate of one component: its clamped magnitude looked up in the table of its tier, whose steps are 1, 2, 4 and 8."""
+    m = F.least(F.abs(_c(d)), F.lit(RATE_LIMIT))
+    out = None
+    for (low, step), table in zip(RATE_TIERS, tables or rate_tables(), strict=True):
+        found = F.element_at(F.array(*[F.lit(v) for v in table]), (F.shiftright((m - low).cast("int"), step) + 1))
+        out = F.when(m >= low, found) if out is None else F.when(m >= low, found).otherwise(out)
+    return out.cast("long")
+
+
+def mv_rate(dx: ColumnOrName, dy: ColumnOrName, tables: list[list[int]] | None = None) -> Column:
+    return magnitude_rate(dx, tables) + magnitude_rate(dy, tables)
 
 
 def divide_round(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -130,9 +143,11 @@ def scaled_threshold(t: int, bit_depth: int) -> int:
 
 
 def read_bits(data: ColumnOrName, start_bit: ColumnOrName, n: int) -> Column:
-    """n bits (at most 56) from a bit offset, most significant first; null past the end and for n = 0."""
-    if not 0 < n <= 56:
+    """n bits (at most 64) from a bit offset, most significant first; null past the end and for n = 0. With 64 bits the first one is the sign."""
+    if not 0 < n <= 64:
         return F.lit(None).cast("long")
+    if n > 56:
+        return F.shiftleft(read_bits(data, start_bit, n - 32), 32).bitwiseOR(read_bits(data, _c(start_bit) + (n - 32), 32))
     data, start = _c(data), _c(start_bit)
     first = F.floor(start / 8).cast("int")
     last = F.floor((start + n - 1) / 8).cast("int")
@@ -201,17 +216,18 @@ def looks_like_link(s: ColumnOrName) -> Column:
 
 def unit_label(tu: ColumnOrName, idx: ColumnOrName, unit_type: ColumnOrName) -> Column:
     # The unit types with a name of their own.
-    names = {1: "Sequence header", 2: "Temporal delimiter", 3: "Frame header", 4: "Tile group", 5: "Metadata", 6: "Frame", 7: "Redundant frame header", 8: "Tile list", 15: "Padding"}
+    names = {1: "Sequence Header", 2: "Temporal Delimiter", 3: "Frame Header", 4: "Tile Group", 5: "Metadata", 6: "Frame", 7: "Redundant Frame Header", 8: "Tile List", 15: "Padding"}
     name = F.lit("Other")
     for k, v in names.items():
         name = F.when(_c(unit_type) == k, v).otherwise(name)
     return F.concat(F.lit("TU "), _c(tu).cast("string"), F.lit(" / OBU "), _c(idx).cast("string"), F.lit(": "), name)
 
 
-def register(spark: SparkSession) -> None:
-    """The scalars SQL users ask for, as SQL functions."""
-    for sql in (
-        "CREATE OR REPLACE TEMPORARY FUNCTION psnr_from_sse(sse DOUBLE, n BIGINT, bit_depth INT) RETURNS DOUBLE RETURN CASE WHEN n > 0 AND sse > 0 THEN 10 * log10(power(power(2, bit_depth) - 1, 2) * n / sse) END",
-        "CREATE OR REPLACE TEMPORARY FUNCTION looks_like_link(s STRING) RETURNS BOOLEAN RETURN s RLIKE '^https?://' OR s RLIKE '^[A-Za-z0-9_-]{11}$'",
-    ):
-        spark.sql(sql)
+def log_height(frames: DataFrame, size: str = "bytes", logarithmic: bool = True) -> DataFrame:
+    """`height` of each bar: its size against the largest of the whole table, on a logarithmic or linear axis; one half where it is unknown.
+
+    The largest size is one row, joined to all: no row moves.
+    """
+    most = frames.agg(F.max(size).alias("most"))
+    part = F.log1p(F.col(size)) / F.log1p("most") if logarithmic else F.col(size) / F.col("most")
+    return frames.crossJoin(F.broadcast(most)).withColumn("height", F.coalesce(part, F.lit(0.5))).drop("most")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
-from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
 from ..functions.scalars import read_bits
@@ -33,21 +32,28 @@ def diff_elements(a: DataFrame, b: DataFrame) -> DataFrame:
 CELLS, RESYNC = 4_000_000, 64
 
 
-def _align(na: list[str], nb: list[str]) -> tuple[list[tuple[int | None, int | None]], bool]:
-    """Pairs of places by longest common subsequence of names; beyond CELLS table cells a windowed resynchronisation, marked degraded."""
+def _align(na: list[str], nb: list[str], cells: int | None = CELLS) -> tuple[list[tuple[int | None, int | None]], bool]:
+    """Pairs of places by longest common subsequence of names; beyond `cells` table cells (None: never) a windowed resynchronisation, marked degraded.
+
+    Of the table a bit a cell is kept: whether leaving out the left name loses nothing against leaving out the right one.
+    """
     out: list[tuple[int | None, int | None]] = []
     i = j = 0
-    if len(na) * len(nb) <= CELLS:
-        best = [[0] * (len(nb) + 1) for _ in range(len(na) + 1)]
+    if cells is None or len(na) * len(nb) <= cells:
+        codes = pd.factorize(np.array(na + nb, dtype=object))[0]
+        a, b = codes[: len(na)], codes[len(na) :]
+        skip_left: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(na)
+        below = np.zeros(len(nb) + 1, np.int32)
         for x in range(len(na) - 1, -1, -1):
-            row, below = best[x], best[x + 1]
-            for y in range(len(nb) - 1, -1, -1):
-                row[y] = below[y + 1] + 1 if na[x] == nb[y] else max(below[y], row[y + 1])
+            row = np.zeros(len(nb) + 1, np.int32)
+            row[:-1] = np.maximum.accumulate(np.where(a[x] == b, below[1:] + 1, below[:-1])[::-1])[::-1]
+            skip_left[x] = np.packbits(below[:-1] >= row[1:])
+            below = row
         while i < len(na) and j < len(nb):
             if na[i] == nb[j]:
                 out.append((i, j))
                 i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
+            elif skip_left[i][j >> 3] >> (7 - (j & 7)) & 1:
                 out.append((i, None))
                 i += 1
             else:
@@ -76,18 +82,18 @@ def _align(na: list[str], nb: list[str]) -> tuple[list[tuple[int | None, int | N
     return out, degraded
 
 
-def align_names(a: DataFrame, b: DataFrame) -> DataFrame:
-    """section, step, index_a, index_b, degraded: elements aligned by name within a section.
+def align_names(a: DataFrame, b: DataFrame, cells: int | None = CELLS) -> DataFrame:
+    """section, step, index_a, index_b, degraded: elements aligned by name within a section; exactly up to `cells` pairs of its elements, and whatever they are with None.
 
     Sections whose ordered names are equal are paired by index in Spark and never reach Python; only the others are aligned in a task.
     """
-    names = lambda df: df.groupBy("section").agg(F.hash(F.array_sort(F.collect_list(F.struct("idx", "name")))).alias("h"), F.count("*").alias("n"))
-    same = names(a).join(names(b).withColumnsRenamed({"h": "h2", "n": "n2"}), "section").where("h = h2 AND n = n2").select("section")
+    names = lambda df, c: df.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("idx", "name"))).alias(c))
+    same = names(a, "left").join(names(b, "right"), "section").where("left = right").select("section")
     easy = a.join(same, "section", "left_semi").select("section", F.col("idx").alias("step"), F.col("idx").alias("index_a"), F.col("idx").alias("index_b"), F.lit(False).alias("degraded"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("idx"), right.sort_values("idx")
-        pairs, degraded = _align(left["name"].tolist(), right["name"].tolist())
+        pairs, degraded = _align(left["name"].tolist(), right["name"].tolist(), cells)
         section = (left if len(left) else right)["section"].iloc[0]
         la, lb = left["idx"].tolist(), right["idx"].tolist()
         return pd.DataFrame({"section": section, "step": range(len(pairs)), "index_a": pd.array([None if x is None else la[x] for x, _ in pairs], "Int64"), "index_b": pd.array([None if y is None else lb[y] for _, y in pairs], "Int64"), "degraded": degraded})
@@ -159,16 +165,6 @@ def probe_blocks(blocks: DataFrame, base: Column, sb: int) -> DataFrame:
     return b.groupBy("frame", F.floor(F.col("y") / sb).alias("sb_row"), F.floor(F.col("x") / sb).alias("sb_col")).agg(F.min("start").alias("start_bit"))
 
 
-@udtf(returnType=StructType([StructField("mi_row", IntegerType()), StructField("mi_col", IntegerType())]))
-class MiPositions:
-    """The 4x4 positions of a rectangle, as a table function for SQL users; mi_grid does the same in expressions."""
-
-    def eval(self, x: int, y: int, w: int, h: int):  # noqa: ANN201
-        for row in range(y // MI, -(-(y + h) // MI)):
-            for col in range(x // MI, -(-(x + w) // MI)):
-                yield row, col
-
-
 def _positions(blocks: DataFrame, width: int, height: int) -> DataFrame:
     last = lambda at, size, edge: F.floor((F.least(F.col(at) + F.col(size), F.lit(edge)) - 1) / MI)
     inside = blocks.where((F.col("x") < width) & (F.col("y") < height) & (F.col("w") > 0) & (F.col("h") > 0))
@@ -235,8 +231,7 @@ def split_sb_values(blocks: DataFrame, names: tuple[str, ...], sb: int) -> tuple
 def diff_blocks(a: DataFrame, b: DataFrame, width: int, height: int, sb: int = 64) -> DataFrame:
     """Differences of two block partitions, collapsed inside a superblock: kind, both rectangles, first position and how many positions.
 
-    Blocks that are the same on both sides in rectangle and syntax, and are alone on their positions, fall out before anything is exploded to
-    positions; what is left is compared position by position.
+    Both sides are compared position by position: which block answers on a position that several cover depends on all of them, so none falls out before.
     """
     names = ["frame", "x", "y", "w", "h", "syntax"]
     ga, gb = mi_grid(a, width, height), mi_grid(b, width, height)
@@ -324,11 +319,34 @@ def raster_sort(df: DataFrame) -> DataFrame:
     return df.orderBy("frame", "y", "x")
 
 
-def problems(findings: dict[str, DataFrame]) -> DataFrame:
-    """Findings (at, message) of every source in one schema, sources in their order, first divergence first: rank counts from 1."""
+PROBLEM_ROWS = 200  # of a source that are listed
+
+
+def problems(findings: dict[str, DataFrame], severity: dict[str, str] | None = None, most: int = PROBLEM_ROWS) -> DataFrame:
+    """step, source, severity, rank, at, message: the findings (at, message) of every source, sources in their order, each by `at`, then message.
+
+    Of a source the first `most` are listed (rank counts from 1) and, where there are more, one Info row that says so (rank most + 1).
+    Severity is Diff unless `severity` names another. Findings of null `at` come first. An empty source gives no row.
+    """
     union = None
     for i, (source, df) in enumerate(findings.items()):
-        part = df.select(F.lit(i).alias("step"), F.lit(source).alias("source"), F.col("at").cast("long").alias("at"), "message")
+        part = df.select(F.lit(i).alias("step"), F.lit(source).alias("source"), F.lit((severity or {}).get(source, "Diff")).alias("severity"), F.col("at").cast("long").alias("at"), "message")
         union = part if union is None else union.unionByName(part)
-    first = union.groupBy("step", "source").agg(F.min(F.struct("at", "message")).alias("f"), F.count("*").alias("n"))
-    return first.select("source", F.col("f.at").alias("at"), F.col("f.message").alias("message"), "n", F.row_number().over(Window.orderBy("step")).alias("rank"))
+    ranked = union.withColumn("rank", F.row_number().over(Window.partitionBy("step").orderBy(F.col("at").asc_nulls_first(), "message"))).where(F.col("rank") <= most)
+    more = union.groupBy("step", "source").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    said = F.concat(F.lit(f"Only the first {most} of "), F.col("n").cast("string"), F.lit(" are listed"))
+    info = more.select("step", "source", F.lit("Info").alias("severity"), F.lit(None).cast("long").alias("at"), said.alias("message"), F.lit(most + 1).alias("rank"))
+    return ranked.unionByName(info).select("step", "source", "severity", "rank", "at", "message")
+
+
+def recon_findings(frames: DataFrame) -> DataFrame:
+    """Findings from plane_diff rows (frame, plane, differing, first_y, first_x): one for each frame that differs, with the samples of all its planes."""
+    luma = F.max(F.when(F.col("plane") == 0, F.struct("first_x", "first_y")))
+    g = frames.where("differing > 0").groupBy("frame").agg(F.sum("differing").alias("n"), luma.alias("p"))
+    where = F.when(F.col("p.first_x").isNull(), "chroma").otherwise(F.concat(F.lit("pixel (x, y) = ("), F.col("p.first_x").cast("string"), F.lit(", "), F.col("p.first_y").cast("string"), F.lit(")")))
+    return g.select(F.col("frame").alias("at"), F.concat(F.lit("Reconstruction differs in "), F.col("n").cast("string"), F.lit(" samples, "), where).alias("message"))
+
+
+def decoder_findings(errors: DataFrame, item: str, text: str) -> DataFrame:
+    """Findings from the live error of each item (`frames.latest_error`)."""
+    return errors.select(F.col(item).alias("at"), F.trim(text).alias("message"))

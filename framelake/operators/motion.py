@@ -148,13 +148,14 @@ TRIALS, REFITS = 20, 5
 
 
 def _sampled(n: int, k: int, trials: int) -> np.ndarray:
-    """trials x k distinct places below n from a linear congruential sequence seeded with n."""
-    state, out = (n * 2654435761 + 12345) & 0xFFFFFFFF, np.empty((trials, k), np.int64)
+    """trials x k places below n, distinct within a trial: the high bits of a 32-bit congruential sequence that starts at n."""
+    # Multiplier and increment of the sequence.
+    state, out = n & 0xFFFFFFFF, np.empty((trials, k), np.int64)
     for t in range(trials):
         got: list[int] = []
         while len(got) < k:
-            state = (1664525 * state + 1013904223) & 0xFFFFFFFF
-            at = (state >> 8) % n
+            state = (state * 1103515245 + 12345) & 0xFFFFFFFF
+            at = (state * n) >> 32
             if at not in got:
                 got.append(at)
         out[t] = got
@@ -207,7 +208,7 @@ def fit_robust(points: DataFrame, kind: str = "rotzoom") -> DataFrame:
                     c, e, near = score(m, p, q)
                     if best is None or (c, -e) > (best[0], -best[1]):
                         best = (c, e, near, m)
-            if best is not None and best[0] < max(0.1 * n, k):
+            if best is not None and best[0] < max(n // 10, k):
                 best = None
             for _ in range(REFITS):
                 if best is None:
@@ -218,7 +219,9 @@ def fit_robust(points: DataFrame, kind: str = "rotzoom") -> DataFrame:
                 c, e, near = score(m, p, q)
                 if (c, -e) <= (best[0], -best[1]):
                     break
-                best = (c, e, near, m)
+                grew, best = c > best[0], (c, e, near, m)
+                if not grew:  # less error with as many inliers is taken, and ends the refits
+                    break
         row = {"frame": pdf["frame"].iloc[0], "algorithm": pdf["algorithm"].iloc[0], "ok": best is not None, "inliers": best[0] if best else 0, "total": n, "rms": float(np.sqrt(best[1] / best[0])) if best and best[0] else 0.0}
         model = best[3] if best else np.array([0, 0, 1, 0, 0, 1.0])
         return pd.DataFrame([row | {f"p{i}": float(model[i]) for i in range(6)}])
@@ -237,24 +240,34 @@ def model_field(models: DataFrame, width: int, height: int, size: int) -> DataFr
     return at.select(*_KEYS, "x", "y", mx.alias("mv_x_q8"), my.alias("mv_y_q8"))
 
 
+def _gate_columns(g1_num: Column | int, g1_den: Column | int, g2: Column | int) -> dict[str, Column]:
+    """Axis gates, the pair gate, and for each axis whether the pair beats itself without that axis."""
+    best = F.col("sad2d_best") * g2
+    own = {f"gate_{a}": (F.col(f"d{a}_coarse") != 0) & (F.col(f"cost_best_{a}") * g1_num < F.col(f"cost_zero_{a}") * g1_den) for a in "xy"}
+    pair = {"gate_pair": best < F.col("sad2d_zero")} | {f"gate_pair_{a}": best < F.col(f"sad2d_no_{a}") for a in "xy"}
+    return own | pair | {f"accept_{a}": own[f"gate_{a}"] & pair["gate_pair"] & pair[f"gate_pair_{a}"] for a in "xy"}
+
+
 def gates(windows: DataFrame, g1_num: int = 16, g1_den: int = 15, g2: int = 2) -> DataFrame:
-    """Axis gate, pair gate and `accept`, from stored costs: thresholds can be tuned without a new search."""
-    axis = (F.col("cost_best_x") * g1_num < F.col("cost_zero_x") * g1_den) & (F.col("dx") != 0)
-    pair = F.col("sad2d_best") * g2 < F.col("sad2d_zero")
-    return windows.withColumns({"gate_axis": axis, "gate_pair": pair, "accept": axis & pair})
+    """The gates and `accept_x`, `accept_y` from stored costs: thresholds can be tuned without a new search."""
+    return windows.withColumns(_gate_columns(g1_num, g1_den, g2))
 
 
 def gate_sweep(windows: DataFrame, settings: DataFrame) -> DataFrame:
-    """settings (g1_num, g1_den, g2): accepted windows under each; the settings are a fixed short list and the rows are counted per setting."""
-    s = windows.crossJoin(F.broadcast(settings))
-    ok = (F.col("cost_best_x") * F.col("g1_num") < F.col("cost_zero_x") * F.col("g1_den")) & (F.col("dx") != 0) & (F.col("sad2d_best") * F.col("g2") < F.col("sad2d_zero"))
-    return s.groupBy("g1_num", "g1_den", "g2").agg(F.sum(ok.cast("long")).alias("accepted"), F.count("*").alias("windows"))
+    """settings (g1_num, g1_den, g2): accepted axes of all axes under each; the settings are a fixed short list."""
+    s = windows.crossJoin(F.broadcast(settings)).withColumns(_gate_columns(F.col("g1_num"), F.col("g1_den"), F.col("g2")))
+    return s.groupBy("g1_num", "g1_den", "g2").agg(_accepted_axes().alias("accepted"), (2 * F.count("*")).alias("axes"))
+
+
+def _accepted_axes() -> Column:
+    return F.sum(F.col("accept_x").cast("long") + F.col("accept_y").cast("long"))
 
 
 def accepted_vectors(gated: DataFrame) -> DataFrame:
-    """Rejected axes as 0, with how many were accepted; and the raw row besides where one was rejected."""
-    used = gated.select("poc", "win_i", "win_j", F.when(F.col("accept"), F.col("dx")).otherwise(0).alias("dx"), F.col("accept").cast("int").alias("accepted"), F.lit("used").alias("kind"))
-    raw = gated.where(~F.col("accept")).select("poc", "win_i", "win_j", "dx", F.lit(0).alias("accepted"), F.lit("raw").alias("kind"))
+    """kind `used`: the vector of a window with an accepted axis, a rejected axis as 0; kind `raw`: the vector as found where an axis was rejected. Both with how many axes were accepted."""
+    accepted = (F.col("accept_x").cast("int") + F.col("accept_y").cast("int")).alias("accepted")
+    used = gated.where("accept_x OR accept_y").select("poc", "win_i", "win_j", *[F.when(F.col(f"accept_{a}"), F.col(f"d{a}_qpel")).otherwise(0).alias(f"d{a}_qpel") for a in "xy"], accepted, F.lit("used").alias("kind"))
+    raw = gated.where("NOT (accept_x AND accept_y)").select("poc", "win_i", "win_j", "dx_qpel", "dy_qpel", accepted, F.lit("raw").alias("kind"))
     return used.unionByName(raw)
 
 
@@ -268,12 +281,23 @@ def window_rect(frames: DataFrame, width: int, height: int, n: int) -> DataFrame
 
 
 def frame_summary(gated: DataFrame) -> DataFrame:
-    """Accepted windows and their upper median displacement by frame, and the largest move."""
-    mine = F.when(F.col("accept"), F.col("dx"))
-    g = gated.groupBy("poc").agg(F.sum(F.col("accept").cast("long")).alias("accepted"), F.sort_array(F.collect_list(mine)).alias("all"), F.max(F.greatest(F.abs("dx"), F.abs("dy"))).alias("largest"))
-    return g.select("poc", "accepted", F.try_element_at("all", (F.floor(F.size("all") / 2) + 1).cast("int")).alias("median_dx"), "largest")
+    """By frame: accepted axes, the upper median of their displacements in whole pixels (null without any), and how far refinement moved a vector at most."""
+    full = {a: F.floor(F.col(f"d{a}_qpel") / 4) for a in "xy"}
+    found = [F.sort_array(F.collect_list(F.when(F.col(f"accept_{a}"), full[a]))).alias(f"all_{a}") for a in "xy"]
+    counts = [F.sum(F.col(f"accept_{a}").cast("long")).alias(f"accepted_{a}") for a in "xy"]
+    g = gated.groupBy("poc").agg(*counts, *found, F.max(F.greatest(*[F.abs(full[a] - F.col(f"d{a}_coarse")) for a in "xy"])).alias("moved"))
+    median = [F.try_element_at(f"all_{a}", (F.floor(F.size(f"all_{a}") / 2) + 1).cast("int")).alias(f"median_d{a}") for a in "xy"]
+    return g.select("poc", "accepted_x", "accepted_y", *median, "moved")
 
 
 def totals(gated: DataFrame) -> DataFrame:
     """Accepted axes of all axes, two a window."""
-    return gated.agg(F.sum(F.col("accept").cast("long")).alias("accepted"), (2 * F.count("*")).alias("axes"))
+    return gated.agg(_accepted_axes().alias("accepted"), (2 * F.count("*")).alias("axes"))
+
+
+def candidate_search(cur: DataFrame, ref: DataFrame, size: int, reach: int, key: str = "frame") -> DataFrame:
+    """The cheapest displacement of every block and how many displacements stay inside the picture: key, block_y, block_x, cost, dy, dx, candidates."""
+    best = block_match(cur, ref, size, reach, key)
+    edge = cur.groupBy(key).agg((F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("columns"))
+    room = lambda at, end: F.least(F.lit(reach), F.col(at) * size) + F.greatest(F.lit(0), F.least(F.lit(reach), F.col(end) - F.col(at) * size - size)) + 1
+    return best.join(edge, key).select(*best.columns, (room("block_y", "rows") * room("block_x", "columns")).alias("candidates"))

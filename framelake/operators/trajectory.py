@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import round_half_away
+
 _SO_FAR = (Window.unboundedPreceding, 0)
 
 
@@ -143,11 +145,16 @@ def profile_shift(o: DataFrame, r: DataFrame, radius: int, key: str = "series",
     return best.select(key, F.col("b.d").alias("d"), F.col("b.cost").alias("cost_best"), "cost_zero")
 
 
-def profile_gain(o: DataFrame, r: DataFrame, d: int, key: str = "series", value: str = "v") -> DataFrame:
-    """Slope of o on r at a shift, in Q12, clamped to 2048..8192; 4096 where r is flat."""
+def profile_gain(o: DataFrame, r: DataFrame, d: int, key: str = "series", value: str = "v", profile_width: int = 1, flat_grey_levels: float = 1.0) -> DataFrame:
+    """Slope of o on r at a shift, in Q12, rounded half away from zero and clamped to 2048..8192.
+
+    4096 where r is flat: its standard deviation is at most `flat_grey_levels` for each of the `profile_width` samples that a value sums up.
+    """
     pairs = o.select(key, "frame", F.col(value).alias("o")).withColumn("at", F.col("frame") + d).join(r.select(key, F.col("frame").alias("at"), F.col(value).alias("r")), [key, "at"])
     g = pairs.groupBy(key).agg(F.covar_pop("o", "r").alias("c"), F.var_pop("r").alias("v"))
-    return g.select(key, F.when(F.col("v") > 1e-9, F.least(F.lit(8192), F.greatest(F.lit(2048), F.floor(F.col("c") / F.col("v") * 4096 + 0.5)))).otherwise(4096).cast("long").alias("gain_q12"))
+    flat = F.col("v") <= float(flat_grey_levels * profile_width) ** 2
+    gain = F.least(F.lit(8192), F.greatest(F.lit(2048), round_half_away(F.col("c") / F.when(flat, None).otherwise(F.col("v")) * 4096)))
+    return g.select(key, F.when(flat, F.lit(4096)).otherwise(gain).cast("long").alias("gain_q12"))
 
 
 def hypot_summary(corrections: DataFrame, x: str, y: str, failed: Column) -> DataFrame:

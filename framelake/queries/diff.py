@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import diff as df
+from ..operators import frames as fr
+from ..operators import grid as gr
 from ..plans.find_diff import find_diff
 from ..registry import query
 
@@ -142,9 +144,31 @@ def df16(a, b):
     return df.first_sb(df.diff_blocks(oa, ob, 128, 128), values)
 
 
-@query("df18_find_diff", "f_sx_a", "f_sx_b", "f_pl_a", "f_pl_b", "f_bl_a", "f_bl_b")
-def df18(sa, sb, pa, pb, ba, bb):
-    return find_diff(sa, sb, pa, pb, ba, bb, pa.select("ordinal", (F.col("ordinal") % 3).alias("frame")), 128, 128)
+_OTHER_GRID = "CASE WHEN frame % 2 = 1 AND x % 13 = 5 THEN (v + 1) % 256 ELSE v END"
+_RECON = f"""rc AS (SELECT frame AS "at", count(*) AS k, arg_min(x, {{'y': y, 'x': x}}) AS px, arg_min(y, {{'y': y, 'x': x}}) AS py FROM f_gr WHERE v <> {_OTHER_GRID} GROUP BY frame)"""
+_LIVE = """live AS (SELECT stream AS "at", text FROM (SELECT stream, CASE WHEN stream % 3 = 0 THEN '' ELSE frame_type END AS text, row_number() OVER (PARTITION BY stream ORDER BY frame DESC) AS k FROM f_cf) WHERE k = 1 AND text <> '')"""
+_LISTED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY "at", message) AS rank, count(*) OVER (PARTITION BY step) AS n FROM found) SELECT step, source, severity, CAST(rank AS INTEGER) AS rank, "at", message FROM ranked WHERE rank <= {most} UNION ALL SELECT DISTINCT step, source, 'Info', {most} + 1, CAST(NULL AS BIGINT), concat('Only the first {most} of ', CAST(n AS VARCHAR), ' are listed') FROM ranked WHERE n > {most}"""
+_FOUND = """SELECT 0 AS step, 'header' AS source, 'Diff' AS severity, section AS "at", concat(CAST(n AS VARCHAR), ' {said}') AS message FROM s UNION ALL SELECT 1, 'payload', 'Diff', ordinal, kind FROM z"""
+_FOUND_LAST = """UNION ALL SELECT {recon}, 'reconstruction', 'Diff', "at", concat('Reconstruction differs in ', CAST(k AS VARCHAR), ' samples, pixel (x, y) = (', CAST(px AS VARCHAR), ', ', CAST(py AS VARCHAR), ')') FROM rc UNION ALL SELECT {decoder}, 'decoder', 'Error', "at", trim(text) FROM live"""
+
+
+def _grids(t):
+    """One plane and its changed copy."""
+    changed = F.when((F.col("frame") % 2 == 1) & (F.col("x") % 13 == 5), (F.col("v") + 1) % 256).otherwise(F.col("v"))
+    return t.withColumn("plane", F.lit(0)), t.withColumn("plane", F.lit(0)).withColumn("v", changed)
+
+
+def _live(c):
+    text = F.when(F.col("stream") % 3 == 0, "").otherwise(F.col("frame_type")).alias("text")
+    return fr.latest_error(c.select("stream", "frame", text), "stream", "frame", "text").select(F.col("stream").alias("item"), "text")
+
+
+@query("df18_find_diff", "f_sx_a", "f_sx_b", "f_pl_a", "f_pl_b", "f_bl_a", "f_bl_b", "f_gr", "f_cf")
+def df18(sa, sb, pa, pb, ba, bb, g, c):
+    # Every unit is a frame; each third one is hidden and shown by the unit after it.
+    n = F.col("ordinal")
+    headers = pa.select(F.lit(0).alias("stream"), n.alias("pos"), n.alias("coded_id"), F.lit(0).alias("show_existing"), (n % 8).alias("map_idx"), F.when(n % 3 == 2, 0).otherwise(1).alias("show_frame"), F.lit(1).cast("long").alias("refresh_flags"))
+    return find_diff(sa, sb, pa, pb, ba, bb, headers, *_grids(g), _live(c), 128, 128)
 
 
 _PTS = "pt AS (SELECT DISTINCT frame, CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py FROM f_bl_a, range(5, 128, 30) a(px), range(3, 128, 41) b(py))"
@@ -223,7 +247,24 @@ def tk2_n(a, b):
     return df.diff_elements(a, b).select("section", F.coalesce("index_a", "index_b").alias("idx"), "kind").orderBy("section", "idx").limit(20)
 
 
-@query("so1_problems", "f_sx_a", "f_sx_b", "f_pl_a", "f_pl_b", oracle=f"WITH {_SX}, {_PL}, s AS (SELECT section, count(kind) AS n FROM d GROUP BY section HAVING count(kind) > 0) SELECT 'header' AS source, min(section) AS at, concat(CAST((SELECT n FROM s ORDER BY section LIMIT 1) AS VARCHAR), ' differences') AS message, count(*) AS n, 1 AS rank FROM s UNION ALL SELECT 'payload', min(ordinal), arg_min(kind, ordinal), count(*), 2 FROM z")
-def so1(sa, sb, pa, pb):
+def _so1(most):
+    sections = "s AS (SELECT section, count(kind) AS n FROM d GROUP BY section HAVING count(kind) > 0)"
+    found = f"found AS ({_FOUND.format(said='differences')} {_FOUND_LAST.format(recon=2, decoder=3)})"
+    return f"WITH {_SX}, {_PL}, {_RECON}, {_LIVE}, {sections}, {found}, {_LISTED.format(most=most)}"
+
+
+def _findings(sa, sb, pa, pb, g, c):
     s = df.diff_sections(sa, sb).where("differences > 0").select(F.col("section").alias("at"), F.concat(F.col("differences").cast("string"), F.lit(" differences")).alias("message"))
-    return df.problems({"header": s, "payload": df.diff_payloads(pa, pb).select(F.col("ordinal").alias("at"), F.col("kind").alias("message"))})
+    payloads = df.diff_payloads(pa, pb).select(F.col("ordinal").alias("at"), F.col("kind").alias("message"))
+    return {"header": s, "payload": payloads, "reconstruction": df.recon_findings(gr.plane_diff(*_grids(g), ("frame", "plane"))), "decoder": df.decoder_findings(_live(c), "item", "text")}
+
+
+@query("so1_problems", "f_sx_a", "f_sx_b", "f_pl_a", "f_pl_b", "f_gr", "f_cf", oracle=_so1(1_000_000_000))
+def so1(*views):
+    """All findings of every source."""
+    return df.problems(_findings(*views), {"decoder": "Error"}, most=1_000_000_000)
+
+
+@query("so1_problems_listed", "f_sx_a", "f_sx_b", "f_pl_a", "f_pl_b", "f_gr", "f_cf", oracle=_so1(5))
+def so1_listed(*views):
+    return df.problems(_findings(*views), {"decoder": "Error"}, most=5)

@@ -3,10 +3,13 @@
 from pyspark.sql import functions as F
 
 from ..operators import manifest as mn
+from ..operators import motion as mv
 from ..operators import rd
 from ..registry import query
 from ..sources import tables as src
 from ..sources.store import scratch
+from .motion import _GATE
+from .rd import _COLS, BD
 
 _PARSE = """r AS (SELECT page_id, line_no, line, trim(regexp_replace(trim(CASE WHEN instr(line, '#') > 0 THEN substr(line, 1, instr(line, '#') - 1) ELSE line END), '[,\\s]+$', '')) AS bare, instr(line, '#') > 0 AS has FROM (SELECT line_no AS page_id, line_no, line FROM f_lk)),
 k AS (SELECT line_no, CASE WHEN length(bare) >= 2 AND ((bare LIKE '"%' AND bare LIKE '%"') OR (bare LIKE '''%' AND bare LIKE '%''')) THEN trim(substr(bare, 2, length(bare) - 2)) ELSE bare END AS link, CASE WHEN has THEN trim(substr(line, instr(line, '#') + 1)) END AS comment, has FROM r),
@@ -45,16 +48,29 @@ def _through(df, write, read, name):
     return read(df.sparkSession, path)
 
 
-@query("src1_sb_samples", "f_rd", oracle="SELECT CAST(frame AS INTEGER) AS frame, sb_row, sb_col, grp, point, count(*) AS n, round(sum(bits), 2) AS bits, count(sse) AS known, CAST(sum(samples) AS BIGINT) AS samples FROM f_rd WHERE samples > 0 GROUP BY 1, 2, 3, 4, 5")
-def src1(t):
-    back = _through(t, src.write_sb_samples, src.read_sb_samples_by_group, "sb_samples")
+_SAMPLES = "SELECT CAST(frame AS INTEGER) AS frame, sb_row, sb_col, grp, point, count(*) AS n, round(sum(bits), 2) AS bits, count(sse) AS known, CAST(sum(samples) AS BIGINT) AS samples FROM f_rd WHERE samples > 0 GROUP BY 1, 2, 3, 4, 5"
+
+
+def _samples(t, write, read):
+    back = _through(t, write, read, "sb_samples")
     return back.groupBy("frame", "sb_row", "sb_col", "grp", "point").agg(F.count("*").alias("n"), F.round(F.sum("bits"), 2).alias("bits"), F.count("sse").alias("known"), F.sum("samples").alias("samples"))
 
 
-@query("src2_sb_bdrate", "f_rd", oracle="SELECT DISTINCT sb_row, sb_col, grp AS test FROM f_rd WHERE grp <> 'A'")
+@query("src1_sb_samples", "f_rd", oracle=_SAMPLES)
+def src1(t):
+    return _samples(t, src.write_sb_samples, src.read_sb_samples)
+
+
+@query("src1_sb_samples_by_group", "f_rd", oracle=_SAMPLES)
+def src1_by_group(t):
+    return _samples(t, src.write_sb_samples_by_group, src.read_sb_samples_by_group)
+
+
+@query("src2_sb_bdrate", "f_rd", oracle=f"WITH {BD} SELECT {_COLS.replace('THEN least(pct, 100000) END, 2)', 'THEN least(pct, 100000) ELSE 0 END, 2)').replace('round(psnr_lo, 4)', 'round(coalesce(psnr_lo, 0), 4)').replace('round(psnr_hi, 4)', 'round(coalesce(psnr_hi, 0), 4)')}, round(coalesce(bits_a_max, 0), 2) AS bits_a_max, round(coalesce(psnr_a_max, 0), 4) AS psnr_a_max, coalesce(samples, 0) AS samples, round(coalesce(bits_b_max, 0), 2) AS bits_b_max, round(coalesce(psnr_b_max, 0), 4) AS psnr_b_max FROM bd")
 def src2(t):
-    back = _through(rd.bd_rate_report(t, "A"), src.write_sb_bdrate, lambda s, p: s.read.schema(", ".join(f"{c} {'string' if c in ('test', 'status') else 'long' if c in ('sb_row', 'sb_col') else 'double'}" for c in src.SB_BDRATE)).csv(p, header=True), "sb_bdrate")
-    return back.where("percent IS NOT NULL AND status IS NOT NULL").select("sb_row", "sb_col", "test")
+    back = _through(rd.bd_rate_report(t, "A"), src.write_sb_bdrate, src.read_sb_bdrate, "sb_bdrate").withColumn("percent", F.least("bdrate", F.lit(100000.0))).drop("bdrate")
+    digits = {"percent": 2, "psnr_lo": 4, "psnr_hi": 4, "bits_a_max": 2, "bits_b_max": 2, "psnr_a_max": 4, "psnr_b_max": 4}
+    return back.withColumns({c: F.round(c, d) for c, d in digits.items()}).withColumn("degree", F.col("degree").cast("long"))
 
 
 @query("src3_block_dump", "f_bl_a", oracle="SELECT frame, x, y, 3 AS elements, substr(split_part(syntax, '|', 1), 7) AS brand, split_part(split_part(syntax, '|', 3), '=', 2) AS qindex FROM f_bl_a")
@@ -63,37 +79,59 @@ def src3(t):
     return back.select("frame", "x", "y", F.size("elements").alias("elements"), F.col("lookup")["brand"].alias("brand"), F.col("lookup")["sb_qindex"].alias("qindex"))
 
 
-@query("src4_gm_windows", "f_gm", oracle="SELECT poc, ref_poc, win_i, win_j, n, dx, dy, cost_zero_x, cost_best_x FROM f_gm")
+_WINDOWS = "poc, ref_poc, win_i, win_j, n, dx_qpel, dy_qpel, accept_x, accept_y, cost_best_x, cost_zero_x, cost_best_y, cost_zero_y, a_q_x, a_q_y, sad2d_best, sad2d_zero, sad2d_no_x, sad2d_no_y, dx_coarse, dy_coarse"
+
+
+@query("src4_gm_windows", "f_gm", oracle=f"WITH {_GATE} SELECT {_WINDOWS} FROM a")
 def src4(t):
-    back = _through(t.select(*[c.split()[0] for c in src.GM_WINDOWS.split(", ")]), src.write_csv, lambda s, p: src.read_gm_windows(s, p, True), "gm")
-    return back
+    return _through(mv.gates(t), src.write_gm_windows, src.read_gm_windows, "gm")
+
+
+@query("src4_gm_contract", "f_gm", oracle=f"WITH {_GATE} SELECT poc, ref_poc, win_i, win_j, n, dx_qpel, dy_qpel, accept_x, accept_y FROM a")
+def src4_contract(t):
+    return _through(mv.gates(t), src.write_gm_windows, lambda s, p: src.read_gm_windows(s, p, True), "gm")
+
+
+def _documents(t):
+    """One document for each 16 pictures: their windows as the tool nests them."""
+    windows = F.collect_list(F.struct(*_WINDOWS.split(", ")[2:4], *_WINDOWS.split(", ")[5:]))
+    frames = mv.gates(t).groupBy("poc", "ref_poc", "n").agg(windows.alias("windows"))
+    return frames.groupBy(F.floor(F.col("poc") / 16).alias("part")).agg(F.collect_list(F.struct("poc", "ref_poc", "n", "windows")).alias("frames"))
 
 
-@query("src5_gm_json", "f_gm", oracle="SELECT poc, ref_poc, win_i, win_j, dx, CAST(dy AS BIGINT) AS dy, cost_zero_x AS cost_zero, cost_best_x AS cost_best FROM f_gm")
+@query("src5_gm_json", "f_gm", oracle=f"WITH {_GATE} SELECT {_WINDOWS} FROM a")
 def src5(t):
-    w = F.struct("win_i", "win_j", "dx", F.col("dy").cast("long").alias("dy"), F.col("cost_zero_x").alias("cost_zero"), F.col("cost_best_x").alias("cost_best"))
-    f = t.groupBy("poc", "ref_poc").agg(F.collect_list(w).alias("windows")).groupBy((F.col("poc") % 8).alias("part")).agg(F.collect_list(F.struct("poc", "ref_poc", "windows")).alias("frames"))
-    return _through(f.drop("part"), lambda d, p: d.write.json(p), lambda s, p: src.read_gm_json_lines(s, p), "gmjson")
+    return _through(_documents(t), lambda d, p: d.write.partitionBy("part").json(p), src.read_gm_json, "gmjson").select(*_WINDOWS.split(", "))
 
 
-@query("src6_gm_models", "f_mv", oracle="SELECT frame, algorithm, TRUE AS ok, count(*) AS total, round(avg(mv_x_q8 / 8.0::DOUBLE), 5) AS p0 FROM f_mv GROUP BY frame, algorithm")
+@query("src5_gm_json_lines", "f_gm", oracle=f"WITH {_GATE} SELECT {_WINDOWS} FROM a")
+def src5_lines(t):
+    return _through(_documents(t).drop("part"), lambda d, p: d.write.json(p), src.read_gm_json_lines, "gmjson").select(*_WINDOWS.split(", "))
+
+
+@query("src6_gm_models", "f_mv", oracle="SELECT frame AS poc, frame - 1 AS ref_poc, algorithm AS type, count(*) > 9 AS ok, round(avg(mv_x_q8 / 8.0::DOUBLE), 5) AS p0, round(avg(mv_y_q8 / 8.0::DOUBLE), 5) AS p1, 1.0::DOUBLE AS p2, 0.0::DOUBLE AS p3, 0.0::DOUBLE AS p4, 1.0::DOUBLE AS p5, count(*) AS inliers, count(*) + 1 AS total, 0.5::DOUBLE AS rms FROM f_mv GROUP BY frame, algorithm")
 def src6(t):
-    m = t.groupBy("frame", "algorithm").agg(F.avg(F.col("mv_x_q8") / 8.0).alias("p0"), F.count("*").alias("total"))
-    m = m.select("frame", "algorithm", F.lit(True).alias("ok"), "p0", *[F.lit(float(i in (2, 5))).alias(f"p{i}") for i in range(1, 6)], F.col("total").alias("inliers"), "total", F.lit(0.5).alias("rms"))
-    return _through(m, src.write_gm_models, src.read_gm_models, "models").select("frame", "algorithm", "ok", "total", F.round(F.col("p")[0], 5).alias("p0"))
+    m = t.groupBy("frame", "algorithm").agg(F.avg(F.col("mv_x_q8") / 8.0).alias("p0"), F.avg(F.col("mv_y_q8") / 8.0).alias("p1"), F.count("*").alias("inliers"))
+    m = m.select(F.col("frame").alias("poc"), F.col("algorithm").alias("type"), (F.col("inliers") > 9).alias("ok"), "p0", "p1", *[F.lit(float(i in (2, 5))).alias(f"p{i}") for i in range(2, 6)], "inliers", (F.col("inliers") + 1).alias("total"), F.lit(0.5).alias("rms"))
+    back = _through(m, src.write_gm_models, src.read_gm_models, "models")
+    return back.select("poc", "ref_poc", "type", "ok", *[F.round(F.col("p")[i], 5).alias(f"p{i}") for i in range(6)], "inliers", "total", "rms")
+
+
+_WIDE = {"dx": ("v", 4), "dy": ("v / 2", 4), "angle": ("v / 4", 5), "log_scale": ("n / 1000.0::DOUBLE", 6)}
+_TEXT = ", ".join(f"printf('%.{d}f', {f'exp({e})' if n == 'log_scale' else e}) AS {p}_{n.removeprefix('log_')}" for p in ("raw", "smooth", "corr") for n, (e, d) in _WIDE.items())
 
 
-@query("src7_trajectory", "f_ts", oracle="SELECT frame, printf('%.4f', v) AS raw_dx, printf('%.5f', v / 4) AS smooth_angle, printf('%.6f', exp(n / 1000.0)) AS corr_scale FROM f_ts WHERE series = 'view'")
+@query("src7_trajectory", "f_ts", oracle=f"SELECT series, frame, {_TEXT} FROM f_ts")
 def src7(t):
-    wide = t.where("series = 'view'").select("frame", *[c.alias(f"{p}_{n}") for p in ("raw", "smooth", "corr") for n, c in (("dx", F.col("v")), ("dy", F.col("v") / 2), ("angle", F.col("v") / 4), ("log_scale", F.col("n") / 1000.0))])
-    back = _through(wide, src.write_trajectory, lambda s, p: s.read.csv(p, header=True), "trajectory")
-    return back.select(F.col("frame").cast("long").alias("frame"), "raw_dx", "smooth_angle", "corr_scale")
+    wide = t.select("series", "frame", *[c.alias(f"{p}_{n}") for p in ("raw", "smooth", "corr") for n, c in (("dx", F.col("v")), ("dy", F.col("v") / 2), ("angle", F.col("v") / 4), ("log_scale", F.col("n") / 1000.0))])
+    back = _through(wide, lambda d, p: src.write_trajectory(d, p, by="series"), lambda s, p: s.read.csv(p, header=True), "trajectory")
+    return back.withColumn("frame", F.col("frame").cast("long"))
 
 
-@query("src8_camera", "f_ts", oracle="SELECT frame, v AS dx, v / 2 AS dy, round(n / 100.0::DOUBLE, 4) AS angle FROM f_ts WHERE series = 'click'")
+@query("src8_camera", "f_ts", oracle="SELECT series, frame, v AS dx, v / 2 AS dy, round(n / 100.0::DOUBLE, 4) AS angle FROM f_ts")
 def src8(t):
-    c = t.where("series = 'click'").select("frame", F.col("v").alias("dx"), (F.col("v") / 2).alias("dy"), F.round(F.col("n") / 100.0, 4).alias("angle"))
-    return _through(c, src.write_csv, src.read_camera_csv, "camera")
+    c = t.select("series", "frame", F.col("v").alias("dx"), (F.col("v") / 2).alias("dy"), F.round(F.col("n") / 100.0, 4).alias("angle"))
+    return _through(c, lambda d, p: d.write.partitionBy("series").csv(p, header=True), lambda s, p: src.read_camera_csv(s, p, by="series"), "camera")
 
 
 @query("src9_syntax_trace", "f_sx_a", oracle="SELECT concat(name, '_', CAST(section AS VARCHAR)) AS label, idx AS bits, md5(value) AS value FROM f_sx_a")
@@ -102,16 +140,20 @@ def src9(t):
     return _through(lines, lambda d, p: d.write.text(p), src.read_syntax_trace, "trace").select("label", "bits", "value")
 
 
-@query("src10_checksums", "f_md", oracle="SELECT frame, expected, actual FROM f_md WHERE actual IS NOT NULL")
+@query("src10_checksums", "f_md", oracle="SELECT frame, expected, actual FROM f_md")
 def src10(t):
-    lines = t.where("actual IS NOT NULL").select(F.concat_ws(" ", F.col("frame").cast("string"), "expected", "actual").alias("value")).unionByName(t.limit(1).select(F.lit("# frame expected actual").alias("value")))
+    lines = t.select(F.concat_ws(" ", F.col("frame").cast("string"), "expected", "actual").alias("value")).unionByName(t.limit(1).select(F.lit("# frame expected actual").alias("value")))
     return _through(lines, lambda d, p: d.write.text(p), src.read_checksums, "sums")
 
 
-@query("src11_sizes", "f_st", oracle="SELECT concat('t', CAST(track AS VARCHAR)) AS path, CAST(sample - 1 AS INTEGER) AS index, size FROM f_st WHERE track <> 3 UNION ALL SELECT 't3', -1, NULL")
+@query("src11_sizes", "f_st", oracle="SELECT concat('t', CAST(track AS VARCHAR), '_', CAST((sample - 1) // 500 AS VARCHAR)) AS path, CAST((sample - 1) % 500 AS INTEGER) AS index, size FROM f_st WHERE track <> 3 UNION ALL SELECT DISTINCT concat('t3_', CAST((sample - 1) // 500 AS VARCHAR)), -1, NULL FROM f_st WHERE track = 3")
 def src11(t):
-    text = t.groupBy("track").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", "size"))), lambda s: s["size"].cast("string")), " ").alias("value"))
-    return src.parse_sizes(text.select(F.concat(F.lit("t"), F.col("track").cast("string")).alias("path"), F.when(F.col("track") == 3, F.concat("value", F.lit(" x1"))).otherwise(F.concat(F.lit("  "), F.col("value"), F.lit("\n"))).alias("value")))
+    """A file for each 500 samples of a track; every file of track 3 has a bad token."""
+    file = F.concat(F.lit("t"), F.col("track").cast("string"), F.lit("_"), F.floor((F.col("sample") - 1) / 500).cast("string"))
+    text = t.groupBy("track", file.alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", "size"))), lambda s: s["size"].cast("string")), " ").alias("value"))
+    lines = text.select("file", F.when(F.col("track") == 3, F.concat("value", F.lit(" x1"))).otherwise(F.concat(F.lit("  "), F.col("value"))).alias("value"))
+    back = _through(lines, lambda d, p: d.write.partitionBy("file").text(p), src.read_sizes, "sizes")
+    return back.withColumn("path", F.regexp_extract("path", "file=([^/]+)", 1))
 
 
 @query("src12_links", "f_lk", oracle="SELECT line FROM f_lk WHERE line <> ''")

@@ -70,20 +70,27 @@ def mv12(t):
     return mv.model_field(_round(mv.fit_rotzoom(_points(t))), 120, 100, 32)
 
 
-_GATE = "g AS (SELECT *, cost_best_x * 16 < cost_zero_x * 15 AND dx <> 0 AS gate_axis, sad2d_best * 2 < sad2d_zero AS gate_pair FROM f_gm), a AS (SELECT *, gate_axis AND gate_pair AS accept FROM g)"
+def _gates(g1_num="16", g1_den="15", g2="2", source="f_gm"):
+    axis = ", ".join(f"d{a}_coarse <> 0 AND cost_best_{a} * {g1_num} < cost_zero_{a} * {g1_den} AS gate_{a}, sad2d_best * {g2} < sad2d_no_{a} AS gate_pair_{a}" for a in "xy")
+    return f"g AS (SELECT *, {axis}, sad2d_best * {g2} < sad2d_zero AS gate_pair FROM {source}), a AS (SELECT *, gate_x AND gate_pair AND gate_pair_x AS accept_x, gate_y AND gate_pair AND gate_pair_y AS accept_y FROM g)"
 
 
-@query("gm6_gates", "f_gm", oracle=f"WITH {_GATE} SELECT poc, win_i, win_j, gate_axis, gate_pair, accept FROM a")
+_GATE = _gates()
+_AXES = "CAST(sum(CAST(accept_x AS INTEGER) + CAST(accept_y AS INTEGER)) AS BIGINT) AS accepted, 2 * count(*) AS axes"
+_GATES = ("gate_x", "gate_y", "gate_pair", "gate_pair_x", "gate_pair_y", "accept_x", "accept_y")
+
+
+@query("gm6_gates", "f_gm", oracle=f"WITH {_GATE} SELECT poc, win_i, win_j, {', '.join(_GATES)} FROM a")
 def gm6(t):
-    return mv.gates(t).select("poc", "win_i", "win_j", "gate_axis", "gate_pair", "accept")
+    return mv.gates(t).select("poc", "win_i", "win_j", *_GATES)
 
 
-@query("gm6_gate_sweep", "f_gm", oracle="SELECT g1_num, g1_den, g2, CAST(sum(CASE WHEN cost_best_x * g1_num < cost_zero_x * g1_den AND dx <> 0 AND sad2d_best * g2 < sad2d_zero THEN 1 ELSE 0 END) AS BIGINT) AS accepted, count(*) AS windows FROM f_gm, (VALUES (16, 15, 2), (8, 7, 2), (16, 15, 3)) s(g1_num, g1_den, g2) GROUP BY 1, 2, 3")
+@query("gm6_gate_sweep", "f_gm", oracle=f"WITH w AS (SELECT * FROM f_gm, (VALUES (16, 15, 2), (8, 7, 2), (16, 15, 3)) s(g1_num, g1_den, g2)), {_gates('g1_num', 'g1_den', 'g2', 'w')} SELECT g1_num, g1_den, g2, {_AXES} FROM a GROUP BY g1_num, g1_den, g2")
 def gm6_sweep(t):
     return mv.gate_sweep(t, t.sparkSession.createDataFrame([(16, 15, 2), (8, 7, 2), (16, 15, 3)], "g1_num int, g1_den int, g2 int"))
 
 
-@query("gm7_accepted_vectors", "f_gm", oracle=f"WITH {_GATE} SELECT poc, win_i, win_j, CASE WHEN accept THEN dx ELSE 0 END AS dx, CAST(accept AS INTEGER) AS accepted, 'used' AS kind FROM a UNION ALL SELECT poc, win_i, win_j, dx, 0, 'raw' FROM a WHERE NOT accept")
+@query("gm7_accepted_vectors", "f_gm", oracle=f"WITH {_GATE}, c AS (SELECT *, CAST(accept_x AS INTEGER) + CAST(accept_y AS INTEGER) AS accepted FROM a) SELECT poc, win_i, win_j, CASE WHEN accept_x THEN dx_qpel ELSE 0 END AS dx_qpel, CASE WHEN accept_y THEN dy_qpel ELSE 0 END AS dy_qpel, accepted, 'used' AS kind FROM c WHERE accepted > 0 UNION ALL SELECT poc, win_i, win_j, dx_qpel, dy_qpel, accepted, 'raw' FROM c WHERE accepted < 2")
 def gm7(t):
     return mv.accepted_vectors(mv.gates(t))
 
@@ -93,17 +100,17 @@ def gm8(t):
     return mv.window_rect(t.select("poc").distinct(), 1922, 1082, 3)
 
 
-@query("gm1_frame_summary", "f_gm", oracle=f"WITH {_GATE}, s AS (SELECT poc, CAST(sum(CASE WHEN accept THEN 1 ELSE 0 END) AS BIGINT) AS accepted, list(dx ORDER BY dx) FILTER (accept) AS l, max(greatest(abs(dx), abs(dy))) AS largest FROM a GROUP BY poc) SELECT poc, accepted, l[CAST(floor(len(l) / 2) + 1 AS INTEGER)] AS median_dx, largest FROM s")
+@query("gm1_frame_summary", "f_gm", oracle=f"WITH {_GATE}, s AS (SELECT poc, CAST(sum(CAST(accept_x AS INTEGER)) AS BIGINT) AS accepted_x, CAST(sum(CAST(accept_y AS INTEGER)) AS BIGINT) AS accepted_y, list(CAST(dx_qpel / 4 AS BIGINT) ORDER BY dx_qpel) FILTER (accept_x) AS lx, list(CAST(dy_qpel / 4 AS BIGINT) ORDER BY dy_qpel) FILTER (accept_y) AS ly, CAST(max(greatest(abs(dx_qpel / 4 - dx_coarse), abs(dy_qpel / 4 - dy_coarse))) AS BIGINT) AS moved FROM a GROUP BY poc) SELECT poc, accepted_x, accepted_y, lx[CAST(floor(len(lx) / 2) + 1 AS INTEGER)] AS median_dx, ly[CAST(floor(len(ly) / 2) + 1 AS INTEGER)] AS median_dy, moved FROM s")
 def gm1(t):
     return mv.frame_summary(mv.gates(t))
 
 
-@query("gm2_totals", "f_gm", oracle=f"WITH {_GATE} SELECT CAST(sum(CASE WHEN accept THEN 1 ELSE 0 END) AS BIGINT) AS accepted, 2 * count(*) AS axes FROM a")
+@query("gm2_totals", "f_gm", oracle=f"WITH {_GATE} SELECT {_AXES} FROM a")
 def gm2(t):
     return mv.totals(mv.gates(t))
 
 
-_REF = "r AS (SELECT frame, y, x, (v * 7 + y) % 256 AS v FROM f_gr WHERE y + 0 * x < 16), c AS (SELECT frame, y, x, v FROM f_gr WHERE y + 0 * x < 16)"
+_REF = "r AS (SELECT frame, y, x, (v * 7 + y) % 256 AS v FROM f_gr), c AS (SELECT frame, y, x, v FROM f_gr)"
 
 
 def _pair(t):
@@ -111,11 +118,6 @@ def _pair(t):
     return t, t.withColumn("v", (F.col("v") * 7 + F.col("y")) % 256)
 
 
-def _top(t):
-    """The two rows of blocks that the SQL twins of the searches cover; the queries `..._whole` search all of the picture."""
-    return _pair(t.where("y < 16"))
-
-
 _SEARCH = f"""{_REF}, h AS (SELECT frame, CAST(floor((max(y) + 1) / 8) * 8 AS BIGINT) AS height, max(y) + 1 AS nrows FROM c GROUP BY frame),
 k AS (SELECT c.frame, CAST(floor(c.y / 8) AS BIGINT) AS block_y, CAST(floor(c.x / 8) AS BIGINT) AS block_x, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, CAST(sum(abs(c.v - r.v)) AS BIGINT) AS cost FROM c JOIN h ON h.frame = c.frame AND c.y < h.height, range(-2, 3) a(dy), range(-2, 3) b(dx) JOIN r ON r.frame = c.frame AND r.y = c.y + dy AND r.x = c.x + dx
 WHERE floor(c.y / 8) * 8 + dy >= 0 AND floor(c.y / 8) * 8 + 7 + dy < nrows AND floor(c.x / 8) * 8 + dx >= 0 AND floor(c.x / 8) * 8 + 8 + dx <= 64 GROUP BY 1, 2, 3, 4, 5)"""
@@ -123,14 +125,10 @@ WHERE floor(c.y / 8) * 8 + dy >= 0 AND floor(c.y / 8) * 8 + 7 + dy < nrows AND f
 
 @query("mv2_block_match", "f_gr", oracle=f"WITH {_SEARCH} SELECT frame, block_y, block_x, cost, dy, dx FROM (SELECT *, row_number() OVER (PARTITION BY frame, block_y, block_x ORDER BY cost, dy, dx) AS rn FROM k) WHERE rn = 1")
 def mv2(t):
-    return mv.block_match(*_top(t), 8, 2)
-
-
-@query("mv2_block_match_whole", "f_gr")
-def mv2_whole(t):
     return mv.block_match(*_pair(t), 8, 2)
 
 
+
 def _moved_sad(cur, ref):
     vectors = cur.select("frame", F.floor(F.col("y") / 8).alias("block_y"), F.floor(F.col("x") / 8).alias("block_x")).distinct().select("*", F.lit(1).alias("dx"), F.lit(-1).alias("dy"))
     return mv.common_sad(cur, ref, vectors, 8)
@@ -138,14 +136,10 @@ def _moved_sad(cur, ref):
 
 @query("mv1_common_sad", "f_gr", oracle=f"WITH {_REF}, e AS (SELECT frame, max(x) AS mx, max(y) AS my FROM r GROUP BY frame) SELECT c.frame, CAST(floor(c.y / 8) AS BIGINT) AS block_y, CAST(floor(c.x / 8) AS BIGINT) AS block_x, CAST(sum(abs(c.v - r.v)) AS BIGINT) AS sad FROM c JOIN e USING (frame) JOIN r ON r.frame = c.frame AND r.x = least(greatest(c.x + 1, 0), mx) AND r.y = least(greatest(c.y - 1, 0), my) GROUP BY 1, 2, 3")
 def mv1(t):
-    return _moved_sad(*_top(t))
-
-
-@query("mv1_common_sad_whole", "f_gr")
-def mv1_whole(t):
     return _moved_sad(*_pair(t))
 
 
+
 @query("mv3_static_blocks", "f_gr", oracle="WITH s AS (SELECT frame, CAST(floor(y / 8) AS BIGINT) AS block_y, CAST(floor(x / 8) AS BIGINT) AS block_x, CAST(sum(abs(v - (v + (y * x) % 5))) AS BIGINT) AS sad, count(*) AS n FROM f_gr GROUP BY 1, 2, 3) SELECT * FROM s WHERE sad <= 2 * n")
 def mv3(t):
     return mv.static_blocks(t, t.withColumn("v", F.col("v") + (F.col("y") * F.col("x")) % 5), 8)
@@ -175,18 +169,7 @@ def tk4(t):
     return mv.best_two(_costs(t), ["frame", "block_y", "block_x"], "cost", ["dy", "dx"])
 
 
-def _candidates(cur, ref):
-    best = mv.block_match(cur, ref, 8, 2)
-    edge = cur.groupBy("frame").agg((F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("columns"))
-    reach = lambda at, end: F.greatest(F.lit(0), F.least(F.lit(2), end - at * 8 - 8)) + F.least(F.lit(2), at * 8) + 1
-    return best.join(edge, "frame").select("frame", "block_y", "block_x", "cost", (reach(F.col("block_y"), F.col("rows")) * reach(F.col("block_x"), F.col("columns"))).alias("candidates"))
-
-
 @query("jn14_candidate_search", "f_gr", oracle=f"WITH {_SEARCH} SELECT frame, block_y, block_x, min(cost) AS cost, count(*) AS candidates FROM k GROUP BY frame, block_y, block_x")
 def jn14(t):
-    return _candidates(*_top(t))
-
+    return mv.candidate_search(*_pair(t), 8, 2).select("frame", "block_y", "block_x", "cost", "candidates")
 
-@query("jn14_candidate_search_whole", "f_gr")
-def jn14_whole(t):
-    return _candidates(*_pair(t))

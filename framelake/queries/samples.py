@@ -79,18 +79,9 @@ def jn9(t):
     return st.fallback_source(s.where("track < 2"), s.withColumn("size", F.col("size") + 1))
 
 
-@query("jn18_map_position", "f_st", oracle=f"WITH {OFFS}, {LOC}, p AS (SELECT track, \"offset\" + size + CASE WHEN sample % 2 = 0 THEN 0 ELSE -1 END AS pos FROM loc) SELECT p.track, p.pos AS \"offset\", (SELECT max(CASE WHEN p.pos < l.\"offset\" + l.size THEN l.sample END) FROM loc l WHERE l.track = p.track AND l.\"offset\" <= p.pos AND p.pos < l.\"offset\" + l.size) AS segment FROM p WHERE p.track = 0")
+@query("jn18_map_position", "f_st", oracle=f"WITH {OFFS}, {LOC}, p AS (SELECT track, \"offset\" + size + CASE WHEN sample % 2 = 0 THEN 0 ELSE -1 END AS pos FROM loc) SELECT p.track, p.pos AS \"offset\", CASE WHEN p.pos < l.\"offset\" + l.size THEN l.sample END AS segment FROM p ASOF LEFT JOIN loc l ON l.track = p.track AND p.pos >= l.\"offset\"")
 def jn18(t):
-    return _positions(t, t.where("track = 0"))
-
-
-@query("jn18_map_position_whole", "f_st")
-def jn18_whole(t):
-    return _positions(t, t)
-
-
-def _positions(t, some):
-    loc = st.locate_samples(some.select("track", "sample", "size"), st.chunk_runs(t), st.chunk_offsets(t))
+    loc = st.locate_samples(t.select("track", "sample", "size"), st.chunk_runs(t), st.chunk_offsets(t))
     pos = loc.select("track", (F.col("offset") + F.col("size") + F.when(F.col("sample") % 2 == 0, 0).otherwise(-1)).alias("offset"))
     return st.map_position(pos, loc.select("track", F.col("sample").alias("segment"), F.col("offset").alias("start"), F.col("size").alias("length")), "track")
 

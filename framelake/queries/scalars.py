@@ -1,7 +1,6 @@
 """Queries of the scalar functions (SC)."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..registry import query
@@ -34,10 +33,13 @@ def sc5(t):
     return t.select("frame", "algorithm", "x", "y", S.to_eighth_pel("x").alias("full_q8"), S.quarter_to_eighth_pel("mv_x_q8").alias("quarter_q8"), S.whole_part("mv_x_q8").alias("whole_x"), S.whole_part("mv_y_q8").alias("whole_y"))
 
 
-_RATE = "CAST(CASE WHEN m < 64 THEN m WHEN m < 192 THEN 64 + floor((m - 64) / 2) WHEN m < 448 THEN 128 + floor((m - 192) / 4) ELSE 192 + floor((m - 448) / 8) END AS BIGINT)"
+def _rate(d):
+    m = f"least(abs({d}), 1919)"
+    at = f"CASE WHEN {m} < 128 THEN {m} WHEN {m} < 384 THEN {m} - {m} % 2 WHEN {m} < 896 THEN {m} - {m} % 4 ELSE {m} - {m} % 8 END"
+    return f"CAST(CASE WHEN {m} = 0 THEN 17 WHEN {m} >= 1856 THEN 0 ELSE round(41.235::DOUBLE + 48 * log2({at} + 1)) END AS BIGINT)"
 
 
-@query("sc6_mv_rate", "f_mv", oracle=f"SELECT frame, algorithm, x, y, {_RATE.replace('m ', 'least(abs(mv_x_q8 * 9), 1919) ')} + {_RATE.replace('m ', 'least(abs(mv_y_q8 * 9), 1919) ')} AS rate FROM f_mv".replace("THEN least(abs(mv_x_q8 * 9), 1919) WHEN", "THEN least(abs(mv_x_q8 * 9), 1919) WHEN"))
+@query("sc6_mv_rate", "f_mv", oracle=f"SELECT frame, algorithm, x, y, {_rate('mv_x_q8 * 9')} + {_rate('mv_y_q8 * 9')} AS rate FROM f_mv")
 def sc6(t):
     return t.select("frame", "algorithm", "x", "y", S.mv_rate(F.col("mv_x_q8") * 9, F.col("mv_y_q8") * 9).alias("rate"))
 
@@ -91,9 +93,11 @@ def sc14(t):
     return t.select("frame", "y", "x", S.to_8bit(F.col("v") * 4, 10).alias("v8"), (F.col("v") * 4 >= S.scaled_threshold(128, 10)).alias("over"))
 
 
-@query("sc15_read_bits", "f_pl_a", oracle="SELECT ordinal, CASE WHEN ordinal % 16 + 24 <= 256 THEN CAST(('0x' || substr(md5(payload), 1, 12))::UBIGINT >> CAST(48 - 24 - ordinal % 16 AS INTEGER) AS BIGINT) % 16777216 END AS bits FROM f_pl_a")
+@query("sc15_read_bits", "f_pl_a", oracle="SELECT ordinal, CAST(('0x' || substr(md5(payload), 1, 12))::UBIGINT >> CAST(48 - 24 - ordinal % 16 AS INTEGER) AS BIGINT) % 16777216 AS bits, CAST(('0x' || substr(md5(payload), CAST(ordinal % 4 * 4 + 1 AS BIGINT), 15))::UBIGINT AS BIGINT) AS sixty, CAST(('0x0' || substr(md5(payload), CAST(ordinal % 5 + 1 AS BIGINT), 15))::UBIGINT % 9007199254740992 AS BIGINT) AS low, CASE WHEN ordinal % 16 * 8 + 64 <= 128 THEN CAST(('0x' || substr(md5(payload), CAST(ordinal % 16 * 2 + 1 AS BIGINT), 2))::UBIGINT >> 7 AS BIGINT) END AS sign FROM f_pl_a")
 def sc15(t):
-    return t.select("ordinal", S.read_bits(F.unhex(F.md5("payload")), F.col("ordinal") % 16, 24).alias("bits"))
+    data, at = F.unhex(F.md5("payload")), F.col("ordinal")
+    word = S.read_bits(data, at % 16 * 8, 64)
+    return t.select("ordinal", S.read_bits(data, at % 16, 24).alias("bits"), S.read_bits(data, at % 4 * 16, 60).alias("sixty"), S.read_bits(data, at % 5 * 4 + 7, 53).alias("low"), (word < 0).cast("long").alias("sign"))
 
 
 @query("sc16_sync_from_flags", "f_st", oracle="SELECT track, sample, (size * 4096) & 65536 = 0 AS sync_sample FROM f_st")
@@ -137,18 +141,12 @@ def sc21(t):
     return t.select("line_no", "line", S.looks_like_link("line").alias("ok"))
 
 
-@query("sc22_unit_label", "f_pl_a", oracle="SELECT ordinal, concat('TU ', CAST(ordinal % 5 AS VARCHAR), ' / OBU ', CAST(ordinal % 3 AS VARCHAR), ': ', CASE unit_type WHEN 1 THEN 'Sequence header' WHEN 2 THEN 'Temporal delimiter' WHEN 3 THEN 'Frame header' WHEN 4 THEN 'Tile group' WHEN 5 THEN 'Metadata' WHEN 6 THEN 'Frame' WHEN 7 THEN 'Redundant frame header' WHEN 8 THEN 'Tile list' ELSE 'Other' END) AS label FROM f_pl_a")
+@query("sc22_unit_label", "f_pl_a", oracle="SELECT ordinal, concat('TU ', CAST(ordinal % 5 AS VARCHAR), ' / OBU ', CAST(ordinal % 3 AS VARCHAR), ': ', CASE unit_type WHEN 1 THEN 'Sequence Header' WHEN 2 THEN 'Temporal Delimiter' WHEN 3 THEN 'Frame Header' WHEN 4 THEN 'Tile Group' WHEN 5 THEN 'Metadata' WHEN 6 THEN 'Frame' WHEN 7 THEN 'Redundant Frame Header' WHEN 8 THEN 'Tile List' ELSE 'Other' END) AS label FROM f_pl_a")
 def sc22(t):
     return t.select("ordinal", S.unit_label(F.col("ordinal") % 5, F.col("ordinal") % 3, "unit_type").alias("label"))
 
 
-@query("sc23_log_height", "f_cf", oracle="SELECT stream, frame, round(coalesce(ln(1 + bytes) / ln(1 + max(bytes) OVER ()), 0.5), 6) AS h FROM f_cf WHERE stream IN (0, 1)")
+@query("sc23_log_height", "f_cf", oracle="SELECT stream, frame, round(coalesce(ln(1 + bytes) / ln(1 + max(bytes) OVER ()), 0.5), 6) AS h, round(coalesce(bytes / max(bytes) OVER (), 0.5), 6) AS linear FROM f_cf")
 def sc23(t):
-    two = t.where(F.col("stream").isin(0, 1))
-    return two.select("stream", "frame", F.round(F.coalesce(F.log1p("bytes") / F.log1p(F.max("bytes").over(Window.partitionBy())), F.lit(0.5)), 6).alias("h"))
-
-
-@query("sc23_log_height_whole", "f_cf")
-def sc23_whole(t):
-    most = t.agg(F.max("bytes").alias("most"))
-    return t.crossJoin(F.broadcast(most)).select("stream", "frame", F.round(F.coalesce(F.log1p("bytes") / F.log1p("most"), F.lit(0.5)), 6).alias("h"))
+    both = S.log_height(S.log_height(t).withColumnRenamed("height", "h"), logarithmic=False)
+    return both.select("stream", "frame", F.round("h", 6).alias("h"), F.round("height", 6).alias("linear"))

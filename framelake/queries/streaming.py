@@ -1,4 +1,4 @@
-"""Queries of the streaming jobs (SS): the events table replayed as a file stream."""
+"""Queries of the streaming jobs (SS): the events table replayed as a file stream of several micro-batches, in order of time or of event_id."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -7,10 +7,12 @@ from .. import registry
 from ..streaming import jobs
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The file source lists a pattern; the table is one file or a folder of files.
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return jobs.read_stream(spark, f"{sf_dir}/events.parque*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+BATCHES = 4  # micro-batches that the table is replayed in
+
+
+def _events(spark: SparkSession, sf_dir: str, order: str = "ts") -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return jobs.replayed(e.withColumn("ts", F.col("ts").cast("timestamp")), order, BATCHES)
 
 
 def _add(name: str, oracle: str | None = None):  # noqa: ANN202
@@ -25,11 +27,11 @@ def _add(name: str, oracle: str | None = None):  # noqa: ANN202
 
 @_add("ss1_incremental_frame_index", "SELECT user_id AS stream, event_id AS pos, CASE WHEN event_type <> 'view' THEN CAST(sum(CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END) OVER w - 1 AS BIGINT) END AS coding_order, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN CAST(sum(CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END) OVER w - 1 AS BIGINT) END AS display_index FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def ss1(spark, sf_dir):  # noqa: ANN001, ANN201
-    e = _events(spark, sf_dir).select(F.col("user_id").cast("long").alias("stream"), F.col("event_id").cast("long").alias("pos"), F.col("event_id").cast("long").alias("coded_id"), (F.col("event_type") == "view").cast("int").alias("show_existing"), (F.col("event_id") % 8).alias("map_idx"), F.col("event_type").isin("click", "purchase").cast("int").alias("show_frame"), ((F.col("event_id") * 37) % 256).alias("refresh_flags"))
+    e = _events(spark, sf_dir, "event_id").select(F.col("user_id").cast("long").alias("stream"), F.col("event_id").cast("long").alias("pos"), F.col("event_id").cast("long").alias("coded_id"), (F.col("event_type") == "view").cast("int").alias("show_existing"), (F.col("event_id") % 8).alias("map_idx"), F.col("event_type").isin("click", "purchase").cast("int").alias("show_frame"), ((F.col("event_id") * 37) % 256).alias("refresh_flags"))
     return jobs.run_available(jobs.incremental_frame_index(e), "append").select("stream", "pos", "coding_order", "display_index")
 
 
-@_add("ss2_late_sse_join")
+@_add("ss2_late_sse_join", "SELECT event_id AS key, value AS bits, CASE WHEN event_id % 5 <> 0 THEN value * 2 END AS sse FROM events WHERE event_id % 5 <> 0 OR ts < (SELECT least(max(ts), max(ts) FILTER (event_id % 5 <> 0) + INTERVAL '5 minutes') FROM events) - INTERVAL '20 minutes'")
 def ss2(spark, sf_dir):  # noqa: ANN001, ANN201
     bits = _events(spark, sf_dir).select(F.col("event_id").alias("key"), "ts", F.col("value").alias("bits"))
     sse = _events(spark, sf_dir).where("event_id % 5 <> 0").select(F.col("event_id").alias("key"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ts"), (F.col("value") * 2).alias("sse"))
@@ -42,10 +44,17 @@ def ss3(spark, sf_dir):  # noqa: ANN001, ANN201
     return out.withColumn("total", F.round("total", 2))
 
 
-@_add("ss4_causal_smooth")
+_CAUSAL = """WITH RECURSIVE r AS (SELECT event_type AS series, event_id AS frame, CAST(value AS DOUBLE) AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
+s AS (SELECT series, frame, v, k, v AS x0, 0.0::DOUBLE AS x1, 4e6::DOUBLE * 4 / (4e6::DOUBLE + 4) AS p00, 0.0::DOUBLE AS p01, 4e6::DOUBLE AS p11 FROM r WHERE k = 1
+UNION ALL SELECT n.series, n.frame, n.v, n.k, x + a / (a + 4) * (n.v - x), y + b / (a + 4) * (n.v - x), (1 - a / (a + 4)) * a, (1 - a / (a + 4)) * b, c - b / (a + 4) * b
+FROM (SELECT series, k, x0 + x1 AS x, x1 AS y, p00 + 2 * p01 + p11 + 0.0005::DOUBLE AS a, p01 + p11 + 0.001::DOUBLE AS b, p11 + 0.002::DOUBLE AS c FROM s) q JOIN r n ON n.series = q.series AND n.k = q.k + 1)
+SELECT series, frame, round(v, 6) AS v, round(x0, 4) AS smooth FROM s"""
+
+
+@_add("ss4_causal_smooth", _CAUSAL)
 def ss4(spark, sf_dir):  # noqa: ANN001, ANN201
-    s = _events(spark, sf_dir).select(F.col("event_type").alias("series"), F.col("event_id").cast("long").alias("frame"), F.col("value").cast("double").alias("v"))
-    return jobs.run_available(jobs.causal_smooth(s, 0.002, 4.0), "append")
+    s = _events(spark, sf_dir, "event_id").select(F.col("event_type").alias("series"), F.col("event_id").cast("long").alias("frame"), F.col("value").cast("double").alias("v"))
+    return jobs.run_available(jobs.causal_smooth(s, 0.002, 4.0), "append").withColumns({"v": F.round("v", 6), "smooth": F.round("smooth", 4)})
 
 
 _KBPS = "SELECT event_type AS stream, strftime({s}, '%Y-%m-%d %H:%M') AS start, count(*) AS frames, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS bytes, round(sum(CAST(floor(value * 100) AS BIGINT)) * 8 / {w} / 1000, 6) AS kbps FROM {f} GROUP BY 1, 2"
@@ -71,7 +80,17 @@ def ss6(spark, sf_dir):  # noqa: ANN001, ANN201
     return jobs.run_available(jobs.picture_session(s, "30 minutes"), "complete")
 
 
-@_add("ss7_dedupe_latest")
+_CHANGES = "WITH t AS (SELECT user_id AS item, ts, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS text FROM events), c AS (SELECT *, text <> coalesce(lag(text) OVER (PARTITION BY item ORDER BY ts, text), '') AS changed FROM t)"
+
+
+@_add("ss7_dedupe_latest", f"{_CHANGES} SELECT item, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, text FROM c WHERE changed")
 def ss7(spark, sf_dir):  # noqa: ANN001, ANN201
-    e = _events(spark, sf_dir).select(F.col("user_id").alias("item"), "ts", F.col("event_type").alias("text"))
-    return jobs.run_available(jobs.dedupe_latest(e, "30 days"), "append").select("item", "text").groupBy("item", "text").agg(F.count("*").alias("n"))
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("item"), "ts", F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("text"))
+    return jobs.run_available(jobs.dedupe_latest(e), "append").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@_add("ss7_live_errors", f"{_CHANGES} SELECT item, text FROM (SELECT item, arg_max(text, {{'t': ts, 'x': text}}) AS text FROM t GROUP BY item) WHERE text <> ''")
+def ss7_live(spark, sf_dir):  # noqa: ANN001, ANN201
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("item"), "ts", F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("text"))
+    changes = jobs.run_available(jobs.dedupe_latest(e), "append")
+    return changes.groupBy("item").agg(F.max(F.struct("ts", "text")).alias("last")).select("item", "last.text").where("text <> ''")

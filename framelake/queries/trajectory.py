@@ -1,5 +1,7 @@
 """Queries of the trajectory family (TR, GM4, GM5, GR5, JN15)."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import trajectory as tr
@@ -76,8 +78,9 @@ def gm4(t):
     return s.select("series", "d", F.round("cost_best", 4).alias("cost_best"), F.round("cost_zero", 4).alias("cost_zero"))
 
 
-@query("gm5_profile_gain", "f_ts", oracle="WITH p AS (SELECT a.series, a.v AS o, b.v AS r FROM f_ts a JOIN f_ts b ON b.series = a.series AND b.frame = a.frame + 1) SELECT series, CAST(least(8192, greatest(2048, floor(covar_pop(o, r) / var_pop(r) * 4096 + 0.5))) AS BIGINT) AS gain_q12 FROM p GROUP BY series")
+@query("gm5_profile_gain", "f_ts", oracle="WITH p AS (SELECT a.series, a.v AS o, b.v AS r FROM f_ts a JOIN f_ts b ON b.series = a.series AND b.frame = a.frame + 1), g AS (SELECT series, covar_pop(o, r) AS c, var_pop(r) AS v FROM p GROUP BY series), w AS (SELECT * FROM g, (VALUES (1), (2), (40), (100)) x(width)) SELECT series, width, CAST(CASE WHEN v <= width * width THEN 4096 ELSE least(8192, greatest(2048, sign(c) * floor(abs(c / v * 4096) + 0.5))) END AS BIGINT) AS gain_q12 FROM w")
 def gm5(t):
-    return tr.profile_gain(t, t, 1)
+    by_width = [tr.profile_gain(t, t, 1, profile_width=w).select("series", F.lit(w).alias("width"), "gain_q12") for w in (1, 2, 40, 100)]
+    return reduce(lambda a, b: a.unionAll(b), by_width)
 
 

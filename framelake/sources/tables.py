@@ -5,32 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SB_SAMPLES = "frame int, sb_row long, sb_col long, grp string, point long, bits double, sse double, samples long"
-SB_BDRATE = ["sb_row", "sb_col", "test", "status", "percent", "degree", "psnr_lo", "psnr_hi", "n_a", "n_b", "bits_a_max", "bits_b_max", "psnr_a_max", "psnr_b_max", "samples"]
+# The columns of the files as they are laid out: readers go by place, so names and order are fixed. sb_x is a column, sb_y a row.
+SB_SAMPLES = "frame int, sb_x long, sb_y long, group string, point long, bits double, sse double, samples long"
+SB_BDRATE = "sb_x long, sb_y long, status int, bdrate double, degree int, psnr_lo double, psnr_hi double, n_a long, n_b long, bits_a_max double, bits_b_max double, psnr_a_max double, psnr_b_max double, samples long"
+STATUSES = ("Ok", "NotEnoughPoints", "NoPsnrOverlap", "Degenerate")  # by number in the file
 BLOCKS = "frame long, x long, y long, w int, h int, bit_start long, bit_end long, syntax string"
-GM_CONTRACT = ["poc", "ref_poc", "win_i", "win_j", "n", "dx", "dy", "cost_zero_x", "cost_best_x"]
-GM_WINDOWS = "poc long, ref_poc long, win_i long, win_j long, n int, dx long, dy int, cost_zero_x long, cost_best_x long, sad2d_zero long, sad2d_best long"
-GM_MODELS = "frame long, algorithm string, ok boolean, p0 double, p1 double, p2 double, p3 double, p4 double, p5 double, inliers long, total long, rms double"
+GM_WINDOWS = (
+    "poc long, ref_poc long, win_i long, win_j long, n int, dx_qpel long, dy_qpel long, accept_x int, accept_y int, cost_best_x long, cost_zero_x long, cost_best_y long, cost_zero_y long, "
+    "a_q_x long, a_q_y long, sad2d_best long, sad2d_zero long, sad2d_no_x long, sad2d_no_y long, dx_coarse long, dy_coarse long"
+)
+GM_CONTRACT = [c.split()[0] for c in GM_WINDOWS.split(", ")[:9]]
+GM_MODELS = "poc long, ref_poc long, type string, ok int, p0 double, p1 double, p2 double, p3 double, p4 double, p5 double, inliers long, total long, rms double"
 CAMERA = "frame long, dx double, dy double, angle double"
 
 
 def read_sb_samples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SB_SAMPLES).csv(path, header=True)
+    """frame, sb_row, sb_col, grp, point, bits, sse (null where the file has a negative one: unknown), samples."""
+    t = spark.read.schema(SB_SAMPLES).csv(path, header=True)
+    return t.select("frame", F.col("sb_y").alias("sb_row"), F.col("sb_x").alias("sb_col"), F.col("group").alias("grp"), "point", "bits", F.when(F.col("sse") >= 0, F.col("sse")).alias("sse"), "samples")
+
+
+def _sb_samples_file(samples: DataFrame) -> DataFrame:
+    return samples.where("samples > 0").select("frame", F.col("sb_col").alias("sb_x"), F.col("sb_row").alias("sb_y"), F.col("grp").alias("group"), "point", "bits", F.coalesce("sse", F.lit(-1.0)).alias("sse"), "samples")
 
 
 def write_sb_samples(samples: DataFrame, path: str) -> None:
-    """Rows without samples are not written; one folder a group."""
+    """Rows without samples are not written; an unknown error is -1."""
+    _sb_samples_file(samples).write.csv(path, header=True)
+
+
+def write_sb_samples_by_group(samples: DataFrame, path: str) -> None:
+    """As write_sb_samples, one folder a group."""
     samples.where("samples > 0").select("frame", "sb_row", "sb_col", "point", "bits", "sse", "samples", "grp").write.partitionBy("grp").csv(path, header=True)
 
 
 def read_sb_samples_by_group(spark: SparkSession, path: str) -> DataFrame:
-    """What write_sb_samples wrote; a filter on grp reads that group's folder only."""
+    """What write_sb_samples_by_group wrote; a filter on grp reads that group's folder only."""
     return spark.read.schema("frame int, sb_row long, sb_col long, point long, bits double, sse double, samples long, grp string").csv(path, header=True)
 
 
 def write_sb_bdrate(report: DataFrame, path: str) -> None:
-    """Failed rows are written with their status and 0 percent."""
-    report.withColumn("percent", F.coalesce("percent", F.lit(0.0))).select(*SB_BDRATE).write.csv(path, header=True)
+    """One folder a test group. Failed rows are written with the number of their status and 0 percent; what a side lacks is 0."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    status = F.array_position(F.array(*[F.lit(x) for x in STATUSES]), F.col("status")).cast("int") - 1
+    files = report.select(F.col("sb_col").alias("sb_x"), F.col("sb_row").alias("sb_y"), status.alias("status"), F.coalesce("percent", F.lit(0.0)).alias("bdrate"), "degree", *map(zero, ("psnr_lo", "psnr_hi", "n_a", "n_b", "bits_a_max", "bits_b_max", "psnr_a_max", "psnr_b_max", "samples")), "test")
+    files.write.partitionBy("test").csv(path, header=True)
+
+
+def read_sb_bdrate(spark: SparkSession, path: str) -> DataFrame:
+    """What write_sb_bdrate wrote, or one file of that layout (then without `test`), with sb_row, sb_col and the name of the status."""
+    t = spark.read.schema(f"{SB_BDRATE}, test string").csv(path, header=True)
+    name = F.element_at(F.array(*[F.lit(x) for x in STATUSES]), F.col("status") + 1)
+    return t.withColumn("status", name).withColumnsRenamed({"sb_x": "sb_col", "sb_y": "sb_row"})
 
 
 def read_block_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -46,17 +72,21 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_gm_windows(spark: SparkSession, path: str, contract_only: bool = False) -> DataFrame:
-    """poc is the display index; the first nine columns are what consumers may rely on, the others are diagnostics."""
-    w = spark.read.schema(GM_WINDOWS).csv(path, header=True)
+    """poc is the display index; the first nine columns are what consumers may rely on, the others are diagnostics. accept_x and accept_y are 0 or 1 in the file."""
+    w = spark.read.schema(GM_WINDOWS).csv(path, header=True).withColumns({c: F.col(c) == 1 for c in ("accept_x", "accept_y")})
     return w.select(*GM_CONTRACT) if contract_only else w
 
 
+def write_gm_windows(windows: DataFrame, path: str) -> None:
+    windows.withColumns({c: F.col(c).cast("int") for c in ("accept_x", "accept_y")}).select(*[c.split()[0] for c in GM_WINDOWS.split(", ")]).write.csv(path, header=True)
+
+
 def _windows(doc: DataFrame) -> DataFrame:
-    f = doc.select(F.explode("frames").alias("f")).select("f.poc", "f.ref_poc", F.explode("f.windows").alias("w"))
-    return f.select("poc", "ref_poc", "w.*")
+    f = doc.select(F.explode("frames").alias("f")).select("f.poc", "f.ref_poc", "f.n", F.explode("f.windows").alias("w"))
+    return f.select("poc", "ref_poc", "n", "w.*")
 
 
-GM_JSON = "frames array<struct<poc: long, ref_poc: long, windows: array<struct<win_i: long, win_j: long, dx: long, dy: long, cost_zero: long, cost_best: long>>>>"
+GM_JSON = "frames array<struct<poc: long, ref_poc: long, n: int, windows: array<struct<win_i: long, win_j: long, dx_qpel: long, dy_qpel: long, accept_x: boolean, accept_y: boolean, cost_best_x: long, cost_zero_x: long, cost_best_y: long, cost_zero_y: long, a_q_x: long, a_q_y: long, sad2d_best: long, sad2d_zero: long, sad2d_no_x: long, sad2d_no_y: long, dx_coarse: long, dy_coarse: long>>>>"
 
 
 def read_gm_json(spark: SparkSession, path: str) -> DataFrame:
@@ -70,7 +100,8 @@ def read_gm_json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gm_models(spark: SparkSession, path: str) -> DataFrame:
-    m = spark.read.schema(GM_MODELS).csv(path, header=True)
+    """poc, ref_poc, type, ok, p (array of 6), inliers, total, rms."""
+    m = spark.read.schema(GM_MODELS).csv(path, header=True).withColumn("ok", F.col("ok") == 1)
     return m.withColumn("p", F.array(*[f"p{i}" for i in range(6)])).drop(*[f"p{i}" for i in range(6)])
 
 
@@ -80,23 +111,30 @@ def nine_digits(c: Column) -> Column:
 
 
 def write_gm_models(models: DataFrame, path: str) -> None:
-    models.withColumns({f"p{i}": nine_digits(F.col(f"p{i}")) for i in range(6)}).write.csv(path, header=True)
+    """models: poc, type, ok, p0..p5, inliers, total, rms; the reference is the picture before."""
+    numbers = {f"p{i}": nine_digits(F.col(f"p{i}")) for i in range(6)} | {"rms": nine_digits(F.col("rms")), "ok": F.col("ok").cast("int"), "ref_poc": F.col("poc") - 1}
+    models.withColumns(numbers).select(*[c.split()[0] for c in GM_MODELS.split(", ")]).write.csv(path, header=True)
 
 
-def trajectory_text(df: DataFrame) -> DataFrame:
+def trajectory_text(df: DataFrame, *keep: str) -> DataFrame:
     """The trajectory columns in fixed decimals: shifts 4, angles 5, scales (exp of the log) 6."""
     out = []
     for part in ("raw", "smooth", "corr"):
         out += [F.format_string("%.4f", F.col(f"{part}_dx")).alias(f"{part}_dx"), F.format_string("%.4f", F.col(f"{part}_dy")).alias(f"{part}_dy"), F.format_string("%.5f", F.col(f"{part}_angle")).alias(f"{part}_angle"), F.format_string("%.6f", F.exp(f"{part}_log_scale")).alias(f"{part}_scale")]
-    return df.select("frame", *out)
+    return df.select(*keep, "frame", *out)
 
 
-def write_trajectory(df: DataFrame, path: str) -> None:
-    trajectory_text(df).orderBy("frame").write.csv(path, header=True)
+def write_trajectory(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Frames in order; with `by`, a column that names the series, one folder a series."""
+    if by is None:
+        trajectory_text(df).orderBy("frame").write.csv(path, header=True)
+    else:
+        trajectory_text(df, by).repartition(by).sortWithinPartitions(by, "frame").write.partitionBy(by).csv(path, header=True)
 
 
-def read_camera_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CAMERA).csv(path, header=True)
+def read_camera_csv(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
+    """frame, dx, dy, angle; with `by`, of a folder for each series."""
+    return spark.read.schema(CAMERA + (f", {by} string" if by else "")).csv(path, header=True)
 
 
 def read_syntax_trace(spark: SparkSession, path: str) -> DataFrame:

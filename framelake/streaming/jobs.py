@@ -120,6 +120,31 @@ def picture_session(slices: DataFrame, gap: str, late: str = "1 hour") -> DataFr
     return g.select("stream", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "slices")
 
 
-def dedupe_latest(errors: DataFrame, late: str) -> DataFrame:
-    """An item's text once while unchanged: repeats within the watermark are ignored, a changed text comes through."""
-    return errors.withWatermark("ts", late).dropDuplicatesWithinWatermark(["item", "text"])
+def dedupe_latest(errors: DataFrame) -> DataFrame:
+    """item, ts, text whenever an item's text changes: a text like the item's last one is ignored, a returning one comes through, an empty one
+    (the item is in order again) comes through once and is nothing to begin with. Rows of an item go by ts within a batch.
+
+    State: each item's last text. The live rows are the latest of each item that are not empty.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts", "text"])
+        text = rows["text"].fillna("")
+        last = text.shift(fill_value=state.get[0] if state.exists else "")
+        state.update((text.iloc[-1],))
+        changed = (text != last).to_numpy()
+        yield pd.DataFrame({"item": key[0], "ts": rows["ts"][changed].to_numpy(), "text": text[changed].to_numpy()})
+
+    kind = errors.schema["item"].dataType.simpleString()
+    return errors.select("item", "ts", "text").groupBy("item").applyInPandasWithState(fold, f"item {kind}, ts timestamp, text string", "text string", "append", GroupStateTimeout.NoTimeout)
+
+
+def replayed(table: DataFrame, order: str, parts: int) -> DataFrame:
+    """A stream of the table's rows in `parts` micro-batches by ranges of `order`: files written one after another, for the file source goes by their age."""
+    path = scratch(table.sparkSession, "replay")
+    number = F.unix_micros(order) if dict(table.dtypes)[order] == "timestamp" else F.col(order).cast("long")
+    edges = sorted(set(table.select(number.alias("n")).approxQuantile("n", [k / parts for k in range(1, parts)], 0.01)))
+    place = sum((number > int(e)).cast("int") for e in edges)
+    for k in range(len(edges) + 1):
+        table.where(place == k).coalesce(1).write.mode("append").parquet(path)
+    return read_stream(table.sparkSession, path, table.schema)

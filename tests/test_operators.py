@@ -162,3 +162,157 @@ def test_block_searches_cover_the_whole_picture(spark):
     assert {at(r): (r.cost, r.dy, r.dx) for r in queries.mv2_whole(t).collect()} == best
     assert {at(r): r.sad for r in queries.mv1_whole(t).collect()} == sad
     assert {at(r): (r.cost, r.candidates) for r in queries.jn14_whole(t).collect()} == {k: (c[0], count[k]) for k, c in best.items()}
+
+
+def test_read_bits_of_57_to_64(spark):
+    data = bytes(range(7, 27))
+    d = spark.createDataFrame([(bytearray(data),)], "d binary")
+    whole = int.from_bytes(data, "big")
+    for start in (0, 3, 13, 96, 97):
+        for n in (57, 60, 63, 64):
+            got = d.select(S.read_bits("d", F.lit(start), n)).first()[0]
+            want = whole >> (160 - start - n) & (1 << n) - 1 if start + n <= 160 else None
+            assert got == (want - (1 << 64) if n == 64 and want is not None and want >> 63 else want), (start, n)
+
+
+def test_vector_rates(spark):
+    # Rates of some magnitudes, at the edges of the four tables and around them.
+    want = {0: 17, 1: 89, 2: 117, 3: 137, 4: 153, 9: 201, 127: 377, 128: 378, 129: 378, 130: 379, 384: 453, 388: 454, 896: 512, 903: 512, 904: 513, 1855: 562, 1856: 0, 5000: 0}
+    d = spark.createDataFrame([(m,) for m in want], "m long")
+    assert {r.m: r.r for r in d.select("m", S.magnitude_rate("m").alias("r")).collect()} == want
+    own = [[10 * t + k for k in range(128)] for t in range(4)]
+    assert d.where("m = 130").select(S.mv_rate(-F.col("m"), F.lit(3), own)).first()[0] == 11 + 3
+
+
+def test_files_of_the_known_layouts(spark, tmp_path):
+    """A header line and rows as the tools write them, read by place."""
+    (tmp_path / "sb.csv").write_text("frame,sb_x,sb_y,group,point,bits,sse,samples\n2,5,7,B,1,120.5,-1,4096\n2,5,8,B,1,7,0,64\n")
+    rows = src.read_sb_samples(spark, str(tmp_path / "sb.csv")).orderBy("sb_row").collect()
+    assert [tuple(r) for r in rows] == [(2, 7, 5, "B", 1, 120.5, None, 4096), (2, 8, 5, "B", 1, 7.0, 0.0, 64)]
+    (tmp_path / "bd.csv").write_text("sb_x,sb_y,status,bdrate,degree,psnr_lo,psnr_hi,n_a,n_b,bits_a_max,bits_b_max,psnr_a_max,psnr_b_max,samples\n3,4,0,-12.5,3,30,40,4,4,100,90,41,42,4096\n3,5,2,0,2,0,0,3,3,1,2,3,4,64\n")
+    rows = src.read_sb_bdrate(spark, str(tmp_path / "bd.csv")).orderBy("sb_row").collect()
+    assert [(r.sb_col, r.sb_row, r.status, r.bdrate, r.samples) for r in rows] == [(3, 4, "Ok", -12.5, 4096), (3, 5, "NoPsnrOverlap", 0.0, 64)]
+    (tmp_path / "gm.csv").write_text("poc,ref_poc,win_i,win_j,n,dx_qpel,dy_qpel,accept_x,accept_y,cost_best_x,cost_zero_x,cost_best_y,cost_zero_y,a_q_x,a_q_y,sad2d_best,sad2d_zero,sad2d_no_x,sad2d_no_y,dx_coarse,dy_coarse\n9,8,1,2,3,-16,4,1,0,10,20,30,40,4096,4100,50,60,70,80,-4,0\n")
+    r = src.read_gm_windows(spark, str(tmp_path / "gm.csv")).first()
+    assert (r.poc, r.win_j, r.dx_qpel, r.accept_x, r.accept_y, r.cost_zero_y, r.a_q_y, r.sad2d_no_y, r.dx_coarse) == (9, 2, -16, True, False, 40, 4100, 80, -4)
+    assert src.read_gm_windows(spark, str(tmp_path / "gm.csv"), True).columns == ["poc", "ref_poc", "win_i", "win_j", "n", "dx_qpel", "dy_qpel", "accept_x", "accept_y"]
+    (tmp_path / "m.csv").write_text("poc,ref_poc,type,ok,p0,p1,p2,p3,p4,p5,inliers,total,rms\n9,8,rotzoom,1,0.5,-0.25,1,0,0,1,40,50,0.125\n")
+    r = src.read_gm_models(spark, str(tmp_path / "m.csv")).first()
+    assert (r.poc, r.ref_poc, r.type, r.ok, r.p, r.inliers, r.total, r.rms) == (9, 8, "rotzoom", True, [0.5, -0.25, 1, 0, 0, 1], 40, 50, 0.125)
+    (tmp_path / "gm.json").write_text('{"input":"a","frames":[\n{"poc":9,"ref_poc":8,"n":3,"windows":[{"win_i":1,"win_j":2,\n"dx_qpel":-16,"dy_qpel":4,"accept_x":true,"accept_y":false,"dx_coarse":-4}]}]}')
+    r = src.read_gm_json(spark, str(tmp_path / "gm.json")).first()
+    assert (r.poc, r.n, r.win_j, r.dx_qpel, r.accept_x, r.accept_y, r.dx_coarse, r.cost_best_x) == (9, 3, 2, -16, True, False, -4, None)
+
+
+def test_gates_of_both_axes(spark):
+    """One window each: both accepted, x only, y fails its pair gate, a pair gate that fails, no displacement."""
+    cols = "poc long, win_i long, win_j long, dx_qpel long, dy_qpel long, dx_coarse long, dy_coarse long, cost_best_x long, cost_zero_x long, cost_best_y long, cost_zero_y long, sad2d_best long, sad2d_zero long, sad2d_no_x long, sad2d_no_y long"
+    rows = [(1, 0, 0, 16, -8, 4, -1, 1, 2, 1, 2, 10, 21, 21, 21), (1, 0, 1, 20, 8, 4, 2, 1, 2, 15, 16, 10, 21, 21, 21), (1, 1, 0, 24, 4, 6, 1, 1, 2, 1, 2, 10, 21, 21, 20), (1, 1, 1, 4, 4, 1, 1, 1, 2, 1, 2, 10, 20, 21, 21), (1, 2, 0, 0, 0, 0, 0, 1, 2, 1, 2, 10, 21, 21, 21)]
+    gated = motion.gates(spark.createDataFrame(rows, cols))
+    got = {(r.win_i, r.win_j): (r.accept_x, r.accept_y) for r in gated.collect()}
+    assert got == {(0, 0): (True, True), (0, 1): (True, False), (1, 0): (True, False), (1, 1): (False, False), (2, 0): (False, False)}
+    assert tuple(motion.frame_summary(gated).first()) == (1, 3, 1, 5, -2, 1) and tuple(motion.totals(gated).first()) == (4, 10)
+    vectors = {(r.win_i, r.win_j, r.kind): (r.dx_qpel, r.dy_qpel, r.accepted) for r in motion.accepted_vectors(gated).collect()}
+    assert vectors[0, 0, "used"] == (16, -8, 2) and vectors[0, 1, "used"] == (20, 0, 1) and vectors[0, 1, "raw"] == (20, 8, 1) and (0, 0, "raw") not in vectors and (1, 1, "used") not in vectors
+
+
+def test_robust_fit_by_hand(spark):
+    """The trials, the floor of inliers and the end of the refits, one key, against plain loops."""
+    import random
+
+    import numpy as np
+
+    def draws(n, k):
+        state, out = n, []
+        for _ in range(motion.TRIALS):
+            own = []
+            while len(own) < k:
+                state = (state * 1103515245 + 12345) % 2**32
+                v = state * n // 2**32
+                if v not in own:
+                    own.append(v)
+            out.append(own)
+        return out
+
+    rng = random.Random(1)
+    for kind, k in (("translation", 1), ("rotzoom", 2), ("affine", 3)):
+        pts = []
+        for i in range(37):
+            x, y = 16 * (i % 8) + 8, 16 * (i // 8) + 8
+            far = i % 4 == 1
+            pts.append((0, "A", 16 * (i % 8), 16 * (i // 8), x, y, x + 3 + rng.uniform(-1, 1) + 30 * far, y - 2 + rng.uniform(-1, 1)))
+        d = spark.createDataFrame([(a, b, float(c), float(e), float(f), float(g), float(h), float(i)) for a, b, c, e, f, g, h, i in pts], "frame int, algorithm string, block_x double, block_y double, px double, py double, qx double, qy double")
+        p, q = np.array([r[4:6] for r in pts]), np.array([r[6:8] for r in pts])
+
+        def judged(m, p=p, q=q):
+            e = [math.hypot(m[0] + m[2] * x + m[3] * y - u, m[1] + m[4] * x + m[5] * y - v) for (x, y), (u, v) in zip(p, q, strict=True)]
+            own = [i for i, v in enumerate(e) if v < motion.INLIER]
+            return len(own), -sum(e[i] ** 2 for i in own), own
+
+        best = None
+        for own in draws(len(pts), k):
+            m = motion._solve(p[own], q[own], kind)
+            if m is not None and (best is None or judged(m)[:2] > best[0][:2]):
+                best = judged(m), m
+        for _ in range(motion.REFITS):
+            m = motion._solve(p[best[0][2]], q[best[0][2]], kind)
+            if m is None or judged(m)[:2] <= best[0][:2]:
+                break
+            grew = judged(m)[0] > best[0][0]
+            best = judged(m), m
+            if not grew:
+                break
+        r = motion.fit_robust(d, kind).first()
+        assert r.ok and r.inliers == best[0][0] and r.total == 37 and [r[f"p{i}"] for i in range(6)] == pytest.approx(list(best[1])), kind
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = [[rng.choice("abcde") for _ in range(rng.randint(0, 25))] for _ in range(2)]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a) - 1, -1, -1):
+            for y in range(len(b) - 1, -1, -1):
+                table[x][y] = table[x + 1][y + 1] + 1 if a[x] == b[y] else max(table[x + 1][y], table[x][y + 1])
+        pairs, degraded = diff._align(a, b)
+        both = [(x, y) for x, y in pairs if x is not None and y is not None]
+        assert not degraded and len(both) == table[0][0] and all(a[x] == b[y] for x, y in both) and both == sorted(both)
+        assert [x for x, _ in pairs if x is not None] == list(range(len(a))) and [y for _, y in pairs if y is not None] == list(range(len(b)))
+    assert diff._align(list("abc" * 9), list("bca" * 9), 100)[1] and not diff._align(list("abc" * 9), list("bca" * 9), None)[1]
+
+
+def test_problems_list_everything_in_order_and_say_what_is_left_out(spark):
+    one = spark.createDataFrame([(5, "e"), (2, "b"), (2, "a"), (None, "n")], "at long, message string")
+    none = one.limit(0)
+    got = [tuple(r) for r in diff.problems({"header": one, "block": none, "decoder": one.limit(1)}, {"decoder": "Error"}, most=3).orderBy("step", "rank").collect()]
+    assert got[:4] == [(0, "header", "Diff", 1, None, "n"), (0, "header", "Diff", 2, 2, "a"), (0, "header", "Diff", 3, 2, "b"), (0, "header", "Info", 4, None, "Only the first 3 of 4 are listed")]
+    assert len(got) == 5 and got[4][:3] == (2, "decoder", "Error")
+
+
+def test_find_diff_goes_from_payload_to_the_displayed_frame(spark):
+    """Unit 3 differs first but is never shown; unit 5 does too and is shown as frame 4: its blocks are compared, those of frame 3 are not."""
+    from framelake.plans.find_diff import find_diff
+
+    sx = spark.createDataFrame([(0, 0, "n", "v")], "section long, idx long, name string, value string")
+    pay = lambda *odd: spark.createDataFrame([(i, 1, "x" if i in odd else "p") for i in range(8)], "ordinal long, unit_type int, payload string")
+    block = lambda *odd: spark.createDataFrame([(f, 0, 0, 16, 16, f, f + 1, "s=1" if f in odd else "s=0") for f in range(8)], "frame long, x long, y long, w int, h int, bit_start long, bit_end long, syntax string")
+    heads = spark.createDataFrame([(0, i, i, 0, 0, 0 if i == 3 else 1, 0) for i in range(8)], "stream int, pos long, coded_id long, show_existing int, map_idx long, show_frame int, refresh_flags long")
+    grid_ = lambda *odd: spark.createDataFrame([(f, 0, 0, x, 1 + (f in odd and x == 2)) for f in range(8) for x in range(4)], "frame long, plane int, y long, x long, v long")
+    errors = spark.createDataFrame([(7, " no such file ")], "item long, text string")
+    got = [(r.source, r["at"], r.message) for r in find_diff(sx, sx, pay(), pay(3, 5), block(), block(3, 4), heads, grid_(), grid_(6), errors, 16, 16).orderBy("step", "rank").collect()]
+    assert got == [("payload", 3, "ContentDiffers"), ("payload", 5, "ContentDiffers"), ("block", 0, "16 positions differ in SB(0, 0): SyntaxDiffers"), ("reconstruction", 6, "Reconstruction differs in 1 samples, pixel (x, y) = (2, 0)"), ("decoder", 7, "no such file")]
+
+
+def test_latest_error_on_a_stream(spark, tmp_path):
+    """A, B, A comes through three times over several batches; repeats and an empty start do not."""
+    import datetime as dt
+
+    from framelake.streaming import jobs
+
+    texts = ["", "A", "A", "B", "B", "A", "", "", "A", "A"]
+    rows = [(1, dt.datetime(2024, 1, 1) + dt.timedelta(hours=k), t) for k, t in enumerate(texts)] + [(2, dt.datetime(2024, 1, 1), None)]
+    stream = jobs.replayed(spark.createDataFrame(rows, "item long, ts timestamp, text string"), "ts", 4)
+    got = [(r.item, r.text) for r in jobs.run_available(jobs.dedupe_latest(stream), "append").orderBy("ts").collect()]
+    assert got == [(1, "A"), (1, "B"), (1, "A"), (1, ""), (1, "A")]

@@ -31,24 +31,6 @@ def key(row):
     return tuple((v is None, str(v)) for v in row)
 
 
-@pytest.mark.parametrize(("name", "cut"), [("rd12_validate_groups", " WHERE c_custkey <= 150"), ("jn18_map_position", " WHERE p.track = 0"), ("sc23_log_height", " WHERE stream IN (0, 1)")])
-def test_whole_query(spark, small, duck, name, cut):
-    """Against the twin without the condition that cuts its rows."""
-    sf_dir, con = small, duck
-    if name == "rd12_validate_groups":  # has more customers than the cut leaves
-        sf_dir, con = small.replace("sf0.001", "sf0.01"), duckdb.connect()
-        con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{sf_dir}/customer.parquet')")
-    df = registry.QUERIES[f"{name}_whole"](spark, sf_dir)
-    sql = registry.ORACLES[name]
-    assert sql.count(cut) == 1
-    q = con.execute(sql.replace(cut, ""))
-    names = sorted(df.columns)
-    at = {d[0]: i for i, d in enumerate(q.description)}
-    want = sorted((tuple(plain(r[at[c]]) for c in names) for r in q.fetchall()), key=key)
-    got = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=key)
-    assert got == want and sorted(at) == names
-
-
 @pytest.mark.parametrize("name", ["rd9_bd_rate", "rd10_bd_rate_report"])
 def test_whole_percent(spark, small, name):
     keys = ("sb_row", "sb_col", "test")
