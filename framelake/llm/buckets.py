@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _LOW = np.uint64((1 << 48) - 1)
+MOST_BITS = 20
 
 
 def text_size(docs: DataFrame, text_col: str = "text") -> int:
@@ -21,28 +22,33 @@ def text_size(docs: DataFrame, text_col: str = "text") -> int:
 
 
 def bits_for(size: int, each: int, least: int = 2) -> int:
-    """log2 of the number of buckets of about `each` bytes that `size` bytes need; at most 16."""
-    return min(16, max(least, math.ceil(math.log2(max(1, size / each)))))
+    """log2 of the number of buckets of about `each` bytes that `size` bytes need; at most MOST_BITS: beyond that many buckets, rows would hold an entry each."""
+    return min(MOST_BITS, max(least, math.ceil(math.log2(max(1, size / each)))))
 
 
 def keys_to_bytes(keys: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def keys_from_bytes(data: bytes, width: int, bucket: int = 0) -> np.ndarray:
-    """With 6 bytes a key, the bucket's number stands in the top 16 bits: no two keys that differ there or in the low 48 bits are confused."""
+def narrowed(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys as 6 bytes and the bucket's number hold them: no two that differ in their top `bits` or in their low 48 bits are confused."""
+    return (top(keys, bits).astype(np.uint64) << np.uint64(min(48, 64 - bits))) | (keys & _LOW)
+
+
+def keys_from_bytes(data: bytes, width: int, bucket: int = 0, bits: int = 16) -> np.ndarray:
+    """The keys of a bucket; with 6 bytes a key as `narrowed` gives them."""
     if width == 8:
         return np.frombuffer(data, "<u8")
     out = np.zeros((len(data) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel() | (np.uint64(bucket) << np.uint64(48))
+    return out.view("<u8").ravel() | (np.uint64(bucket) << np.uint64(min(48, 64 - bits)))
 
 
 def dealt(bucket: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(bucket, its entries' places, its documents, entries of each); entries must come ordered by document."""
     if not len(bucket):
         return
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    order = np.argsort(bucket.astype(np.uint16 if bucket.max() < 1 << 16 else np.uint32), kind="stable")
     at = bucket[order]
     edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     for s, e in zip(edges, [*edges[1:], len(at)], strict=True):

@@ -169,7 +169,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     def shared(group: pa.Table) -> pa.Table:
         release()
         bucket = group["bucket"][0].as_py()
-        key = keys_from_bytes(b"".join(group["keys"].to_pylist()), 6, bucket)
+        key = keys_from_bytes(b"".join(group["keys"].to_pylist()), 6, bucket, bits)
         name, sizes, n = _cat(group["names"], "<i8"), _cat(group["sizes"], "<u4"), _cat(group["counts"], "<u4")
         # A set that several slices hold counts once.
         _, first, which = np.unique(name, return_index=True, return_inverse=True)
@@ -195,7 +195,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     def surviving(group: pa.Table) -> pa.Table:
         release()
-        key = np.concatenate([keys_from_bytes(x, 6, b) for x, b in zip(group["keys"].to_pylist(), group["bucket"].to_pylist(), strict=True)])
+        key = np.concatenate([keys_from_bytes(x, 6, b, bits) for x, b in zip(group["keys"].to_pylist(), group["bucket"].to_pylist(), strict=True)])
         level = _cat(group["levels"], "u1").astype(np.int64)
         name, sizes, n = _cat(group["names"], "<i8"), _cat(group["sizes"], "<u4").astype(np.int64), _cat(group["counts"], "<u4")
         names, first, which = np.unique(name, return_index=True, return_inverse=True)

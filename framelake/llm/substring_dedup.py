@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import bits_for, dealt, keys_from_bytes, keys_to_bytes, text_size, top
+from .buckets import bits_for, dealt, keys_from_bytes, keys_to_bytes, narrowed, text_size, top
 from .words import Words, mix, powers, slices
 
 WINDOW = 20
@@ -86,8 +86,16 @@ class Anchors:
         return np.cumsum(steps)[:n] > 0
 
 
-def _full(key: np.ndarray, bits: int) -> np.ndarray:
-    return (top(key, bits).astype(np.uint64) << _U(48)) | (key & _U((1 << 48) - 1))
+def _digests(words: Words, at: np.ndarray, window: int) -> np.ndarray:
+    """Rows of two 64-bit numbers: the 128-bit BLAKE2b digests of the windows that begin at the words `at`, their words joined by one space."""
+    starts, ends, data = words.start.tolist(), words.end.tolist(), words.data.tobytes()
+    # Where single spaces stand between all words of a window, its bytes are taken as they are.
+    plain = np.concatenate([[0], np.cumsum((words.start[1:] - words.end[:-1] != 1) | (words.data[words.end[:-1]] != 32))]) if len(starts) else np.zeros(1, np.int64)
+    out = []
+    for k, even in zip(at.tolist(), (plain[at] == plain[at + window - 1]).tolist(), strict=True):
+        text = data[starts[k] : ends[k + window - 1]]
+        out.append(hashlib.blake2b(text if even else b" ".join(text.split()), digest_size=16).digest())
+    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
 
 
 _NULL_ID = -(1 << 63)
@@ -116,11 +124,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Earlier is a smaller doc_id, or the same document and an earlier start; windows are judged on the input. Words are split at 0x20 and
     0x09-0x0D and compared as they are. Null and empty texts have no word; texts shorter than a window lose nothing; rows that share a
-    doc_id count as repeats of one document and lose the same words; a null doc_id comes before all others; an empty table gives no row.
+    doc_id count as repeats of one document and lose the same words; a null doc_id comes before all others (and shares its place with -2^63);
+    an empty table gives no row; other columns are ignored.
 
     Steps: (1) symbols with their contexts, packed by hash range, (2) those seen twice or more anywhere go back to the home bucket of the
-    documents that hold them, (3) windows that hold no symbol of a single occurrence are hashed whole; each home keeps the first of equals
-    and (4) the first over all homes is found by hash range, (5) the others' words are left out. A passage that very many documents share
+    documents that hold them, (3) windows that hold no symbol of a single occurrence are taken whole, by a 128-bit BLAKE2b digest of their
+    words, so that no two unlike windows are taken for one, whatever the names of symbols; each home keeps the first of equals and (4) the
+    first over all homes is found by digest range, (5) the others' words are left out. A passage that very many documents share
     is one entry a home, however often it occurs there.
     """
     size = text_size(docs, text_col)
@@ -157,7 +167,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def shared(group: pa.Table) -> pa.Table:
         bucket = group["bucket"][0].as_py()
-        key, home = keys_from_bytes(b"".join(group["keys"].to_pylist()), 6, bucket), np.repeat(_joined(group["homes"], "<i4"), _joined(group["counts"], "<u4"))
+        key, home = keys_from_bytes(b"".join(group["keys"].to_pylist()), 6, bucket, bits), np.repeat(_joined(group["homes"], "<i4"), _joined(group["counts"], "<u4"))
         order = np.argsort(key)
         key, home = key[order], home[order]
         again = np.zeros(len(key), bool)
@@ -176,27 +186,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not left.num_rows:
             return _table([], schema)
         home = left["home"][0].as_py()
-        known = [keys_from_bytes(k, 6, b) for b, k in zip(right["bucket"].to_pylist(), right["keys"].to_pylist(), strict=True)]
+        known = [keys_from_bytes(k, 6, b, bits) for b, k in zip(right["bucket"].to_pylist(), right["keys"].to_pylist(), strict=True)]
         known = np.sort(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         hashes, ids, starts = [], [], []
         for chunk in left.to_batches():
             for lo, hi in slices(chunk.column(1)):
                 words = Words(chunk.column(1).slice(lo, hi - lo))
                 found = Anchors(words, window)
-                key = _full(found.key, bits)
+                key = narrowed(found.key, bits)
                 at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
                 once = known[at] != key if len(known) else np.ones(len(key), bool)
-                grams, inside = words.windows(window)
-                left_over = np.flatnonzero(inside & ~found.cover(words, once, window)[: len(grams)])
-                doc = np.repeat(np.arange(words.docs), words.counts)[left_over]
-                hashes.append(grams[left_over])
+                every = np.repeat(np.arange(words.docs), words.counts)
+                m = max(0, len(every) - window + 1)
+                left_over = np.flatnonzero((every[:m] == every[len(every) - m :]) & ~found.cover(words, once, window)[:m])
+                doc = every[left_over]
+                hashes.append(_digests(words, left_over, window))
                 ids.append(chunk.column(0).to_numpy()[lo:hi][doc])
                 starts.append(left_over - words.first[doc])
         h, i, s = np.concatenate(hashes), np.concatenate(ids), np.concatenate(starts)
-        order = np.lexsort((s, i, h))
+        order = np.lexsort((s, i, h[:, 1], h[:, 0]))
         h, i, s = h[order], i[order], s[order]
         first = _first_of(h, i, s)
-        rows_ = [(b, home, False, keys_to_bytes(h1[own], 8), d.astype("<i8").tobytes(), n.astype("<u4").tobytes(), s1[own].astype("<u4").tobytes()) for h1, i1, s1 in [_by_document(h[first], i[first], s[first])] for b, own, d, n in dealt(top(h1, bits), i1)]
+        rows_ = [(b, home, False, np.ascontiguousarray(h1[own]).tobytes(), d.astype("<i8").tobytes(), n.astype("<u4").tobytes(), s1[own].astype("<u4").tobytes()) for h1, i1, s1 in [_by_document(h[first], i[first], s[first])] for b, own, d, n in dealt(top(h1[:, 0], bits), i1)]
         if not first.all():
             _, i2, s2 = _by_document(h[~first], i[~first], s[~first])
             b, own, d, n = next(dealt(np.zeros(len(i2), np.int64), i2))
@@ -207,10 +218,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = [(r["home"], r["ids"], r["counts"], r["starts"]) for r in group.filter(group["final"]).to_pylist()]
         open_ = group.filter(pc.invert(group["final"]))
         if open_.num_rows:
-            h, n = _joined(open_["keys"], "<u8"), _joined(open_["counts"], "<u4")
+            h, n = _joined(open_["keys"], "<u8").reshape(-1, 2), _joined(open_["counts"], "<u4")
             i, s = np.repeat(_joined(open_["ids"], "<i8"), n), _joined(open_["starts"], "<u4").astype(np.int64)
-            home = np.repeat(open_["home"].to_numpy(), [len(k) // 8 for k in open_["keys"].to_pylist()])
-            order = np.lexsort((s, i, h))
+            home = np.repeat(open_["home"].to_numpy(), [len(k) // 16 for k in open_["keys"].to_pylist()])
+            order = np.lexsort((s, i, h[:, 1], h[:, 0]))
             h, i, s, home = h[order], i[order], s[order], home[order]
             gone = ~_first_of(h, i, s)
             i, s, home = i[gone], s[gone], home[gone]
@@ -255,10 +266,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _first_of(h: np.ndarray, i: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Of entries sorted by (h, i, s): which equal the first of their h in document and start."""
+    """Of entries sorted by (h, i, s), h rows of two numbers: which equal the first of their h in document and start."""
     if not len(h):
         return np.zeros(0, bool)
-    new = np.concatenate([[True], h[1:] != h[:-1]])
+    new = np.concatenate([[True], (h[1:] != h[:-1]).any(1)])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
     return (i == i[lead]) & (s == s[lead])
 
