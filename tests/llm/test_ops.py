@@ -315,6 +315,44 @@ def test_substring_dedup(docs, empty):
     assert len(twice) == 2 * len(ROWS) and {(r.doc_id, r.n_removed) for r in twice} == {(i, v[1]) for i, v in got.items()}
 
 
+def test_substring_dedup_with_clashing_names(spark):
+    """Names of words that clash all the time change nothing: windows are told apart by their words. Any white space, nulls, clashing columns."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(40)}" for _ in range(60)]
+    rows = []
+    for i in range(60):
+        w = list(base) if i % 3 else [f"w{rng.randrange(40)}" for _ in range(60)]
+        if i % 3 == 2:
+            w[rng.randrange(60)] = "x"
+        rows.append((i if i else None, rng.choice([" ", "\t", " \n "]).join(w) if i % 2 else " ".join(w[:30]) + "  " + "\x0b".join(w[30:]), i % 4, "k"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, home int, ids string").repartition(3)
+    want = brute_repeats({-1 if r[0] is None else r[0]: r[1] for r in rows})
+    cut = substring_dedup.remove_repeats(d).collect()
+    assert {-1 if r.doc_id is None else r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in cut} == want
+    import pyarrow as pa
+
+    texts = [r[1] for r in rows]
+    found = words.Words(pa.array(texts))
+    found.hash = found.hash * np.uint64(0)  # all names alike: windows are still told apart, by their words
+    at = np.concatenate([np.arange(found.first[k], found.first[k + 1] - 19) for k in range(len(texts))])
+    got = substring_dedup._digests(found, at, 20)
+    plain = [hashlib.blake2b(" ".join(split(t)[a : a + 20]).encode(), digest_size=16).digest() for t in texts for a in range(len(split(t)) - 19)]
+    assert got.tobytes() == b"".join(plain)
+
+
+def test_narrowed_keys():
+    rng = np.random.default_rng(5)
+    from framelake.llm import buckets
+
+    keys = rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for bits in (4, 16, 20):
+        for k in keys[:100]:
+            one = np.array([k])
+            at = int(buckets.top(one, bits)[0])
+            assert buckets.keys_from_bytes(buckets.keys_to_bytes(one, 6), 6, at, bits)[0] == buckets.narrowed(one, bits)[0]
+        assert len(np.unique(buckets.narrowed(keys, bits))) == len(np.unique(keys))
+
+
 def test_symbols_depend_on_their_context_only():
     rng = random.Random(9)
     import pyarrow as pa
