@@ -2,12 +2,15 @@
 
 The rules (assignments, access keys, long hex runs) always hold. The battery looks at the other long tokens, and
 at the pieces of a token between "/" and "=", and between these, "_" and "-", so that a path or a name before a secret is not mixed with
-it. Their encoding is inferred (hex, base32, base36, base64; separators within one case and digits are no symbols), then
-  - chi-squared uniformity over the character classes of that alphabet and, for long tokens, over its symbols, and
-  - the lag-1 serial correlation of symbol values must both not reject randomness;
-  - a runs test gives the chance that written text, which rarely changes character class, would alternate as often as the token does.
-That chance is the p-value of calling the token a secret. Benjamini-Hochberg thresholds hold the false-discovery rate, apart for each
-length class, over every such token and piece of the corpus: one pass counts p-values by class and bin, the next one marks.
+it. Their encoding is inferred (hex, base32, base36, base64; separators within one case and digits are no symbols). Then
+
+  - against randomness: chi-squared uniformity over the alphabet's character classes and over its symbols, a runs test on the switches of
+    class, and the lag-1 serial correlation of symbol values. Their p-values are combined (Fisher); a token whose randomness is rejected is none;
+  - against written text: that text, which rarely changes class, would switch as often, and, where the alphabet is large enough to tell,
+    that text, which repeats its common letters, would repeat as few. Combined likewise, this is the p-value of calling the token a secret.
+
+Benjamini-Hochberg thresholds hold the false-discovery rate, apart for each length class, over every such token and piece of the corpus: one
+pass counts p-values by class and bin, the next one marks. Tokens under MIN_TOKEN characters never reach the battery.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "random")
 MIN_TOKEN, RATE, REJECT = 20, 1e-3, 1e-3  # shortest token of the battery, false-discovery rate, level at which randomness is rejected
 TEXT_SWITCH = 0.1  # chance that written text changes character class from one character to the next
+TEXT_REPEAT = 0.05  # chance that two characters of written text are the same
 LENGTH_CLASSES = (20, 28, 40, 64, 128)
 BINS = 400  # of -2 log10 p
 
@@ -70,53 +75,91 @@ def _chi2_tail(x: float, df: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(token: str) -> float | None:
-    """-log10 of the p-value of calling the token a secret; None where no encoding fits or randomness is rejected."""
-    body = token.strip("=-_")
-    n = len(body)
-    if n < MIN_TOKEN:
-        return None
-    kinds = [_class(c) for c in body]
-    seen = set(kinds)
-    if _OTHER in seen and not {_UPPER, _LOWER} <= seen:  # separators of a word list would count as switches
-        body = "".join(c for c, k in zip(body, kinds, strict=True) if k != _OTHER)
-        kinds = [k for k in kinds if k != _OTHER]
-        n, seen = len(body), set(kinds)
-        if n < MIN_TOKEN:
-            return None
-    if len(seen) < 2:
-        return None
+@lru_cache(maxsize=65536)
+def _few_repeats(n: int, pairs: int) -> float:
+    """-log10 of P(at most so many equal pairs among n characters of written text), their number taken for Poisson."""
+    mean = TEXT_REPEAT * n * (n - 1) / 2
+    logs = [i * math.log(mean) - mean - math.lgamma(i + 1) for i in range(min(pairs, int(mean + 20 * math.sqrt(mean))) + 1)]
+    top = max(logs)
+    return max(0.0, -(top + math.log(sum(math.exp(x - top) for x in logs))) / math.log(10))
+
+
+def _both_sides(z: float) -> float:
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def _fisher(tens: list[float]) -> float:
+    """-log10 of the p-value that joins independent ones, given as -log10 each: the tail of chi-squared with two degrees of freedom a test."""
+    half = math.log(10) * sum(tens)
+    term, logs = 0.0, []
+    for k in range(len(tens)):
+        logs.append(term)
+        term += math.log(half / (k + 1)) if half else -math.inf
+    top = max(logs)
+    return max(0.0, (half - top - math.log(sum(math.exp(x - top) for x in logs))) / math.log(10))
+
+
+def _encoding(body: str, kinds: list[int]) -> tuple[str, dict[int, float]] | None:
+    """The symbols of the encoding that the token fits, and the share of each character class in it."""
+    seen, n = set(kinds), len(body)
     if all(c in "0123456789abcdef" for c in body) or all(c in "0123456789ABCDEF" for c in body):
-        symbols, share = "0123456789abcdef", {_DIGIT: 10 / 16, kinds[next(i for i, k in enumerate(kinds) if k != _DIGIT)]: 6 / 16}
-        body = body.lower()
-    elif all(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for c in body):
-        symbols, share = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", {_UPPER: 26 / 32, _DIGIT: 6 / 32}
-    elif _DIGIT in seen and len(seen) == 2:
+        return ("0123456789abcdef" if _LOWER in seen else "0123456789ABCDEF"), {_DIGIT: 10 / 16, (seen - {_DIGIT}).pop(): 6 / 16}
+    if all(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for c in body):
+        return "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", {_UPPER: 26 / 32, _DIGIT: 6 / 32}
+    if _DIGIT in seen and len(seen) == 2:
         letter = (seen - {_DIGIT}).pop()
-        symbols, share = ("0123456789" + ("abcdefghijklmnopqrstuvwxyz" if letter == _LOWER else "ABCDEFGHIJKLMNOPQRSTUVWXYZ")), {_DIGIT: 10 / 36, letter: 26 / 36}
-    elif {_UPPER, _LOWER} <= seen:
-        symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + "+/-_" * (_OTHER in seen)
+        if letter == _OTHER:
+            return None
+        return "0123456789" + ("abcdefghijklmnopqrstuvwxyz" if letter == _LOWER else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), {_DIGIT: 10 / 36, letter: 26 / 36}
+    if {_UPPER, _LOWER} <= seen:
         # Without a digit: letters alone, where so many draws of all would hardly lack one.
         share = {_UPPER: 26, _LOWER: 26} | ({_DIGIT: 10} if _DIGIT in seen or (52 / 62) ** n > REJECT else {}) | ({_OTHER: 2} if _OTHER in seen else {})
         total = sum(share.values())
-        share = {k: v / total for k, v in share.items()}
-    else:
-        return None
-    counts = [sum(k == s for k in kinds) for s in share]
-    chi = sum((c - n * q) ** 2 / (n * q) for c, q in zip(counts, share.values(), strict=True))
-    if _chi2_tail(chi, len(share) - 1) < REJECT:
-        return None
+        symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "0123456789" * (_DIGIT in share) + ("+/" if set("+/") & set(body) else "-_") * (_OTHER in seen)
+        return symbols, {k: v / total for k, v in share.items()}
+    return None
+
+
+def randomness(body: str, kinds: list[int], symbols: str, share: dict[int, float]) -> float:
+    """-log10 of the combined p-value of uniformity, runs and serial correlation for draws from the encoding."""
+    n = len(body)
+    classes = sum((sum(k == s for k in kinds) - n * q) ** 2 / (n * q) for s, q in share.items())
     at = [symbols.find(c) for c in body]
-    if n >= 5 * len(symbols) and _chi2_tail(sum((at.count(s) - n / len(symbols)) ** 2 for s in range(len(symbols))) * len(symbols) / n, len(symbols) - 1) < REJECT:
-        return None
+    counts, size = Counter(at), len(symbols)
+    # Chi-squared over the symbols by its exact mean and variance, which hold for short tokens too.
+    chi = sum(c * c for c in counts.values()) * size / n - n
+    z = (chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+    uniform = min(1.0, 2 * min(_chi2_tail(classes, len(share) - 1), 0.5 * math.erfc(z / math.sqrt(2))))
+    # Switches of class: neighbouring ones depend on each other.
+    q = share.values()
+    s = 1 - sum(x * x for x in q)
+    var = (n - 1) * s * (1 - s) + 2 * (n - 2) * (sum(x * (1 - x) ** 2 for x in q) - s * s)
+    runs = _both_sides((sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) - (n - 1) * s) / math.sqrt(var))
     mean = sum(at) / n
     spread = sum((a - mean) ** 2 for a in at)
-    if not spread:
+    serial = _both_sides((sum((a - mean) * (b - mean) for a, b in zip(at, at[1:], strict=False)) / spread + 1 / n) * math.sqrt(n)) if spread else 0.0
+    return _fisher([-math.log10(max(p, 1e-300)) for p in (uniform, runs, serial)])
+
+
+def battery(token: str) -> float | None:
+    """-log10 of the p-value of calling the token a secret; None where no encoding fits or randomness is rejected."""
+    body = token.strip("=-_")
+    kinds = [_class(c) for c in body]
+    seen = set(kinds)
+    if _OTHER in seen and not {_UPPER, _LOWER} <= seen:  # separators of a word list would count as switches
+        body = "".join(c for c, k in zip(body, kinds, strict=True) if k != _OTHER)
+        kinds = [k for k in kinds if k != _OTHER]
+        seen = set(kinds)
+    n = len(body)
+    if n < MIN_TOKEN or len(seen) < 2 or (fit := _encoding(body, kinds)) is None:
         return None
-    z = sum((a - mean) * (b - mean) for a, b in zip(at, at[1:], strict=False)) / spread * math.sqrt(n)
-    if math.erfc(abs(z) / math.sqrt(2)) < REJECT:
+    symbols, share = fit
+    if randomness(body, kinds, symbols, share) > -math.log10(REJECT):
         return None
-    return _tail(n - 1, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)))
+    tests = [_tail(n - 1, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)))]
+    if 1 / len(symbols) < TEXT_REPEAT / 2:
+        tests.append(_few_repeats(n, sum(c * (c - 1) // 2 for c in Counter(body).values())))
+    return _fisher(tests)
 
 
 def _length_class(n: int) -> int:
@@ -145,6 +188,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def calibrate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[int, int]:
     """Lowest bin that counts as a secret, by length class, from the p-values of all tokens and pieces (Benjamini-Hochberg step-up on binned counts).
 
+    Null and empty texts have no token; a class without tokens, as all have in an empty table, marks nothing; each repeat of a row counts;
+    texts of any length are read whole; other columns are ignored.
+
     Only counts by (class, bin) - at most len(LENGTH_CLASSES) x (BINS + 1) rows - reach the driver.
     """
 
@@ -207,7 +253,10 @@ def scan(docs: DataFrame, thresholds: dict[int, int], id_col: str = "doc_id", te
 
 
 def redact(docs: DataFrame, thresholds: dict[int, int], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with every span of its texts put out by `mark` (overlapping spans by one); other columns, null and clean texts stay."""
+    """`docs` with every span of its texts put out by `mark` (overlapping spans by one); other columns, whatever their names, null and clean texts stay.
+
+    Repeated rows are treated alike and each stays; an empty table gives no row; each row is worked on alone, its text whole.
+    """
 
     def clean(text: str | None) -> str | None:
         if not text:
