@@ -490,6 +490,128 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.scan(docs, limits).count() == len(ROWS)
 
 
+def brute_base(text):
+    """The three rules character by character, each leftmost and non-overlapping."""
+    out, n = [], len(text)
+    run = lambda at, allowed: next((k for k in range(at, n) if text[k] not in allowed), n)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    value = set(letters + "0123456789+/_.=-")
+    at = 0
+    while at < n:
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            k = at + len(word)
+            if len(text[at:k]) == len(word) and all(c in letters + "_" and c.lower() == w for c, w in zip(text[at:k], word, strict=True)):
+                k += k < n and text[k] in "\"'"
+                k = run(k, " ")
+                if k < n and text[k] in ":=":
+                    k = run(k + 1, " ")
+                    k += k < n and text[k] in "\"'"
+                    e = run(k, value)
+                    if e > k:
+                        end = e
+                        if e - k >= 8:
+                            out.append((at, 0, e))
+                        break
+        at = end or at + 1
+    at = 0
+    while (at := text.find("AKIA", at)) >= 0:
+        e = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        if e == at + 4:
+            at += 1
+            continue
+        if e - at >= 16:
+            out.append((at, 1, e))
+        at = e
+    at = 0
+    while at < n:
+        e = run(at, set("0123456789abcdef"))
+        if e - at >= 32:
+            out.append((at, 2, e))
+        at = max(e, at + 1)
+    return sorted(out)
+
+
+def brute_tokens(text):
+    """Maximal runs of token characters and their pieces, of MIN_TOKEN characters or more."""
+    found = set()
+    for cuts in ("", "/=", "/=_-"):
+        start = None
+        for k, c in enumerate(text + "\0"):
+            good = (c.isascii() and c.isalnum()) or c in "+/_=-"
+            if good and c not in cuts:
+                start = k if start is None else start
+            elif start is not None:
+                if k - start >= secret_scan.MIN_TOKEN:
+                    found.add((start, k))
+                start = None
+    return found
+
+
+def test_secrets_by_their_definition(spark, small):
+    """Base spans by hand; thresholds by Benjamini-Hochberg over all tokens; every span that passes them and no other. Repeated rows, clashing columns."""
+    rng = random.Random(17)
+    d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    parts = ["password", "Secret", "TOKEN", "api_key", "apikey", "passwd", '"', "'", "=", ":", " ", "AKIA", "AKIAABCDEFGH1234", "abcdef0123456789" * 2, "0f" * 15, "x_y", "é", "hunter2!", "Zz9+/", "K"]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(600)]
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    odd += [f"of/{''.join(rng.choices(symbols, k=rng.randint(20, 70)))}-x{'y' * rng.randint(0, 30)}" for _ in range(200)]
+    texts = {r.doc_id: r.text for r in d.collect()} | {10**6 + k: t for k, t in enumerate(odd)}
+    table = spark.createDataFrame([(i, t, 1, "s") for i, t in texts.items()], "doc_id long, text string, n int, spans string").repartition(4)
+    seen = defaultdict(list)
+    of = {}
+    for i, t in texts.items():
+        for a, b in brute_tokens(t or ""):
+            p = secret_scan.battery(t[a:b])
+            size = max(k for k, c in enumerate(secret_scan.LENGTH_CLASSES) if b - a >= c)
+            seen[size].append(-1 if p is None else min(secret_scan.BINS - 1, int(2 * p)))
+            of[i, a, b] = size, seen[size][-1]
+    want = {}
+    for size in range(len(secret_scan.LENGTH_CLASSES)):
+        own = seen[size]
+        passing = [b for b in set(own) if b >= 0 and 10 ** (-b / 2) <= secret_scan.RATE * sum(x >= b for x in own) / len(own)]
+        want[size] = min(passing, default=secret_scan.BINS)
+    limits = secret_scan.calibrate(table)
+    assert {k: [b for _, b in of.values() if b >= v and _ == k] for k, v in limits.items()} == {k: [b for _, b in of.values() if b >= v and _ == k] for k, v in want.items()}
+    rows = secret_scan.scan(table.unionAll(table), limits).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        t = texts[r.doc_id] or ""
+        base = brute_base(t)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in base) for x in range(3)), t
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        found = {(a, b) for (i, a, b), (size, p) in of.items() if i == r.doc_id and p >= want[size] and not any(a < y and x < b for x, _, y in base)}
+        found = {(a, b) for a, b in found if not any((x, y) != (a, b) and x <= a and b <= y for x, y in found)}
+        got = {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random")}
+        assert got == found, (t, got, found)
+
+
+def test_secret_battery_is_calibrated():
+    """Draws from each encoding are rejected as often as the level says; the combined tails are those of their distributions."""
+    import math
+
+    rng = random.Random(2)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for symbols in (digits + "abcdef", upper + "234567", lower + digits, upper + lower + digits, upper + lower + digits + "-_"):
+        for n in (24, 60, 400):
+            below = 0
+            for _ in range(600):
+                body = "".join(rng.choices(symbols, k=n))
+                kinds = [secret_scan._class(c) for c in body]
+                fit = secret_scan._encoding(body, kinds)
+                below += secret_scan.randomness(body, kinds, *fit) > -math.log10(0.05)
+            assert below <= 0.11 * 600, (symbols, n, below)
+    for tens in ([0.5], [1.0, 2.0], [0.2, 3.0, 0.0]):
+        x = math.log(10) * sum(tens)
+        tail = math.exp(-x) * sum(x**k / math.factorial(k) for k in range(len(tens)))
+        assert secret_scan._fisher(tens) == pytest.approx(-math.log10(tail))
+    for n, c in ((20, 0), (20, 3), (40, 39), (30, 60)):
+        mean = secret_scan.TEXT_REPEAT * n * (n - 1) / 2
+        assert secret_scan._few_repeats(n, c) == pytest.approx(max(0.0, -math.log10(sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(c + 1)))), abs=1e-6)
+    text = ["getElementByIdFromTheDocument", "com/files/download/shared/documents/annual-report-2024", "HttpServletRequestWrapperFactoryBean", "abcabcabcabcabcabcabc123", "1234567890abcdefghij1234567890", "aB1" * 8]
+    assert [secret_scan.battery(t) for t in text] == [None] * len(text)
+
+
 def test_secrets_behind_names_and_paths(spark):
     rng = random.Random(6)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
