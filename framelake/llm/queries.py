@@ -74,4 +74,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+def _words(text: str) -> str:
+    """DuckDB: the words of a text."""
+    return rf"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: DuckDB SQL by the plain definitions: all pairs that share a shingle and their closure; every window numbered among its equals.
+ORACLES: dict[str, str] = {
+    "op3_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_words(_LOWER)} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k, any_value(a.n) AS n, any_value(b.n) AS m FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM c WHERE 100 * k >= 75 * (n + m - k)), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)""",
+    "op5_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_words('text')} AS ws FROM documents), p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 19 <= len(ws) THEN array_to_string(ws[i : i + 19], ' ') END AS run FROM p),
+f AS (SELECT doc_id, i, word, CASE WHEN run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS again FROM g),
+k AS (SELECT doc_id, i, word, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS cut FROM f),
+t AS (SELECT doc_id, CAST(sum(cut) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (cut = 0) AS kept FROM k GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, coalesce(t.n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM w LEFT JOIN t USING (doc_id)""",
+}
