@@ -801,6 +801,21 @@ def test_decontaminate_small_items(spark):
     assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 700
 
 
+@pytest.mark.parametrize("name", ["op3_ngram_join", "op5_substring_dedup"])
+def test_queries_against_sql(spark, small, name):
+    import duckdb
+
+    from framelake.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{small}/documents.parquet')")
+    got = queries.QUERIES[name](spark, small)
+    q = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in q.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(q.fetchall()) == sorted(tuple(r[c] for c in names) for r in got.collect())
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
