@@ -801,6 +801,34 @@ def test_decontaminate_small_items(spark):
     assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 700
 
 
+def test_pipeline_stages_on_odd_rows(spark, small):
+    """Every stage over nulls in any column, empty and long texts, repeated rows, extra columns of clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    good = [" ".join(rng.choice(["stone", "river", "green", "walks", "under", "light", "seven", "house", "quiet", "table"]) + str(rng.randrange(99)) for _ in range(60)) for _ in range(30)]
+    rows = [(i, t, rng.choice(["en", None]), rng.choice(["s", None]), None, "c", 1, "k") for i, t in enumerate(good)]
+    rows += [rows[3], rows[3], (None, good[5], None, None, None, None, None, None), (None, good[5], None, None, None, None, None, None), (100, None, "en", "s", 0, "c", 1, "k"), (101, "", "en", "s", 0, "c", 1, "k"), (102, " ".join(good) * 40, "en", "s", 0, "c", 1, "k")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, distance string, level int, gone_id string"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    text = {tuple(r)[:2] for r in rows}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out, none = stage(spark, docs, small), stage(spark, docs.limit(0), small)
+        assert none.count() == 0, name
+        if k == 4:
+            assert out.count() == len(rows)
+            continue
+        got = out.collect()
+        assert out.columns == none.columns == docs.columns and {tuple(r)[:2] for r in got} <= text, name
+        ids = [r.doc_id for r in got]
+        if name == "quality rules":
+            assert 100 not in ids and 101 not in ids and ids.count(3) in (0, 3)
+        elif name == "n-gram Jaccard join":
+            assert ids.count(3) == 1 and ids.count(None) == 2 and 100 in ids and 101 in ids
+        else:
+            assert len(got) == len(rows), name
+
+
 @pytest.mark.parametrize("name", ["op3_ngram_join", "op5_substring_dedup"])
 def test_queries_against_sql(spark, small, name):
     import duckdb
