@@ -1,7 +1,8 @@
 """Two-dimensional sample grids in long form (frame, y, x, v): statistics, stencils, resampling, comparison.
 
-Stencils scatter: every sample is sent to the places whose window holds it, so one shuffle on (frame, y, x) does. Borders replicate: a
-sample on an edge also stands for those beyond it.
+Stencils work on rows: a row of samples is one array, the rows above and below come by window lags, and what a place needs are slices of
+these arrays, so that no sample is sent more than once, however large the kernel. Planes are whole: x and y count from 0 without gaps.
+Borders replicate: a sample on an edge also stands for those beyond it.
 """
 
 from __future__ import annotations
@@ -30,28 +31,30 @@ def to_int(v: Column, low: int = 0, high: int = 255) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), F.floor(v + 0.5))).cast("long")
 
 
-def _axis(at: str, edge: str, reach: int) -> Column:
-    """Where along one axis a sample takes part: at - d for |d| <= reach inside, with the copies beyond an edge that it stands for; structs (to, d)."""
-    d = F.sequence(F.lit(-reach), F.lit(reach))
-    own = F.transform(d, lambda k: F.struct((F.col(at) - k).alias("to"), k.alias("d")))
-    pad = F.sequence(F.lit(1), F.lit(reach))
-    low = F.when(F.col(at) == 0, F.flatten(F.transform(d, lambda k: F.transform(pad, lambda p: F.struct((-p - k).cast("long").alias("to"), k.alias("d")))))).otherwise(F.slice(own, 1, 0))
-    high = F.when(F.col(at) == F.col(edge), F.flatten(F.transform(d, lambda k: F.transform(pad, lambda p: F.struct((F.col(edge) + p - k).alias("to"), k.alias("d")))))).otherwise(F.slice(own, 1, 0))
-    inside = lambda s: (s["to"] >= 0) & (s["to"] <= F.col(edge))
-    return F.filter(F.concat(own, low, high), inside)
+def _by_window(grid: DataFrame, reach: list[int], make: Callable[[Column, Column], Column]) -> DataFrame:
+    """frame, y, x, v: `make(samples, centre)` for every place; samples: those of its window in raster order, of a row at distance d from it
+    2 reach[|d|] + 1 (none where that is negative)."""
+    most = len(reach) - 1
+    row = grid.groupBy("frame", F.col("y").cast("long").alias("y")).agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("row"))
+    w = Window.partitionBy("frame").orderBy("y")
+    beside = lambda move, d: F.coalesce(*[move("row", k).over(w) for k in range(d, 0, -1)], F.col("row"))  # noqa: E731  beyond the edge: the row nearest to it
+    rows = [beside(F.lag, -d) if d < 0 else beside(F.lead, d) for d in range(-most, most + 1)]
+    pad = max(reach)
+    wide = lambda c: F.concat(F.array_repeat(F.get(c, F.lit(0)), pad), c, F.array_repeat(F.element_at(c, -1), pad))
+    near = row.select("frame", "y", "row", *[r.alias(f"n{i}") for i, r in enumerate(rows)]).select("frame", "y", "row", *[wide(F.col(f"n{i}")).alias(f"n{i}") for i in range(len(rows))])
+    parts = [(f"n{i}", reach[abs(i - most)]) for i in range(len(rows)) if reach[abs(i - most)] >= 0]
+    window = lambda x: F.flatten(F.array(*[F.slice(F.col(n), x + (pad - r + 1), F.lit(2 * r + 1)) for n, r in parts]))
+    made = F.transform(F.sequence(F.lit(0), F.size("row") - 1), lambda x: make(window(x), F.get(F.col("row"), x)))
+    return near.select("frame", "y", F.posexplode(made).alias("x", "v")).select("frame", "y", F.col("x").cast("long").alias("x"), "v")
 
 
-def scatter(grid: DataFrame, reach: int) -> DataFrame:
-    """(frame, y, x, dy, dx, w): every sample w of the (2 reach + 1)^2 window of every place, borders replicated."""
-    e = _with_edges(grid).withColumns({"x": F.col("x").cast("long"), "y": F.col("y").cast("long")})
-    rows = e.select("frame", "x", "mx", F.col("v").alias("w"), F.explode(_axis("y", "my", reach)).alias("ty"))
-    return rows.select("frame", F.col("ty.to").alias("y"), F.col("ty.d").alias("dy"), "w", F.explode(_axis("x", "mx", reach)).alias("tx")).select("frame", "y", F.col("tx.to").alias("x"), "dy", F.col("tx.d").alias("dx"), "w")
+def _square(k: int) -> list[int]:
+    return [k // 2] * (k // 2 + 1)
 
 
-def _weight(kernel: list[list[float]], dy: str = "dy", dx: str = "dx") -> Column:
-    r = len(kernel) // 2
+def _weighted(samples: Column, kernel: list[list[float]]) -> Column:
     flat = F.array(*[F.lit(float(v)) for row in kernel for v in row])
-    return flat[((F.col(dy) + r) * len(kernel) + F.col(dx) + r).cast("int")]
+    return F.aggregate(F.zip_with(samples, flat, lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
 
 
 def block_stats(grid: DataFrame, size: int, original: DataFrame | None = None) -> DataFrame:
@@ -118,8 +121,7 @@ def project_profiles(grid: DataFrame, windows: DataFrame) -> DataFrame:
 def stencil(grid: DataFrame, kernel: list[list[float]]) -> DataFrame:
     """Weighted sum over the kernel (a correlation), divided by the kernel's sum unless that vanishes, rounded and clipped."""
     total = sum(map(sum, kernel))
-    s = scatter(grid, len(kernel) // 2).groupBy(*AT).agg(F.sum(F.col("w") * _weight(kernel)).alias("s"))
-    return s.select(*AT, to_int(F.col("s") / (total if abs(total) >= 1e-12 else 1.0)).alias("v"))
+    return _by_window(grid, _square(len(kernel)), lambda w, _: to_int(_weighted(w, kernel) / (total if abs(total) >= 1e-12 else 1.0)))
 
 
 def gaussian_kernel(k: int, sigma: float) -> list[float]:
@@ -150,7 +152,7 @@ def gauss(grid: DataFrame, k: int, sigma: float) -> DataFrame:
 
 
 def median_filter(grid: DataFrame, k: int) -> DataFrame:
-    return scatter(grid, k // 2).groupBy(*AT).agg(F.sort_array(F.collect_list("w"))[k * k // 2].alias("v"))
+    return _by_window(grid, _square(k), lambda w, _: F.get(F.sort_array(w), F.lit(k * k // 2)))
 
 
 # The usual derivative kernels.
@@ -158,10 +160,14 @@ GRADIENTS = {"sobel": ([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], [[-1, -2, -1], [0,
 
 
 def gradient(grid: DataFrame, kind: str, gain: float = 1.0) -> DataFrame:
-    """Magnitude of two kernels in one scatter, or the absolute Laplacian; clipped."""
+    """Magnitude of two kernels, or the absolute Laplacian; clipped."""
     kernels = GRADIENTS[kind]
-    s = scatter(grid, 1).groupBy(*AT).agg(*[F.sum(F.col("w") * _weight(k)).alias(f"g{i}") for i, k in enumerate(kernels)])
-    return s.select(*AT, to_int(F.round((F.hypot("g0", "g1") if len(kernels) == 2 else F.abs("g0")) * gain, 6)).alias("v"))
+
+    def make(w: Column, _: Column) -> Column:
+        g = [_weighted(w, k) for k in kernels]
+        return to_int(F.round((F.hypot(*g) if len(g) == 2 else F.abs(g[0])) * gain, 6))
+
+    return _by_window(grid, _square(3), make)
 
 
 def unsharp(grid: DataFrame, sigma: float, amount: float) -> DataFrame:
@@ -170,22 +176,23 @@ def unsharp(grid: DataFrame, sigma: float, amount: float) -> DataFrame:
     return s.select(*AT, to_int(F.round(F.col("v") + amount * (F.col("v") - F.col("s")), 6)).alias("v"))
 
 
-def _shape(shape: str, k: int) -> Column:
+def _shape(shape: str, k: int) -> list[int]:
+    """How far to either side a row at distance 0, 1, ... is taken; -1 for not at all."""
     r = k // 2
     if shape == "rect":
-        return F.lit(True)
+        return _square(k)
     if shape == "cross":
-        return (F.col("dy") == 0) | (F.col("dx") == 0)
-    return F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx") <= r * r
+        return [r] + [0] * r
+    return [math.isqrt(r * r - d * d) for d in range(r + 1)]
 
 
 def _extreme(grid: DataFrame, k: int, shape: str, pick: Callable) -> DataFrame:
-    return scatter(grid, k // 2).where(_shape(shape, k)).groupBy(*AT).agg(pick("w").alias("v"))
+    return _by_window(grid, _shape(shape, k), lambda w, _: pick(w))
 
 
 def morphology(grid: DataFrame, op: str, shape: str = "rect", k: int = 3, iterations: int = 1) -> DataFrame:
-    erode = lambda g: functools.reduce(lambda acc, _: _extreme(acc, k, shape, F.min), range(iterations), g)
-    dilate = lambda g: functools.reduce(lambda acc, _: _extreme(acc, k, shape, F.max), range(iterations), g)
+    erode = lambda g: functools.reduce(lambda acc, _: _extreme(acc, k, shape, F.array_min), range(iterations), g)
+    dilate = lambda g: functools.reduce(lambda acc, _: _extreme(acc, k, shape, F.array_max), range(iterations), g)
     minus = lambda a, b: a.join(b.select(*AT, F.col("v").alias("w")), AT).select(*AT, (F.col("v") - F.col("w")).alias("v"))
     return {
         "erode": lambda: erode(grid), "dilate": lambda: dilate(grid), "open": lambda: dilate(erode(grid)), "close": lambda: erode(dilate(grid)),
@@ -225,12 +232,18 @@ def equalize(grid: DataFrame) -> DataFrame:
 
 
 def bilateral(grid: DataFrame, d: int, sigma_colour: float, sigma_space: float) -> DataFrame:
-    """Weights by distance in space and in value; the centre's value comes by a join on the place."""
-    s = scatter(grid, d // 2).where(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx") <= (d // 2) ** 2).join(grid.select(*AT, "v"), AT)
-    far = F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
-    gap = F.col("w") - F.col("v")
-    weight = F.exp(-far / (2 * sigma_space**2) - gap * gap / (2 * sigma_colour**2))
-    return s.groupBy(*AT).agg((F.sum(F.col("w") * weight) / F.sum(weight)).alias("s")).select(*AT, to_int(F.round("s", 6)).alias("v"))
+    """Weights by distance in space, in a disc, and in value."""
+    reach = _shape("disc", d)
+    far = [y * y + x * x for y in range(-len(reach) + 1, len(reach)) for x in range(-reach[abs(y)], reach[abs(y)] + 1)]
+    space = F.array(*[F.lit(math.exp(-f / (2 * sigma_space**2))) for f in far])
+
+    def make(w: Column, v: Column) -> Column:
+        parts = F.zip_with(w, space, lambda s, k: F.struct(s.alias("w"), (k * F.exp(-((s - v) * (s - v)) / (2 * sigma_colour**2))).alias("k")))
+        start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
+        mean = F.aggregate(parts, start, lambda a, p: F.struct((a["n"] + p["w"] * p["k"]).alias("n"), (a["d"] + p["k"]).alias("d")), lambda a: a["n"] / a["d"])
+        return to_int(F.round(mean, 6))
+
+    return _by_window(grid, reach, make)
 
 
 def downscale(grid: DataFrame, n: int = 1) -> DataFrame:
