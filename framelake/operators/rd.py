@@ -120,47 +120,62 @@ def join_bits_sse(bits: DataFrame, sse: DataFrame, keys: tuple[str, ...]) -> Dat
     return bits.join(sse, list(keys))
 
 
-def bd_rate(curves: DataFrame, anchor: str, keys: tuple[str, ...], regions: DataFrame | None = None) -> DataFrame:
-    """keys, test, status, percent, degree, psnr_lo, psnr_hi, n_a, n_b for every region and non-anchor group.
+def _compared(curves: DataFrame, anchor: str, keys: tuple[str, ...], regions: DataFrame | None) -> DataFrame:
+    """bd_rate's columns, `samples` of the anchor and each side's largest rate and PSNR.
 
-    The mean distance of two fits of log10(rate) over PSNR, degree min(3, fewer points - 1), over the common PSNR range. A failed computation
-    is a status: Degenerate (an empty side, or a fit that has no solution), NotEnoughPoints, NoPsnrOverlap. `regions` (keys, grp) adds
-    groups without a single point.
+    A region's curves are gathered once - a few points a group - and every test group is then worked on beside the anchor's array: spans, sums
+    and tops are folds over arrays of points, so that nothing is joined.
     """
-    points = curves.withColumn("y", F.log10("rate"))
-    span = points.groupBy(*keys, "grp").agg(F.count("*").alias("n"), F.min("psnr").alias("lo"), F.max("psnr").alias("hi"))
-    names = (regions if regions is not None else curves).select(*keys, "grp").distinct()
-    tests = names.where(F.col("grp") != anchor)
-    a = span.where(F.col("grp") == anchor).select(*keys, F.col("n").alias("n_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    pair = tests.join(a, list(keys), "left").join(span.select(*keys, "grp", F.col("n").alias("n_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b")), [*keys, "grp"], "left")
-    pair = pair.withColumns({"n_a": F.coalesce("n_a", F.lit(0)), "n_b": F.coalesce("n_b", F.lit(0))})
-    pair = pair.withColumns({"degree": F.least(F.lit(3), F.col("n_a") - 1, F.col("n_b") - 1), "psnr_lo": F.greatest("lo_a", "lo_b"), "psnr_hi": F.least("hi_a", "hi_b")}).drop("lo_a", "lo_b", "hi_a", "hi_b")
+    every = curves.select(*keys, "grp", F.struct("psnr", "rate", "samples").alias("p"))
+    if regions is not None:
+        every = every.unionByName(regions.select(*keys, "grp", F.lit(None).cast(every.schema["p"].dataType).alias("p")))
+    region = every.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("grp", "p")))).alias("points"), F.collect_set("grp").alias("names"))
+    side = lambda g: F.transform(F.filter("points", lambda e: e["grp"] == g), lambda e: e["p"])
+    pair = region.select(*keys, "points", F.explode(F.filter("names", lambda g: g != anchor)).alias("test")).select(*keys, "test", side(F.lit(anchor)).alias("a"), side(F.col("test")).alias("b"))
+    of = lambda pick, c, name: pick(F.transform(c, lambda p: p[name]))
+    numbers = {"n_a": F.size("a").cast("long"), "n_b": F.size("b").cast("long"), "samples": of(F.array_max, "a", "samples")}
+    numbers |= {f"{kind}_{s}_{end}": of(pick, s, col) for s in "ab" for kind, col, end, pick in (("bits", "rate", "max", F.array_max), ("psnr", "psnr", "max", F.array_max), ("psnr", "psnr", "min", F.array_min))}
+    pair = pair.withColumns(numbers)
+    pair = pair.withColumns({"degree": F.least(F.lit(3), F.col("n_a") - 1, F.col("n_b") - 1), "psnr_lo": F.greatest("psnr_a_min", "psnr_b_min"), "psnr_hi": F.least("psnr_a_max", "psnr_b_max")})
     early = F.when((F.col("n_a") == 0) | (F.col("n_b") == 0), "Degenerate").when(F.col("degree") < 1, "NotEnoughPoints").when(F.col("psnr_hi") <= F.col("psnr_lo"), "NoPsnrOverlap")
     pair = pair.withColumn("early", early)
-    good = pair.where(F.col("early").isNull())
     # u runs from -1 to 1 over the overlap, where the mean of a cubic is c0 + c2 / 3.
-    u = (F.col("psnr") - (F.col("psnr_lo") + F.col("psnr_hi")) / 2) / ((F.col("psnr_hi") - F.col("psnr_lo")) / 2)
-    # Both curves of a pair go through one join, one aggregate and one elimination.
-    sides = good.withColumn("test", F.col("grp")).withColumn("side", F.explode(F.array(F.struct(F.lit("a").alias("name"), F.lit(anchor).alias("grp")), F.struct(F.lit("b").alias("name"), F.col("grp")))))
-    sides = sides.select(*keys, "test", "degree", "psnr_lo", "psnr_hi", F.col("side.name").alias("side"), F.col("side.grp").alias("grp"))
-    sums = sides.join(points.select(*keys, "grp", "psnr", "y"), [*keys, "grp"]).groupBy(*keys, "test", "degree", "side").agg(*moments(u, F.col("y")))
+    half = F.when(F.col("early").isNull(), (F.col("psnr_hi") - F.col("psnr_lo")) / 2)
+    place = lambda p: F.struct(((p["psnr"] - (F.col("psnr_lo") + F.col("psnr_hi")) / 2) / half).alias("u"), F.log10(p["rate"]).alias("y"))
+    fold = lambda term: F.aggregate("at", F.lit(0.0), lambda acc, p: acc + term(p))
+    power = lambda p, k: F.lit(1.0) if k == 0 else p["u"] if k == 1 else F.pow(p["u"], F.lit(float(k)))
+    # Both curves of a pair go through one elimination and meet again without a shuffle: they stay where their region is.
+    kept = [c for c in pair.columns if c not in (*keys, "test", "a", "b")]
+    both = pair.select(*keys, "test", "degree", F.struct(*kept).alias("kept"), F.posexplode(F.array(F.transform("a", place), F.transform("b", place))).alias("side", "at"))
+    sums = both.select(*keys, "test", "degree", "kept", "side", *[fold(lambda p, k=k: power(p, k)).alias(f"s{k}") for k in range(7)], *[fold(lambda p, k=k: power(p, k) * p["y"]).alias(f"t{k}") for k in range(4)])
     mean = solve_moments(sums, F.col("degree")).withColumn("mean", F.col("c0") + F.col("c2") / 3)
-    means = mean.groupBy(*keys, "test").agg(F.max(F.when(F.col("side") == "a", F.col("mean"))).alias("mean_a"), F.max(F.when(F.col("side") == "b", F.col("mean"))).alias("mean_b"))
-    out = pair.withColumnRenamed("grp", "test").join(means, [*keys, "test"], "left")
-    percent = (F.pow(F.lit(10.0), F.col("mean_b") - F.col("mean_a")) - 1) * 100
-    out = out.withColumn("percent", F.when(F.abs(percent) < float("inf"), percent))
-    return out.withColumn("status", F.coalesce("early", F.when(F.col("percent").isNull(), "Degenerate").otherwise("Ok"))).select(*keys, "test", "status", "percent", F.greatest("degree", F.lit(0)).alias("degree"), "psnr_lo", "psnr_hi", "n_a", "n_b")
+    side_mean = lambda i: F.max(F.when(F.col("side") == i, F.col("mean")))
+    out = mean.groupBy(*keys, "test").agg(F.first("kept").alias("kept"), ((F.pow(F.lit(10.0), side_mean(1) - side_mean(0)) - 1) * 100).alias("percent")).select(*keys, "test", "kept.*", "percent")
+    good = F.col("early").isNull() & (F.abs("percent") < float("inf"))
+    out = out.withColumn("percent", F.when(good, F.col("percent")))
+    return out.withColumns({"status": F.coalesce("early", F.when(F.col("percent").isNull(), "Degenerate").otherwise("Ok")), "degree": F.greatest("degree", F.lit(0)).cast("long")})
+
+
+def bd_rate(curves: DataFrame, anchor: str, keys: tuple[str, ...], regions: DataFrame | None = None) -> DataFrame:
+    """keys, test, status, percent, degree, psnr_lo, psnr_hi, n_a, n_b for every region and non-anchor group.
+
+    The mean distance of two fits of log10(rate) over PSNR, degree min(3, fewer points - 1), over the common PSNR range. A failed computation
+    is a status: Degenerate (an empty side, or a fit that has no solution), NotEnoughPoints, NoPsnrOverlap. `regions` (keys, grp) adds
+    groups without a single point. What of a region meets in one task is its points: one for each group and rate.
+    """
+    return _compared(curves, anchor, keys, regions).select(*keys, "test", "status", "percent", "degree", *_lost(("psnr_lo", "psnr_hi")), "n_a", "n_b")
+
+
+def _lost(names: tuple[str, ...]) -> list[Column]:
+    """An overlap has two sides."""
+    return [F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col(c)).alias(c) for c in names]
 
 
 def bd_rate_report(samples: DataFrame, anchor: str, keys: tuple[str, ...] = ("sb_row", "sb_col")) -> DataFrame:
     """BD-rate of every group against the anchor for each superblock, with the largest rate and PSNR of both sides and the anchor's samples."""
     totals = sequence_totals(samples, by=keys)
-    curves = curve(totals, (*keys, "grp"))
-    report = bd_rate(curves, anchor, keys, totals)
-    tops = curves.groupBy(*keys, "grp").agg(F.max("rate").alias("rate"), F.max("psnr").alias("psnr"), F.max("samples").alias("samples"))
-    a = tops.where(F.col("grp") == anchor).select(*keys, F.col("rate").alias("bits_a_max"), F.col("psnr").alias("psnr_a_max"), "samples")
-    b = tops.select(*keys, F.col("grp").alias("test"), F.col("rate").alias("bits_b_max"), F.col("psnr").alias("psnr_b_max"))
-    return report.join(a, list(keys), "left").join(b, [*keys, "test"], "left")
+    report = _compared(curve(totals, (*keys, "grp")), anchor, keys, totals)
+    return report.select(*keys, "test", "status", "percent", "degree", *_lost(("psnr_lo", "psnr_hi")), "n_a", "n_b", "bits_a_max", "psnr_a_max", "samples", "bits_b_max", "psnr_b_max")
 
 
 def undefined_count(report: DataFrame) -> DataFrame:
