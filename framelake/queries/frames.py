@@ -73,7 +73,20 @@ def fr8(t):
     return fr.display_map(t)
 
 
-@query("fr9_display_map_full", "f_fh")
+def _slots(c):
+    """SQL: the eight slots after a unit; c: what is kept of a frame."""
+    held, all_ = f"r.{c[0]}[CAST(map_idx + 1 AS INTEGER)]", "list_transform(range(0, 8), lambda i: {})"
+    refreshed = f"CASE WHEN (frame_type = 0 AND show_frame = 1) OR frame_type = 3 OR (refresh_flags >> CAST(i AS INTEGER)) & 1 = 1 THEN {c[1]} ELSE r.{c[0]}[i + 1] END"
+    return f"CASE WHEN show_existing = 1 AND r.t[CAST(map_idx + 1 AS INTEGER)] = 0 THEN {all_.format(held)} WHEN show_existing = 1 THEN r.{c[0]} ELSE {all_.format(refreshed)} END"
+
+
+_FULL = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY pos) AS k FROM f_fh),
+r AS (SELECT stream, CAST(0 AS BIGINT) AS k, list_transform(range(0, 8), lambda i: CAST(NULL AS BIGINT)) AS c, list_transform(range(0, 8), lambda i: CAST(NULL AS BIGINT)) AS t, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS shown, CAST(NULL AS BIGINT) AS shown_at FROM (SELECT DISTINCT stream FROM e)
+UNION ALL SELECT e.stream, e.k, {_slots(('c', 'coded_id'))}, {_slots(('t', 'CAST(frame_type AS BIGINT)'))}, r.n + CASE WHEN show_existing = 1 OR show_frame = 1 THEN 1 ELSE 0 END, CASE WHEN show_existing = 1 THEN r.c[CAST(map_idx + 1 AS INTEGER)] WHEN show_frame = 1 THEN coded_id END, r.n FROM r JOIN e ON e.stream = r.stream AND e.k = r.k + 1)
+SELECT stream, shown AS coded_id, max(shown_at) AS display_index FROM r WHERE shown IS NOT NULL GROUP BY stream, shown"""
+
+
+@query("fr9_display_map_full", "f_fh", oracle=_FULL)
 def fr9(t):
     return fr.display_map_full(t)
 

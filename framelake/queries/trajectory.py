@@ -25,14 +25,25 @@ def tr3(t):
     return tr.gaussian_smooth(t, 2.0).select("series", "frame", F.round("smooth", 5).alias("smooth"))
 
 
-@query("tr4_kalman_causal", "f_ts")
+#: The filter by recursion: f the states and covariances, with the predictions (m, n; a, b, d) before each update.
+_FILTER = """z AS (SELECT series, frame, CAST(v AS DOUBLE) AS v, row_number() OVER (PARTITION BY series ORDER BY frame) AS k FROM f_ts),
+f AS (SELECT series, frame, v, k, v AS m, 0.0::DOUBLE AS n, 4e6::DOUBLE AS a, 0.0::DOUBLE AS b, 4e6::DOUBLE AS d, v AS x0, 0.0::DOUBLE AS x1, 4e6::DOUBLE * 4 / (4e6::DOUBLE + 4) AS p00, 0.0::DOUBLE AS p01, 4e6::DOUBLE AS p11 FROM z WHERE k = 1
+UNION ALL SELECT z.series, z.frame, z.v, z.k, m, n, a, b, d, m + a / (a + 4) * (z.v - m), n + b / (a + 4) * (z.v - m), (1 - a / (a + 4)) * a, (1 - a / (a + 4)) * b, d - b / (a + 4) * b
+FROM (SELECT series, k, x0 + x1 AS m, x1 AS n, p00 + 2 * p01 + p11 + 0.0005::DOUBLE AS a, p01 + p11 + 0.001::DOUBLE AS b, p11 + 0.002::DOUBLE AS d FROM f) q JOIN z ON z.series = q.series AND z.k = q.k + 1)"""
+#: The way back: what the step after a place adds to its state.
+_BACK = """g AS (SELECT f.*, o.m AS om, o.n AS on_, (f.p00 + f.p01) / (o.a * o.d - o.b * o.b) AS c0, f.p01 / (o.a * o.d - o.b * o.b) AS c1, (f.p01 + f.p11) / (o.a * o.d - o.b * o.b) AS c2, f.p11 / (o.a * o.d - o.b * o.b) AS c3, o.a AS oa, o.b AS ob, o.d AS od FROM f LEFT JOIN f o ON o.series = f.series AND o.k = f.k + 1),
+s AS (SELECT series, frame, v, k, x0 AS n0, x1 AS n1 FROM g WHERE om IS NULL
+UNION ALL SELECT g.series, g.frame, g.v, g.k, g.x0 + (c0 * od - c1 * ob) * (s.n0 - om) + (c1 * oa - c0 * ob) * (s.n1 - on_), g.x1 + (c2 * od - c3 * ob) * (s.n0 - om) + (c3 * oa - c2 * ob) * (s.n1 - on_) FROM s JOIN g ON g.series = s.series AND g.k = s.k - 1)"""
+
+
+@query("tr4_kalman_causal", "f_ts", oracle=f"WITH RECURSIVE {_FILTER} SELECT series, frame, v, round(x0, 4) AS smooth FROM f")
 def tr4(t):
-    return tr.kalman_causal(t, 0.002, 4.0)
+    return tr.kalman_causal(t, 0.002, 4.0).withColumn("smooth", F.round("smooth", 4))
 
 
-@query("tr5_kalman_rts", "f_ts")
+@query("tr5_kalman_rts", "f_ts", oracle=f"WITH RECURSIVE {_FILTER}, {_BACK} SELECT series, frame, v, round(n0, 4) AS smooth FROM s")
 def tr5(t):
-    return tr.kalman_rts(t, 0.002, 4.0)
+    return tr.kalman_rts(t, 0.002, 4.0).withColumn("smooth", F.round("smooth", 4))
 
 
 _MA = "m AS (SELECT series, frame, v, avg(v) OVER (PARTITION BY series ORDER BY frame ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS smooth FROM f_ts)"
