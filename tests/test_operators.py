@@ -159,9 +159,9 @@ def test_block_searches_cover_the_whole_picture(spark):
         key = (f, y // 8, x // 8)
         sad[key] = sad.get(key, 0) + abs(v - moved[f, min(max(y - 1, 0), h - 1), min(max(x + 1, 0), w - 1)])
     at = lambda r: (r.frame, r.block_y, r.block_x)
-    assert {at(r): (r.cost, r.dy, r.dx) for r in queries.mv2_whole(t).collect()} == best
-    assert {at(r): r.sad for r in queries.mv1_whole(t).collect()} == sad
-    assert {at(r): (r.cost, r.candidates) for r in queries.jn14_whole(t).collect()} == {k: (c[0], count[k]) for k, c in best.items()}
+    assert {at(r): (r.cost, r.dy, r.dx) for r in queries.mv2(t).collect()} == best
+    assert {at(r): r.sad for r in queries.mv1(t).collect()} == sad
+    assert {at(r): (r.cost, r.candidates) for r in queries.jn14(t).collect()} == {k: (c[0], count[k]) for k, c in best.items()}
 
 
 def test_read_bits_of_57_to_64(spark):
