@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -137,19 +136,22 @@ def _chi2_quantile(p: float, df: int) -> float:
     return lo
 
 
-def _level(k: int) -> list[Column]:
-    """The keys of a level, null where the level has none."""
-    return [F.lit(k).alias("level"), *[(F.col(c) if c in _LEVELS[k] else F.lit(None).cast("string")).alias(c) for c in _KEYS[1:]]]
+def _levels() -> Column:
+    """The keys of all three levels, null where a level has none."""
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("level"), *[(F.col(c) if c in keys else F.lit(None).cast("string")).alias(c) for c in _KEYS[1:]]) for k, keys in enumerate(_LEVELS)])).alias("g")
 
 
-def _with_estimate(rows: DataFrame, estimates: DataFrame, k: int, few: bool) -> DataFrame:
-    """`rows` (g_lang, g_source, ...) with the mean (m_) and precision (p_) of their group at level k, null where it has none. Null keys meet null keys."""
+def _with_estimate(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
+    """`rows` (level, g_lang, g_source, ...) with the mean (m_) and precision (p_) of their group, null where it has none. Null keys meet null keys.
+
+    Many estimates are joined by key; the keys of large groups are then split among tasks by Spark's handling of skewed joins.
+    """
     numbers = [*[f"mean[{i}] AS m_{i}" for i in range(_N)], *[f"precision[{i}] AS p_{i}" for i in range(len(_PAIRS))]]
-    own = estimates.where(F.col("level") == k).selectExpr(*[f"{c} AS e_{c}" for c in _LEVELS[k]], *numbers)
-    meet = F.lit(True)
-    for c in _LEVELS[k]:
+    own = estimates.selectExpr(*[f"{c} AS e_{c}" for c in _KEYS], *numbers)
+    meet = rows["level"] == own["e_level"]
+    for c in _KEYS[1:]:
         meet = meet & rows[c].eqNullSafe(own[f"e_{c}"])
-    return rows.join(F.broadcast(own) if few else own, meet, "left").drop(*[f"e_{c}" for c in _LEVELS[k]])
+    return rows.join(F.broadcast(own) if few else own, meet, "left")
 
 
 #: Squared Mahalanobis distance from the estimate that stands beside a document.
@@ -189,7 +191,8 @@ def estimate(stats: DataFrame) -> DataFrame:
     usable = stats.where(~base_failed()).select(F.col("lang").cast("string").alias("g_lang"), F.col("source").cast("string").alias("g_source"), *FEATURES)
     # Start: medians and deviations of values on a grid, so that the exact percentile holds few distinct values.
     grid = [F.percentile(F.round(F.col(x) * 1024) / 1024, [0.16, 0.5, 0.84]).alias(x) for x in FEATURES]
-    start = reduce(DataFrame.unionAll, [usable.groupBy(*_level(k)).agg(*grid) for k in range(3)])
+    rows = usable.select(_levels(), *FEATURES).select("g.*", *FEATURES)
+    start = rows.groupBy(*_KEYS).agg(*grid)
     spread = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 2, F.lit(f)) for x, f in zip(FEATURES, FLOOR, strict=True)]
     now = written(start.select(*_KEYS, F.array(*[F.col(x)[1] for x in FEATURES]).alias("mean"), F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("precision")), "estimates")
 
@@ -200,8 +203,7 @@ def estimate(stats: DataFrame) -> DataFrame:
     names = ["n", *[f"s_{i}" for i in range(_N)], *[f"c_{i}_{j}" for i, j in _PAIRS]]
     sums = ["cast(count(*) AS double) AS n", *[f"sum({x}) AS s_{i}" for i, x in enumerate(FEATURES)], *[f"sum({FEATURES[i]} * {FEATURES[j]}) AS c_{i}_{j}" for i, j in _PAIRS]]
     for step in range(STEPS + 1):
-        levels = [_with_estimate(usable, now, k, few).select(*_level(k), F.expr(bin_), *FEATURES).groupBy(*_KEYS, "bin").agg(*map(F.expr, sums)) for k in range(3)]
-        binned = reduce(DataFrame.unionAll, levels)
+        binned = _with_estimate(rows, now, few).select(*_KEYS, F.expr(bin_), *FEATURES).groupBy(*_KEYS, "bin").agg(*map(F.expr, sums))
         if step < STEPS:  # concentrate on the nearest SHARE of each group
             binned = binned.withColumn("before", F.sum("n").over(group.orderBy("bin")) - F.col("n")).withColumn("of", F.sum("n").over(group))
             near = F.col("before") < SHARE * F.col("of")
@@ -247,8 +249,8 @@ def _tail(x: float, df: int) -> float:
 
 def judged(stats: DataFrame, estimates: DataFrame) -> DataFrame:
     """`stats` with base_failed, distance (squared Mahalanobis under its group's estimate; null where the group has none) and kept."""
-    keyed = stats.withColumn("g_lang", F.col("lang").cast("string")).withColumn("g_source", F.col("source").cast("string"))
-    near = _with_estimate(keyed, estimates, 2, estimates.count() <= BROADCAST_GROUPS)
+    keyed = stats.select("*", F.lit(2).alias("level"), F.col("lang").cast("string").alias("g_lang"), F.col("source").cast("string").alias("g_source"))
+    near = _with_estimate(keyed, estimates.where("level = 2"), estimates.count() <= BROADCAST_GROUPS)
     out = near.select(*stats.columns, base_failed().alias("base_failed"), F.expr(_FAR).alias("distance"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= _chi2_quantile(CUT, _N)))
 
