@@ -174,11 +174,11 @@ def test_ngram_join(docs, empty, classes, monkeypatch):
         assert ngram_join.linked_classes(empty).count() == 0
 
 
-@pytest.mark.parametrize("percent", [30, 50, 60, 75, 80, 90])
+@pytest.mark.parametrize("percent", [50, 60, 75, 80, 90])
 def test_signatures_meet_for_every_similar_pair(percent):
     """Tokens of any frequency class, sets of any size: two similar sets always share a signature."""
     rng, met = random.Random(3), 0
-    for trial in range(1500):
+    for trial in range(800):
         n = rng.choice([rng.randint(1, 20), rng.randint(3, 90), rng.randint(60, 140)])
         a = [rng.getrandbits(64) for _ in range(n)]
         mode = rng.choice([[8, 60, 100], [100], [60], [8, 100]])
