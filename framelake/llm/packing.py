@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from .shared import written
 from .token_files import encoder
 from .words import mix, slices
+from .worker import release
 
 HASHED, DIMS, BITS, REACH = 256, 4, 15, 4.0  # sizes of a hashed vector and of its projection; bits of a coordinate between -REACH and REACH
-PART_BYTES = 256 << 20  # of ids in a partition of the curve
+PART_ROWS = 1 << 20  # documents in a range of the curve
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -75,19 +76,20 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str =
 
 
 def along_curve(coded: DataFrame, partitions: int) -> DataFrame:
-    """The rows in order of (place, doc_id), with the partition each is in and the tokens before it there; `row` splits equal rows."""
+    """row, part and before of every document in order of (place, doc_id, row): the range partition it is in and the tokens before it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             counts = batch.column(1).to_numpy()
             before = done + np.cumsum(counts) - counts
             done += int(counts.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.full(len(counts), part, np.int64)), pa.array(before)], ["doc_id", "n_tokens", "ids", "part", "before"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(counts), part, np.int64)), pa.array(before)], ["row", "n_tokens", "part", "before"])
 
     order = [F.col("place"), F.col("doc_id").asc_nulls_first(), F.col("row")]
-    rows = coded.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, part long, before long")
+    rows = coded.select("place", "doc_id", "row", "n_tokens").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    return rows.select("row", "n_tokens").mapInArrow(run, "row long, n_tokens long, part long, before long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int = 2, partitions: int | None = None) -> DataFrame:
@@ -97,27 +99,23 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
     Every token is in one piece, and sequences are full but for the last. Null and empty texts hold the end id only; a null doc_id comes
     first among documents of one place; rows that repeat a doc_id are documents of their own; a document longer than a sequence runs on
     over as many as it needs; an empty table gives no piece; other columns are ignored. Texts are encoded once: their ids are written to
-    the shared folder, sorted by range of the curve and written again; copies of one text have one place and are told apart by doc_id and
-    row, so that a large group of copies is dealt to many tasks. Tasks lost later on read these tables again.
+    the shared folder, and only places and counts are sorted by range of the curve; copies of one text have one place and are told apart by
+    doc_id and row, so that a large group of copies is dealt to many tasks. Tasks lost later on read these tables again.
     """
     spark = docs.sparkSession
     coded = written(encoded(docs, tokenizer_path, end_id).withColumn("row", F.monotonically_increasing_id()), "coded")
-    if partitions is None:
-        size = coded.agg(F.sum("n_tokens").alias("n")).first().n or 0
-        partitions = max(2 * spark.sparkContext.defaultParallelism, -(-2 * size // PART_BYTES))
-    laid = written(along_curve(coded, partitions), "laid")
-    begins, at = {}, 0
-    for row in laid.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").toLocalIterator():
-        begins[row.part] = at
+    n = partitions or max(2 * spark.sparkContext.defaultParallelism, -(-coded.count() // PART_ROWS))
+    curve = written(along_curve(coded, n), "curve")
+    begins, at = [], 0
+    for row in curve.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
+        begins.append((row.part, at))
         at += row.n
-    shared = spark.sparkContext.broadcast(begins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begins = shared.value
+        release()
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
-            counts = batch.column(1).to_numpy()
-            first = np.array([begins[p] for p in batch.column(3).to_pylist()], np.int64) + batch.column(4).to_numpy()
+            counts, first = batch.column(1).to_numpy(), batch.column(3).to_numpy()
             pieces = (first + counts - 1) // length - first // length + 1
             of = np.repeat(np.arange(len(counts)), pieces)
             sequence = first[of] // length + np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -130,6 +128,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
                 ids.append(np.frombuffer(own, f"<u{width}")[s:e].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(start), pa.array(hi - lo), pa.array(ids, pa.binary()), pa.array(counts[of]), pa.array(sequence), pa.array(lo - sequence * length)], names)
 
+    # One row a range partition is broadcast; the places of the documents meet their ids by `row`.
+    places = curve.join(F.broadcast(spark.createDataFrame(begins, "part long, begin long")), "part").select("row", (F.col("begin") + F.col("before")).alias("first"))
+    laid = coded.select("row", "doc_id", "n_tokens", "ids").join(places.hint("shuffle_hash"), "row").select("doc_id", "n_tokens", "ids", "first")
     return laid.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
