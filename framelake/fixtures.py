@@ -52,6 +52,14 @@ FROM conversations
 SELECT conv_id AS section, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS idx,
        role AS name, CASE WHEN conv_id % 7 = 0 AND turn = 1 THEN concat('~', text) ELSE text END AS value
 FROM conversations WHERE NOT (conv_id % 5 = 3 AND turn = 2)
+""",
+    "f_sx_c": """
+SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY turn, place) - 1 AS BIGINT) AS idx, name, value
+FROM (SELECT conv_id AS section, turn, 1 AS place, CASE WHEN conv_id % 9 = 2 AND turn = 3 THEN 'system' ELSE role END AS name,
+             CASE WHEN conv_id % 7 = 0 AND turn = 1 THEN concat('~', text) ELSE text END AS value
+      FROM conversations WHERE NOT (conv_id % 5 = 3 AND turn = 2) AND conv_id % 11 <> 4
+      UNION ALL SELECT conv_id, turn, 0, 'note', text FROM conversations WHERE conv_id % 6 = 1 AND turn % 2 = 1 AND conv_id % 11 <> 4
+      UNION ALL SELECT conv_id + 1000000000, turn, 1, role, text FROM conversations WHERE conv_id % 13 = 5) t
 """,
     "f_pl_a": """
 SELECT doc_id AS ordinal, doc_id % 9 AS unit_type, text AS payload

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import read_bits
+from . import align
 
 MI = 4  # samples a side of a position
 
@@ -21,98 +23,85 @@ def pair_by_position(a: DataFrame, b: DataFrame, keys: list[str], columns: list[
     return left.join(right, keys, "full").withColumn("side", side).drop("in_a", "in_b")
 
 
-def diff_elements(a: DataFrame, b: DataFrame) -> DataFrame:
-    """ValueMismatch (also of names), OnlyInA and OnlyInB of elements paired by section and index; equal ones are left out."""
-    p = pair_by_position(a, b, ["section", "idx"], ["name", "value"])
-    kind = F.when(F.col("side") != "Both", F.col("side")).when(~(F.col("name_a").eqNullSafe(F.col("name_b")) & F.col("value_a").eqNullSafe(F.col("value_b"))), "ValueMismatch")
-    out = p.withColumn("kind", kind).where("kind IS NOT NULL")
-    return out.select("section", "kind", F.when(F.col("kind") != "OnlyInB", F.col("idx")).alias("index_a"), F.when(F.col("kind") != "OnlyInA", F.col("idx")).alias("index_b"), F.coalesce("name_a", "name_b").alias("name"), "value_a", "value_b")
+CELLS = 4_000_000
 
 
-CELLS, RESYNC = 4_000_000, 64
+def _steps(cells: int | None):
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        found = []
+        for na, nb in zip(left, right, strict=True):
+            if not na.is_valid and not nb.is_valid:
+                found.append(None)
+                continue
+            names = [*(na.as_py() or []), *(nb.as_py() or [])]
+            codes, n = pd.factorize(np.array(names, dtype=object), use_na_sentinel=False)[0] if names else np.zeros(0, np.int64), len(na.as_py() or [])
+            exact = cells is None or (n + 1) * (len(names) - n + 1) <= cells
+            x, y = (align.common_subsequence if exact else align.resynchronised)(codes[:n], codes[n:])
+            found.append({"a": x.tolist(), "b": y.tolist(), "degraded": not exact})
+        return pa.array(found, pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("degraded", pa.bool_())]))
+
+    return F.arrow_udf(run, "a array<int>, b array<int>, degraded boolean")
 
 
-def _align(na: list[str], nb: list[str], cells: int | None = CELLS) -> tuple[list[tuple[int | None, int | None]], bool]:
-    """Pairs of places by longest common subsequence of names; beyond `cells` table cells (None: never) a windowed resynchronisation, marked degraded.
+def aligned(a: DataFrame, b: DataFrame, cells: int | None = CELLS) -> DataFrame:
+    """One row a section: side, left and right (its ordered elements: idx, name, value), steps (pairs of places in them, -1 for none), degraded.
 
-    Of the table a bit a cell is kept: whether leaving out the left name loses nothing against leaving out the right one.
+    Elements are aligned by name: the longest common subsequence, at a mismatch the left element left out if that costs no pair. A section of
+    more than `cells` table cells, (n + 1) (m + 1), is resynchronised within a window instead and marked degraded; with None none is.
+    Sections whose ordered names are equal are paired by place in Spark; only the names of the others go to Python, a section at a time.
     """
-    out: list[tuple[int | None, int | None]] = []
-    i = j = 0
-    if cells is None or len(na) * len(nb) <= cells:
-        codes = pd.factorize(np.array(na + nb, dtype=object))[0]
-        a, b = codes[: len(na)], codes[len(na) :]
-        skip_left: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(na)
-        below = np.zeros(len(nb) + 1, np.int32)
-        for x in range(len(na) - 1, -1, -1):
-            row = np.zeros(len(nb) + 1, np.int32)
-            row[:-1] = np.maximum.accumulate(np.where(a[x] == b, below[1:] + 1, below[:-1])[::-1])[::-1]
-            skip_left[x] = np.packbits(below[:-1] >= row[1:])
-            below = row
-        while i < len(na) and j < len(nb):
-            if na[i] == nb[j]:
-                out.append((i, j))
-                i, j = i + 1, j + 1
-            elif skip_left[i][j >> 3] >> (7 - (j & 7)) & 1:
-                out.append((i, None))
-                i += 1
-            else:
-                out.append((None, j))
-                j += 1
-        degraded = False
-    else:
-        degraded = True
-        while i < len(na) and j < len(nb):
-            if na[i] == nb[j]:
-                out.append((i, j))
-                i, j = i + 1, j + 1
-                continue
-            skip_a = next((k for k in range(1, RESYNC + 1) if i + k < len(na) and na[i + k] == nb[j]), RESYNC + 1)
-            skip_b = next((k for k in range(1, RESYNC + 1) if j + k < len(nb) and nb[j + k] == na[i]), RESYNC + 1)
-            if skip_a > RESYNC and skip_b > RESYNC:
-                out += [(i, None), (None, j)]
-                i, j = i + 1, j + 1
-            elif skip_a <= skip_b:
-                out += [(i + k, None) for k in range(skip_a)]
-                i += skip_a
-            else:
-                out += [(None, j + k) for k in range(skip_b)]
-                j += skip_b
-    out += [(k, None) for k in range(i, len(na))] + [(None, k) for k in range(j, len(nb))]
-    return out, degraded
+    lists = lambda df, c: df.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("idx", "name", "value"))).alias(c))
+    both = lists(a, "left").join(lists(b, "right"), "section", "full")
+    side = F.when(F.col("right").isNull(), "OnlyInA").when(F.col("left").isNull(), "OnlyInB").otherwise("Both")
+    same = F.coalesce(F.col("left.name") == F.col("right.name"), F.lit(False))
+    both = both.select("section", side.alias("side"), "left", "right", same.alias("same"))
+    found = both.withColumn("found", _steps(cells)(F.when(~F.col("same"), F.col("left.name")), F.when(~F.col("same"), F.col("right.name"))))
+    own = F.transform(F.sequence(F.lit(0), F.size("left") - 1), lambda i: F.struct(i.alias("a"), i.alias("b")))
+    steps = F.when(F.col("same"), own).otherwise(F.transform(F.arrays_zip("found.a", "found.b"), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))
+    return found.select("section", "side", "left", "right", steps.alias("steps"), F.coalesce("found.degraded", F.lit(False)).alias("degraded"))
+
+
+def _at(side: str, place: Column, field: str) -> Column:
+    """A field of the element at a place of a side's list; null at -1."""
+    return F.when(place >= 0, F.get(F.col(f"{side}.{field}"), place))
 
 
 def align_names(a: DataFrame, b: DataFrame, cells: int | None = CELLS) -> DataFrame:
-    """section, step, index_a, index_b, degraded: elements aligned by name within a section; exactly up to `cells` pairs of its elements, and whatever they are with None.
+    """section, step, index_a, index_b, degraded: see `aligned`; a section of one side only has only unpaired steps."""
+    rows = aligned(a, b, cells).select("section", "left", "right", "degraded", F.posexplode("steps").alias("step", "s"))
+    return rows.select("section", F.col("step").cast("long").alias("step"), _at("left", F.col("s.a"), "idx").alias("index_a"), _at("right", F.col("s.b"), "idx").alias("index_b"), "degraded")
 
-    Sections whose ordered names are equal are paired by index in Spark and never reach Python; only the others are aligned in a task.
-    """
-    names = lambda df, c: df.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("idx", "name"))).alias(c))
-    same = names(a, "left").join(names(b, "right"), "section").where("left = right").select("section")
-    easy = a.join(same, "section", "left_semi").select("section", F.col("idx").alias("step"), F.col("idx").alias("index_a"), F.col("idx").alias("index_b"), F.lit(False).alias("degraded"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("idx"), right.sort_values("idx")
-        pairs, degraded = _align(left["name"].tolist(), right["name"].tolist(), cells)
-        section = (left if len(left) else right)["section"].iloc[0]
-        la, lb = left["idx"].tolist(), right["idx"].tolist()
-        return pd.DataFrame({"section": section, "step": range(len(pairs)), "index_a": pd.array([None if x is None else la[x] for x, _ in pairs], "Int64"), "index_b": pd.array([None if y is None else lb[y] for _, y in pairs], "Int64"), "degraded": degraded})
+def _kind(s: Column) -> Column:
+    """What a step of `aligned` is: OnlyInA, OnlyInB, ValueMismatch, or null for a pair of equal values."""
+    differ = ~_at("left", s["a"], "value").eqNullSafe(_at("right", s["b"], "value"))
+    return F.when(s["b"] < 0, "OnlyInA").when(s["a"] < 0, "OnlyInB").when(differ, "ValueMismatch")
+
 
-    hard_a, hard_b = (df.select("section", "idx", "name").join(same, "section", "left_anti") for df in (a, b))
-    hard = hard_a.groupBy("section").cogroup(hard_b.groupBy("section")).applyInPandas(run, "section long, step long, index_a long, index_b long, degraded boolean")
-    return easy.unionByName(hard)
+def diff_elements(a: DataFrame, b: DataFrame, cells: int | None = CELLS) -> DataFrame:
+    """ValueMismatch, OnlyInA and OnlyInB after alignment by name, in the sections that both sides have; pairs of equal values are left out."""
+    rows = aligned(a, b, cells).where("side = 'Both'")
+    steps = F.filter("steps", lambda s: _kind(s).isNotNull())
+    rows = rows.select("section", "left", "right", F.explode(steps).alias("s"))
+    at = {f"{f}_{x}": _at(side, F.col(f"s.{x}"), f) for side, x in (("left", "a"), ("right", "b")) for f in ("idx", "name", "value")}
+    return rows.select("section", _kind(F.col("s")).alias("kind"), at["idx_a"].alias("index_a"), at["idx_b"].alias("index_b"), F.coalesce(at["name_a"], at["name_b"]).alias("name"), at["value_a"].alias("value_a"), at["value_b"].alias("value_b"))
 
 
-def diff_sections(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Differences of every section; a section missing on one side counts one for each element of the other."""
-    d = diff_elements(a, b)
-    counts = d.groupBy("section").agg(F.count("*").alias("differences"), *[F.sum((F.col("kind") == k).cast("long")).alias(k.lower()) for k in ("ValueMismatch", "OnlyInA", "OnlyInB")])
-    every = a.select("section").union(b.select("section")).distinct()
-    return every.join(counts, "section", "left").na.fill(0)
+def diff_sections(a: DataFrame, b: DataFrame, cells: int | None = CELLS) -> DataFrame:
+    """section, side, differences, aligned_pairs, valuemismatch, onlyina, onlyinb, degraded of every section; one that a side lacks is one difference."""
+    both = F.col("side") == "Both"
+    kinds = F.transform("steps", _kind)
+    count = lambda k: F.when(both, F.size(F.filter("kinds", lambda x: x == k))).otherwise(0).cast("long")
+    rows = aligned(a, b, cells).withColumn("kinds", kinds)
+    pairs = F.size(F.filter("steps", lambda s: (s["a"] >= 0) & (s["b"] >= 0))).cast("long")
+    rows = rows.select("section", "side", F.when(both, pairs).otherwise(0).alias("aligned_pairs"), *[count(k).alias(k.lower()) for k in ("ValueMismatch", "OnlyInA", "OnlyInB")], (both & F.col("degraded")).alias("degraded"))
+    return rows.select("section", "side", F.when(both, F.col("valuemismatch") + F.col("onlyina") + F.col("onlyinb")).otherwise(1).cast("long").alias("differences"), "aligned_pairs", "valuemismatch", "onlyina", "onlyinb", "degraded")
 
 
-def diff_counts(diffs: DataFrame) -> DataFrame:
-    return diffs.agg(F.count("*").alias("differences"), F.count_distinct("section").alias("sections"), F.count_if(F.col("kind") == "ValueMismatch").alias("mismatches"), F.count_if(F.col("kind") != "ValueMismatch").alias("unpaired"))
+def diff_counts(sections: DataFrame) -> DataFrame:
+    """Totals over the rows of `diff_sections`."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return sections.agg(*[total(c) for c in ("differences", "aligned_pairs", "valuemismatch", "onlyina", "onlyinb")], F.count_if(F.col("differences") > 0).alias("sections"), F.count_if(F.col("side") != "Both").alias("missing_sections"), F.count_if("degraded").alias("degraded_sections"))
 
 
 def first_difference(rows: DataFrame, keys: list[str], order: list[str], real: Column | None = None) -> DataFrame:
@@ -172,11 +161,36 @@ def _positions(blocks: DataFrame, width: int, height: int) -> DataFrame:
     return rows.select("*", F.explode(F.sequence(F.floor(F.col("x") / MI), last("x", "w", width))).alias("mi_col"))
 
 
+CELL = 64  # samples a side of the cells by which blocks are dealt
+
+
+def _celled(blocks: DataFrame, width: Column, height: Column, cell: Column) -> DataFrame:
+    """Blocks that reach into the picture, once for each cell (`sb_row`, `sb_col`) that they touch; a block rarely touches more than one."""
+    touched = lambda at, size, edge: F.sequence(F.floor(F.col(at) / cell), F.floor((F.least(F.col(at) + F.col(size), edge) - 1) / cell))
+    inside = blocks.where((F.col("x") < width) & (F.col("y") < height) & (F.col("w") > 0) & (F.col("h") > 0))
+    return inside.select("*", F.explode(touched("y", "h", height)).alias("sb_row")).select("*", F.explode(touched("x", "w", width)).alias("sb_col"))
+
+
+def _opened(rows: DataFrame, width: Column, height: Column, cell: Column) -> DataFrame:
+    """Rows of `_celled` once for each position of their cell that they cover, `mi_row` and `mi_col`."""
+
+    def places(at: str, size: str, edge: Column, sb: str) -> Column:
+        first = F.greatest(F.floor(F.col(at) / MI), F.floor(F.col(sb) * cell / MI))
+        last = F.floor((F.least(F.col(at) + F.col(size), edge, (F.col(sb) + 1) * cell) - 1) / MI)
+        return F.explode(F.sequence(first, last))
+
+    return rows.select("*", places("y", "h", height, "sb_row").alias("mi_row")).select("*", places("x", "w", width, "sb_col").alias("mi_col"))
+
+
 def mi_grid(blocks: DataFrame, width: int, height: int) -> DataFrame:
-    """Every position with the block that answers first (by bit_start, then place), clipped to the picture."""
-    p = _positions(blocks, width, height)
+    """Every position with the block that answers first (by bit_start, then place), clipped to the picture.
+
+    Blocks are dealt by cells of CELL samples and opened to positions behind the shuffle.
+    """
+    size = F.lit(width), F.lit(height), F.lit(CELL)
+    dealt = _celled(blocks, *size).repartition("frame", "sb_row", "sb_col")
     rest = [c for c in blocks.columns if c not in ("frame", "bit_start", "y", "x")]
-    first = p.groupBy("frame", "mi_row", "mi_col").agg(F.min(F.struct("bit_start", "y", "x", *rest)).alias("b"))
+    first = _opened(dealt, *size).groupBy("frame", "sb_row", "sb_col", "mi_row", "mi_col").agg(F.min(F.struct("bit_start", "y", "x", *rest)).alias("b"))
     return first.select("frame", "mi_row", "mi_col", *[F.col(f"b.{c}").alias(c) for c in blocks.columns if c != "frame"])
 
 
@@ -228,22 +242,79 @@ def split_sb_values(blocks: DataFrame, names: tuple[str, ...], sb: int) -> tuple
     return own, sbs
 
 
-def diff_blocks(a: DataFrame, b: DataFrame, width: int, height: int, sb: int = 64) -> DataFrame:
-    """Differences of two block partitions, collapsed inside a superblock: kind, both rectangles, first position and how many positions.
+_RECT = ("x", "y", "w", "h")
+
+
+def _compared(a: DataFrame, b: DataFrame, alike: bool) -> DataFrame:
+    """Positions of both partitions (blocks with `width`, `height` and `sb` of their frame): frame, sb_row, sb_col, mi_row, mi_col, the answering
+    blocks `a` and `b`, and `kind`, null where they agree. Superblocks whose blocks are the same in the same order are left out unless `alike`.
 
-    Both sides are compared position by position: which block answers on a position that several cover depends on all of them, so none falls out before.
+    A side's blocks of a superblock meet as one list, which is compared whole; the lists that differ are opened to positions where they
+    are, so that only blocks are shuffled.
     """
-    names = ["frame", "x", "y", "w", "h", "syntax"]
-    ga, gb = mi_grid(a, width, height), mi_grid(b, width, height)
-    rect = lambda s: F.concat_ws(",", *[F.col(f"{c}_{s}").cast("string") for c in ("x", "y", "w", "h")])
-    keys = ["frame", "mi_row", "mi_col"]
-    p = ga.select(*keys, *[F.col(c).alias(f"{c}_a") for c in names[1:]], F.lit(1).alias("in_a")).join(gb.select(*keys, *[F.col(c).alias(f"{c}_b") for c in names[1:]], F.lit(1).alias("in_b")), keys, "full")
-    kind = F.when(F.col("in_a").isNull(), "MissingInA").when(F.col("in_b").isNull(), "MissingInB").when(rect("a") != rect("b"), "GeometryDiffers").when(~F.col("syntax_a").eqNullSafe(F.col("syntax_b")), "SyntaxDiffers")
-    d = p.withColumns({"kind": kind, "rect_a": rect("a"), "rect_b": rect("b"), "sb_row": F.floor(F.col("mi_row") * MI / sb), "sb_col": F.floor(F.col("mi_col") * MI / sb)}).where("kind IS NOT NULL")
+    size = F.col("width"), F.col("height"), F.col("sb")
+    keys = ["frame", "sb_row", "sb_col"]
+
+    def lists(df: DataFrame, name: str) -> DataFrame:
+        own = F.array_sort(F.collect_list(F.struct("bit_start", "y", "x", "w", "h", "syntax")))
+        return _celled(df, *size).groupBy(*keys).agg(own.alias(name), F.first("width").alias(f"width_{name}"), F.first("height").alias(f"height_{name}"), F.first("sb").alias(f"sb_{name}"))
+
+    both = lists(a, "a").join(lists(b, "b"), keys, "full")
+    bare = lambda c: F.transform(c, lambda x: F.struct(*[x[f].alias(f) for f in (*_RECT, "syntax")]))
+    if not alike:
+        both = both.where(~F.coalesce(bare("a") == bare("b"), F.lit(False)))
+    tagged = lambda c, i: F.transform(F.coalesce(c, F.array().cast(both.schema[c].dataType)), lambda x: F.struct(F.lit(i).alias("side"), x.alias("own")))
+    sides = F.concat(tagged("a", 0), tagged("b", 1))
+    each = both.select(*keys, *[F.coalesce(f"{c}_a", f"{c}_b").alias(c) for c in ("width", "height", "sb")], F.explode(sides).alias("block")).select(*keys, "width", "height", "sb", "block.side", "block.own", *[F.col(f"block.own.{c}").alias(c) for c in _RECT])
+    at = _opened(each, *size).groupBy(*keys, "mi_row", "mi_col").agg(*[F.min(F.when(F.col("side") == i, F.col("own"))).alias(c) for i, c in enumerate("ab")])
+    rect = lambda c: F.struct(*[F.col(f"{c}.{f}") for f in _RECT])
+    kind = F.when(F.col("a").isNull(), "MissingInA").when(F.col("b").isNull(), "MissingInB").when(rect("a") != rect("b"), "GeometryDiffers").when(~F.col("a.syntax").eqNullSafe(F.col("b.syntax")), "SyntaxDiffers")
+    return at.withColumn("kind", kind)
+
+
+def _framed(blocks: DataFrame, width: int, height: int, sb: int) -> DataFrame:
+    return blocks.withColumns({"width": F.lit(width), "height": F.lit(height), "sb": F.lit(sb)})
+
+
+def _collapsed(positions: DataFrame) -> DataFrame:
+    rect = lambda c: F.concat_ws(",", *[F.col(f"{c}.{f}").cast("string") for f in _RECT])
+    d = positions.where("kind IS NOT NULL").withColumns({"rect_a": rect("a"), "rect_b": rect("b")})
     g = d.groupBy("frame", "sb_row", "sb_col", "kind", "rect_a", "rect_b").agg(F.min(F.struct("mi_row", "mi_col")).alias("first"), F.count("*").alias("positions"))
     return g.select("frame", "sb_row", "sb_col", "kind", "rect_a", "rect_b", F.col("first.mi_row").alias("mi_row"), F.col("first.mi_col").alias("mi_col"), "positions")
 
 
+def diff_blocks(a: DataFrame, b: DataFrame, width: int, height: int, sb: int = 64) -> DataFrame:
+    """Differences of two block partitions, collapsed inside a superblock: kind, both rectangles, first position and how many positions.
+
+    Which block answers on a position that several cover depends on all of them, so a superblock is compared whole.
+    """
+    return _collapsed(_compared(_framed(a, width, height, sb), _framed(b, width, height, sb), False))
+
+
+def block_counts(a: DataFrame, b: DataFrame, width: int, height: int, sb: int = 64) -> DataFrame:
+    """frame, compared (positions that either side covers), differing, superblocks (that differ)."""
+    at = _compared(_framed(a, width, height, sb), _framed(b, width, height, sb), True)
+    each = at.groupBy("frame", "sb_row", "sb_col").agg(F.count("*").alias("compared"), F.count("kind").alias("differing"))
+    return each.groupBy("frame").agg(F.sum("compared").alias("compared"), F.sum("differing").alias("differing"), F.count_if(F.col("differing") > 0).alias("superblocks"))
+
+
+def diff_block_maps(a: DataFrame, b: DataFrame, maps_a: DataFrame, maps_b: DataFrame) -> DataFrame:
+    """`diff_blocks` where every frame has its own width, height and sb (maps: frame, width, height, sb), with an `error` row for each frame that
+    cannot be compared: pictures of other sizes (a frame that a side lacks has none), other superblock sizes, or no picture at all."""
+    mi = lambda c, s: F.ceil(F.coalesce(F.col(f"{c}_{s}"), F.lit(0)) / MI)
+    side = lambda df, s: df.select("frame", *[F.col(c).alias(f"{c}_{s}") for c in ("width", "height", "sb")])
+    frames = side(maps_a, "a").join(side(maps_b, "b"), "frame", "full")
+    text = lambda s: F.concat(mi("height", s).cast("string"), F.lit("x"), mi("width", s).cast("string"), F.lit(" MI"))
+    other = (mi("height", "a") != mi("height", "b")) | (mi("width", "a") != mi("width", "b"))
+    error = F.when(other, F.concat(F.lit("the two frames are not the same size: A "), text("a"), F.lit(", B "), text("b"))).when(~F.col("sb_a").eqNullSafe(F.col("sb_b")), "the two streams use different superblock sizes").when((mi("height", "a") <= 0) | (mi("width", "a") <= 0), "empty frame")
+    judged = frames.withColumn("error", error)
+    good = judged.where("error IS NULL").select("frame", F.col("width_a").alias("width"), F.col("height_a").alias("height"), F.col("sb_a").alias("sb"))
+    found = _collapsed(_compared(a.join(good, "frame"), b.join(good, "frame"), False)).withColumn("error", F.lit(None).cast("string"))
+    kinds = dict(found.dtypes)
+    bad = judged.where("error IS NOT NULL").select("frame", *[F.lit(None).cast(kinds[c]).alias(c) for c in found.columns if c not in ("frame", "error")], "error")
+    return found.unionByName(bad)
+
+
 def first_sb(block_diffs: DataFrame, value_diffs: DataFrame) -> DataFrame:
     """Per frame the first superblock with a block difference, and the first with only differing totals strictly before it."""
     at = F.struct("sb_row", "sb_col")

@@ -6,19 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_BEFORE = (Window.unboundedPreceding, -1)
+from ..sources.store import written
+from .scan import SPAN, scan, span
+
+_BEFORE, _SO_FAR = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
 
 
 def _running(column: str | Column, w) -> Column:
     return F.coalesce(F.sum(column).over(w.rowsBetween(*_BEFORE)), F.lit(0)).cast("long")
 
 
-def rle_encode(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """key, run, first, count, value: equal neighbours as runs (gaps and islands)."""
-    w = Window.partitionBy(key).orderBy(order)
-    island = F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, value).orderBy(order))
-    runs = rows.withColumn("island", island).groupBy(key, value, "island").agg(F.min(order).alias("first"), F.count("*").alias("count"))
-    return runs.select(key, F.row_number().over(Window.partitionBy(key).orderBy("first")).cast("long").alias("run"), "first", "count", F.col(value).alias("value"))
+def rle_encode(rows: DataFrame, key: str, order: str, value: str, size: int = SPAN) -> DataFrame:
+    """key, run, first, count, value: equal neighbours as runs. `order` is an ordinal, `size` of it make a block.
+
+    Blocks are encoded apart; of their runs a table is written. A row a block then tells which blocks go on with the run of the one before, and
+    how many runs the key has had.
+    """
+    w = Window.partitionBy(key, "_block").orderBy(order)
+    own = rows.select(key, order, value).withColumn("_block", span(order, size))
+    own = own.withColumn("_new", (F.row_number().over(w) == 1) | ~F.lag(value).over(w).eqNullSafe(F.col(value)))
+    own = own.withColumn("_part", F.sum(F.col("_new").cast("long")).over(w.rowsBetween(*_SO_FAR)))
+    parts = written(own.groupBy(key, "_block", "_part").agg(F.min(order).alias("first"), F.count("*").alias("count"), F.first(value).alias("value")), "runs")
+    by = Window.partitionBy(key).orderBy("_block")
+    ends = parts.groupBy(key, "_block").agg(F.max("_part").alias("n"), *[pick(F.struct("value"), "_part").alias(c) for c, pick in (("low", F.min_by), ("high", F.max_by))])
+    ends = ends.withColumn("on", F.coalesce(F.lag("high").over(by) == F.col("low"), F.lit(False)).cast("long"))
+    ends = ends.select(key, "_block", "on", (F.sum(F.col("n") - F.col("on")).over(by.rowsBetween(*_SO_FAR)) - F.col("n")).alias("earlier"))
+    numbered = parts.join(ends, [key, "_block"]).withColumn("run", F.col("earlier") + F.col("_part"))
+    return numbered.groupBy(key, "run").agg(F.min("first").alias("first"), F.sum("count").alias("count"), F.first("value").alias("value"))
 
 
 def chunk_runs(rows: DataFrame) -> DataFrame:
@@ -34,42 +48,73 @@ def chunk_offsets(rows: DataFrame) -> DataFrame:
     return n.select("track", "chunk", (_running("bytes", Window.partitionBy("track").orderBy("chunk")) + 100 * F.col("chunk")).alias("offset"))
 
 
-def chunk_run_join(chunks: DataFrame, runs: DataFrame) -> DataFrame:
-    """Every chunk with the last run whose first_chunk is not after it: runs meet the chunk they start at and are carried forward."""
-    starts = runs.select("track", F.col("first_chunk").alias("chunk"), "per_chunk")
-    w = Window.partitionBy("track").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+def _chunk_slots(chunks: DataFrame, runs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks with per_chunk, that of the last run which starts at or before them, and `before`, the samples of earlier chunks; track and the samples its chunks hold).
+
+    Runs meet the chunk they start at, and a table of that is written. Inside blocks of `size` chunks a window carries runs forward and adds
+    samples up; chunks ahead of a block's first run have that of an earlier block, so they are counted, and a row a block tells the rest.
+    """
+    starts = runs.select("track", F.col("first_chunk").alias("chunk"), F.col("per_chunk").alias("starts"))
+    met = written(chunks.select("track", "chunk", "offset").join(starts, ["track", "chunk"], "full"), "chunks")
+    w = Window.partitionBy("track", "_block").orderBy("chunk")
     known = F.col("offset").isNotNull()
-    met = chunks.select("track", "chunk", "offset").join(starts, ["track", "chunk"], "full")
-    return met.withColumn("per_chunk", F.last("per_chunk", ignorenulls=True).over(w)).where(known)
+    local = met.withColumn("_block", span("chunk", size)).repartition("track", "_block").withColumn("own", F.last("starts", ignorenulls=True).over(w.rowsBetween(*_SO_FAR)))
+    adds, ahead = F.when(known, F.greatest("own", F.lit(0))), (known & F.col("own").isNull()).cast("long")
+    local = local.withColumns({"_sum": _running(adds, w), "_ahead": _running(ahead, w)})
+    blocks = local.groupBy("track", "_block").agg(F.max_by("own", "chunk").alias("last"), F.coalesce(F.sum(adds), F.lit(0)).alias("sum"), F.sum(ahead).alias("ahead"))
+    by = Window.partitionBy("track").orderBy("_block")
+    blocks = blocks.withColumn("carry", F.last("last", ignorenulls=True).over(by.rowsBetween(*_BEFORE)))
+    blocks = blocks.withColumn("held", F.col("sum") + F.col("ahead") * F.greatest(F.coalesce("carry", F.lit(0)), F.lit(0))).withColumn("earlier", _running("held", by))
+    out = local.where(known).join(blocks.select("track", "_block", "carry", "earlier"), ["track", "_block"])
+    before = F.col("earlier") + F.col("_sum") + F.col("_ahead") * F.greatest(F.coalesce("carry", F.lit(0)), F.lit(0))
+    return out.select("track", "chunk", "offset", F.coalesce("own", "carry").alias("per_chunk"), before.alias("before")), blocks.groupBy("track").agg(F.sum("held").alias("room"))
 
 
-def sample_chunk_join(chunks: DataFrame) -> DataFrame:
-    """track, sample, chunk, offset, slot: chunk slots exploded, so that samples meet chunks by equality of the ordinal."""
-    first = _running("per_chunk", Window.partitionBy("track").orderBy("chunk"))
-    each = chunks.where("per_chunk > 0").withColumn("before", first).select("track", "chunk", "offset", "before", F.explode(F.sequence(F.lit(1).cast("long"), F.col("per_chunk"))).alias("slot"))
+def chunk_run_join(chunks: DataFrame, runs: DataFrame, size: int = SPAN) -> DataFrame:
+    """Every chunk with the last run whose first_chunk is not after it."""
+    return _chunk_slots(chunks, runs, size)[0].drop("before")
+
+
+def _slots(chunks: DataFrame) -> DataFrame:
+    each = chunks.where("per_chunk > 0").select("track", "chunk", "offset", "before", F.explode(F.sequence(F.lit(1).cast("long"), F.col("per_chunk"))).alias("slot"))
     return each.select("track", (F.col("before") + F.col("slot")).alias("sample"), "chunk", "offset", "slot")
 
 
-def locate_samples(sizes: DataFrame, runs: DataFrame, offsets: DataFrame) -> DataFrame:
-    """track, sample, chunk, size, offset, error: a chunk's offset and the sizes of earlier samples in it; samples beyond the chunks carry an error."""
-    slots = sample_chunk_join(chunk_run_join(offsets, runs))
-    placed = sizes.join(slots, ["track", "sample"], "left")
-    w = Window.partitionBy("track", "chunk").orderBy("sample")
-    lost = F.sum(F.col("chunk").isNull().cast("long")).over(Window.partitionBy("track"))
-    bad = runs.groupBy("track").agg(F.bool_or(F.col("per_chunk") <= 0).alias("bad"))
-    out = placed.withColumn("at", F.when(F.col("chunk").isNotNull(), F.col("offset") + _running("size", w))).withColumn("lost", lost).join(bad, "track", "left")
-    error = F.when(F.col("bad"), "a run has no samples").when(F.col("lost") > 0, F.concat(F.col("lost").cast("string"), F.lit(" samples unplaced")))
-    return out.select("track", "sample", "chunk", "size", F.col("at").alias("offset"), error.alias("error"))
-
-
-def decode_times(samples: DataFrame, runs: DataFrame) -> DataFrame:
-    """track, sample, time: base + delta x (sample - first) of the covering run; entries past the samples are ignored, samples past the entries get 0."""
-    w = Window.partitionBy("track").orderBy("run")
-    spans = runs.withColumn("before", _running("count", w)).withColumn("base", _running(F.col("count") * F.col("value"), w))
-    marks = spans.select("track", (F.col("before") + 1).alias("sample"), F.struct("before", "base", "value", "count").alias("span"), F.lit(0).alias("kind"))
-    both = samples.select("track", "sample", F.lit(None).cast(marks.schema["span"].dataType).alias("span"), F.lit(1).alias("kind")).unionByName(marks)
-    held = F.last("span", ignorenulls=True).over(Window.partitionBy("track").orderBy("sample", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("s", held).where("kind = 1")
+def sample_chunk_join(chunks: DataFrame, size: int = SPAN) -> DataFrame:
+    """track, sample, chunk, offset, slot: chunk slots exploded, so that samples meet chunks by equality of the ordinal."""
+    return _slots(scan(chunks.where("per_chunk > 0"), ["track"], ["chunk"], span("chunk", size), {"before": F.col("per_chunk")}))
+
+
+def locate_samples(sizes: DataFrame, runs: DataFrame, offsets: DataFrame, size: int = SPAN) -> DataFrame:
+    """track, sample, chunk, size, offset, error: a chunk's offset and the sizes of earlier samples in it; samples beyond the chunks carry an error.
+
+    Samples meet chunks by (track, sample) and add up by (track, chunk); chunks add up in blocks of `size`. What is joined by track is a row for
+    each track with an error.
+    """
+    chunks, room = _chunk_slots(offsets, runs, size)
+    placed = sizes.join(_slots(chunks), ["track", "sample"], "left")
+    # Samples without a chunk would be one window each track; by their own number they are dealt like the others.
+    w = Window.partitionBy("track", "chunk", F.when(F.col("chunk").isNull(), F.col("sample"))).orderBy("sample")
+    out = placed.withColumn("at", F.when(F.col("chunk").isNotNull(), F.col("offset") + _running("size", w)))
+    lost = sizes.groupBy("track").agg(F.count("*").alias("n")).join(room, "track", "left").select("track", (F.col("n") - F.coalesce("room", F.lit(0))).alias("lost")).where("lost > 0")
+    bad = runs.groupBy("track").agg(F.bool_or(F.col("per_chunk") <= 0).alias("bad")).where("bad")
+    wrong = F.when(F.col("bad"), "a run has no samples").otherwise(F.concat(F.col("lost").cast("string"), F.lit(" samples unplaced")))
+    return out.join(bad.join(lost, "track", "full").select("track", wrong.alias("error")), "track", "left").select("track", "sample", "chunk", "size", F.col("at").alias("offset"), "error")
+
+
+def decode_times(samples: DataFrame, runs: DataFrame, size: int = SPAN) -> DataFrame:
+    """track, sample, time: base + delta x (sample - first) of the covering run; entries past the samples are ignored, samples past the entries get 0.
+
+    A run is repeated in every block of `size` samples that it covers, so that samples look no further back than their block.
+    """
+    spans = scan(runs.select("track", "run", "count", "value"), ["track"], ["run"], span("run", size), {"before": F.col("count"), "base": F.col("count") * F.col("value")}).where("count > 0")
+    cover = F.explode(F.sequence(F.floor((F.col("before") + 1) / size), F.floor((F.col("before") + F.col("count")) / size)))
+    held = F.struct("before", "base", "value", "count")
+    marks = spans.select("track", held.alias("span"), cover.alias("block")).select("track", F.greatest(F.col("span.before") + 1, F.col("block") * size).alias("sample"), "span", "block", F.lit(0).alias("kind"))
+    both = samples.select("track", "sample", F.lit(None).cast(marks.schema["span"].dataType).alias("span"), span("sample", size).alias("block"), F.lit(1).alias("kind")).unionByName(marks)
+    both = both.repartition("track", "block")
+    found = F.last("span", ignorenulls=True).over(Window.partitionBy("track", "block").orderBy("sample", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("s", found).where("kind = 1")
     inside = F.col("sample") <= F.col("s.before") + F.col("s.count")
     return out.select("track", "sample", F.when(inside, F.col("s.base") + F.col("s.value") * (F.col("sample") - F.col("s.before") - 1)).otherwise(0).alias("time"))
 
@@ -98,26 +143,34 @@ def fallback_source(table: DataFrame, fragments: DataFrame, key: str = "track")
     return table.unionByName(fragments.join(table.select(key).distinct(), key, "left_anti").select(*table.columns))
 
 
-def map_position(offsets: DataFrame, segments: DataFrame, key: str) -> DataFrame:
-    """`segment` of each offset: the last that starts at or before it, null past that one's length."""
+def map_position(offsets: DataFrame, segments: DataFrame, key: str, width: int | None = None) -> DataFrame:
+    """`segment` of each offset: the last that starts at or before it, null past that one's length.
+
+    Both are cut into blocks of `width` of offset, by default such as hold about SPAN segments (of the key with the densest ones no more than
+    all keys together make of it); the last segment of earlier blocks is carried over.
+    """
+    if width is None:
+        s = segments.agg(F.min("start").alias("low"), F.max("start").alias("high"), F.count("*").alias("n")).first()
+        width = max(1, (s.high - s.low + 1) * SPAN // s.n) if s.n else 1
     s = segments.select(key, F.col("start").alias("offset"), F.struct("segment", "start", "length").alias("seg"), F.lit(0).alias("kind"))
     both = offsets.select(key, "offset", F.lit(None).cast(s.schema["seg"].dataType).alias("seg"), F.lit(1).alias("kind")).unionByName(s)
-    held = F.last("seg", ignorenulls=True).over(Window.partitionBy(key).orderBy("offset", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("s", held).where("kind = 1").select(key, "offset", F.when(F.col("offset") < F.col("s.start") + F.col("s.length"), F.col("s.segment")).alias("segment"))
+    found = scan(both, [key], ["offset", "kind"], span("offset", width), lasts={"s": F.col("seg")}).where("kind = 1")
+    return found.select(key, "offset", F.when(F.col("offset") < F.col("s.start") + F.col("s.length"), F.col("s.segment")).alias("segment"))
 
 
-def fragment_samples(runs: DataFrame) -> DataFrame:
+def fragment_samples(runs: DataFrame, size: int = SPAN) -> DataFrame:
     """runs: track, run, index, data_offset, tfdt (null: carried on), size, delta -> track, run, index, offset, time.
 
-    Offsets run on within a run from its data offset; decode times run on over runs and start anew where one gives its own time.
+    Offsets run on within a run from its data offset; decode times run on over runs and start anew where one gives its own time. Runs are
+    summed up first; the scan over a track is one over its runs, in blocks of `size` run numbers.
     """
-    in_run = Window.partitionBy("track", "run").orderBy("index")
-    in_track = Window.partitionBy("track").orderBy("run", "index")
-    marked = runs.withColumn("reset", (F.col("tfdt").isNotNull() & (F.col("index") == 0)).cast("long"))
-    epoch = marked.withColumn("epoch", F.sum("reset").over(in_track.rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy("track", "epoch").orderBy("run", "index")
-    base = F.coalesce(F.first("tfdt", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0))
-    return epoch.select("track", "run", "index", (F.col("data_offset") + _running("size", in_run)).alias("offset"), (F.when(F.col("epoch") > 0, base).otherwise(0) + _running("delta", w)).alias("time"))
+    own = Window.partitionBy("track", "run").orderBy("index")
+    each = runs.groupBy("track", "run").agg(F.sum("delta").alias("delta"), F.max(F.when(F.col("index") == 0, F.col("tfdt"))).alias("tfdt"))
+    each = scan(written(each, "fragments"), ["track"], ["run"], span("run", size), {"sum": F.col("delta")})
+    each = scan(each, ["track"], ["run"], span("run", size), lasts={"base": F.col("tfdt") - F.col("sum")})
+    begins = each.select("track", "run", (F.coalesce("base", F.lit(0)) + F.col("sum")).alias("begin"))
+    inside = runs.select("track", "run", "index", (F.col("data_offset") + _running("size", own)).alias("offset"), _running("delta", own).alias("passed"))
+    return inside.join(begins, ["track", "run"]).select("track", "run", "index", "offset", (F.col("begin") + F.col("passed")).alias("time"))
 
 
 def slice_by_sizes(sizes: DataFrame, data: DataFrame, key: str) -> DataFrame:

@@ -16,27 +16,46 @@ def jn3(a, b):
     return df.pair_by_position(a, b, ["section", "idx"], ["name", "value"])
 
 
-@query("df9_diff_elements", "f_sx_a", "f_sx_b", oracle=f"WITH {_SX} SELECT section, kind, CASE WHEN kind <> 'OnlyInB' THEN idx END AS index_a, CASE WHEN kind <> 'OnlyInA' THEN idx END AS index_b, coalesce(name_a, name_b) AS name, value_a, value_b FROM d WHERE kind IS NOT NULL")
+#: Longest common subsequences by the plain table, a row of it for each left element from the last to the first, and the walk through it.
+def _lcs(a: str, b: str) -> str:
+    lists = lambda t, s: f"l{s} AS (SELECT section, list(name ORDER BY idx) AS n{s}, list(value ORDER BY idx) AS v{s}, list(idx ORDER BY idx) AS i{s} FROM {t} GROUP BY section)"
+    return f"""{lists(a, 'a')}, {lists(b, 'b')}, ls AS (SELECT *, coalesce(len(na), 0) AS n, coalesce(len(nb), 0) AS m, CASE WHEN nb IS NULL THEN 'OnlyInA' WHEN na IS NULL THEN 'OnlyInB' ELSE 'Both' END AS side FROM la FULL JOIN lb USING (section)),
+lt(section, i, r) AS (SELECT section, n + 1, list_transform(range(1, m + 2), lambda j: 0) FROM ls UNION ALL
+  SELECT lt.section, lt.i - 1, list_transform(range(1, m + 2), lambda j: coalesce(list_max(list_transform(range(j, m + 1), lambda q: CASE WHEN na[lt.i - 1] = nb[q] THEN r[q + 1] + 1 ELSE r[q] END)), 0)) FROM lt JOIN ls USING (section) WHERE lt.i > 1),
+lw(section, step, i, j, x, y) AS (SELECT section, -1, 1, 1, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM ls UNION ALL
+  SELECT section, step + 1, CASE WHEN move < 2 THEN i + 1 ELSE i END, CASE WHEN move <> 1 THEN j + 1 ELSE j END, CASE WHEN move < 2 THEN i END, CASE WHEN move <> 1 THEN j END
+  FROM (SELECT lw.*, CASE WHEN lw.i > n THEN 2 WHEN lw.j > m THEN 1 WHEN na[lw.i] = nb[lw.j] THEN 0 WHEN t1.r[lw.j] >= t0.r[lw.j + 1] THEN 1 ELSE 2 END AS move
+        FROM lw JOIN ls ON ls.section = lw.section JOIN lt t0 ON t0.section = lw.section AND t0.i = lw.i LEFT JOIN lt t1 ON t1.section = lw.section AND t1.i = lw.i + 1 WHERE lw.i <= n OR lw.j <= m) z),
+le AS (SELECT w.section, side, step, ia[x] AS index_a, ib[y] AS index_b, coalesce(na[x], nb[y]) AS name, va[x] AS value_a, vb[y] AS value_b,
+  CASE WHEN y IS NULL THEN 'OnlyInA' WHEN x IS NULL THEN 'OnlyInB' WHEN va[x] IS DISTINCT FROM vb[y] THEN 'ValueMismatch' END AS kind FROM lw w JOIN ls USING (section) WHERE step >= 0),
+lc AS (SELECT section, any_value(side) AS side, CASE WHEN any_value(side) = 'Both' THEN count(kind) ELSE 1 END AS differences, count(*) FILTER (side = 'Both' AND index_a IS NOT NULL AND index_b IS NOT NULL) AS aligned_pairs,
+  count(*) FILTER (side = 'Both' AND kind = 'ValueMismatch') AS valuemismatch, count(*) FILTER (side = 'Both' AND kind = 'OnlyInA') AS onlyina, count(*) FILTER (side = 'Both' AND kind = 'OnlyInB') AS onlyinb, FALSE AS degraded FROM le GROUP BY section)"""
+
+
+_LC = _lcs("f_sx_a", "f_sx_c")
+
+
+@query("df9_diff_elements", "f_sx_a", "f_sx_c", oracle=f"WITH RECURSIVE {_LC} SELECT section, kind, index_a, index_b, name, value_a, value_b FROM le WHERE side = 'Both' AND kind IS NOT NULL")
 def df9(a, b):
     return df.diff_elements(a, b)
 
 
-@query("df8_align_names", "f_sx_a", "f_sx_b")
+@query("df8_align_names", "f_sx_a", "f_sx_c", oracle=f"WITH RECURSIVE {_LC} SELECT section, CAST(step AS BIGINT) AS step, index_a, index_b, FALSE AS degraded FROM le")
 def df8(a, b):
     return df.align_names(a, b)
 
 
-@query("df10_diff_sections", "f_sx_a", "f_sx_b", oracle=f"WITH {_SX} SELECT section, count(kind) AS differences, count(*) FILTER (kind = 'ValueMismatch') AS valuemismatch, count(*) FILTER (kind = 'OnlyInA') AS onlyina, count(*) FILTER (kind = 'OnlyInB') AS onlyinb FROM d GROUP BY section")
+@query("df10_diff_sections", "f_sx_a", "f_sx_c", oracle=f"WITH RECURSIVE {_LC} SELECT * FROM lc")
 def df10(a, b):
     return df.diff_sections(a, b)
 
 
-@query("df1_diff_counts", "f_sx_a", "f_sx_b", oracle=f"WITH {_SX} SELECT count(*) AS differences, count(DISTINCT section) AS sections, count(*) FILTER (kind = 'ValueMismatch') AS mismatches, count(*) FILTER (kind <> 'ValueMismatch') AS unpaired FROM d WHERE kind IS NOT NULL")
+@query("df1_diff_counts", "f_sx_a", "f_sx_c", oracle=f"WITH RECURSIVE {_LC} SELECT CAST(sum(differences) AS BIGINT) AS differences, CAST(sum(aligned_pairs) AS BIGINT) AS aligned_pairs, CAST(sum(valuemismatch) AS BIGINT) AS valuemismatch, CAST(sum(onlyina) AS BIGINT) AS onlyina, CAST(sum(onlyinb) AS BIGINT) AS onlyinb, count(*) FILTER (differences > 0) AS sections, count(*) FILTER (side <> 'Both') AS missing_sections, CAST(0 AS BIGINT) AS degraded_sections FROM lc")
 def df1(a, b):
-    return df.diff_counts(df.diff_elements(a, b))
+    return df.diff_counts(df.diff_sections(a, b))
 
 
-@query("df2_first_difference", "f_sx_a", "f_sx_b", oracle=f"WITH {_SX} SELECT section, pos, kind, name FROM (SELECT section, idx AS pos, kind, coalesce(name_a, name_b) AS name, row_number() OVER (PARTITION BY section ORDER BY idx) AS rn FROM d WHERE kind = 'ValueMismatch') WHERE rn = 1")
+@query("df2_first_difference", "f_sx_a", "f_sx_c", oracle=f"WITH RECURSIVE {_LC} SELECT section, index_a AS pos, kind, name FROM le WHERE side = 'Both' AND kind = 'ValueMismatch' QUALIFY row_number() OVER (PARTITION BY section ORDER BY index_a) = 1")
 def df2(a, b):
     d = df.diff_elements(a, b).select("section", F.coalesce("index_a", "index_b").alias("pos"), "kind", "name")
     return df.first_difference(d, ["section"], ["pos"], F.col("kind") == "ValueMismatch")
@@ -132,6 +151,24 @@ def df14(a, b):
     return df.diff_blocks(a, b, 128, 128)
 
 
+@query("df1_block_counts", "f_bl_a", "f_bl_b", oracle=f"WITH {_diff_sql()} SELECT frame, count(*) AS compared, count(kind) AS differing, count(DISTINCT CASE WHEN kind IS NOT NULL THEN CAST(floor(mi_row / 16) * 1000 + floor(mi_col / 16) AS BIGINT) END) AS superblocks FROM k GROUP BY frame")
+def df1_blocks(a, b):
+    return df.block_counts(a, b, 128, 128)
+
+
+@query("df14_diff_block_maps", "f_bl_a", "f_bl_b", oracle=f"""WITH {_diff_sql()}, fr AS (SELECT DISTINCT frame FROM f_bl_a),
+er AS (SELECT frame, CASE WHEN frame % 7 = 3 THEN concat('the two frames are not the same size: A 32x32 MI, B ', CASE WHEN frame % 2 = 0 THEN '0x0' ELSE '32x16' END, ' MI') WHEN frame % 7 = 4 THEN 'the two streams use different superblock sizes' WHEN frame % 7 = 5 THEN 'empty frame' END AS error FROM fr)
+SELECT dd.*, CAST(NULL AS VARCHAR) AS error FROM dd WHERE frame % 7 NOT IN (3, 4, 5) UNION ALL SELECT frame, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, error FROM er WHERE error IS NOT NULL""")
+def df14_maps(a, b):
+    """Every seventh frame has other sizes (or is missing in B), another superblock size, or no picture."""
+    n, size = F.col("frame"), F.lit(128)
+    base = a.select("frame").distinct()
+    none = F.when(n % 7 == 5, 0).otherwise(size)
+    maps_a = base.select("frame", none.alias("width"), none.alias("height"), F.lit(64).alias("sb"))
+    maps_b = base.where((n % 7 != 3) | (n % 2 == 1)).select("frame", F.when(n % 7 == 3, 64).otherwise(none).alias("width"), none.alias("height"), F.when(n % 7 == 4, 128).otherwise(64).alias("sb"))
+    return df.diff_block_maps(a, b, maps_a, maps_b)
+
+
 @query("df16_first_sb", "f_bl_a", "f_bl_b", oracle=f"""WITH {_diff_sql(_STRIP.format('a.syntax'), _STRIP.format('b.syntax'))}, f AS (SELECT frame, min(sb_row * 1000 + sb_col) AS f FROM dd GROUP BY frame),
 va AS (SELECT frame, floor(y / 64) AS r, floor(x / 64) AS c, arg_min(regexp_extract(syntax, 'sb_qindex=[0-9]+'), y * 1000 + x) AS v FROM f_bl_a GROUP BY 1, 2, 3), vb AS (SELECT frame, floor(y / 64) AS r, floor(x / 64) AS c, arg_min(regexp_extract(syntax, 'sb_qindex=[0-9]+'), y * 1000 + x) AS v FROM f_bl_b GROUP BY 1, 2, 3),
 t AS (SELECT va.frame, min(CAST(va.r * 1000 + va.c AS BIGINT)) AS t FROM va JOIN vb USING (frame, r, c) LEFT JOIN f ON f.frame = va.frame WHERE va.v <> vb.v AND (f.f IS NULL OR va.r * 1000 + va.c < f.f) GROUP BY va.frame)
@@ -163,7 +200,7 @@ def _live(c):
     return fr.latest_error(c.select("stream", "frame", text), "stream", "frame", "text").select(F.col("stream").alias("item"), "text")
 
 
-@query("df18_find_diff", "f_sx_a", "f_sx_b", "f_pl_a", "f_pl_b", "f_bl_a", "f_bl_b", "f_gr", "f_cf")
+@query("df18_find_diff", "f_sx_a", "f_sx_c", "f_pl_a", "f_pl_b", "f_bl_a", "f_bl_b", "f_gr", "f_cf")
 def df18(sa, sb, pa, pb, ba, bb, g, c):
     # Every unit is a frame; each third one is hidden and shown by the unit after it.
     n = F.col("ordinal")
@@ -242,15 +279,15 @@ def tk2(a):
     return df.first_n_text(a, "section", "idx", "name", 3)
 
 
-@query("tk2_first_n", "f_sx_a", "f_sx_b", oracle=f"WITH {_SX} SELECT section, idx, kind FROM d WHERE kind IS NOT NULL ORDER BY section, idx LIMIT 20")
+@query("tk2_first_n", "f_sx_a", "f_sx_c", oracle=f"WITH RECURSIVE {_LC} SELECT section, coalesce(index_a, index_b) AS idx, kind FROM le WHERE side = 'Both' AND kind IS NOT NULL ORDER BY section, idx, kind LIMIT 20")
 def tk2_n(a, b):
-    return df.diff_elements(a, b).select("section", F.coalesce("index_a", "index_b").alias("idx"), "kind").orderBy("section", "idx").limit(20)
+    return df.diff_elements(a, b).select("section", F.coalesce("index_a", "index_b").alias("idx"), "kind").orderBy("section", "idx", "kind").limit(20)
 
 
 def _so1(most):
-    sections = "s AS (SELECT section, count(kind) AS n FROM d GROUP BY section HAVING count(kind) > 0)"
+    sections = "s AS (SELECT section, differences AS n FROM lc WHERE differences > 0)"
     found = f"found AS ({_FOUND.format(said='differences')} {_FOUND_LAST.format(recon=2, decoder=3)})"
-    return f"WITH {_SX}, {_PL}, {_RECON}, {_LIVE}, {sections}, {found}, {_LISTED.format(most=most)}"
+    return f"WITH RECURSIVE {_LC}, {_PL}, {_RECON}, {_LIVE}, {sections}, {found}, {_LISTED.format(most=most)}"
 
 
 def _findings(sa, sb, pa, pb, g, c):
@@ -259,12 +296,12 @@ def _findings(sa, sb, pa, pb, g, c):
     return {"header": s, "payload": payloads, "reconstruction": df.recon_findings(gr.plane_diff(*_grids(g), ("frame", "plane"))), "decoder": df.decoder_findings(_live(c), "item", "text")}
 
 
-@query("so1_problems", "f_sx_a", "f_sx_b", "f_pl_a", "f_pl_b", "f_gr", "f_cf", oracle=_so1(1_000_000_000))
+@query("so1_problems", "f_sx_a", "f_sx_c", "f_pl_a", "f_pl_b", "f_gr", "f_cf", oracle=_so1(1_000_000_000))
 def so1(*views):
     """All findings of every source."""
     return df.problems(_findings(*views), {"decoder": "Error"}, most=1_000_000_000)
 
 
-@query("so1_problems_listed", "f_sx_a", "f_sx_b", "f_pl_a", "f_pl_b", "f_gr", "f_cf", oracle=_so1(5))
+@query("so1_problems_listed", "f_sx_a", "f_sx_c", "f_pl_a", "f_pl_b", "f_gr", "f_cf", oracle=_so1(5))
 def so1_listed(*views):
     return df.problems(_findings(*views), {"decoder": "Error"}, most=5)

@@ -8,11 +8,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .operators.scan import steady
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to every Python worker of the application, once: tasks import it wherever they run."""
+    steady(spark)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

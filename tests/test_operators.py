@@ -266,21 +266,158 @@ def test_robust_fit_by_hand(spark):
         assert r.ok and r.inliers == best[0][0] and r.total == 37 and [r[f"p{i}"] for i in range(6)] == pytest.approx(list(best[1])), kind
 
 
-def test_alignment_is_a_longest_common_subsequence():
+def walked(a, b):
+    """The alignment by the whole table: at a mismatch the left element is left out if that costs no pair."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for x in range(len(a) - 1, -1, -1):
+        for y in range(len(b) - 1, -1, -1):
+            table[x][y] = table[x + 1][y + 1] + 1 if a[x] == b[y] else max(table[x + 1][y], table[x][y + 1])
+    x = y = 0
+    while x < len(a) or y < len(b):
+        if x < len(a) and y < len(b) and a[x] == b[y]:
+            yield x, y
+            x, y = x + 1, y + 1
+        elif y == len(b) or (x < len(a) and table[x + 1][y] >= table[x][y + 1]):
+            yield x, -1
+            x += 1
+        else:
+            yield -1, y
+            y += 1
+
+
+def test_alignment_is_the_longest_common_subsequence_of_the_table():
     import random
 
+    import numpy as np
+
+    from framelake.operators import align
+
     rng = random.Random(3)
-    for _ in range(60):
-        a, b = [[rng.choice("abcde") for _ in range(rng.randint(0, 25))] for _ in range(2)]
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for x in range(len(a) - 1, -1, -1):
-            for y in range(len(b) - 1, -1, -1):
-                table[x][y] = table[x + 1][y + 1] + 1 if a[x] == b[y] else max(table[x + 1][y], table[x][y + 1])
-        pairs, degraded = diff._align(a, b)
-        both = [(x, y) for x, y in pairs if x is not None and y is not None]
-        assert not degraded and len(both) == table[0][0] and all(a[x] == b[y] for x, y in both) and both == sorted(both)
-        assert [x for x, _ in pairs if x is not None] == list(range(len(a))) and [y for _, y in pairs if y is not None] == list(range(len(b)))
-    assert diff._align(list("abc" * 9), list("bca" * 9), 100)[1] and not diff._align(list("abc" * 9), list("bca" * 9), None)[1]
+    for _ in range(1500):
+        a, b = [np.array([rng.randrange(rng.choice([1, 2, 5, 60])) for _ in range(rng.randint(0, 45))], np.int64) for _ in range(2)]
+        if rng.random() < 0.4:
+            b = np.array([x for x in a if rng.random() < 0.9], np.int64)
+        assert list(zip(*map(list, align.common_subsequence(a, b)), strict=True)) == list(walked(a, b))
+        x, y = align.resynchronised(a, b, 4)
+        assert x[x >= 0].tolist() == list(range(len(a))) and y[y >= 0].tolist() == list(range(len(b))) and all(a[i] == b[j] for i, j in zip(x, y, strict=True) if i >= 0 and j >= 0)
+    assert [tuple(map(int, p)) for p in zip(*align.resynchronised(np.array([1, 2, 3]), np.array([1, 9, 2, 3])), strict=True)] == [(0, 0), (-1, 1), (1, 2), (2, 3)]
+
+
+def test_alignment_of_long_lists_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from framelake.operators import align
+
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 40, 200_000)
+    b = np.delete(a, rng.integers(0, len(a), 60))
+    b[::5000] = 99
+    tracemalloc.start()
+    x, y = align.common_subsequence(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    both = (x >= 0) & (y >= 0)
+    assert (a[x[both]] == b[y[both]]).all() and both.sum() >= len(b) - 45
+
+
+def sections(spark, rows):
+    return spark.createDataFrame([(s, i, n, v) for s, pairs in rows.items() for i, (n, v) in enumerate(pairs)], "section long, idx long, name string, value string")
+
+
+def test_an_inserted_element_is_one_difference(spark):
+    """Section 1 gains an element, 2 loses one and changes another, 3 is missing in B, 4 in A, 5 has null names and values, 6 is equal."""
+    same = [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")]
+    a = sections(spark, {1: same, 2: same, 3: same, 5: [(None, None), ("x", None)], 6: same})
+    b = sections(spark, {1: [same[0], ("new", "9"), *same[1:]], 2: [same[0], same[2], ("d", "5")], 4: same, 5: [(None, None), ("x", "y"), ("z", None)], 6: same})
+    got = sorted(diff.diff_elements(a, b).collect())
+    assert [tuple(r) for r in got] == [(1, "OnlyInB", None, 1, "new", None, "9"), (2, "OnlyInA", 1, None, "b", "2", None), (2, "ValueMismatch", 3, 2, "d", "4", "5"), (5, "OnlyInB", None, 2, "z", None, None), (5, "ValueMismatch", 1, 1, "x", None, "y")]
+    rows = {r.section: tuple(r)[1:] for r in diff.diff_sections(a, b).collect()}
+    assert rows == {1: ("Both", 1, 4, 0, 0, 1, False), 2: ("Both", 2, 3, 1, 1, 0, False), 3: ("OnlyInA", 1, 0, 0, 0, 0, False), 4: ("OnlyInB", 1, 0, 0, 0, 0, False), 5: ("Both", 2, 2, 1, 0, 1, False), 6: ("Both", 0, 4, 0, 0, 0, False)}
+    assert tuple(diff.diff_counts(diff.diff_sections(a, b)).first()) == (7, 13, 2, 1, 2, 5, 2, 0)
+    assert diff.diff_counts(diff.diff_sections(a, a)).first().differences == 0
+    assert diff.diff_sections(a.limit(0), b.limit(0)).count() == 0 and diff.diff_counts(diff.diff_sections(a.limit(0), b.limit(0))).first().differences == 0
+
+
+def test_alignment_degrades_beyond_the_cap_only(spark):
+    """(n + 1) (m + 1) cells: 4 x 5 = 20 are as many as may be, and one less is too few."""
+    a, b = sections(spark, {0: [(x, x) for x in "abc"]}), sections(spark, {0: [(x, x) for x in "axbc"]})
+    for cells, degraded in ((20, False), (19, True), (None, False)):
+        rows = diff.align_names(a, b, cells).collect()
+        assert {r.degraded for r in rows} == {degraded} and sorted((r.index_a, r.index_b) for r in rows if r.index_a is not None) == [(0, 0), (1, 2), (2, 3)]
+
+
+def test_block_differences_shuffle_blocks_not_positions(spark):
+    """1000 frames of one 128 x 128 picture in 16 x 16 blocks; in two frames a block differs. Positions never cross an exchange."""
+    def blocks(odd):
+        rows = spark.range(1000).selectExpr("id AS frame").selectExpr("frame", "explode(sequence(0, 63)) AS k")
+        syntax = F.when(F.col("frame").isin(*odd) & (F.col("k") == 9), "s=1").otherwise("s=0")
+        return rows.selectExpr("frame", "CAST(k % 8 * 16 AS BIGINT) AS x", "CAST(k DIV 8 * 16 AS BIGINT) AS y", "16 AS w", "16 AS h", "CAST(k AS BIGINT) AS bit_start", "CAST(k + 1 AS BIGINT) AS bit_end", "k").withColumn("syntax", syntax).drop("k")
+
+    a, b = blocks([]), blocks([3, 800])
+    found = diff.diff_blocks(a, b, 128, 128)
+    assert [tuple(r) for r in sorted(found.collect())] == [(f, 0, 0, "SyntaxDiffers", "16,16,16,16", "16,16,16,16", 4, 4, 16) for f in (3, 800)]
+    plan = found._jdf.queryExecution().executedPlan()
+    text, rows = plan.toString().split("Initial Plan")[0], []
+    nodes = [plan.executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().endswith("QueryStage"):
+            node = node.plan()
+        if node.nodeName() == "Exchange":
+            rows.append(node.metrics().apply("shuffleRecordsWritten").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert "Exchange" in text and sum(rows) <= 2 * 1000 * 64
+
+
+def test_block_maps_that_cannot_be_compared(spark):
+    make = lambda rows: spark.createDataFrame(rows, "frame long, x long, y long, w int, h int, bit_start long, bit_end long, syntax string")
+    maps = lambda rows: spark.createDataFrame(rows, "frame long, width int, height int, sb int")
+    a = make([(f, 0, 0, 16, 16, 0, 1, "s") for f in range(6)])
+    b = make([(f, 0, 0, 16, 16, 0, 1, "t") for f in range(6)])
+    got = {r.frame: r for r in diff.diff_block_maps(a, b, maps([(0, 16, 16, 64), (1, 16, 16, 64), (2, 16, 16, 64), (3, 0, 0, 64), (4, 16, 16, 64)]), maps([(0, 16, 16, 64), (1, 16, 32, 64), (2, 16, 16, 128), (3, 0, 0, 64), (5, 20, 16, 64)])).collect()}
+    assert (got[0].kind, got[0].positions, got[0].error) == ("SyntaxDiffers", 16, None)
+    assert {f: got[f].error for f in range(1, 6)} == {1: "the two frames are not the same size: A 4x4 MI, B 8x4 MI", 2: "the two streams use different superblock sizes", 3: "empty frame", 4: "the two frames are not the same size: A 4x4 MI, B 0x0 MI", 5: "the two frames are not the same size: A 0x0 MI, B 4x5 MI"}
+    counts = diff.block_counts(a, b, 16, 16).where("frame = 0").first()
+    assert (counts.compared, counts.differing, counts.superblocks) == (16, 16, 1)
+
+
+def test_one_track_of_any_length(spark):
+    """One track of 3000 samples in blocks of 64: the same as by windows over the whole track, and no window of the plan is by track alone over samples."""
+    from pyspark.sql.window import Window
+
+    rows = spark.range(1, 3001).selectExpr("7L AS track", "id AS sample", "CAST(id DIV 7 AS BIGINT) + 1 AS chunk", "id * 31 % 97 + 1 AS size", "CAST(id DIV 100 % 3 AS BIGINT) AS delta").repartition(5)
+    w = Window.partitionBy("track").orderBy("sample")
+    runs = samples.rle_encode(rows, "track", "sample", "delta", 64)
+    want = rows.select("track", "sample", F.coalesce(F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("time"))
+    got = samples.decode_times(rows.select("track", "sample"), runs, 64)
+    assert got.exceptAll(want).count() == 0 and got.count() == 3000
+    assert [(r.run, r["first"], r["count"], r.value) for r in runs.orderBy("run").collect()] == [(1, 1, 99, 0)] + [(i + 1, 100 * i, 100, i % 3) for i in range(1, 30)] + [(31, 3000, 1, 0)]
+    offsets, chunk_runs = samples.chunk_offsets(rows), samples.chunk_runs(rows)
+    located = samples.locate_samples(rows.select("track", "sample", "size"), chunk_runs, offsets, 64)
+    inside = Window.partitionBy("track", "chunk").orderBy("sample").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(offsets, ["track", "chunk"]).select("track", "sample", "chunk", "size", (F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("offset"), F.lit(None).cast("string").alias("error"))
+    assert located.exceptAll(placed).count() == 0 and located.count() == 3000
+    found = samples.map_position(located.select("track", (F.col("offset") + F.col("size") - 1).alias("offset")), located.select("track", F.col("sample").alias("segment"), F.col("offset").alias("start"), F.col("size").alias("length")), "track", 500)
+    assert found.where("segment IS NULL").count() == 0 and found.agg(F.count_distinct("segment")).first()[0] == 3000
+
+
+def test_positions_behind_short_segments_and_ties(spark):
+    """The last segment to start decides, also when an earlier, longer one still covers the place and lies blocks before."""
+    segments = spark.createDataFrame([("t", 1, 0, 1000), ("t", 2, 90, 5), ("t", 3, 400, 0), ("u", 4, 50, 10)], "key string, segment long, start long, length long")
+    offsets = spark.createDataFrame([("t", x) for x in (-5, 0, 89, 90, 94, 95, 250, 399, 400, 900)] + [("u", 49), ("u", 50), ("u", 60), ("v", 1)], "key string, offset long")
+    for width in (10, 100, 5000, None):
+        got = {(r.key, r.offset): r.segment for r in samples.map_position(offsets, segments, "key", width).collect()}
+        assert got == {("t", -5): None, ("t", 0): 1, ("t", 89): 1, ("t", 90): 2, ("t", 94): 2, ("t", 95): None, ("t", 250): None, ("t", 399): None, ("t", 400): None, ("t", 900): None, ("u", 49): None, ("u", 50): 4, ("u", 60): None, ("v", 1): None}
+
+
+def test_fragments_carry_times_over_runs(spark):
+    rows = [("a", 1, 0, 100, None, 10, 5), ("a", 1, 1, 100, None, 20, 6), ("a", 2, 0, 500, None, 30, 7), ("a", 70, 0, 900, 1000, 1, 2), ("a", 70, 1, 900, None, 1, 3), ("a", 71, 0, 950, None, 1, 4), ("b", 1, 0, 0, 40, 1, 1)]
+    t = spark.createDataFrame(rows, "track string, run long, index long, data_offset long, tfdt long, size long, delta long")
+    for size in (1, 64):
+        got = [tuple(r) for r in samples.fragment_samples(t, size).orderBy("track", "run", "index").collect()]
+        assert got == [("a", 1, 0, 100, 0), ("a", 1, 1, 110, 5), ("a", 2, 0, 500, 11), ("a", 70, 0, 900, 1000), ("a", 70, 1, 901, 1002), ("a", 71, 0, 950, 1005), ("b", 1, 0, 0, 40)]
 
 
 def test_problems_list_everything_in_order_and_say_what_is_left_out(spark):
