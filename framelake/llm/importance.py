@@ -47,7 +47,7 @@ def features(column: pa.Array, grams: int = 2, buckets: int = BUCKETS) -> Iterat
 
 
 def histogram(texts: DataFrame, grams: int = 2, buckets: int = BUCKETS, text_col: str = "text") -> DataFrame:
-    """(bucket, n): how many features of all texts fall into each bucket; buckets without any are left out."""
+    """(bucket, n): how many features of each task's texts fall into each bucket; buckets without any are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
@@ -58,7 +58,7 @@ def histogram(texts: DataFrame, grams: int = 2, buckets: int = BUCKETS, text_col
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["bucket", "n"])
 
-    return texts.select(texts[text_col].cast("string").alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return texts.select(texts[text_col].cast("string").alias("text")).mapInArrow(run, "bucket long, n long")
 
 
 def gains(docs: DataFrame, target: DataFrame, grams: int = 2, buckets: int = BUCKETS) -> np.ndarray:
