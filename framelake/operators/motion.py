@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,33 +30,107 @@ def _rows(grid: DataFrame, key: str) -> DataFrame:
     return grid.groupBy(key, "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("row"))
 
 
-def _sad(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: F.abs(p - q)), F.lit(0).cast("long"), lambda acc, v: acc + v)
+class BlockRow:
+    """A row of `size` x `size` blocks and the reference rows within its reach: costs, and bounds of them from sums of sample rows.
 
+    The error of a block is not below the sum, over its sample rows, of how far the row's total is from the reference's; totals of all places come
+    from prefix sums. Displacements whose bound exceeds the best error so far are never summed.
+    """
 
-def block_match(cur: DataFrame, ref: DataFrame, size: int, reach: int, key: str = "frame") -> DataFrame:
-    """key, block_x, block_y, dx, dy, cost: exhaustive search of every size x size block over |d| <= reach, displacements that leave the picture left out.
-
-    The first displacement in (dy, dx) order wins ties. Rows of the current picture meet rows of the reference by (key, y + dy); the
-    horizontal displacements are slices of one row, so a sample is never a row of its own.
+    def __init__(self, cur: np.ndarray, ref: np.ndarray, first: int, top: int, height: int, reach: int):
+        self.size, self.count = len(cur), cur.shape[1] // len(cur)
+        self.cur = cur[:, : self.count * self.size].reshape(self.size, self.count, self.size).swapaxes(0, 1)
+        self.ref, self.top, self.first = ref, top, first
+        moves = np.arange(-reach, reach + 1)
+        dy = moves[(first + moves >= 0) & (first + self.size - 1 + moves < height)]
+        self.moves = np.array([(y, x) for y in dy for x in moves]).reshape(-1, 2)
+        starts = np.arange(self.count) * self.size + moves[:, None]
+        inside = (starts >= 0) & (starts + self.size <= ref.shape[1])
+        sums = np.zeros((len(ref), ref.shape[1] + 1), np.int64)
+        np.cumsum(ref, axis=1, out=sums[:, 1:])
+        at = np.where(inside, starts, 0)
+        totals = sums[:, np.minimum(at + self.size, ref.shape[1])] - sums[:, at]
+        own = self.cur.sum(axis=2).T
+        bounds = [np.where(inside, np.abs(own[:, None] - totals[first + y - top : first + y - top + self.size]).sum(axis=0), -1) for y in dy]
+        self.bounds = np.concatenate(bounds) if len(dy) else np.zeros((0, self.count), np.int64)
+
+    def costs(self, move: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Errors of some blocks, each at its displacement."""
+        dy, dx = self.moves[move].T
+        rows = (self.first - self.top + dy)[:, None, None] + np.arange(self.size)[:, None]
+        columns = (blocks * self.size + dx)[:, None, None] + np.arange(self.size)
+        return np.abs(self.cur[blocks] - self.ref[rows, columns]).sum(axis=(1, 2))
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks with a displacement, the first cheapest one of each, its error, and how many were summed."""
+        valid = self.bounds >= 0
+        bounds = np.where(valid, self.bounds, np.iinfo(np.int64).max)
+        blocks = np.flatnonzero(valid.any(axis=0))
+        least, summed = np.full(self.count, np.iinfo(np.int64).max), np.zeros(self.count, np.int64)
+        chosen = bounds.argmin(axis=0) if len(bounds) else np.zeros(self.count, np.int64)
+        if len(blocks):
+            least[blocks], summed[blocks] = self.costs(chosen[blocks], blocks), 1
+        picked = chosen.copy()
+        for move in range(len(bounds)):
+            need = np.flatnonzero(valid[move] & (bounds[move] <= least) & (picked != move))
+            if len(need):
+                cost = self.costs(np.full(len(need), move), need)
+                summed[need] += 1
+                better = (cost < least[need]) | ((cost == least[need]) & (move < chosen[need]))
+                least[need[better]], chosen[need[better]] = cost[better], move
+        return blocks, chosen[blocks], least[blocks], summed[blocks]
+
+
+def _matrix(rows: pa.ListArray) -> np.ndarray:
+    """Sample rows as a matrix as wide as the shortest of them."""
+    lengths = np.diff(rows.offsets.to_numpy())
+    if len(set(lengths.tolist())) > 1:
+        return np.array([r[: lengths.min()] for r in rows.to_pylist()], np.int64)
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(rows), -1)
+
+
+def block_match(cur: DataFrame, ref: DataFrame, size: int, reach: int, key: str = "frame", counted: bool = False) -> DataFrame:
+    """key, block_x, block_y, dx, dy, cost: exhaustive search of every size x size block over |d| <= reach, displacements that leave the picture left
+    out; with `counted` also `summed`, the displacements whose error was summed up.
+
+    The first displacement in (dy, dx) order wins ties. A row of blocks meets the reference rows within its reach as one array of rows: a sample
+    is shuffled in its row, once, and reference rows once for each row of blocks that can reach them.
     """
     a, b = _rows(cur, key), _rows(ref, key)
-    block = a.select(key, "y", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("row") / size).cast("int") - 1), lambda i: F.slice("row", i * size + 1, size))).alias("i", "part"))
-    height = a.groupBy(key).agg((F.floor((F.max("y") + 1) / size) * size).alias("height"), (F.max("y") + 1).alias("rows"))
-    moved = block.join(height, key).where("y < height").withColumn("block_y", F.floor(F.col("y") / size)).select("*", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("dy"))
-    moved = moved.where((F.col("block_y") * size + F.col("dy") >= 0) & (F.col("block_y") * size + size - 1 + F.col("dy") < F.col("rows")))
-    pair = moved.withColumn("ry", F.col("y") + F.col("dy")).join(b.select(key, F.col("y").alias("ry"), F.col("row").alias("other")), [key, "ry"])
-    wide = pair.select(key, "block_y", F.col("i").cast("long").alias("block_x"), "dy", "part", "other", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("dx")).where((F.col("block_x") * size + F.col("dx") >= 0) & (F.col("block_x") * size + size + F.col("dx") <= F.size("other")))
-    cost = wide.select(key, "block_y", "block_x", "dy", "dx", _sad(F.col("part"), F.slice("other", (F.col("block_x") * size + F.col("dx") + 1).cast("int"), F.lit(size))).alias("cost"))
-    return argmin_stable(cost.groupBy(key, "block_y", "block_x", "dy", "dx").agg(F.sum("cost").alias("cost")), [key, "block_y", "block_x"], "cost", ["dy", "dx"])
+    lists = lambda df, name: df.groupBy(key, "block_y").agg(F.array_sort(F.collect_list(F.struct("y", "row"))).alias(name))
+    height = a.groupBy(key).agg((F.max("y") + 1).alias("height"))
+    own = lists(a.withColumn("block_y", F.floor(F.col("y") / size)), "cur").where(F.size("cur") == size)
+    near = lists(b.withColumn("block_y", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("y") - reach) / size)), F.floor((F.col("y") + reach) / size)))), "ref")
+
+    def run(cur: pa.Array, ref: pa.Array, block_y: pa.Array, height: pa.Array) -> pa.Array:
+        out = []
+        for c, r, y, h in zip(cur, ref, block_y.to_pylist(), height.to_pylist(), strict=True):
+            c, r = c.values, r.values
+            row = BlockRow(_matrix(c.field("row")), _matrix(r.field("row")), y * size, r.field("y")[0].as_py(), h, reach)
+            blocks, move, cost, summed = row.best()
+            out.append([{"block_x": int(i), "dy": int(row.moves[m][0]), "dx": int(row.moves[m][1]), "cost": int(k), "summed": int(n)} for i, m, k, n in zip(blocks, move, cost, summed, strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("block_x", pa.int64()), ("dy", pa.int32()), ("dx", pa.int32()), ("cost", pa.int64()), ("summed", pa.int64())])))
+
+    search = F.arrow_udf(run, "array<struct<block_x: bigint, dy: int, dx: int, cost: bigint, summed: bigint>>")
+    found = own.join(near, [key, "block_y"]).join(height, key).select(key, "block_y", F.explode(search("cur", "ref", "block_y", "height")).alias("b"))
+    return found.select(key, "block_y", "b.block_x", "b.cost", "b.dy", "b.dx", *(["b.summed"] if counted else []))
 
 
 def common_sad(cur: DataFrame, ref: DataFrame, vectors: DataFrame, size: int, key: str = "frame") -> DataFrame:
-    """Plain SAD of a chosen whole-pixel displacement for each block, edges clamped."""
-    edge = ref.groupBy(key).agg(F.max("x").alias("mx"), F.max("y").alias("my"))
-    s = cur.withColumns({"block_x": F.floor(F.col("x") / size), "block_y": F.floor(F.col("y") / size)}).join(vectors, [key, "block_y", "block_x"]).join(edge, key)
-    s = s.withColumns({"rx": F.least(F.greatest(F.col("x") + F.col("dx"), F.lit(0)), F.col("mx")), "ry": F.least(F.greatest(F.col("y") + F.col("dy"), F.lit(0)), F.col("my"))})
-    return s.join(ref.select(key, F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("v").alias("w")), [key, "rx", "ry"]).groupBy(key, "block_y", "block_x").agg(F.sum(F.abs(F.col("v") - F.col("w"))).alias("sad"))
+    """Plain SAD of a chosen whole-pixel displacement for each block, edges clamped.
+
+    Parts of rows go to the reference row that they are compared with, which is not copied: it meets the list of all its parts.
+    """
+    a, b = _rows(cur, key), _rows(ref, key)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("row") - 1) / size).cast("int")), lambda i: F.struct(i.cast("long").alias("block_x"), F.slice("row", i * size + 1, size).alias("part")))
+    block = a.select(key, "y", F.floor(F.col("y") / size).alias("block_y"), F.explode(parts).alias("p")).select(key, "y", "block_y", "p.block_x", "p.part")
+    edge = b.groupBy(key).agg(F.max("y").alias("bottom"))
+    asked = block.join(vectors.select(key, "block_y", "block_x", "dx", "dy"), [key, "block_y", "block_x"]).join(edge, key)
+    asked = asked.groupBy(key, F.least(F.greatest(F.col("y") + F.col("dy"), F.lit(0)), F.col("bottom")).alias("y")).agg(F.collect_list(F.struct("block_y", "block_x", "dx", "part")).alias("asked"))
+    clamped = lambda p, i: F.get("row", F.least(F.greatest(p["block_x"] * size + p["dx"] + i, F.lit(0)), F.size("row") - 1).cast("int"))
+    error = lambda p: F.aggregate(F.transform(p["part"], lambda v, i: F.abs(v - clamped(p, i))), F.lit(0).cast("long"), lambda acc, v: acc + v)
+    costs = asked.join(b, [key, "y"]).select(key, F.explode(F.transform("asked", lambda p: F.struct(p["block_y"].alias("block_y"), p["block_x"].alias("block_x"), error(p).alias("sad")))).alias("c"))
+    return costs.groupBy(key, "c.block_y", "c.block_x").agg(F.sum("c.sad").alias("sad"))
 
 
 def static_blocks(cur: DataFrame, ref: DataFrame, size: int, most: int = 2, key: str = "frame") -> DataFrame:

@@ -88,6 +88,33 @@ def solve_moments(df: DataFrame, degree: Column | int, prefix: str = "", most: i
     return df.drop(*[f"{prefix}m{i}{j}" for i in range(n) for j in range(n)], *[f"{prefix}b{i}" for i in range(n)], *[f"{prefix}s{k}" for k in range(2 * n - 1)], *[f"{prefix}t{k}" for k in range(n)])
 
 
+def fitted_mean(df: DataFrame, points: str, degree: Column, most: int = 3) -> DataFrame:
+    """Adds `mean`: that over [-1, 1] of the least-squares polynomial through an array of points (u, y); null where points do not fix the degree.
+
+    The basis is orthogonal over the points themselves (each term from the two before it), so no normal equations are formed and nearly equal
+    points cost no digits; two Gauss-Legendre places give the mean of a cubic exactly.
+    """
+    names = [c for c in df.columns if c != points]
+    fold = lambda c, term: F.aggregate(c, F.lit(0.0), lambda acc, p: acc + term(p))
+    root = 3**-0.5
+    state = {"_at": F.transform(points, lambda p: F.struct(p["u"].alias("u"), p["y"].alias("y"), F.lit(0.0).alias("old"), F.lit(1.0).alias("now")))}
+    state |= {f"_{n}{i}": F.lit(v) for i in (0, 1) for n, v in (("old", 0.0), ("now", 1.0), ("sum", 0.0))} | {"_size": F.lit(1.0)}
+    df = df.select(*names, *[c.alias(n) for n, c in state.items()])
+    for k in range(most + 1):
+        df = df.withColumn("_square", fold("_at", lambda p: p["now"] * p["now"]))
+        good = F.when(F.col("_square") >= 1e-12, F.col("_square"))
+        share = F.when(degree >= k, fold("_at", lambda p: p["y"] * p["now"]) / good).otherwise(0.0)
+        df = df.withColumns({"_share": share, "_shift": fold("_at", lambda p: p["u"] * p["now"] * p["now"]) / good, "_ratio": F.lit(0.0) if k == 0 else good / F.col("_size")})
+        step = {f"_sum{i}": F.col(f"_sum{i}") + F.col("_share") * F.col(f"_now{i}") for i in (0, 1)}
+        if k < most:
+            step |= {f"_now{i}": (F.lit(x) - F.col("_shift")) * F.col(f"_now{i}") - F.col("_ratio") * F.col(f"_old{i}") for i, x in ((0, -root), (1, root))}
+            step |= {f"_old{i}": F.col(f"_now{i}") for i in (0, 1)}
+            step["_at"] = F.transform("_at", lambda p: F.struct(p["u"].alias("u"), p["y"].alias("y"), p["now"].alias("old"), ((p["u"] - F.col("_shift")) * p["now"] - F.col("_ratio") * p["old"]).alias("now")))
+            step["_size"] = F.col("_square")
+        df = df.withColumns(step)
+    return df.select(*names, ((F.col("_sum0") + F.col("_sum1")) / 2).alias("mean"))
+
+
 def poly_fit(points: DataFrame, keys: tuple[str, ...], x: str, y: str, degree: int) -> DataFrame:
     """Least squares about the mean of x: keys, n, centre and coefficients c0.. (of x - centre); null with fewer than degree + 1 points."""
     centre = points.groupBy(*keys).agg(F.avg(x).alias("centre"))
@@ -142,13 +169,10 @@ def _compared(curves: DataFrame, anchor: str, keys: tuple[str, ...], regions: Da
     # u runs from -1 to 1 over the overlap, where the mean of a cubic is c0 + c2 / 3.
     half = F.when(F.col("early").isNull(), (F.col("psnr_hi") - F.col("psnr_lo")) / 2)
     place = lambda p: F.struct(((p["psnr"] - (F.col("psnr_lo") + F.col("psnr_hi")) / 2) / half).alias("u"), F.log10(p["rate"]).alias("y"))
-    fold = lambda term: F.aggregate("at", F.lit(0.0), lambda acc, p: acc + term(p))
-    power = lambda p, k: F.lit(1.0) if k == 0 else p["u"] if k == 1 else F.pow(p["u"], F.lit(float(k)))
-    # Both curves of a pair go through one elimination and meet again without a shuffle: they stay where their region is.
+    # Both curves of a pair are fitted beside each other and meet again without a shuffle: they stay where their region is.
     kept = [c for c in pair.columns if c not in (*keys, "test", "a", "b")]
     both = pair.select(*keys, "test", "degree", F.struct(*kept).alias("kept"), F.posexplode(F.array(F.transform("a", place), F.transform("b", place))).alias("side", "at"))
-    sums = both.select(*keys, "test", "degree", "kept", "side", *[fold(lambda p, k=k: power(p, k)).alias(f"s{k}") for k in range(7)], *[fold(lambda p, k=k: power(p, k) * p["y"]).alias(f"t{k}") for k in range(4)])
-    mean = solve_moments(sums, F.col("degree")).withColumn("mean", F.col("c0") + F.col("c2") / 3)
+    mean = fitted_mean(both, "at", F.col("degree"))
     side_mean = lambda i: F.max(F.when(F.col("side") == i, F.col("mean")))
     out = mean.groupBy(*keys, "test").agg(F.first("kept").alias("kept"), ((F.pow(F.lit(10.0), side_mean(1) - side_mean(0)) - 1) * 100).alias("percent")).select(*keys, "test", "kept.*", "percent")
     good = F.col("early").isNull() & (F.abs("percent") < float("inf"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import round_half_away
+from ..sources.store import written
 
 _SO_FAR = (Window.unboundedPreceding, 0)
 
@@ -43,58 +45,176 @@ def gaussian_smooth(series: DataFrame, sigma: float, value: str = "v", key: str
     return near.withColumn("smooth", top / bottom).drop(*[f"near_{d + half}" for d, _ in weights])
 
 
-def kalman_pass(z: list[float], q: float, r: float) -> tuple[list[tuple[float, float]], list[tuple[float, float, float]], list[tuple[float, float]], list[tuple[float, float, float]]]:
-    """Constant-velocity filter: filtered states and covariances (p00, p01, p11), and the predictions before each update."""
-    states, covs, predicted, predicted_covs = [], [], [], []
-    x0, x1 = (z[0] if z else 0.0), 0.0
-    p00 = p11 = 1e6 * max(r, 1e-9)
-    p01 = 0.0
-    for k, v in enumerate(z):
-        if k:
-            x0, (p00, p01, p11) = x0 + x1, (p00 + 2 * p01 + p11 + q / 4, p01 + p11 + q / 2, p11 + q)
-        predicted.append((x0, x1))
-        predicted_covs.append((p00, p01, p11))
-        s = p00 + r
-        g0, g1, gap = p00 / s, p01 / s, v - x0
-        x0, x1 = x0 + g0 * gap, x1 + g1 * gap
+CHUNK = 1 << 14  # frame numbers of a series worked on at once
+
+
+class Gains:
+    """What the constant-velocity filter of variances q and r does at the k-th value of any series: its covariances do not depend on the values.
+
+    `filter(k)`: the two gains. `smoother(k)`: the gain of the backward pass as (g00, g01, g10, g11). Both are found once, in turn, and stay
+    as they are from where the covariance no longer changes.
+    """
+
+    def __init__(self, q: float, r: float):
+        self.q, self.r = q, r
+        self.now = (1e6 * max(r, 1e-9), 0.0, 1e6 * max(r, 1e-9))
+        self.forward: list[tuple[float, float]] = []
+        self.back: list[tuple[float, float, float, float]] = []
+        self.settled = False
+
+    def _next(self) -> None:
+        p00, p01, p11 = self.now
+        g0, g1 = p00 / (p00 + self.r), p01 / (p00 + self.r)
         p00, p01, p11 = (1 - g0) * p00, (1 - g0) * p01, p11 - g1 * p01
-        states.append((x0, x1))
-        covs.append((p00, p01, p11))
-    return states, covs, predicted, predicted_covs
-
-
-def _kalman(series: DataFrame, q: float, r: float, back: bool, value: str, key: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        states, covs, predicted, predicted_covs = kalman_pass(pdf[value].tolist(), q, r)
-        out = [s[0] for s in states]
-        if back and states:
-            n0, n1 = states[-1]
-            for k in range(len(states) - 2, -1, -1):
-                (x0, x1), (p00, p01, p11) = states[k], covs[k]
-                (m0, m1), (a, b, d) = predicted[k + 1], predicted_covs[k + 1]
-                det = a * d - b * b
-                # gain = P F' (predicted covariance)^-1, F = [[1, 1], [0, 1]]
-                c00, c01, c10, c11 = p00 + p01, p01, p01 + p11, p11
-                g00, g01, g10, g11 = (c00 * d - c01 * b) / det, (c01 * a - c00 * b) / det, (c10 * d - c11 * b) / det, (c11 * a - c10 * b) / det
-                e0, e1 = n0 - m0, n1 - m1
-                n0, n1 = x0 + g00 * e0 + g01 * e1, x1 + g10 * e0 + g11 * e1
-                out[k] = n0
-        return pd.DataFrame({key: pdf[key], "frame": pdf["frame"], value: pdf[value], "smooth": out})
-
-    rows = series.select(key, "frame", F.col(value).cast("double").alias(value))
-    kind = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, frame {kind['frame']}, {value} double, smooth double")
-
-
-def kalman_causal(series: DataFrame, q: float, r: float, value: str = "v", key: str = "series") -> DataFrame:
-    """A strict recurrence over each series in order."""
-    return _kalman(series, q, r, False, value, key)
-
-
-def kalman_rts(series: DataFrame, q: float, r: float, value: str = "v", key: str = "series") -> DataFrame:
-    """The causal filter and a backward pass."""
-    return _kalman(series, q, r, True, value, key)
+        a, b, d = p00 + 2 * p01 + p11 + self.q / 4, p01 + p11 + self.q / 2, p11 + self.q
+        det = a * d - b * b
+        # Backward gain: P F' (predicted covariance)^-1, F = [[1, 1], [0, 1]].
+        c00, c01, c10, c11 = p00 + p01, p01, p01 + p11, p11
+        self.forward.append((g0, g1))
+        self.back.append(((c00 * d - c01 * b) / det, (c01 * a - c00 * b) / det, (c10 * d - c11 * b) / det, (c11 * a - c10 * b) / det) if det else (0.0, 0.0, 0.0, 0.0))
+        self.settled = (a, b, d) == self.now
+        self.now = (a, b, d)
+
+    def _upto(self, k: int) -> int:
+        while len(self.forward) <= k and not self.settled:
+            self._next()
+        return min(k, len(self.forward) - 1)
+
+    def filter(self, k: int) -> tuple[float, float]:
+        return self.forward[self._upto(k)]
+
+    def smoother(self, k: int) -> tuple[float, float, float, float]:
+        return self.back[self._upto(k)]
+
+
+_gains: dict[tuple[float, float], Gains] = {}
+
+
+def gains(q: float, r: float) -> Gains:
+    """One table a Python worker and pair of variances."""
+    return _gains.setdefault((q, r), Gains(q, r))
+
+
+def filtered(z: list[float], first: int, state: tuple[float, float] | None, g: Gains) -> list[tuple[float, float]]:
+    """States after each value of a piece of a series that begins with its `first`-th value, given the state before it (None at the start)."""
+    out = []
+    for k, v in enumerate(z, first):
+        x0, x1 = (v, 0.0) if state is None else (state[0] + state[1], state[1])
+        g0, g1 = g.filter(k)
+        state = x0 + g0 * (v - x0), x1 + g1 * (v - x0)
+        out.append(state)
+    return out
+
+
+def smoothed(states: list[tuple[float, float]], first: int, after: tuple[float, float] | None, g: Gains) -> list[tuple[float, float]]:
+    """The backward pass over the filtered states of a piece, given the smoothed state after it (None at the end)."""
+    out, n = [], after
+    for k in range(len(states) - 1, -1, -1):
+        x0, x1 = states[k]
+        if n is None:
+            n = x0, x1
+        else:
+            g00, g01, g10, g11 = g.smoother(first + k)
+            e0, e1 = n[0] - x0 - x1, n[1] - x1
+            n = x0 + g00 * e0 + g01 * e1, x1 + g10 * e0 + g11 * e1
+        out.append(n)
+    return out[::-1]
+
+
+_MAP = "m00 double, m01 double, m10 double, m11 double, b0 double, b1 double"
+
+
+def _composed(step: Callable[[list, tuple[float, float]], tuple[float, float]], own: list, zero: list) -> tuple[float, ...]:
+    """The affine map of a piece from the state on one side of it to that on the other: what it makes of a state of zero, and a piece of zeros of either unit state."""
+    b, x, y = step(own, (0.0, 0.0)), step(zero, (1.0, 0.0)), step(zero, (0.0, 1.0))
+    return x[0], y[0], x[1], y[1], b[0], b[1]
+
+
+def _states(maps: DataFrame, key: str, backwards: bool) -> DataFrame:
+    """key, block and the state (s0, s1) that each block starts from, from the maps of blocks (one row each): null for the first."""
+    own = F.array_sort(F.collect_list(F.struct((-F.col("block") if backwards else F.col("block")).alias("at"), "block", "map")))
+
+    def go(state, m):  # noqa: ANN001, ANN202
+        first = state["s0"].isNull()
+        s0, s1 = F.coalesce(state["s0"], F.lit(0.0)), F.coalesce(state["s1"], F.lit(0.0))
+        n0 = m["map"]["m00"] * s0 + m["map"]["m01"] * s1 + m["map"]["b0"]
+        n1 = m["map"]["m10"] * s0 + m["map"]["m11"] * s1 + m["map"]["b1"]
+        told = F.struct(m["block"].alias("block"), F.when(~first, s0).alias("s0"), F.when(~first, s1).alias("s1"))
+        return F.struct(F.concat(state["out"], F.array(told)).alias("out"), n0.alias("s0"), n1.alias("s1"))
+
+    none = F.lit(None).cast("double")
+    start = F.struct(F.array().cast("array<struct<block: bigint, s0: double, s1: double>>").alias("out"), none.alias("s0"), none.alias("s1"))
+    return maps.groupBy(key).agg(own.alias("maps")).select(key, F.explode(F.aggregate("maps", start, go)["out"]).alias("o")).select(key, "o.block", "o.s0", "o.s1")
+
+
+def _kalman(series: DataFrame, q: float, r: float, back: bool, value: str, key: str, chunk: int) -> DataFrame:
+    frame = dict(series.dtypes)["frame"]
+    rows = series.select(key, "frame", F.col(value).cast("double").alias("v"), F.floor(F.col("frame") / chunk).alias("block"))
+    counts = rows.groupBy(key, "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first")
+    pieces = rows.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("rows"))
+    pieces = pieces.join(counts.select(key, "block", before), [key, "block"]).select(key, "block", "rows", F.transform("rows.v", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("z"), "first")
+    pair = lambda a, b: [(None if x is None else (x, y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+
+    def forward_map(z: pa.Array, first: pa.Array) -> pa.Array:
+        g, out = gains(q, r), []
+        for own, k in zip(z.to_pylist(), first.to_pylist(), strict=True):
+            if k == 0:
+                x0, x1 = filtered(own, 0, None, g)[-1]
+                out.append((0.0, 0.0, 0.0, 0.0, x0, x1))
+            else:
+                out.append(_composed(lambda v, s, k=k: filtered(v, k, s, g)[-1], own, [0.0] * len(own)))
+        return _maps(out)
+
+    def run_forward(z: pa.Array, first: pa.Array, s0: pa.Array, s1: pa.Array) -> pa.Array:
+        g = gains(q, r)
+        return pa.array([[{"x0": a, "x1": b} for a, b in filtered(own, k, s, g)] for own, k, s in zip(z.to_pylist(), first.to_pylist(), pair(s0, s1), strict=True)], pa.list_(pa.struct([("x0", pa.float64()), ("x1", pa.float64())])))
+
+    def backward_map(states: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
+        g, out = gains(q, r), []
+        for own, k, end in zip(states.to_pylist(), first.to_pylist(), last.to_pylist(), strict=True):
+            own = [(s["x0"], s["x1"]) for s in own]
+            if end:
+                out.append((0.0, 0.0, 0.0, 0.0, *smoothed(own, k, None, g)[0]))
+            else:
+                out.append(_composed(lambda v, n, k=k: smoothed(v, k, n, g)[0], own, [(0.0, 0.0)] * len(own)))
+        return _maps(out)
+
+    def run_backward(states: pa.Array, first: pa.Array, s0: pa.Array, s1: pa.Array) -> pa.Array:
+        g = gains(q, r)
+        return pa.array([[x for x, _ in smoothed([(s["x0"], s["x1"]) for s in own], k, n, g)] for own, k, n in zip(states.to_pylist(), first.to_pylist(), pair(s0, s1), strict=True)], pa.list_(pa.float64()))
+
+    maps = pieces.select(key, "block", F.arrow_udf(forward_map, _MAP)("z", "first").alias("map"))
+    states = F.arrow_udf(run_forward, "array<struct<x0: double, x1: double>>")("z", "first", "s0", "s1")
+    found = pieces.join(_states(maps, key, False), [key, "block"]).select(key, "block", "rows", "first", states.alias("states"))
+    if back:
+        last = F.lead("block").over(Window.partitionBy(key).orderBy("block")).isNull().alias("last")
+        found = written(found, "filtered").join(counts.select(key, "block", last), [key, "block"])
+        maps = found.select(key, "block", F.arrow_udf(backward_map, _MAP)("states", "first", "last").alias("map"))
+        found = found.join(_states(maps, key, True), [key, "block"]).select(key, "rows", F.arrow_udf(run_backward, "array<double>")("states", "first", "s0", "s1").alias("smooth"))
+    else:
+        found = found.select(key, "rows", F.col("states.x0").alias("smooth"))
+    each = found.select(key, F.explode(F.arrays_zip(F.col("rows.frame").alias("frame"), F.col("rows.v").alias("v"), "smooth")).alias("r"))
+    return each.select(key, F.col("r.frame").cast(frame).alias("frame"), F.col("r.v").alias(value), "r.smooth")
+
+
+def _maps(rows: list[tuple[float, ...]]) -> pa.Array:
+    names = [c.split()[0] for c in _MAP.split(", ")]
+    return pa.array([dict(zip(names, m, strict=True)) for m in rows], pa.struct([(n, pa.float64()) for n in names]))
+
+
+def kalman_causal(series: DataFrame, q: float, r: float, value: str = "v", key: str = "series", chunk: int = CHUNK) -> DataFrame:
+    """key, frame, value, smooth: a constant-velocity filter along each series.
+
+    A piece of a series takes the state before it to the state after it by an affine map. Pieces of `chunk` frame numbers find their maps
+    apart, the maps of a series are gone through in turn (a row a piece), and pieces are then filtered from the states they start from.
+    """
+    return _kalman(series, q, r, False, value, key, chunk)
+
+
+def kalman_rts(series: DataFrame, q: float, r: float, value: str = "v", key: str = "series", chunk: int = CHUNK) -> DataFrame:
+    """The causal filter and a backward pass, both by pieces; filtered pieces are written in between."""
+    return _kalman(series, q, r, True, value, key, chunk)
 
 
 def correction(smoothed: DataFrame, value: str = "v") -> DataFrame:

@@ -1,8 +1,3 @@
 """Registered queries by family."""
 
-from .. import registry
 from . import diff, frames, grid, manifest, motion, rd, samples, scalars, streaming, trajectory  # noqa: F401
-
-#: Other names of queries that take the whole of their tables.
-for _name in ("mv2_block_match", "mv1_common_sad", "jn14_candidate_search", "rd12_validate_groups", "jn18_map_position", "sc23_log_height"):
-    registry.QUERIES[f"{_name}_whole"], registry.ORACLES[f"{_name}_whole"] = registry.QUERIES[_name], registry.ORACLES[_name]

@@ -9,7 +9,7 @@ from ..registry import query
 from ..sources import tables as src
 from ..sources.store import scratch
 from .motion import _GATE
-from .rd import _COLS, BD
+from .rd import BD, _COLS, _PERCENT, shown_percent
 
 _PARSE = """r AS (SELECT page_id, line_no, line, trim(regexp_replace(trim(CASE WHEN instr(line, '#') > 0 THEN substr(line, 1, instr(line, '#') - 1) ELSE line END), '[,\\s]+$', '')) AS bare, instr(line, '#') > 0 AS has FROM (SELECT line_no AS page_id, line_no, line FROM f_lk)),
 k AS (SELECT line_no, CASE WHEN length(bare) >= 2 AND ((bare LIKE '"%' AND bare LIKE '%"') OR (bare LIKE '''%' AND bare LIKE '%''')) THEN trim(substr(bare, 2, length(bare) - 2)) ELSE bare END AS link, CASE WHEN has THEN trim(substr(line, instr(line, '#') + 1)) END AS comment, has FROM r),
@@ -66,10 +66,10 @@ def src1_by_group(t):
     return _samples(t, src.write_sb_samples_by_group, src.read_sb_samples_by_group)
 
 
-@query("src2_sb_bdrate", "f_rd", oracle=f"WITH {BD} SELECT {_COLS.replace('THEN least(pct, 100000) END, 2)', 'THEN least(pct, 100000) ELSE 0 END, 2)').replace('round(psnr_lo, 4)', 'round(coalesce(psnr_lo, 0), 4)').replace('round(psnr_hi, 4)', 'round(coalesce(psnr_hi, 0), 4)')}, round(coalesce(bits_a_max, 0), 2) AS bits_a_max, round(coalesce(psnr_a_max, 0), 4) AS psnr_a_max, coalesce(samples, 0) AS samples, round(coalesce(bits_b_max, 0), 2) AS bits_b_max, round(coalesce(psnr_b_max, 0), 4) AS psnr_b_max FROM bd")
+@query("src2_sb_bdrate", "f_rd", oracle=f"WITH {BD} SELECT {_COLS.replace(_PERCENT, f'coalesce({_PERCENT}, 0)').replace('round(psnr_lo, 4)', 'round(coalesce(psnr_lo, 0), 4)').replace('round(psnr_hi, 4)', 'round(coalesce(psnr_hi, 0), 4)')}, round(coalesce(bits_a_max, 0), 2) AS bits_a_max, round(coalesce(psnr_a_max, 0), 4) AS psnr_a_max, coalesce(samples, 0) AS samples, round(coalesce(bits_b_max, 0), 2) AS bits_b_max, round(coalesce(psnr_b_max, 0), 4) AS psnr_b_max FROM bd")
 def src2(t):
-    back = _through(rd.bd_rate_report(t, "A"), src.write_sb_bdrate, src.read_sb_bdrate, "sb_bdrate").withColumn("percent", F.least("bdrate", F.lit(100000.0))).drop("bdrate")
-    digits = {"percent": 2, "psnr_lo": 4, "psnr_hi": 4, "bits_a_max": 2, "bits_b_max": 2, "psnr_a_max": 4, "psnr_b_max": 4}
+    back = shown_percent(_through(rd.bd_rate_report(t, "A"), src.write_sb_bdrate, src.read_sb_bdrate, "sb_bdrate").withColumnRenamed("bdrate", "percent"))
+    digits = {"psnr_lo": 4, "psnr_hi": 4, "bits_a_max": 2, "bits_b_max": 2, "psnr_a_max": 4, "psnr_b_max": 4}
     return back.withColumns({c: F.round(c, d) for c, d in digits.items()}).withColumn("degree", F.col("degree").cast("long"))
 
 

@@ -9,9 +9,10 @@ P = "CASE WHEN samples > 0 AND sse > 0 THEN 10 * log10(65025.0 * samples / sse)
 SUMS = "sum(bits) AS bits, sum(sse) AS sse, CAST(sum(samples) AS BIGINT) AS samples"
 
 
-#: The synthetic curves cross wildly; digits beyond this size are noise of the fit.
-def _most():
-    return F.when(F.col("percent").isNotNull(), F.least(F.col("percent"), F.lit(100000.0)))
+def shown_percent(df):
+    """Two digits after the point, and of large numbers seven in all: the synthetic curves cross wildly."""
+    p = F.col("percent")
+    return df.withColumn("percent", F.when(F.abs(p) < 100000, F.round(p, 2)).when(p.isNotNull(), F.format_string("%.6e", p).cast("double")))
 
 
 def _rounded(df, **digits):
@@ -71,36 +72,31 @@ def rd8(t):
     return _rounded(rd.fit_points(fits, ("grp",), 1, F.col("centre") - 2, F.col("centre") + 2, 8), x=4, y=4)
 
 
-def _solve(prefix, source, keys, degree="degree"):
-    """SQL twin of the elimination: one table expression a step."""
-    m = ", ".join([f"CASE WHEN {degree} >= {max(i, j)} THEN s{i + j} ELSE {1.0 if i == j else 0.0} END AS m{i}{j}" for i in range(4) for j in range(4)] + [f"CASE WHEN {degree} >= {i} THEN t{i} ELSE 0.0 END AS b{i}" for i in range(4)])
-    steps = [f"{prefix}0 AS (SELECT {keys}, {m} FROM {source})"]
-    for k in range(3):
-        cols = [keys] + [f"m{i}{j}" for i in range(k + 1) for j in range(4)] + [f"b{i}" for i in range(k + 1)]
-        for i in range(k + 1, 4):
-            f = f"m{i}{k} / CASE WHEN abs(m{k}{k}) >= 1e-12 THEN m{k}{k} END"
-            cols += [f"m{i}{j}" for j in range(k + 1)] + [f"m{i}{j} - {f} * m{k}{j} AS m{i}{j}" for j in range(k + 1, 4)] + [f"b{i} - {f} * b{k} AS b{i}"]
-        steps.append(f"{prefix}{k + 1} AS (SELECT {', '.join(cols)} FROM {prefix}{k})")
-    piv = lambda i: f"CASE WHEN abs(m{i}{i}) >= 1e-12 THEN m{i}{i} END"
-    steps.append(f"{prefix}x3 AS (SELECT *, b3 / {piv(3)} AS c3 FROM {prefix}3)")
-    steps.append(f"{prefix}x2 AS (SELECT *, (b2 - m23 * c3) / {piv(2)} AS c2 FROM {prefix}x3)")
-    steps.append(f"{prefix}x1 AS (SELECT *, (b1 - m12 * c2 - m13 * c3) / {piv(1)} AS c1 FROM {prefix}x2)")
-    steps.append(f"{prefix}c AS (SELECT {keys}, (b0 - m01 * c1 - m02 * c2 - m03 * c3) / {piv(0)} + c2 / 3 AS mean FROM {prefix}x1)")
-    return ", ".join(steps)
-
-
-_MOM = ", ".join([f"sum(power(u, {k})) AS s{k}" for k in range(7)] + [f"sum(power(u, {k}) * yy) AS t{k}" for k in range(4)])
+def _fit(prefix, source, keys):
+    """SQL twin of the fit: the orthogonal basis over the points, one table expression a term."""
+    dot = lambda term: f"list_sum(list_transform(range(1, len(us) + 1), lambda i: {term}))"
+    out = [f"{prefix}0 AS (SELECT {keys}, degree, us, ys, list_transform(us, lambda x: 0.0::DOUBLE) AS old, list_transform(us, lambda x: 1.0::DOUBLE) AS now, 0.0::DOUBLE AS o0, 0.0::DOUBLE AS o1, 1.0::DOUBLE AS n0, 1.0::DOUBLE AS n1, 0.0::DOUBLE AS s0, 0.0::DOUBLE AS s1, 1.0::DOUBLE AS size FROM {source})"]
+    for k in range(4):
+        out.append(f"{prefix}a{k} AS (SELECT *, CASE WHEN {dot('now[i] * now[i]')} >= 1e-12 THEN {dot('now[i] * now[i]')} END AS sq, {dot('ys[i] * now[i]')} AS yn, {dot('us[i] * now[i] * now[i]')} AS un FROM {prefix}{k})")
+        ratio = "0.0" if k == 0 else "sq / size"
+        out.append(f"{prefix}b{k} AS (SELECT *, CASE WHEN degree >= {k} THEN yn / sq ELSE 0.0 END AS share, un / sq AS shift, {ratio} AS ratio FROM {prefix}a{k})")
+        out.append(f"{prefix}{k + 1} AS (SELECT {keys}, degree, us, ys, now AS old, list_transform(range(1, len(us) + 1), lambda i: (us[i] - shift) * now[i] - ratio * old[i]) AS now, n0 AS o0, n1 AS o1, (-power(3.0::DOUBLE, -0.5) - shift) * n0 - ratio * o0 AS n0, (power(3.0::DOUBLE, -0.5) - shift) * n1 - ratio * o1 AS n1, s0 + share * n0 AS s0, s1 + share * n1 AS s1, sq AS size FROM {prefix}b{k})")
+    out.append(f"{prefix}c AS (SELECT {keys}, (s0 + s1) / 2 AS mean FROM {prefix}4)")
+    return ", ".join(out)
+
+
 BD = f"""
 {TOTALS}, {CURVE}, sp AS (SELECT sb_row, sb_col, grp, count(*) AS n, min(psnr) AS lo, max(psnr) AS hi, max(rate) AS rate, max(samples) AS samples FROM cv GROUP BY sb_row, sb_col, grp),
 pr AS (SELECT t.sb_row, t.sb_col, t.grp AS test, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b, greatest(a.lo, b.lo) AS plo, least(a.hi, b.hi) AS phi, least(3, coalesce(a.n, 0) - 1, coalesce(b.n, 0) - 1) AS degree,
   a.rate AS bits_a_max, a.hi AS psnr_a_max, a.samples, b.rate AS bits_b_max, b.hi AS psnr_b_max
   FROM (SELECT DISTINCT sb_row, sb_col, grp FROM tot WHERE grp <> 'A') t LEFT JOIN sp a ON a.sb_row = t.sb_row AND a.sb_col = t.sb_col AND a.grp = 'A' LEFT JOIN sp b ON b.sb_row = t.sb_row AND b.sb_col = t.sb_col AND b.grp = t.grp),
 pe AS (SELECT *, CASE WHEN n_a = 0 OR n_b = 0 THEN NULL ELSE plo END AS psnr_lo, CASE WHEN n_a = 0 OR n_b = 0 THEN NULL ELSE phi END AS psnr_hi, CASE WHEN n_a = 0 OR n_b = 0 THEN 'Degenerate' WHEN degree < 1 THEN 'NotEnoughPoints' WHEN phi <= plo THEN 'NoPsnrOverlap' END AS early FROM pr),
-pa AS (SELECT sb_row, sb_col, test, degree, {_MOM} FROM (SELECT p.*, (c.psnr - (plo + phi) / 2) / ((phi - plo) / 2) AS u, log10(c.rate) AS yy FROM pe p JOIN cv c ON c.sb_row = p.sb_row AND c.sb_col = p.sb_col AND c.grp = 'A' WHERE early IS NULL) GROUP BY sb_row, sb_col, test, degree),
-pb AS (SELECT sb_row, sb_col, test, degree, {_MOM} FROM (SELECT p.*, (c.psnr - (plo + phi) / 2) / ((phi - plo) / 2) AS u, log10(c.rate) AS yy FROM pe p JOIN cv c ON c.sb_row = p.sb_row AND c.sb_col = p.sb_col AND c.grp = p.test WHERE early IS NULL) GROUP BY sb_row, sb_col, test, degree),
-{_solve('qa', 'pa', 'sb_row, sb_col, test')}, {_solve('qb', 'pb', 'sb_row, sb_col, test')},
+pa AS (SELECT sb_row, sb_col, test, degree, list(u ORDER BY u) AS us, list(yy ORDER BY u) AS ys FROM (SELECT p.*, (c.psnr - (plo + phi) / 2) / ((phi - plo) / 2) AS u, log10(c.rate) AS yy FROM pe p JOIN cv c ON c.sb_row = p.sb_row AND c.sb_col = p.sb_col AND c.grp = 'A' WHERE early IS NULL) GROUP BY sb_row, sb_col, test, degree),
+pb AS (SELECT sb_row, sb_col, test, degree, list(u ORDER BY u) AS us, list(yy ORDER BY u) AS ys FROM (SELECT p.*, (c.psnr - (plo + phi) / 2) / ((phi - plo) / 2) AS u, log10(c.rate) AS yy FROM pe p JOIN cv c ON c.sb_row = p.sb_row AND c.sb_col = p.sb_col AND c.grp = p.test WHERE early IS NULL) GROUP BY sb_row, sb_col, test, degree),
+{_fit('qa', 'pa', 'sb_row, sb_col, test')}, {_fit('qb', 'pb', 'sb_row, sb_col, test')},
 bd AS (SELECT p.*, (power(10.0, b.mean - a.mean) - 1) * 100 AS pct FROM pe p LEFT JOIN qac a USING (sb_row, sb_col, test) LEFT JOIN qbc b USING (sb_row, sb_col, test))"""
-_COLS = "sb_row, sb_col, test, coalesce(early, CASE WHEN pct IS NULL THEN 'Degenerate' ELSE 'Ok' END) AS status, round(CASE WHEN pct IS NOT NULL THEN least(pct, 100000) END, 2) AS percent, CAST(greatest(degree, 0) AS BIGINT) AS degree, round(psnr_lo, 4) AS psnr_lo, round(psnr_hi, 4) AS psnr_hi, n_a, n_b"
+_PERCENT = "CASE WHEN isinf(pct) THEN NULL WHEN abs(pct) < 100000 THEN round(pct, 2) ELSE CAST(format('{:.6e}', pct) AS DOUBLE) END"
+_COLS = f"sb_row, sb_col, test, coalesce(early, CASE WHEN pct IS NULL OR isinf(pct) THEN 'Degenerate' ELSE 'Ok' END) AS status, {_PERCENT} AS percent, CAST(greatest(degree, 0) AS BIGINT) AS degree, round(psnr_lo, 4) AS psnr_lo, round(psnr_hi, 4) AS psnr_hi, n_a, n_b"
 
 
 @query("rd9_bd_rate", "f_rd", oracle=f"WITH {BD} SELECT {_COLS} FROM bd")
@@ -108,24 +104,12 @@ def rd9(t):
     keys = ("sb_row", "sb_col")
     totals = rd.sequence_totals(t, by=keys)
     out = rd.bd_rate(rd.curve(totals, (*keys, "grp")), "A", keys, totals)
-    return _rounded(out.withColumn("percent", _most()), percent=2, psnr_lo=4, psnr_hi=4)
-
-
-@query("rd9_bd_rate_whole", "f_rd")
-def rd9_whole(t):
-    keys = ("sb_row", "sb_col")
-    totals = rd.sequence_totals(t, by=keys)
-    return rd.bd_rate(rd.curve(totals, (*keys, "grp")), "A", keys, totals)
+    return _rounded(shown_percent(out), psnr_lo=4, psnr_hi=4)
 
 
 @query("rd10_bd_rate_report", "f_rd", oracle=f"WITH {BD} SELECT {_COLS}, round(bits_a_max, 2) AS bits_a_max, round(psnr_a_max, 4) AS psnr_a_max, samples, round(bits_b_max, 2) AS bits_b_max, round(psnr_b_max, 4) AS psnr_b_max FROM bd")
 def rd10(t):
-    return _rounded(rd.bd_rate_report(t, "A").withColumn("percent", _most()), percent=2, psnr_lo=4, psnr_hi=4, bits_a_max=2, psnr_a_max=4, bits_b_max=2, psnr_b_max=4)
-
-
-@query("rd10_bd_rate_report_whole", "f_rd")
-def rd10_whole(t):
-    return rd.bd_rate_report(t, "A")
+    return _rounded(shown_percent(rd.bd_rate_report(t, "A")), psnr_lo=4, psnr_hi=4, bits_a_max=2, psnr_a_max=4, bits_b_max=2, psnr_b_max=4)
 
 
 @query("rd11_undefined_count", "f_rd", oracle=f"WITH {BD} SELECT status, count(*) AS regions FROM (SELECT {_COLS} FROM bd) GROUP BY status")

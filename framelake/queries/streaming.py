@@ -4,15 +4,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import registry
+from ..fixtures import duckdb_with
+from ..sources.store import scratch
 from ..streaming import jobs
 
 
 BATCHES = 4  # micro-batches that the table is replayed in
 
 
-def _events(spark: SparkSession, sf_dir: str, order: str = "ts") -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return jobs.replayed(e.withColumn("ts", F.col("ts").cast("timestamp")), order, BATCHES)
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _events(spark: SparkSession, sf_dir: str, order: str = "ts", end: str | None = None) -> DataFrame:
+    return jobs.replayed(_table(spark, sf_dir), order, BATCHES, end)
 
 
 def _add(name: str, oracle: str | None = None):  # noqa: ANN202
@@ -31,11 +36,14 @@ def ss1(spark, sf_dir):  # noqa: ANN001, ANN201
     return jobs.run_available(jobs.incremental_frame_index(e), "append").select("stream", "pos", "coding_order", "display_index")
 
 
-@_add("ss2_late_sse_join", "SELECT event_id AS key, value AS bits, CASE WHEN event_id % 5 <> 0 THEN value * 2 END AS sse FROM events WHERE event_id % 5 <> 0 OR ts < (SELECT least(max(ts), max(ts) FILTER (event_id % 5 <> 0) + INTERVAL '5 minutes') FROM events) - INTERVAL '20 minutes'")
+@_add("ss2_late_sse_join", "SELECT event_id AS key, value AS bits, CASE WHEN event_id % 5 <> 0 THEN value * 2 END AS sse, CASE WHEN event_id % 5 <> 0 THEN 'ok' ELSE 'skipped' END AS state FROM events")
 def ss2(spark, sf_dir):  # noqa: ANN001, ANN201
-    bits = _events(spark, sf_dir).select(F.col("event_id").alias("key"), "ts", F.col("value").alias("bits"))
-    sse = _events(spark, sf_dir).where("event_id % 5 <> 0").select(F.col("event_id").alias("key"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ts"), (F.col("value") * 2).alias("sse"))
-    return jobs.run_available(jobs.late_sse_join(bits, sse, "10 MINUTES"), "append").select("key", "bits", "sse")
+    table = _table(spark, sf_dir)
+    path, files = jobs.replay(table, "ts", BATCHES, "1 DAY")
+    e = [jobs.read_stream(spark, path, table.schema, files) for _ in "ab"]
+    bits = e[0].select(F.col("event_id").alias("key"), "ts", F.col("value").alias("bits"))
+    sse = e[1].where("event_id IS NULL OR event_id % 5 <> 0").select(F.col("event_id").alias("key"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ts"), (F.col("value") * 2).alias("sse"))
+    return jobs.run_available(jobs.late_sse_join(bits, sse, "10 MINUTES"), "append").where("key IS NOT NULL").select("key", "bits", "sse", "state")
 
 
 @_add("ss3_running_totals", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
@@ -80,6 +88,17 @@ def ss6(spark, sf_dir):  # noqa: ANN001, ANN201
     return jobs.run_available(jobs.picture_session(s, "30 minutes"), "complete")
 
 
+_SLICES = duckdb_with(("f_sl",), "WITH n AS (SELECT *, CASE WHEN first_mb = 0 OR lag(poc) OVER w IS NULL OR lag(poc) OVER w <> poc THEN 1 ELSE 0 END AS new FROM f_sl WINDOW w AS (PARTITION BY stream ORDER BY pos)), p AS (SELECT *, CAST(sum(new) OVER (PARTITION BY stream ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS coding_order FROM n) SELECT stream, coding_order, arg_min(poc, pos) AS poc, bool_or(nal_type = 5) AS idr, count(*) AS slices, string_agg(CAST(slice_type_id AS VARCHAR), ',' ORDER BY pos) AS types FROM p GROUP BY stream, coding_order")
+
+
+@_add("ss6_marked_pictures", _SLICES)
+def ss6_marked(spark, sf_dir):  # noqa: ANN001, ANN201
+    e, n = _events(spark, sf_dir, end="400 DAYS"), F.col("event_id")
+    s = e.select(F.col("user_id").alias("stream"), "ts", n.alias("pos"), (n % 3).alias("first_mb"), F.floor("value").alias("poc"), F.when(F.col("event_type") == "signup", 5).otherwise(1).alias("nal_type"), (n % 7 - 1).alias("slice_type_id"))
+    out = jobs.run_available(jobs.marked_pictures(s, 300 * 86_400_000), "append")
+    return out.withColumn("types", F.array_join("slice_type_ids", ",")).drop("slice_type_ids")
+
+
 _CHANGES = "WITH t AS (SELECT user_id AS item, ts, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS text FROM events), c AS (SELECT *, text <> coalesce(lag(text) OVER (PARTITION BY item ORDER BY ts, text), '') AS changed FROM t)"
 
 
@@ -92,5 +111,6 @@ def ss7(spark, sf_dir):  # noqa: ANN001, ANN201
 @_add("ss7_live_errors", f"{_CHANGES} SELECT item, text FROM (SELECT item, arg_max(text, {{'t': ts, 'x': text}}) AS text FROM t GROUP BY item) WHERE text <> ''")
 def ss7_live(spark, sf_dir):  # noqa: ANN001, ANN201
     e = _events(spark, sf_dir).select(F.col("user_id").alias("item"), "ts", F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("text"))
-    changes = jobs.run_available(jobs.dedupe_latest(e), "append")
-    return changes.groupBy("item").agg(F.max(F.struct("ts", "text")).alias("last")).select("item", "last.text").where("text <> ''")
+    changes, base = jobs.dedupe_latest(e), scratch(spark, "live")
+    table = jobs.LiveTable(spark, f"{base}/table", changes.schema, ["item"], ["ts"], "text = ''")
+    return jobs.run_merged(changes, table, f"{base}/checkpoint").select("item", "text")

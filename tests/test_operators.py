@@ -453,3 +453,163 @@ def test_latest_error_on_a_stream(spark, tmp_path):
     stream = jobs.replayed(spark.createDataFrame(rows, "item long, ts timestamp, text string"), "ts", 4)
     got = [(r.item, r.text) for r in jobs.run_available(jobs.dedupe_latest(stream), "append").orderBy("ts").collect()]
     assert got == [(1, "A"), (1, "B"), (1, "A"), (1, ""), (1, "A")]
+
+
+def test_block_search_sums_few_displacements(spark):
+    """Against all displacements by hand, ties included; of a smooth picture that moved most are never summed."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    y, x = np.mgrid[0:40, 0:56]
+    smooth = (100 + 60 * np.sin(y / 5) + 50 * np.cos(x / 7) + rng.integers(0, 2, y.shape)).astype(int)
+    moved = np.roll(np.roll(smooth, 2, 0), -3, 1)
+    flat = np.full((40, 56), 9)
+    noise = rng.integers(0, 3, (37, 50))
+    grids = {0: (smooth, moved), 1: (flat, flat), 2: (noise, rng.integers(0, 3, (37, 50)))}
+    frame = lambda k: spark.createDataFrame([(f, int(i), int(j), int(g[k][i, j])) for f, g in grids.items() for i in range(g[k].shape[0]) for j in range(g[k].shape[1])], "frame long, y long, x long, v long").repartition(5)
+    size, reach = 8, 4
+    want = {}
+    for f, (cur, ref) in grids.items():
+        for by in range(cur.shape[0] // size):
+            for bx in range(cur.shape[1] // size):
+                block, best = cur[by * size : by * size + size, bx * size : bx * size + size], None
+                for dy in range(-reach, reach + 1):
+                    for dx in range(-reach, reach + 1):
+                        r, c = by * size + dy, bx * size + dx
+                        if 0 <= r and r + size <= ref.shape[0] and 0 <= c and c + size <= ref.shape[1]:
+                            cost = int(np.abs(block - ref[r : r + size, c : c + size]).sum())
+                            best = min(best, (cost, dy, dx)) if best else (cost, dy, dx)
+                want[f, by, bx] = best
+    rows = motion.block_match(frame(0), frame(1), size, reach, counted=True).collect()
+    assert {(r.frame, r.block_y, r.block_x): (r.cost, r.dy, r.dx) for r in rows} == want
+    assert sum(r.summed for r in rows if r.frame == 0) < 0.25 * sum(r.frame == 0 for r in rows) * (2 * reach + 1) ** 2
+    assert {r.dx for r in rows if r.frame == 1} <= {-4, 0} and motion.block_match(frame(0).limit(0), frame(1), size, reach).count() == 0
+    vectors = spark.createDataFrame([(f, by, bx, (by * 7 + bx) % 19 - 9, (bx * 5 + f) % 23 - 11) for f, by, bx in want], "frame long, block_y long, block_x long, dx int, dy int")
+    for r in motion.common_sad(frame(0), frame(1), vectors, size).collect():
+        cur, ref = grids[r.frame]
+        dx, dy = (r.block_y * 7 + r.block_x) % 19 - 9, (r.block_x * 5 + r.frame) % 23 - 11
+        ys, xs = np.arange(r.block_y * size, r.block_y * size + size), np.arange(r.block_x * size, r.block_x * size + size)
+        assert r.sad == np.abs(cur[np.ix_(ys, xs)] - ref[np.ix_(np.clip(ys + dy, 0, ref.shape[0] - 1), np.clip(xs + dx, 0, ref.shape[1] - 1))]).sum()
+
+
+def kalman_by_hand(z, q, r):
+    """The filter and its backward pass as matrices, value by value."""
+    import numpy as np
+
+    f, h, noise = np.array([[1.0, 1.0], [0.0, 1.0]]), np.array([1.0, 0.0]), q * np.array([[0.25, 0.5], [0.5, 1.0]])
+    x, p, kept = np.array([z[0], 0.0]), np.eye(2) * 1e6 * max(r, 1e-9), []
+    for k, v in enumerate(z):
+        if k:
+            x, p = f @ x, f @ p @ f.T + noise
+        gain = p @ h / (h @ p @ h + r)
+        x, p = x + gain * (v - h @ x), p - np.outer(gain, h @ p)
+        kept.append((x, p))
+    out, n = [kept[-1][0]], kept[-1][0]
+    for x, p in kept[-2::-1]:
+        n = x + p @ f.T @ np.linalg.inv(f @ p @ f.T + noise) @ (n - f @ x)
+        out.append(n)
+    return [x[0] for x, _ in kept], [n[0] for n in out[::-1]]
+
+
+@pytest.mark.parametrize("q, r", [(0.002, 4.0), (0.5, 0.1), (0.0, 1.0)])
+def test_one_series_in_many_pieces(spark, q, r):
+    """Pieces of 50 frame numbers, with gaps, a series of one value and one of a single piece: as by hand over the whole series."""
+    import random
+
+    rng = random.Random(4)
+    series = {"long": [(i + i // 37 * 5, rng.gauss(math.sin(i / 30) * 40, 3)) for i in range(700)], "one": [(7, 5.0)], "short": [(i, float(i * i)) for i in range(9)]}
+    rows = [(s, i, v) for s, pairs in series.items() for i, v in pairs]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "series string, frame long, v double").repartition(5)
+    for k, smoother in enumerate((trajectory.kalman_causal, trajectory.kalman_rts)):
+        got = {(x.series, x.frame): x.smooth for x in smoother(d, q, r, chunk=50).collect()}
+        assert len(got) == len(rows)
+        for s, pairs in series.items():
+            assert [got[s, i] for i, _ in pairs] == pytest.approx(kalman_by_hand([v for _, v in pairs], q, r)[k], rel=1e-6, abs=1e-6)
+        whole = {(x.series, x.frame): x.smooth for x in smoother(d, q, r).collect()}
+        assert got == pytest.approx(whole, rel=1e-9, abs=1e-9)
+    assert trajectory.kalman_rts(d.limit(0), q, r).count() == 0
+
+
+def test_fits_of_nearly_equal_points_keep_their_digits(spark):
+    """Curves whose overlap is a small part of them and points that nearly coincide: the mean log rate as by exact rational arithmetic."""
+    from fractions import Fraction
+
+    def exact(points, degree, lo, hi):
+        us = [(Fraction(p) * 2 - Fraction(lo) - Fraction(hi)) / (Fraction(hi) - Fraction(lo)) for p, _ in points]
+        ys = [Fraction(math.log10(r)) for _, r in points]
+        n = degree + 1
+        m = [[sum(u ** (i + j) for u in us) for j in range(n)] + [sum(u**i * y for u, y in zip(us, ys, strict=True))] for i in range(n)]
+        for i in range(n):
+            m[i] = [v / m[i][i] for v in m[i]]
+            for j in range(n):
+                if j != i:
+                    m[j] = [a - m[j][i] * b for a, b in zip(m[j], m[i], strict=True)]
+        return float(sum(m[i][n] / (i + 1) for i in range(0, n, 2)))
+
+    a = [(30.0, 100.0), (30.4, 130.0), (36.0, 900.0), (36.05, 905.0)]
+    b = [(36.0, 700.0), (41.0, 2000.0), (41.001, 2000.5), (44.0, 7000.0)]
+    both = curves(spark, {"A": [(r, p) for p, r in a], "B": [(r, p) for p, r in b]})
+    row = rd.bd_rate(both, "A", ("sb_row", "sb_col")).first()
+    distance = exact(b, 3, 36.0, 36.05) - exact(a, 3, 36.0, 36.05)
+    assert row.status == "Ok" and row.percent == pytest.approx((10**distance - 1) * 100, rel=1e-6)
+
+
+def test_live_table_survives_repeated_batches_and_restarts(spark):
+    """A batch merged twice, one that died between data and manifest, late rows, an emptied bucket and keys that come back."""
+    from framelake.sources.store import scratch
+    from framelake.streaming import jobs
+
+    at = lambda rows: spark.createDataFrame(rows, "item long, t int, text string").selectExpr("item", "timestamp_seconds(t) AS ts", "text")
+    path = scratch(spark, "live")
+    make = lambda: jobs.LiveTable(spark, path, at([]).schema, ["item"], ["ts"], "text = ''", buckets=3)
+    held = lambda: sorted((r.item, r.text) for r in make().read().collect())
+    assert held() == []
+    make().merge(at([(1, 10, "a"), (2, 10, "b"), (1, 11, "c"), (3, 5, "d")]), 0)
+    assert held() == [(1, "c"), (2, "b"), (3, "d")]
+    second = at([(1, 9, "late"), (2, 20, ""), (4, 20, "e"), (3, 30, "f")])
+    for _ in range(2):
+        make().merge(second, 1)
+        assert held() == [(1, "c"), (3, "f"), (4, "e")]
+    # Data of batch 2 without its manifest: readers do not see it, and the batch tried again is whole.
+    dying, rows = make(), at([(2, 40, "back"), (1, 41, ""), (3, 41, ""), (4, 41, "")])
+    dying._files = lambda: (_ for _ in ()).throw(OSError("lost")) if dying.__dict__.setdefault("asked", []) else dying.asked.append(1) or jobs.LiveTable._files(dying)
+    with pytest.raises(OSError):
+        dying.merge(rows, 2)
+    assert held() == [(1, "c"), (3, "f"), (4, "e")]
+    make().merge(rows, 2)
+    assert held() == [(2, "back")]
+    make().merge(at([]), 3)
+    make().merge(at([(2, 50, "")]), 4)
+    assert held() == []
+    make().merge(at([(9, 1, "z")]), 5)
+    assert held() == [(9, "z")]
+
+
+def test_streams_restart_into_a_live_table(spark):
+    """Changes of text over files that come between two starts of the query: the checkpoint goes on, the table is that of all rows."""
+    from framelake.sources.store import scratch
+    from framelake.streaming import jobs
+
+    folder, base = scratch(spark, "files"), scratch(spark, "base")
+    rows = [(i % 7, 1000 + i, ["", "x", "y"][i * i % 3]) for i in range(60)]
+    write = lambda part: spark.createDataFrame(part, "item long, t int, text string").selectExpr("item", "timestamp_seconds(t) AS ts", "text").coalesce(1).write.mode("append").parquet(folder)
+    for lo in (0, 30):
+        write(rows[lo : lo + 15])
+        write(rows[lo + 15 : lo + 30])
+        stream = jobs.dedupe_latest(jobs.read_stream(spark, folder, spark.read.parquet(folder).schema))
+        table = jobs.LiveTable(spark, f"{base}/table", stream.schema, ["item"], ["ts"], "text = ''")
+        got = {r.item: r.text for r in jobs.run_merged(stream, table, f"{base}/checkpoint").collect()}
+        want = {i: text for i, _, text in rows[: lo + 30]}
+        assert got == {i: text for i, text in want.items() if text}
+
+
+def test_pictures_close_by_marker_and_by_silence(spark):
+    from framelake.streaming import jobs
+
+    # stream, seconds, pos, first_mb, poc, nal_type, slice_type_id
+    rows = [("a", 0, 1, 0, 5, 5, 2), ("a", 1, 2, 7, 5, 1, 0), ("a", 2, 3, 0, 5, 1, 1), ("a", 3, 4, 3, 6, 1, 1), ("b", 4, 1, 4, 0, 1, 3), ("a", 5000, 5, 3, 6, 1, 1), ("b", 5001, 2, 4, 0, 1, 3), ("b", 5002, 3, 4, 0, 5, 4)]
+    t = spark.createDataFrame(rows, "stream string, t int, pos long, first_mb int, poc int, nal_type int, slice_type_id int").selectExpr("stream", "timestamp_seconds(t + 1000000) AS ts", "pos", "first_mb", "poc", "nal_type", "slice_type_id")
+    stream = jobs.replayed(t, "ts", 3, "10 DAYS")
+    got = sorted(map(tuple, jobs.run_available(jobs.marked_pictures(stream, 100_000, "1 second"), "append").collect()))
+    assert got == [("a", 0, 5, True, 2, [2, 0]), ("a", 1, 5, False, 1, [1]), ("a", 2, 6, False, 1, [1]), ("a", 3, 6, False, 1, [1]), ("b", 0, 0, False, 1, [3]), ("b", 1, 0, True, 2, [3, 4])]

@@ -31,16 +31,6 @@ def key(row):
     return tuple((v is None, str(v)) for v in row)
 
 
-@pytest.mark.parametrize("name", ["rd9_bd_rate", "rd10_bd_rate_report"])
-def test_whole_percent(spark, small, name):
-    keys = ("sb_row", "sb_col", "test")
-    cut = {tuple(r[k] for k in keys): r.percent for r in registry.QUERIES[name](spark, small).collect()}
-    whole = {tuple(r[k] for k in keys): r.percent for r in registry.QUERIES[f"{name}_whole"](spark, small).collect()}
-    assert set(cut) == set(whole) and any(v is not None and v > 100000 for v in whole.values())
-    for k, v in whole.items():
-        assert cut[k] is None if v is None else cut[k] == pytest.approx(min(v, 100000), abs=0.006)
-
-
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, small, duck, name):
     df = registry.QUERIES[name](spark, small)
