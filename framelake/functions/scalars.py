@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,30 +52,28 @@ def whole_part(mv: ColumnOrName) -> Column:
     return (_c(mv) / 8).cast("long")
 
 
-#: Tiers of vector rates: lowest magnitude and log2 of the step of each of four tables; magnitudes are clamped to RATE_LIMIT.
+#: Tiers of vector rates: lowest magnitude and log2 of the step of each of four tables of 128 rates; magnitudes are clamped to RATE_LIMIT.
 RATE_TIERS = ((0, 0), (128, 1), (384, 2), (896, 3))
 RATE_LIMIT = 1919
 
 
-def rate_tables() -> list[list[int]]:
-    """The four tables of an encoder whose rate grows with the logarithm of the magnitude. The table of the largest magnitudes ends at 1855,
-    beyond which the rate reads 0. Measured tables of another encoder can take their place in `mv_rate`."""
-    tables = [[round(41.235 + 48 * math.log2(low + (k << step) + 1)) if low + (k << step) < 1856 else 0 for k in range(128)] for low, step in RATE_TIERS]
-    tables[0][0] = 17
-    return tables
+def rate_place(d: ColumnOrName) -> Column:
+    """Where a component's rate stands in the four tables laid end to end (0 to 511): by its clamped magnitude, in steps of 1, 2, 4 and 8."""
+    m = F.least(F.abs(_c(d)), F.lit(RATE_LIMIT)).cast("int")
+    out = F.lit(0)
+    for i, (low, step) in enumerate(RATE_TIERS):
+        out = F.when(m >= low, 128 * i + F.shiftright(m - low, step)).otherwise(out)
+    return out
 
 
-def magnitude_rate(d: ColumnOrName, tables: list[list[int]] | None = None) -> Column:
-    """Rate of one component: its clamped magnitude looked up in the table of its tier, whose steps are 1, 2, 4 and 8."""
-    m = F.least(F.abs(_c(d)), F.lit(RATE_LIMIT))
-    out = None
-    for (low, step), table in zip(RATE_TIERS, tables or rate_tables(), strict=True):
-        found = F.element_at(F.array(*[F.lit(v) for v in table]), (F.shiftright((m - low).cast("int"), step) + 1))
-        out = F.when(m >= low, found) if out is None else F.when(m >= low, found).otherwise(out)
-    return out.cast("long")
+def magnitude_rate(d: ColumnOrName, tables: list[list[int]]) -> Column:
+    """Rate of one component by an encoder's four tables, 128 rates each. They are measured and the encoder's own, so none come with the library."""
+    if [len(t) for t in tables] != [128] * len(RATE_TIERS):
+        raise ValueError("four tables of 128 rates are needed")
+    return F.element_at(F.array(*[F.lit(v) for t in tables for v in t]), rate_place(d) + 1).cast("long")
 
 
-def mv_rate(dx: ColumnOrName, dy: ColumnOrName, tables: list[list[int]] | None = None) -> Column:
+def mv_rate(dx: ColumnOrName, dy: ColumnOrName, tables: list[list[int]]) -> Column:
     return magnitude_rate(dx, tables) + magnitude_rate(dy, tables)
 
 

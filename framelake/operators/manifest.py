@@ -32,16 +32,23 @@ def render_links(links: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def find_path(tree: DataFrame, path: str) -> DataFrame:
-    """The first node (smallest id) of each type down a slash path: level, id, type. tree: id, parent (null at the top), type."""
-    out = None
-    parents = None
-    for level, kind in enumerate(path.strip("/").split("/")):
-        here = tree.where(F.col("type") == kind)
-        here = here.where("parent IS NULL") if parents is None else here.join(parents, here["parent"] == parents["found"], "left_semi")
-        first = here.agg(F.min("id").alias("id")).where("id IS NOT NULL").select(F.lit(level).alias("level"), "id", F.lit(kind).alias("type"))
-        out = first if out is None else out.unionByName(first)
-        parents = first.select(F.col("id").alias("found"))
-    return out
+    """The first node (smallest id) of each type down a slash path, as far as it goes: level, id, type. tree: id, parent (null at the top), type.
+
+    One recursive query however long the path is: of the nodes only the first child of each type and parent takes part, so that a level is
+    one lookup. Empty parts of the path are passed over.
+    """
+    kinds = [k for k in path.split("/") if k]
+    firsts = tree.where(F.col("type").isin(kinds)).groupBy("parent", "type").agg(F.min("id").alias("id"))
+    return tree.sparkSession.sql(
+        """
+        WITH RECURSIVE walk(level, id, type) AS (
+            SELECT 0, id, type FROM {firsts} WHERE parent IS NULL AND type = get(:kinds, 0)
+            UNION ALL
+            SELECT w.level + 1, f.id, f.type FROM walk w JOIN {firsts} f ON f.parent = w.id AND f.type = get(:kinds, w.level + 1))
+        SELECT level, id, type FROM walk""",
+        args={"kinds": F.array(*[F.lit(k) for k in kinds] or [F.lit("")])},
+        firsts=firsts,
+    )
 
 
 def children_of_type(tree: DataFrame, parent: int, kind: str) -> DataFrame:

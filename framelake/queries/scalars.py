@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.sql import register
 from ..registry import query
 
 PSNR = "CASE WHEN samples > 0 AND sse > 0 THEN 10 * log10(65025.0 * samples / sse) END"
@@ -33,15 +34,17 @@ def sc5(t):
     return t.select("frame", "algorithm", "x", "y", S.to_eighth_pel("x").alias("full_q8"), S.quarter_to_eighth_pel("mv_x_q8").alias("quarter_q8"), S.whole_part("mv_x_q8").alias("whole_x"), S.whole_part("mv_y_q8").alias("whole_y"))
 
 
-def _rate(d):
+def _place(d):
     m = f"least(abs({d}), 1919)"
-    at = f"CASE WHEN {m} < 128 THEN {m} WHEN {m} < 384 THEN {m} - {m} % 2 WHEN {m} < 896 THEN {m} - {m} % 4 ELSE {m} - {m} % 8 END"
-    return f"CAST(CASE WHEN {m} = 0 THEN 17 WHEN {m} >= 1856 THEN 0 ELSE round(41.235::DOUBLE + 48 * log2({at} + 1)) END AS BIGINT)"
+    return f"CASE WHEN {m} < 128 THEN {m} WHEN {m} < 384 THEN 128 + ({m} - 128) // 2 WHEN {m} < 896 THEN 256 + ({m} - 384) // 4 ELSE 384 + ({m} - 896) // 8 END"
 
 
-@query("sc6_mv_rate", "f_mv", oracle=f"SELECT frame, algorithm, x, y, {_rate('mv_x_q8 * 9')} + {_rate('mv_y_q8 * 9')} AS rate FROM f_mv")
+@query("sc6_mv_rate", "f_mv", oracle=f"WITH v AS (SELECT *, {_place('mv_x_q8 * 9')} AS px, {_place('mv_y_q8 * 9')} AS py FROM f_mv), r AS (SELECT px AS place, count(*) AS rate FROM v GROUP BY px) SELECT frame, algorithm, x, y, coalesce(a.rate, 0) + coalesce(b.rate, 0) AS rate FROM v LEFT JOIN r a ON a.place = px LEFT JOIN r b ON b.place = py")
 def sc6(t):
-    return t.select("frame", "algorithm", "x", "y", S.mv_rate(F.col("mv_x_q8") * 9, F.col("mv_y_q8") * 9).alias("rate"))
+    """Rates by tables made from the vectors: how many have a horizontal part of that place."""
+    n = {r.place: r["count"] for r in t.groupBy(S.rate_place(F.col("mv_x_q8") * 9).alias("place")).count().collect()}
+    tables = [[n.get(128 * i + k, 0) for k in range(128)] for i in range(4)]
+    return t.select("frame", "algorithm", "x", "y", S.mv_rate(F.col("mv_x_q8") * 9, F.col("mv_y_q8") * 9, tables).alias("rate"))
 
 
 @query("sc7_divide_round", "f_gr", oracle="SELECT frame, y, sum(CASE WHEN v >= 128 THEN 1 ELSE -1 END * CAST(floor((abs(v - 128) + 3) / 7) AS BIGINT))::BIGINT AS s, sum(sign(v - 128) * floor(abs(v - 128) / 8.0 + 0.5))::BIGINT AS h FROM f_gr GROUP BY frame, y")
@@ -150,3 +153,25 @@ def sc22(t):
 def sc23(t):
     both = S.log_height(S.log_height(t).withColumnRenamed("height", "h"), logarithmic=False)
     return both.select("stream", "frame", F.round("h", 6).alias("h"), F.round("height", 6).alias("linear"))
+
+
+@query("sql_scalars", "f_rd", oracle="SELECT frame, grp, count(*) FILTER (sse > 0) AS known, round(sum(CASE WHEN sse > 0 THEN 10 * log10(65025.0 * samples / sse) END), 3) AS psnr, sum(bits + 1) AS rate, CAST(sum(CASE WHEN frame >= 4 THEN 1 ELSE -1 END * CAST(floor((abs(frame - 4) + 1) / 3) AS BIGINT)) AS BIGINT) AS thirds, max(CASE WHEN samples * 1001 >= 10240 THEN format('{:.1f} KB', samples * 1001 / 1024.0::DOUBLE) ELSE concat(CAST(samples * 1001 AS VARCHAR), ' B') END) AS size, min(CASE WHEN sse IS NULL THEN '-' WHEN sse = 0 THEN 'lossless' WHEN sse > 0 THEN '+' END) AS label FROM f_rd GROUP BY frame, grp")
+def sql_scalars(t):
+    """The scalar functions as SQL calls them."""
+    spark = t.sparkSession
+    register(spark)
+    t.createOrReplaceTempView("sb_samples")
+    return spark.sql("""
+        SELECT frame, grp, count(psnr_from_sse(sse, samples)) AS known, round(sum(psnr_from_sse(sse, samples)), 3) AS psnr, sum(rate_axis(bits)) AS rate,
+               sum(divide_round(frame - 4, 3)) AS thirds, max(bytes_text(samples * 1001)) AS size,
+               min(CASE WHEN psnr_label(sse, psnr_from_sse(sse, samples)) RLIKE '^[0-9-][0-9.]' THEN '+' ELSE psnr_label(sse, psnr_from_sse(sse, samples)) END) AS label
+        FROM sb_samples GROUP BY frame, grp""")
+
+
+@query("sql_mi_positions", "f_bl_a", oracle="SELECT frame, x, y, CAST(r AS BIGINT) AS mi_row, CAST(c AS BIGINT) AS mi_col FROM f_bl_a, range(0, 64) i(r), range(0, 64) j(c) WHERE r BETWEEN y // 4 AND (y + h - 1) // 4 AND c BETWEEN x // 4 AND (x + w - 1) // 4")
+def sql_mi_positions(t):
+    """The positions of every block by the table function."""
+    spark = t.sparkSession
+    register(spark)
+    t.createOrReplaceTempView("blocks")
+    return spark.sql("SELECT frame, b.x, b.y, p.mi_row, p.mi_col FROM blocks b, LATERAL mi_positions(b.x, b.y, b.w, b.h) p")

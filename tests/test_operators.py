@@ -176,12 +176,27 @@ def test_read_bits_of_57_to_64(spark):
 
 
 def test_vector_rates(spark):
-    # Rates of some magnitudes, at the edges of the four tables and around them.
-    want = {0: 17, 1: 89, 2: 117, 3: 137, 4: 153, 9: 201, 127: 377, 128: 378, 129: 378, 130: 379, 384: 453, 388: 454, 896: 512, 903: 512, 904: 513, 1855: 562, 1856: 0, 5000: 0}
+    """Every magnitude at its place: steps of 1, 2, 4 and 8, the last place for all beyond the limit; tables of another shape are refused."""
+    want = {m: m if m < 128 else 128 + (m - 128) // 2 if m < 384 else 256 + (m - 384) // 4 if m < 896 else 384 + (min(m, 1919) - 896) // 8 for m in range(2100)}
     d = spark.createDataFrame([(m,) for m in want], "m long")
-    assert {r.m: r.r for r in d.select("m", S.magnitude_rate("m").alias("r")).collect()} == want
-    own = [[10 * t + k for k in range(128)] for t in range(4)]
-    assert d.where("m = 130").select(S.mv_rate(-F.col("m"), F.lit(3), own)).first()[0] == 11 + 3
+    own = [[1000 * t + k for k in range(128)] for t in range(4)]
+    got = d.select("m", S.rate_place("m").alias("place"), S.magnitude_rate(-F.col("m"), own).alias("rate"), S.mv_rate("m", F.lit(3), own).alias("both")).collect()
+    assert {r.m: r.place for r in got} == want and set(want.values()) == set(range(512))
+    assert all(r.rate == 1000 * (r.place // 128) + r.place % 128 and r.both == r.rate + 3 for r in got)
+    with pytest.raises(ValueError):
+        S.magnitude_rate("m", own[:3])
+
+
+def test_sql_functions(spark):
+    from framelake.functions.sql import register
+
+    register(spark)
+    row = spark.sql("""SELECT psnr_from_sse(4096D, 4096) AS a, psnr_from_sse(0D, 10) AS b, psnr_label(0D, NULL) AS c, psnr_label(NULL, 1.25D) AS d, divide_round(-7, 2) AS e,
+        divide_round(7, 2) AS f, round_half_away(-2.5D) AS g, frame_type(2, 0) AS h, frame_type(2, 1) AS i, frame_type(9, 0) AS j, slice_type_name(7) AS k, slice_type_name(-1) AS l,
+        bytes_text(20480) AS m, bytes_text(7) AS n, to_8bit(1023, 10) AS o, sync_from_flags(65537) AS p, looks_like_link('abcdefghij_') AS q, whole_part(-9) AS r""").first()
+    assert row.a == pytest.approx(48.1308, abs=1e-4)
+    assert list(row)[1:] == [None, "lossless", "1.250", -4, 4, -3, "INTRA_ONLY", "SHOW_EXISTING", "-", "I", "?", "20.0 KB", "7 B", 255, False, True, -1]
+    assert sorted(map(tuple, spark.sql("SELECT * FROM mi_positions(6, 0, 4, 5)").collect())) == [(0, 1), (0, 2), (1, 1), (1, 2)] and spark.sql("SELECT * FROM mi_positions(0, 0, 0, 4)").count() == 0
 
 
 def test_files_of_the_known_layouts(spark, tmp_path):
@@ -613,3 +628,15 @@ def test_pictures_close_by_marker_and_by_silence(spark):
     stream = jobs.replayed(t, "ts", 3, "10 DAYS")
     got = sorted(map(tuple, jobs.run_available(jobs.marked_pictures(stream, 100_000, "1 second"), "append").collect()))
     assert got == [("a", 0, 5, True, 2, [2, 0]), ("a", 1, 5, False, 1, [1]), ("a", 2, 6, False, 1, [1]), ("a", 3, 6, False, 1, [1]), ("b", 0, 0, False, 1, [3]), ("b", 1, 0, True, 2, [3, 4])]
+
+
+def test_path_of_any_depth(spark):
+    """30 levels, of which two nodes of a level share a type (the smaller id counts), in one plan as small as that of two levels."""
+    rows = [(100 * k + j, None if k == 0 else 100 * (k - 1), f"t{k}") for k in range(30) for j in (0, 5)] + [(7, None, "t1"), (3, 0, "other")]
+    tree = spark.createDataFrame(rows, "id long, parent long, type string").repartition(4)
+    deep = manifest.find_path(tree, "/".join(f"t{k}" for k in range(30)))
+    assert sorted(map(tuple, deep.collect())) == [(k, 100 * k, f"t{k}") for k in range(30)]
+    assert sorted(map(tuple, manifest.find_path(tree, "/t0//t1/none/t2").collect())) == [(0, 0, "t0"), (1, 100, "t1")]
+    assert manifest.find_path(tree, "t1/t2").count() == 1 and manifest.find_path(tree, "none").count() == 0 and manifest.find_path(tree.limit(0), "t0").count() == 0
+    lines = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert lines(deep) == lines(manifest.find_path(tree, "t0/t1"))
