@@ -11,6 +11,8 @@ import functools
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,6 +54,74 @@ def _square(k: int) -> list[int]:
     return [k // 2] * (k // 2 + 1)
 
 
+HISTOGRAMS = 1 << 24  # counts held at once; a band of more columns times values (16-bit samples) has its windows sorted instead
+BAND = 64  # rows of a picture that a filter in arrays gets at once, besides those within its reach
+
+
+def _by_band(grid: DataFrame, reach: int, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """frame, y, x, v of whole bands of rows: `kernel` gets a band with `reach` samples more on every side, borders replicated, and gives the band.
+
+    Rows near an edge of their band also go to the next one, so that a row is sent 1 + 2 reach / BAND times.
+    """
+    row = grid.groupBy("frame", F.col("y").cast("long").alias("y")).agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda s: s["v"].cast("long")).alias("row"))
+    touched = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("y") - reach) / BAND)), F.floor((F.col("y") + reach) / BAND)))
+    bands = row.select("*", touched.alias("band")).groupBy("frame", "band").agg(F.array_sort(F.collect_list(F.struct("y", "row"))).alias("rows"))
+
+    def run(rows: pa.Array, band: pa.Array) -> pa.Array:
+        out = []
+        for own, b in zip(rows, band.to_pylist(), strict=True):
+            y, wide = own.values.field("y").to_numpy(), own.values.field("row")
+            low, high = np.searchsorted(y, [b * BAND, b * BAND + BAND])
+            if low == high:
+                out.append([])
+                continue
+            table = wide.flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+            table = np.pad(table, ((reach - low, max(0, reach - (len(y) - high))), (reach, reach)), "edge")
+            made = kernel(table[: high - low + 2 * reach])
+            out.append([{"y": int(k), "row": r} for k, r in zip(y[low:high], made, strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("y", pa.int64()), ("row", pa.list_(pa.int64()))])))
+
+    made = F.arrow_udf(run, "array<struct<y: bigint, row: array<bigint>>>")
+    each = bands.select("frame", F.explode(made("rows", "band")).alias("r")).select("frame", "r.y", F.posexplode("r.row").alias("x", "v"))
+    return each.select("frame", "y", F.col("x").cast("long").alias("x"), "v")
+
+
+def _slide(a: np.ndarray, k: int, axis: int, pick: np.ufunc) -> np.ndarray:
+    """Extremes of every k neighbours along an axis, two looks at each sample whatever k is: what a block of k has had so far, and what it has left
+    (M. van Herk, 1992)."""
+    a = np.moveaxis(a, axis, -1)
+    n = a.shape[-1]
+    blocks = np.pad(a, [(0, 0)] * (a.ndim - 1) + [(0, -n % k)], "edge").reshape(*a.shape[:-1], -1, k)
+    before = pick.accumulate(blocks, axis=-1).reshape(*a.shape[:-1], -1)
+    after = pick.accumulate(blocks[..., ::-1], axis=-1)[..., ::-1].reshape(*a.shape[:-1], -1)
+    return np.moveaxis(pick(after[..., : n - k + 1], before[..., k - 1 : n]), -1, axis)
+
+
+def _sliding_median(table: np.ndarray, r: int) -> np.ndarray:
+    """Medians of the windows of 2r + 1 a side: histograms of columns that lose and gain a sample a row, and of windows that lose and gain a column."""
+    values, codes = np.unique(table, return_inverse=True)
+    codes = codes.reshape(table.shape)
+    k, (height, width) = 2 * r + 1, (table.shape[0] - 2 * r, table.shape[1] - 2 * r)
+    out = np.zeros((height, width), np.int64)
+    if table.shape[1] * len(values) > HISTOGRAMS:
+        windows = np.lib.stride_tricks.sliding_window_view(table, (k, k))
+        for y in range(height):
+            out[y] = np.partition(windows[y].reshape(width, -1), k * k // 2, axis=1)[:, k * k // 2]
+        return out
+    at = np.arange(table.shape[1])
+    column = np.zeros((table.shape[1], len(values)), np.int32)
+    for y in range(2 * r):
+        column[at, codes[y]] += 1
+    for y in range(height):
+        column[at, codes[y + 2 * r]] += 1
+        window = np.cumsum(column, axis=0)
+        window[k:] = window[k:] - window[:-k]
+        upto = np.cumsum(window[k - 1 :], axis=1)
+        out[y] = values[(upto <= k * k // 2).sum(axis=1)]
+        column[at, codes[y]] -= 1
+    return out
+
+
 def _weighted(samples: Column, kernel: list[list[float]]) -> Column:
     flat = F.array(*[F.lit(float(v)) for row in kernel for v in row])
     return F.aggregate(F.zip_with(samples, flat, lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
@@ -152,7 +222,8 @@ def gauss(grid: DataFrame, k: int, sigma: float) -> DataFrame:
 
 
 def median_filter(grid: DataFrame, k: int) -> DataFrame:
-    return _by_window(grid, _square(k), lambda w, _: F.get(F.sort_array(w), F.lit(k * k // 2)))
+    """The middle one of k x k samples; what a sample costs depends on how many values there are, not on k."""
+    return _by_band(grid, k // 2, lambda table: _sliding_median(table, k // 2))
 
 
 # The usual derivative kernels.
@@ -186,13 +257,25 @@ def _shape(shape: str, k: int) -> list[int]:
     return [math.isqrt(r * r - d * d) for d in range(r + 1)]
 
 
-def _extreme(grid: DataFrame, k: int, shape: str, pick: Callable) -> DataFrame:
-    return _by_window(grid, _shape(shape, k), lambda w, _: pick(w))
+def _extreme(grid: DataFrame, k: int, shape: str, pick: np.ufunc) -> DataFrame:
+    """Extremes over a shape, which is the union of rectangles: each half-width with the rows that reach as far. A rectangle is slid along either axis."""
+    reach, r = _shape(shape, k), k // 2
+    deepest = {w: max(d for d, own in enumerate(reach) if own >= w) for w in set(reach) if w >= 0}
+
+    def kernel(table: np.ndarray) -> np.ndarray:
+        height, width = table.shape[0] - 2 * r, table.shape[1] - 2 * r
+        parts = []
+        for w, d in deepest.items():
+            part = table[r - d : r + d + height, r - w : r + w + width]
+            parts.append(_slide(_slide(part, 2 * w + 1, 1, pick), 2 * d + 1, 0, pick))
+        return functools.reduce(pick, parts)
+
+    return _by_band(grid, r, kernel)
 
 
 def morphology(grid: DataFrame, op: str, shape: str = "rect", k: int = 3, iterations: int = 1) -> DataFrame:
-    erode = lambda g: functools.reduce(lambda acc, _: _extreme(acc, k, shape, F.array_min), range(iterations), g)
-    dilate = lambda g: functools.reduce(lambda acc, _: _extreme(acc, k, shape, F.array_max), range(iterations), g)
+    erode = lambda g: functools.reduce(lambda acc, _: _extreme(acc, k, shape, np.minimum), range(iterations), g)
+    dilate = lambda g: functools.reduce(lambda acc, _: _extreme(acc, k, shape, np.maximum), range(iterations), g)
     minus = lambda a, b: a.join(b.select(*AT, F.col("v").alias("w")), AT).select(*AT, (F.col("v") - F.col("w")).alias("v"))
     return {
         "erode": lambda: erode(grid), "dilate": lambda: dilate(grid), "open": lambda: dilate(erode(grid)), "close": lambda: erode(dilate(grid)),

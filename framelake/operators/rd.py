@@ -242,7 +242,15 @@ def unique_names(names: DataFrame, name: str, directory: str, order: str) -> Dat
 
 
 def dump_completeness(samples: DataFrame) -> DataFrame:
-    """Combinations of superblock, frame, group and point that the dump lacks."""
-    dims = samples.select("sb_row", "sb_col").distinct().crossJoin(F.broadcast(samples.select("frame").distinct())).crossJoin(F.broadcast(samples.select("grp", "point").distinct()))
-    keys = ["sb_row", "sb_col", "frame", "grp", "point"]
-    return dims.select(*keys).join(samples.select(*keys).distinct(), keys, "left_anti")
+    """Combinations of superblock, frame, group and point that the dump lacks.
+
+    The lists of all frames and of all streams are one row that every task gets; a superblock is held against the first by the frames it has, each
+    frame of it against the second by its streams. Only what is missing is spread out.
+    """
+    streams, block = F.struct("grp", "point"), ["sb_row", "sb_col"]
+    every = samples.agg(F.collect_set("frame").alias("frames"), F.collect_set(streams).alias("streams"))
+    frames = samples.groupBy(*block, "frame").agg(F.collect_set(streams).alias("own"))
+    held = frames.crossJoin(F.broadcast(every)).select(*block, "frame", F.explode(F.array_except("streams", "own")).alias("s"))
+    blocks = samples.groupBy(*block).agg(F.collect_set("frame").alias("own"))
+    none = blocks.crossJoin(F.broadcast(every)).select(*block, "streams", F.explode(F.array_except("frames", "own")).alias("frame")).select(*block, "frame", F.explode("streams").alias("s"))
+    return held.unionByName(none).select(*block, "frame", "s.grp", "s.point")

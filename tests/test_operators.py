@@ -640,3 +640,44 @@ def test_path_of_any_depth(spark):
     assert manifest.find_path(tree, "t1/t2").count() == 1 and manifest.find_path(tree, "none").count() == 0 and manifest.find_path(tree.limit(0), "t0").count() == 0
     lines = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert lines(deep) == lines(manifest.find_path(tree, "t0/t1"))
+
+
+def test_extremes_and_medians_of_any_size(spark, monkeypatch):
+    """Against all samples of every window by hand, for pictures of several bands, smaller than the kernel, and of one sample."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pictures = {0: rng.integers(0, 256, (150, 21)), 1: rng.integers(0, 4, (3, 5)), 2: np.array([[7]]), 3: rng.integers(0, 70000, (64, 9))}
+    g = spark.createDataFrame([(f, y, x, int(p[y, x])) for f, p in pictures.items() for y in range(p.shape[0]) for x in range(p.shape[1])], "frame long, y long, x long, v long").repartition(6)
+
+    def windows(p, r):
+        return np.lib.stride_tricks.sliding_window_view(np.pad(p, r, "edge"), (2 * r + 1, 2 * r + 1))
+
+    def table(df):
+        rows = df.collect()
+        out = {f: np.full(p.shape, -1) for f, p in pictures.items()}
+        for q in rows:
+            out[q.frame][q.y, q.x] = q.v
+        assert len(rows) == sum(p.size for p in pictures.values())
+        return out
+
+    assert (grid._sliding_median(np.pad(pictures[3], 2, "edge"), 2) == np.sort(windows(pictures[3], 2).reshape(64, 9, -1))[..., 12]).all()
+    monkeypatch.setattr(grid, "HISTOGRAMS", 100_000)
+    for k in (1, 3, 7, 15):
+        r = k // 2
+        got = table(grid.median_filter(g, k))
+        assert all((got[f] == np.sort(windows(p, r).reshape(*p.shape, -1))[..., k * k // 2]).all() for f, p in pictures.items()), k
+        for shape in ("rect", "cross", "ellipse"):
+            y, x = np.mgrid[-r : r + 1, -r : r + 1]
+            mask = {"rect": np.ones((k, k), bool), "cross": (y == 0) | (x == 0), "ellipse": x * x + y * y <= r * r}[shape]
+            low, high = table(grid.morphology(g, "erode", shape, k)), table(grid.morphology(g, "dilate", shape, k))
+            assert all((low[f] == windows(p, r)[..., mask].min(-1)).all() and (high[f] == windows(p, r)[..., mask].max(-1)).all() for f, p in pictures.items()), (k, shape)
+    big, spent = rng.integers(0, 256, (200, 300)), {}
+    for k in (3, 15):
+        began = time.perf_counter()
+        for _ in range(5):
+            grid._slide(grid._slide(np.pad(big, k // 2, "edge"), k, 0, np.minimum), k, 1, np.minimum)
+        spent[k] = time.perf_counter() - began
+    assert spent[15] < 4 * spent[3]
