@@ -150,8 +150,9 @@ def load(path: str, pattern: str) -> BytePairEncoder:
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every text and decode it again: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves with `with_ids`.
 
-    One narrow pass, no shuffle: null and empty text give 0 tokens and the digest of no bytes; repeated rows each give a row; other
-    columns of `docs` are ignored.
+    One narrow pass, no shuffle: null and empty text give 0 tokens and the digest of no bytes; repeated rows, also of a null doc_id, each give
+    a row; very long texts and pretokens are encoded whole, in time linear in them; of tokens that tie in length there are none, for an
+    entry of the vocabulary is one string; an empty table gives no row; other columns of `docs` are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

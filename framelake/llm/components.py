@@ -12,8 +12,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge, root being the smallest node reachable.
 
     Rounds of large-star and small-star steps: each node's neighbours are tied to the smallest of them, until nothing changes. A hub's
-    edges meet its minimum by partial aggregation and a plain join, so a hub is never gathered in one place. Loops are ignored; an
-    empty table gives none. Each round is written to the shared folder.
+    minimum is found by partial aggregation; the join that brings it to the hub's edges deals them by the hub, and Spark's splitting of
+    skewed joins (spark.sql.adaptive.skewJoin) is what spreads a large one. Loops are ignored; an empty table gives none. Each round is
+    written to the shared folder.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:

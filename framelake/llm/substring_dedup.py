@@ -124,8 +124,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Earlier is a smaller doc_id, or the same document and an earlier start; windows are judged on the input. Words are split at 0x20 and
     0x09-0x0D and compared as they are. Null and empty texts have no word; texts shorter than a window lose nothing; rows that share a
-    doc_id count as repeats of one document and lose the same words; a null doc_id comes before all others (and shares its place with -2^63);
-    an empty table gives no row; other columns are ignored.
+    doc_id count as repeats of one document and lose the same words; a null doc_id comes before all others (in the place of -2^63, which stays
+    itself in the result); an empty table gives no row; other columns are ignored; long texts are taken whole.
 
     Steps: (1) symbols with their contexts, packed by hash range, (2) those seen twice or more anywhere go back to the home bucket of the
     documents that hold them, (3) windows that hold no symbol of a single occurrence are taken whole, by a 128-bit BLAKE2b digest of their
@@ -136,8 +136,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = text_size(docs, text_col)
     bits, home_bits = bits_for(size, 12 << 20), bits_for(size, 4 << 20, 4)
     rows = docs.select(
-        F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
-    ).withColumn("home", F.shiftrightunsigned(F.xxhash64("id"), 64 - home_bits).cast("int"))
+        F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), docs[id_col].cast("long").isNotNull().alias("named")
+    ).select("id", "text", F.shiftrightunsigned(F.xxhash64("id"), 64 - home_bits).cast("int").alias("home"), "named")
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, held, count = _arrow(_SYMBOLS), [], 0
@@ -241,7 +241,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for chunk in left.to_batches():
             for lo, hi in slices(chunk.column(1)):
                 words = Words(chunk.column(1).slice(lo, hi - lo), hashed=False)
-                ids = chunk.column(0).to_numpy()[lo:hi]
+                ids, known = chunk.column(0).to_numpy()[lo:hi], chunk.column(3).slice(lo, hi - lo).to_pylist()
                 data = words.data.tobytes()
                 for d in range(words.docs):
                     a, b = int(words.first[d]), int(words.first[d + 1])
@@ -255,7 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         text = b" ".join([v for v, g in zip(w, gone.tolist(), strict=True) if not g])
                     else:
                         text = b" ".join(data[words.offsets[d] : words.offsets[d + 1]].split())
-                    row = (None if ids[d] == _NULL_ID else int(ids[d]), m, int(gone.sum()), hashlib.sha256(text).hexdigest())
+                    row = (int(ids[d]) if known[d] else None, m, int(gone.sum()), hashlib.sha256(text).hexdigest())
                     out.append((*row, text.decode("utf-8")) if with_text else row)
         return _table(out, _arrow(result))
 

@@ -52,7 +52,8 @@ def count(docs: DataFrame, path: str, pattern: str, fields: Sequence[str] = ("te
     the pieces of the last field after each `section_break`, which stays with the piece it ends. Both numbers of a document add up to
     n_tokens (sections: to the last field's). A token across a boundary goes where `rule` says. Null fields are empty; an empty document has
     no token, each array then holds zeros; an empty last field has one empty section. Offsets are bytes of UTF-8, so characters that span
-    tokens need no care.
+    tokens need no care. Repeated rows, also of a null doc_id, each give a row; very long texts are encoded whole; ties of `majority` go to
+    the earlier section; an empty table gives no row; other columns are ignored.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

@@ -226,3 +226,51 @@ def test_packing_neighbours(spark):
 def test_packing_empty(spark):
     made = packing.pack(spark.createDataFrame([], DOCS), P.path("word_bpe_49k.json"))
     assert made.count() == 0 and packing.sequences(made).count() == 0
+
+
+def test_repeats_keep_null_and_least_ids_apart(spark):
+    """A null doc_id comes before all others, in the place of -2^63, which stays itself."""
+    from framelake.llm import substring_dedup
+
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(-(1 << 63), words), (None, "n " + words), (5, words + " tail"), (-3, None)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in got} == {-(1 << 63), None, 5, -3} and len(got) == 4
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in got if r.doc_id in (5, -3)} == {5: (41, 40), -3: (0, 0)}
+
+
+def test_very_long_texts_of_search_and_language(spark, small):
+    """A text of a megabyte keeps its language and gives up the item in its middle; one word of a megabyte is read like any other."""
+    from framelake.llm import decontaminate, language
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    english = [r.text for r in docs.where("lang = 'en' AND text IS NOT NULL AND n_chars > 500").limit(20).collect()]
+    text = "\n".join(english * (1 + (1 << 20) // sum(map(len, english))))
+    item = " ".join(f"item{i}" for i in range(40))
+    half = text.index(" ", len(text) // 2)
+    rows = [(1, text[:half] + " " + item + text[half:]), (2, "x" * (1 << 20)), (3, text), (4, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.find(d, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, 9)]
+    lang = {r.doc_id: r.lang_pred for r in language.predict(d, language.train(docs)).collect()}
+    assert lang[1] == lang[3] == "en" and lang[4] == "und" and 2 in lang
+
+
+def test_pages_without_semantic_elements(spark, small):
+    """Sources of which no page has an article element teach by the shape of paragraphs; most of the words found are the article's."""
+    import re
+
+    from framelake.llm import html_text
+
+    pages = [r for r in spark.read.parquet(f"{small}/pages.parquet").collect() if r.html]
+    plain = lambda h: re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", h)
+    d = spark.createDataFrame([(r.page_id, r.url, plain(r.html)) for r in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(d, html_text.train(d)).collect()}
+    want = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages), html_text.train(spark.createDataFrame(pages))).collect()}
+    assert set(got) == set(want) and sum(map(len, want.values()))
+    score = []
+    for i, text in want.items():
+        a, b = Counter(got[i].split()), Counter(text.split())
+        both = sum((a & b).values())
+        score.append(2 * both / max(1, sum(a.values()) + sum(b.values())))
+    assert sum(score) / len(score) > 0.6, sum(score) / len(score)
