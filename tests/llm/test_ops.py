@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -396,48 +397,117 @@ def test_quality(spark, docs, empty, small):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in verdict.where("kept").collect()}
 
 
+def drawn(rows):
+    """Statistics from their language's median, drawn in for short documents; rows: (lang, source, failed, features, words)."""
+    x, n = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    centre = {}
+    for lang in {r[0] for r in rows}:
+        own = np.array([r[0] == lang and not r[2] for r in rows])
+        if own.any():
+            centre[lang] = np.quantile(np.round(x[own] * 65536) / 65536, 0.5, axis=0)
+    return np.array([(v - centre[r[0]]) * math.sqrt(r[4] / (r[4] + quality.SHRINK)) if r[0] in centre else np.full(x.shape[1], np.nan) for r, v in zip(rows, x, strict=True)])
+
+
 def brute_verdicts(rows):
-    """The definition in numpy, from (lang, source, counts, features) rows: concentration steps by group, regularised by the level above."""
-    x = np.array([r[3] for r in rows])
+    """The definition in numpy: concentration steps by group from two starts, regularised by the level above, the smaller determinant counting."""
+    x = drawn(rows)
     usable = np.array([not r[2] for r in rows])
-    n, floor = x.shape[1], np.array(quality.FLOOR)
+    n, floor = x.shape[1], quality.FLOOR
     keys = [[(), (r[0],), (r[0], r[1])] for r in rows]
     levels = [sorted({k[level] for k, u in zip(keys, usable, strict=True) if u}, key=repr) for level in range(3)]
     member = {k: usable & np.array([own[level] == k for own in keys]) for level in range(3) for k in levels[level]}
 
+    def regular(sums, factor):
+        out = {}
+        for level in range(3):
+            for k in levels[level]:
+                y = sums[k]
+                mean, cov = (y.mean(0), np.cov(y.T, bias=True) * factor) if len(y) else (np.zeros(n), np.zeros((n, n)))
+                if level:
+                    a, (up, up_cov) = len(y) / (len(y) + quality.PRIOR), out[k[:-1]]
+                    mean, cov = a * mean + (1 - a) * up, a * cov + (1 - a) * up_cov
+                out[k] = mean, cov + np.diag(np.maximum(0, floor**2 - np.diag(cov)))
+        return out
+
     def bins(k, est):
         d = x[member[k]] - est[k][0]
         return np.minimum(np.round(quality.BINS_A_LOG * np.log1p(np.einsum("ij,jk,ik->i", d, np.linalg.inv(est[k][1]), d))), quality.MAX_BIN)
 
-    est = {}
+    middle, cut = {}, {}
     for k, m in member.items():
-        low, mid, high = np.quantile(np.round(x[m] * 1024) / 1024, [0.16, 0.5, 0.84], axis=0)
-        est[k] = mid, np.diag(np.maximum((high - low) / 2, floor) ** 2)
+        low, mid, high = np.quantile(np.round(x[m] * 65536) / 65536, [0.16, 0.5, 0.84], axis=0)
+        spread = np.maximum((high - low) / 2, floor)
+        middle[k], cut[k] = (mid, np.diag(spread**2)), np.clip(x[m], mid - quality.CLIP * spread, mid + quality.CLIP * spread)
+    now = [middle, regular(cut, 1.0)]
     inner, share = quality._chi2_quantile(0.025, n), quality.SHARE
-    for step in range(quality.STEPS + 1):
-        now = {}
-        for level in range(3):
-            for k in levels[level]:
-                b = bins(k, est)
-                if step < quality.STEPS:
-                    near = np.array([(b < v).sum() < share * len(b) for v in b])
-                    factor = share / (1 - quality._tail(quality._chi2_quantile(1 - share, n), n + 2))
-                else:
-                    near, factor = b <= round(quality.BINS_A_LOG * np.log1p(inner)), 0.975 / (1 - quality._tail(inner, n + 2))
-                y, w = x[member[k]][near], near.sum()
-                mean, cov = (y.mean(0), np.cov(y.T, bias=True) * factor) if w else (np.zeros(n), np.zeros((n, n)))
-                if level:
-                    a, (up, up_cov) = w / (w + quality.PRIOR), now[k[:-1]]
-                    mean, cov = a * mean + (1 - a) * up, a * cov + (1 - a) * up_cov
-                now[k] = mean, cov + np.diag(np.maximum(0, floor**2 - np.diag(cov)))
-        est = now
+    factor = share / (1 - quality._tail(quality._chi2_quantile(1 - share, n), n + 2))
+    det = lambda e: np.linalg.slogdet(e[1])[1]
+    before = [{k: (None if e is middle else det(e[k])) for k in e} for e in now]
+    for _ in range(quality.MOST_STEPS):
+        now = [regular({k: x[member[k]][[(b < v).sum() < share * len(b) for v in b]] for k in member for b in [bins(k, e)]}, factor) for e in now]
+        after = [{k: det(e[k]) for k in e} for e in now]
+        still = all(b[k] is not None and abs(a[k] - b[k]) <= quality.STILL for a, b in zip(after, before, strict=True) for k in a)
+        before = after
+        if still:
+            break
+    best = {k: min(((after[i][k], i) for i in (0, 1)))[1] for k in member}
+    est = regular({k: x[member[k]][bins(k, now[best[k]]) <= round(quality.BINS_A_LOG * np.log1p(inner))] for k in member}, 0.975 / (1 - quality._tail(inner, n + 2)))
     out = []
-    for r, own, u in zip(rows, keys, usable, strict=True):
-        d = np.array(r[3]) - est[own[2]][0] if own[2] in est else None
-        out.append((float(d @ np.linalg.inv(est[own[2]][1]) @ d) if d is not None else None, bool(u) and (d is None or d @ np.linalg.inv(est[own[2]][1]) @ d <= quality._chi2_quantile(quality.CUT, n))))
+    for z, own, u in zip(x, keys, usable, strict=True):
+        d = z - est[own[2]][0] if own[2] in est else None
+        far = float(d @ np.linalg.inv(est[own[2]][1]) @ d) if d is not None else None
+        out.append((far, bool(u) and (d is None or far <= quality._chi2_quantile(quality.CUT, n))))
     return out
 
 
+def fast_mcd(z, share, rng, starts=60):
+    """The textbook estimate of one group alone: random subsets of five, concentrated; the least determinant; reweighted."""
+    h, n = int(share * len(z)), z.shape[1]
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", z - m, np.linalg.pinv(c), z - m)
+    best = None
+    for _ in range(starts):
+        own = z[rng.choice(len(z), n + 1, replace=False)]
+        m, c = own.mean(0), np.cov(own.T) + 1e-12 * np.eye(n)
+        for _ in range(30):
+            own = z[np.argsort(distance(m, c))[:h]]
+            m, c = own.mean(0), np.cov(own.T)
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], m, c
+    _, m, c = best
+    c = c * share / (1 - quality._tail(quality._chi2_quantile(1 - share, n), n + 2))
+    own = z[distance(m, c) <= quality._chi2_quantile(0.025, n)]
+    return distance(own.mean(0), np.cov(own.T) * 0.975 / (1 - quality._tail(quality._chi2_quantile(0.025, n), n + 2)))
+
+
+def test_quality_against_an_independent_estimate(spark):
+    """Groups of which 30 % are outliers of one kind: verdicts are those of a textbook estimate of each group alone, no variance is on the floor."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g, source in enumerate("abcd"):
+        for i in range(300):
+            odd, n = i < 90, int(rng.integers(60, 500))
+            sizes = rng.poisson(9 if odd and g % 2 else 4, n) + 1
+            words = ["".join(chr(97 + c) for c in rng.integers(0, 26, k)) for k in sizes]
+            words = [w.capitalize() if rng.random() < 0.08 else w for w in words]
+            words = [w + ("!!!" if odd and g % 2 == 0 else "") + ("." if rng.random() < 0.1 else "") for w in words]
+            rows.append((1000 * g + i, " ".join(words), "en", source))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.assess(d).collect()}
+    stats = {r.doc_id: r for r in quality.measured(d).collect()}
+    z = drawn([("en", None, False, [stats[r[0]][x] for x in quality.FEATURES], stats[r[0]].n_words) for r in rows])
+    for g in range(4):
+        far = fast_mcd(z[300 * g : 300 * g + 300], quality.SHARE, rng)
+        own = [got[1000 * g + i] for i in range(300)]
+        assert [r.kept for r in own] == [i >= 90 for i in range(300)] == (far <= quality._chi2_quantile(quality.CUT, z.shape[1])).tolist()
+        inside = np.array([r.distance for r in own])[90:]
+        assert np.corrcoef(np.log1p(inside), np.log1p(far[90:]))[0, 1] > 0.7
+    for e in quality.estimate(quality.measured(d)).collect():
+        precision = np.zeros((4, 4))
+        for v, (i, j) in zip(e.precision, quality._PAIRS, strict=True):
+            precision[i, j] = precision[j, i] = v
+        assert (np.diag(np.linalg.inv(precision)) > 4 * quality.FLOOR**2).all()
+
+
 def test_quality_by_its_definition(spark, small, monkeypatch):
     """Every distance and verdict over many groups, among them languages and sources named "*", NUL, the empty string and null; joined by
     broadcast and by key; one row out for each row in."""
@@ -448,7 +518,7 @@ def test_quality_by_its_definition(spark, small, monkeypatch):
     names = quality.FEATURES
     stats = quality.measured(d).withColumn("bad", quality.base_failed()).collect()
     want = defaultdict(list)
-    for r, v in zip(stats, brute_verdicts([(r.lang, r.source, r.bad, [r[x] for x in names]) for r in stats]), strict=True):
+    for r, v in zip(stats, brute_verdicts([(r.lang, r.source, r.bad, [r[x] for x in names], r.n_words) for r in stats]), strict=True):
         want[r.doc_id].append(v)
     for few in (quality.BROADCAST_GROUPS, 0):
         monkeypatch.setattr(quality, "BROADCAST_GROUPS", few)
