@@ -32,7 +32,7 @@ SEGMENT = 100  # words in which distinct ones are counted, so that their share d
 SHRINK = 300  # words of a document whose statistics keep 1 / sqrt(2) of their distance from the median
 FLOOR = 1e-3  # least standard deviation of a statistic: one that is the same for all documents has one, too
 SHARE = 0.6  # of a group, taken by the concentration steps: 40 % may be outliers
-MOST_STEPS, STILL = 12, 0.01  # concentration ends when no determinant changes by more than this share, or after so many steps
+MOST_STEPS, STILL = 12, 0.25  # concentration ends when no logarithm of a determinant moves by more than this (6 % of a variance), or after so many steps
 CLIP = 3.0  # spreads from the median at which the second start cuts values
 PRIOR = 40  # documents that the estimate one level up counts for
 BROADCAST_GROUPS = 20_000  # so many estimates (0.4 KB each) are broadcast; more are joined by key
