@@ -200,7 +200,13 @@ def _live(c):
     return fr.latest_error(c.select("stream", "frame", text), "stream", "frame", "text").select(F.col("stream").alias("item"), "text")
 
 
-@query("df18_find_diff", "f_sx_a", "f_sx_c", "f_pl_a", "f_pl_b", "f_bl_a", "f_bl_b", "f_gr", "f_cf")
+_DF18 = f"""WITH RECURSIVE {_LC}, {_PL}, {_RECON}, {_LIVE}, {_diff_sql()}, s AS (SELECT section, differences AS n FROM lc WHERE differences > 0),
+shown AS (SELECT ordinal AS coded_id, row_number() OVER (ORDER BY ordinal) - 1 AS display_index FROM f_pl_a WHERE ordinal % 3 <> 2), fi AS (SELECT arg_min(display_index, ordinal) AS frame FROM z JOIN shown ON ordinal = coded_id),
+bs AS (SELECT sb_row, sb_col, arg_min(kind, {{'r': mi_row, 'c': mi_col, 'k': kind}}) AS kind, CAST(sum(positions) AS BIGINT) AS n FROM dd JOIN fi ON dd.frame = fi.frame GROUP BY sb_row, sb_col),
+found AS ({_FOUND.format(said='element differences')} UNION ALL SELECT 2, 'block', 'Diff', sb_row * 2 + sb_col, concat(CAST(n AS VARCHAR), ' positions differ in SB(', CAST(sb_row AS VARCHAR), ', ', CAST(sb_col AS VARCHAR), '): ', kind) FROM bs {_FOUND_LAST.format(recon=3, decoder=4)}), {_LISTED.format(most=df.PROBLEM_ROWS)}"""
+
+
+@query("df18_find_diff", "f_sx_a", "f_sx_c", "f_pl_a", "f_pl_b", "f_bl_a", "f_bl_b", "f_gr", "f_cf", oracle=_DF18)
 def df18(sa, sb, pa, pb, ba, bb, g, c):
     # Every unit is a frame; each third one is hidden and shown by the unit after it.
     n = F.col("ordinal")
