@@ -75,11 +75,13 @@ def incremental_frame_index(headers: DataFrame) -> DataFrame:
 def late_sse_join(bits: DataFrame, sse: DataFrame, bound: str) -> DataFrame:
     """key, ts, bits, sse, state: bits with the errors that arrive within `bound` of them, `ok`; bits whose wait is over without any come out as `skipped`.
 
-    Both sides: key, ts and own columns. A row without a key (the end mark of `replayed`) only moves the clock.
+    Both sides: key, ts and own columns. A row without a key (the end mark of `replayed`) only moves the clock. Keys meet as structs, which are
+    never null and, without a key, differ by side: of plain keys the nulls are filtered out ahead of the watermark, which then stands still.
     """
-    b = bits.withWatermark("ts", bound)
-    s = sse.select(F.col("key").alias("sse_key"), F.col("ts").alias("sse_ts"), "sse").withWatermark("sse_ts", bound)
-    on = (F.col("key") == F.col("sse_key")) & (F.col("sse_ts") >= F.col("ts")) & (F.col("sse_ts") <= F.col("ts") + F.expr(f"INTERVAL {bound}"))
+    meet = lambda side: F.struct("key", F.when(F.col("key").isNull(), side).alias("side"))
+    b = bits.withColumn("bits_key", meet(0)).withWatermark("ts", bound)
+    s = sse.select(meet(1).alias("sse_key"), F.col("ts").alias("sse_ts"), "sse").withWatermark("sse_ts", bound)
+    on = (F.col("bits_key") == F.col("sse_key")) & (F.col("sse_ts") >= F.col("ts")) & (F.col("sse_ts") <= F.col("ts") + F.expr(f"INTERVAL {bound}"))
     return b.join(s, on, "leftOuter").select("key", "ts", "bits", "sse", F.when(F.col("sse_key").isNull(), "skipped").otherwise("ok").alias("state"))
 
 
