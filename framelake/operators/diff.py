@@ -194,6 +194,30 @@ def mi_grid(blocks: DataFrame, width: int, height: int) -> DataFrame:
     return first.select("frame", "mi_row", "mi_col", *[F.col(f"b.{c}").alias(c) for c in blocks.columns if c != "frame"])
 
 
+def _cell_masks(blocks: DataFrame, width: int, height: int) -> DataFrame:
+    """Rows of `_celled` with the positions of their cell that they cover as bits of four longs, `m0` to `m3`, of four rows of positions each."""
+    side = CELL // MI
+
+    def ends(at: str, size: str, edge: int, sb: str) -> tuple[Column, Column]:
+        first = F.greatest(F.floor(F.col(at) / MI) - F.col(sb) * side, F.lit(0))
+        last = F.floor((F.least(F.col(at) + F.col(size), F.lit(edge), (F.col(sb) + 1) * CELL) - 1) / MI) - F.col(sb) * side
+        return first.cast("int"), last.cast("int")
+
+    (top, bottom), (left, right) = ends("y", "h", height, "sb_row"), ends("x", "w", width, "sb_col")
+    one = F.lit(1).cast("long")
+    shifted = lambda v, n: F.call_function("shiftleft", v, n)
+    rows = _celled(blocks, F.lit(width), F.lit(height), F.lit(CELL)).withColumns({"_top": top, "_bottom": bottom, "_line": shifted(shifted(one, right - left + 1) - one, left)})
+    masks = {f"m{k}": sum((F.when(F.lit(4 * k + j).between(F.col("_top"), F.col("_bottom")), F.shiftleft("_line", 16 * j)).otherwise(0) for j in range(4)), F.lit(0).cast("long")) for k in range(4)}
+    return rows.select("frame", "sb_row", "sb_col", "y", "x", *[m.alias(n) for n, m in masks.items()])
+
+
+_MASKS = ("m0", "m1", "m2", "m3")
+
+
+def _bits(columns: list[str]) -> Column:
+    return F.coalesce(F.sum(sum((F.bit_count(c) for c in columns[1:]), F.bit_count(columns[0]))), F.lit(0))
+
+
 def coverage(blocks: DataFrame, width: int, height: int, least: float = 95.0) -> DataFrame:
     """Percent of positions covered by frame, and whether the dump is complete."""
     total = -(-width // MI) * -(-height // MI)
@@ -202,13 +226,21 @@ def coverage(blocks: DataFrame, width: int, height: int, least: float = 95.0) ->
 
 
 def tiling_check(blocks: DataFrame, width: int, height: int) -> DataFrame:
-    """Holes, overlaps and singly covered positions of every frame, and blocks given twice."""
-    frames = blocks.select("frame").distinct()
-    grid = frames.select("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-height // MI) - 1).cast("long"))).alias("mi_row")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-width // MI) - 1).cast("long"))).alias("mi_col"))
-    n = _positions(blocks, width, height).groupBy("frame", "mi_row", "mi_col").agg(F.count("*").alias("n"))
-    c = grid.join(n, ["frame", "mi_row", "mi_col"], "left").groupBy("frame").agg(F.count_if(F.col("n").isNull()).alias("holes"), F.count_if(F.col("n") > 1).alias("overlaps"), F.count_if(F.col("n") == 1).alias("single"))
-    twice = blocks.groupBy("frame", "x", "y", "w", "h").agg((F.count("*") - 1).alias("again")).groupBy("frame").agg(F.sum("again").alias("duplicates"))
-    return c.join(twice, "frame")
+    """Holes, overlaps and singly covered positions of every frame, and blocks given twice.
+
+    Blocks of a cell are gone through once: the bits of those before tell which positions a block covers again. Holes are what is left of
+    the picture, so that no grid is made.
+    """
+    total = -(-width // MI) * -(-height // MI)
+    clipped = blocks.select("frame", *[F.greatest(at, F.lit(0)).alias(at) for at in ("x", "y")], *[(F.col(size) + F.least(at, F.lit(0))).alias(size) for at, size in (("x", "w"), ("y", "h"))])
+    keys = ["frame", "sb_row", "sb_col"]
+    before = Window.partitionBy(*keys).orderBy("y", "x").rowsBetween(Window.unboundedPreceding, -1)
+    masks = _cell_masks(clipped, width, height).withColumns({f"again_{m}": F.col(m).bitwiseAND(F.coalesce(F.bit_or(m).over(before), F.lit(0))) for m in _MASKS})
+    cells = masks.groupBy(*keys).agg(*[F.bit_or(c).alias(c) for m in _MASKS for c in (m, f"again_{m}")])
+    c = cells.groupBy("frame").agg(_bits(list(_MASKS)).alias("covered"), _bits([f"again_{m}" for m in _MASKS]).alias("overlaps"))
+    twice = blocks.where("frame IS NOT NULL").groupBy("frame", "x", "y", "w", "h").agg((F.count("*") - 1).alias("again")).groupBy("frame").agg(F.sum("again").alias("duplicates"))
+    covered, overlaps = F.coalesce("covered", F.lit(0)), F.coalesce("overlaps", F.lit(0))
+    return twice.join(c, "frame", "left").select("frame", (F.lit(total).cast("long") - covered).alias("holes"), overlaps.alias("overlaps"), (covered - overlaps).alias("single"), "duplicates")
 
 
 def probe_sb_size(a: DataFrame, b: DataFrame) -> DataFrame:
