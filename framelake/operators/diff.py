@@ -154,13 +154,6 @@ def probe_blocks(blocks: DataFrame, base: Column, sb: int) -> DataFrame:
     return b.groupBy("frame", F.floor(F.col("y") / sb).alias("sb_row"), F.floor(F.col("x") / sb).alias("sb_col")).agg(F.min("start").alias("start_bit"))
 
 
-def _positions(blocks: DataFrame, width: int, height: int) -> DataFrame:
-    last = lambda at, size, edge: F.floor((F.least(F.col(at) + F.col(size), F.lit(edge)) - 1) / MI)
-    inside = blocks.where((F.col("x") < width) & (F.col("y") < height) & (F.col("w") > 0) & (F.col("h") > 0))
-    rows = inside.select("*", F.explode(F.sequence(F.floor(F.col("y") / MI), last("y", "h", height))).alias("mi_row"))
-    return rows.select("*", F.explode(F.sequence(F.floor(F.col("x") / MI), last("x", "w", width))).alias("mi_col"))
-
-
 CELL = 64  # samples a side of the cells by which blocks are dealt
 
 
@@ -219,9 +212,10 @@ def _bits(columns: list[str]) -> Column:
 
 
 def coverage(blocks: DataFrame, width: int, height: int, least: float = 95.0) -> DataFrame:
-    """Percent of positions covered by frame, and whether the dump is complete."""
+    """Percent of positions covered by frame, and whether the dump is complete. A cell is one row of 256 bits, not of positions."""
     total = -(-width // MI) * -(-height // MI)
-    n = _positions(blocks, width, height).groupBy("frame").agg(F.count_distinct("mi_row", "mi_col").alias("covered"))
+    cells = _cell_masks(blocks, width, height).groupBy("frame", "sb_row", "sb_col").agg(*[F.bit_or(m).alias(m) for m in _MASKS])
+    n = cells.groupBy("frame").agg(_bits(list(_MASKS)).alias("covered"))
     return n.withColumn("percent", F.col("covered") * 100.0 / total).withColumn("complete", F.col("percent") >= least)
 
 
