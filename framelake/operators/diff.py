@@ -112,16 +112,22 @@ def first_difference(rows: DataFrame, keys: list[str], order: list[str], real: C
     return best.select(*keys, *[F.col(f"d.{c}").alias(c) for c in (*order, *rest)])
 
 
-def first_differing(a: Column, b: Column, chunk: int = 64) -> Column:
+def first_differing(a: Column, b: Column) -> Column:
     """0-based place of the first difference of two strings or binaries, the shorter length where one starts the other; null when equal.
 
-    The first differing chunk is found among equal-sized pieces, then the place in it.
+    Pieces are halved: heads of a power of two that are alike are dropped and counted, of others only the heads are kept. Every step looks at
+    half as much as the one before, so that a pair takes time linear in its length.
     """
-    longest = F.greatest(F.length(a), F.length(b))
-    starts = F.sequence(F.lit(0), F.floor(longest / chunk).cast("int"))
-    at = F.array_position(F.transform(starts, lambda i: ~F.substring(a, i * chunk + 1, F.lit(chunk)).eqNullSafe(F.substring(b, i * chunk + 1, F.lit(chunk)))), True) - 1
-    inside = F.array_position(F.transform(F.sequence(F.lit(1), F.lit(chunk)), lambda k: ~F.substring(a, at.cast("int") * chunk + k, F.lit(1)).eqNullSafe(F.substring(b, at.cast("int") * chunk + k, F.lit(1)))), True) - 1
-    return F.when(a != b, at * chunk + inside)
+    top = F.floor(F.log2(F.greatest(F.length(a), F.length(b), F.lit(1)))).cast("int")
+    halves = F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    start = F.struct(a.alias("a"), b.alias("b"), F.lit(0).alias("at"))
+
+    def halve(s: Column, half: Column) -> Column:
+        heads, tails = [[F.substring(s[c], begin, length) for c in "ab"] for begin, length in ((F.lit(1), half), (half + 1, F.lit(2**31 - 1)))]
+        kept = lambda pieces, at: F.struct(pieces[0].alias("a"), pieces[1].alias("b"), at.alias("at"))
+        return F.when(heads[0] == heads[1], kept(tails, s["at"] + half)).otherwise(kept(heads, s["at"]))
+
+    return F.when(a != b, F.aggregate(halves, start, halve, lambda s: s["at"]).cast("long"))
 
 
 def diff_payloads(a: DataFrame, b: DataFrame) -> DataFrame:
