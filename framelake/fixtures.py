@@ -1,8 +1,13 @@
-"""Views over the test tables with the shapes of codec telemetry, in SQL that Spark and DuckDB both run."""
+"""Views over the test tables with the shapes of codec telemetry, in SQL that Spark and DuckDB both run; where SQL would put too much into one task, Spark builds the same rows by operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .operators.scan import SPAN, span
+from .sources.store import written
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
 
@@ -164,10 +169,36 @@ FROM (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id)
 }
 
 
+def sample_table(lineitem: DataFrame, size: int = SPAN) -> DataFrame:
+    """The view f_st without a window over a track: samples and chunks are numbered in blocks of about `size` rows of all tracks by order key, and
+    a row a block tells how many came before. The rows are written, for queries look at them several times."""
+    rows = lineitem.selectExpr("l_orderkey % 4 AS track", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(floor(l_extendedprice) AS BIGINT) AS size", "CAST(floor(l_quantity / 25) AS BIGINT) + 1 AS delta", "l_returnflag = 'R' AS sync")
+    s = lineitem.agg(F.min("l_orderkey").alias("low"), F.max("l_orderkey").alias("high"), F.count("l_orderkey").alias("n")).first()
+    width = max(1, (s.high - s.low + 1) * size // s.n) if s.n else 1
+    # Rows without an order key are a track and a block of their own, by numbers that no key has.
+    keys = {"_track": F.coalesce("track", F.lit(4)), "_block": F.coalesce(span(F.col("l_orderkey") - (s.low or 0), width), F.lit(-1))}
+    rows = rows.withColumns(keys)
+    orders = rows.groupBy(*keys, "l_orderkey").agg(F.count("*").alias("n"))
+    blocks = orders.groupBy(*keys).agg(F.sum("n").alias("samples"), F.count("*").alias("chunks"))
+    before = Window.partitionBy("_track").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("samples", "chunks")])
+    inside = Window.partitionBy(*keys)
+    at = {"sample": F.row_number().over(inside.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "size")), "chunk": F.dense_rank().over(inside.orderBy("l_orderkey"))}
+    out = rows.withColumns(at).join(blocks, [*keys])
+    return written(out.select("track", *[(F.col(f"_{c}s") + F.col(c)).alias(c) for c in at], "size", "delta", "sync"), "samples")
+
+
+#: Where Spark builds a view otherwise than by its SQL, which would put a track in one task. Rows are the same.
+SPARK = {"f_st": (sample_table, "lineitem")}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view by name, or a table of the folder."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in SPARK:
+        build, *tables = SPARK[name]
+        return build(*[fixture(spark, sf_dir, t) for t in tables])
     sql = SQL[name]
     for t in TABLES:
         if t in sql:

@@ -35,17 +35,18 @@ def rle_encode(rows: DataFrame, key: str, order: str, value: str, size: int = SP
     return numbered.groupBy(key, "run").agg(F.min("first").alias("first"), F.sum("count").alias("count"), F.first("value").alias("value"))
 
 
-def chunk_runs(rows: DataFrame) -> DataFrame:
-    """stsc: track, first_chunk, per_chunk from samples with their chunk."""
-    n = rows.groupBy("track", "chunk").agg(F.count("*").alias("per_chunk"))
-    w = Window.partitionBy("track").orderBy("chunk")
-    return n.withColumn("before", F.lag("per_chunk").over(w)).where("before IS NULL OR before <> per_chunk").select("track", F.col("chunk").alias("first_chunk"), "per_chunk")
-
-
-def chunk_offsets(rows: DataFrame) -> DataFrame:
-    """stco: track, chunk, offset - earlier chunks' bytes and 100 a chunk."""
-    n = rows.groupBy("track", "chunk").agg(F.sum("size").alias("bytes"))
-    return n.select("track", "chunk", (_running("bytes", Window.partitionBy("track").orderBy("chunk")) + 100 * F.col("chunk")).alias("offset"))
+def chunk_runs(rows: DataFrame, size: int = SPAN) -> DataFrame:
+    """stsc: track, first_chunk, per_chunk from samples with their chunk. Chunks are counted once, into a table, and scanned in blocks of `size`."""
+    n = written(rows.groupBy("track", "chunk").agg(F.count("*").alias("per_chunk")), "chunks")
+    n = scan(n, ["track"], ["chunk"], span("chunk", size), lasts={"before": F.col("per_chunk")}, own=False)
+    return n.where("before IS NULL OR before <> per_chunk").select("track", F.col("chunk").alias("first_chunk"), "per_chunk")
+
+
+def chunk_offsets(rows: DataFrame, size: int = SPAN) -> DataFrame:
+    """stco: track, chunk, offset - earlier chunks' bytes and 100 a chunk. Chunks are summed once, into a table, and scanned in blocks of `size`."""
+    n = written(rows.groupBy("track", "chunk").agg(F.sum("size").alias("bytes")), "bytes")
+    n = scan(n, ["track"], ["chunk"], span("chunk", size), {"before": F.col("bytes")})
+    return n.select("track", "chunk", (F.col("before") + 100 * F.col("chunk")).alias("offset"))
 
 
 def _chunk_slots(chunks: DataFrame, runs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
