@@ -42,6 +42,12 @@ def read_stream(spark: SparkSession, pattern: str, schema, files: int = 1) -> Da
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(pattern)
 
 
+def _one(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of a batch as one frame; most keys have few rows, which one Arrow batch holds, so that nothing is copied."""
+    parts = list(batches)
+    return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+
+
 def incremental_frame_index(headers: DataFrame) -> DataFrame:
     """stream, pos, coding_order, display_index, shown_id for headers appended over time; a position that falls back starts the stream anew.
 
@@ -51,23 +57,25 @@ def incremental_frame_index(headers: DataFrame) -> DataFrame:
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, coded, shown, slots = (*state.get[:3], list(state.get[3])) if state.exists else (-1, 0, 0, [-1] * 8)
         out = []
-        for h in pd.concat(list(batches)).sort_values("pos").itertuples(index=False):
-            if h.pos <= last:
+        rows = _one(batches)
+        columns = [rows[c].tolist() for c in ("pos", "show_existing", "map_idx", "coded_id", "refresh_flags", "show_frame")]
+        for pos, show_existing, map_idx, coded_id, refresh_flags, show_frame in sorted(zip(*columns, strict=True), key=lambda h: h[0]):
+            if pos <= last:
                 last, coded, shown, slots = -1, 0, 0, [-1] * 8
-            last = int(h.pos)
+            last = int(pos)
             order = index = ident = None
-            if h.show_existing == 1:
-                held = slots[int(h.map_idx)]
+            if show_existing == 1:
+                held = slots[int(map_idx)]
                 index, ident, shown = shown, (held if held >= 0 else None), shown + 1
             else:
                 order, coded = coded, coded + 1
-                slots = [int(h.coded_id) if int(h.refresh_flags) >> k & 1 else s for k, s in enumerate(slots)]
-                if h.show_frame == 1:
-                    index, ident, shown = shown, int(h.coded_id), shown + 1
+                slots = [int(coded_id) if int(refresh_flags) >> k & 1 else s for k, s in enumerate(slots)]
+                if show_frame == 1:
+                    index, ident, shown = shown, int(coded_id), shown + 1
             out.append((key[0], last, order, index, ident))
         state.update((last, coded, shown, slots))
-        frame = pd.DataFrame(out, columns=["stream", "pos", "coding_order", "display_index", "shown_id"])
-        yield frame.astype({c: "Int64" for c in ("coding_order", "display_index", "shown_id")})
+        named = dict(zip(("stream", "pos", "coding_order", "display_index", "shown_id"), zip(*out, strict=True), strict=True))
+        yield pd.DataFrame({c: pd.array(v, "Int64") if c in ("coding_order", "display_index", "shown_id") else list(v) for c, v in named.items()})
 
     return headers.groupBy("stream").applyInPandasWithState(fold, "stream long, pos long, coding_order long, display_index long, shown_id long", "last long, coded long, shown long, slots array<long>", "append", GroupStateTimeout.NoTimeout)
 
@@ -148,14 +156,15 @@ def marked_pictures(slices: DataFrame, quiet_ms: int, late: str = "1 hour") -> D
             close()
             state.update((coded, False, 0, False, [], last))
         elif pd.notna(key[0]):
-            rows = pd.concat(list(batches)).sort_values(["ts", "pos"])
-            for h in rows.itertuples(index=False):
-                now = int(h.ts.timestamp() * 1000)
-                if not is_open or h.first_mb == 0 or h.poc != poc or now > last + quiet_ms:
+            rows, types = _one(batches), list(types)
+            columns = [rows["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), *[rows[c].tolist() for c in ("pos", "first_mb", "poc", "nal_type", "slice_type_id")]]
+            for ts, _, first_mb, own, nal_type, kind in sorted(zip(*columns, strict=True), key=lambda h: h[:2]):
+                now = ts // 1000
+                if not is_open or first_mb == 0 or own != poc or now > last + quiet_ms:
                     close()
-                    is_open, poc, idr, types = True, int(h.poc), False, []
-                idr = idr or bool(h.nal_type == 5)
-                types = [*types, int(h.slice_type_id)]
+                    is_open, poc, idr, types = True, int(own), False, []
+                idr = idr or bool(nal_type == 5)
+                types.append(int(kind))
                 last = max(int(last), now)
             state.update((coded, is_open, poc, idr, types, last))
         if is_open:
@@ -175,12 +184,19 @@ def dedupe_latest(errors: DataFrame) -> DataFrame:
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "text"])
-        text = rows["text"].fillna("")
-        last = text.shift(fill_value=state.get[0] if state.exists else "")
-        state.update((text.iloc[-1],))
-        changed = (text != last).to_numpy()
-        yield pd.DataFrame({"item": key[0], "ts": rows["ts"][changed].to_numpy(), "text": text[changed].to_numpy()})
+        rows = _one(batches)
+        null, ts = rows["text"].isna().to_numpy(), rows["ts"].to_numpy()
+        text = ["" if n else t for n, t in zip(null.tolist(), rows["text"].tolist(), strict=True)]
+        # By ts, then text; nulls last, as sort_values has them.
+        order = sorted(range(len(text)), key=list(zip(pd.isna(ts).tolist(), ts.astype("int64").tolist(), null.tolist(), text, strict=True)).__getitem__)
+        last, kept = state.get[0] if state.exists else "", []
+        for i in order:
+            if text[i] != last:
+                kept.append(i)
+            last = text[i]
+        state.update((last,))
+        if kept:
+            yield pd.DataFrame({"item": [key[0]] * len(kept), "ts": ts[kept], "text": [text[i] for i in kept]})
 
     kind = errors.schema["item"].dataType.simpleString()
     return errors.select("item", "ts", "text").groupBy("item").applyInPandasWithState(fold, f"item {kind}, ts timestamp, text string", "text string", "append", GroupStateTimeout.NoTimeout)
