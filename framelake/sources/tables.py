@@ -152,14 +152,21 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 def parse_sizes(files: DataFrame) -> DataFrame:
     """files: path, value -> path, index, size; one bad token makes the whole file's sizes null (one row, index -1)."""
     tokens = F.filter(F.split("value", r"\s+"), lambda s: s != "")
-    good = F.forall(F.col("tokens"), lambda s: s.rlike("^[0-9]+$"))
-    t = files.withColumn("tokens", tokens).withColumn("good", good)
-    ok = t.where("good").select("path", F.posexplode("tokens").alias("index", "token")).select("path", "index", F.col("token").cast("long").alias("size"))
-    return ok.unionByName(t.where("NOT good").select("path", F.lit(-1).alias("index"), F.lit(None).cast("long").alias("size")))
+    sizes = F.transform("tokens", lambda s, i: F.struct(i.alias("index"), s.cast("long").alias("size")))
+    bad = F.array(F.struct(F.lit(-1).alias("index"), F.lit(None).cast("long").alias("size")))
+    good = F.forall("tokens", lambda s: s.rlike("^[0-9]+$"))
+    return files.withColumn("tokens", tokens).select("path", F.inline(F.when(good, sizes).otherwise(bad)))
 
 
-def read_sizes(spark: SparkSession, path: str) -> DataFrame:
-    return parse_sizes(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value"))
+def write_sizes(files: DataFrame, path: str) -> None:
+    """files: path, value. Lists of sizes as rows, each under its file's name and its text as it is: what is written grows with the bytes, not with the number of lists."""
+    files.select("path", "value").write.parquet(path)
+
+
+def read_sizes(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """Of a folder of text files, or (`packed`) of what write_sizes wrote."""
+    loose = lambda: spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return parse_sizes(spark.read.schema("path string, value string").parquet(path) if packed else loose())
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
