@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .token_files import encoder
+from .token_files import column_encoder
 from .words import mix, slices
 from .worker import release
 
 HASHED, DIMS, BITS, REACH = 256, 4, 15, 4.0  # sizes of a hashed vector and of its projection; bits of a coordinate between -REACH and REACH
 PART_ROWS = 1 << 20  # documents in a range of the curve
+SLICE_BYTES = 4 << 20  # of text encoded at a time
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -62,14 +63,15 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str =
     """doc_id, place (on the curve), n_tokens and ids (2 or 4 bytes each) of every document, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer_path)
-        end = np.array([end_id], coder.dtype).tobytes()
+        coder = column_encoder(tokenizer_path)
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                own = [coder.encode(t.as_py() or "") + end for t in batch.column(1).slice(lo, hi - lo)]
-                counts = np.array([len(x) // coder.dtype.itemsize for x in own], np.int64)
-                place = curve_places(np.frombuffer(b"".join(own), coder.dtype), counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(place), pa.array(counts), pa.array(own, pa.binary())], ["doc_id", "place", "n_tokens", "ids"])
+            for lo, hi in slices(batch.column(1), SLICE_BYTES):
+                ids, counts = coder.column(batch.column(1).slice(lo, hi - lo))
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                bounds = np.concatenate([[0], np.cumsum(counts)]) * ids.itemsize
+                own = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])
+                place = curve_places(ids, counts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(place), pa.array(counts), own], ["doc_id", "place", "n_tokens", "ids"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, place long, n_tokens long, ids binary")

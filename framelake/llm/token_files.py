@@ -15,6 +15,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .buckets import text_size
 from .shared import shared_dir
+from .words import text_bytes
 from .worker import held
 
 MEMO_CHUNKS, MEMO_CORES = 700_000, 1_200_000  # white-space chunks, and their cores, kept per Python worker; beyond it a memo starts anew
@@ -103,10 +105,88 @@ class ChunkEncoder:
         return b"".join(map(memo.__getitem__, chunks))
 
 
+class ColumnEncoder(ChunkEncoder):
+    """As ChunkEncoder, a column of texts at a time: Arrow tells its chunks apart, so that Python sees each distinct core once a column, and new
+    cores go to the library as one text of words, whose ends the ids themselves show."""
+
+    def __init__(self, path: str, added: bool = True):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__(path, added)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        # The model alone, for lists of words: a byte of ASCII is its own symbol, others take the byte-level map.
+        self.lists = {True: Tokenizer(self.library.model), False: Tokenizer(self.library.model)}
+        self.lists[True].pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.lists[False].pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words: dict[str, bytes] = {"": b""}
+
+    def known(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these cores and marks, which are distinct."""
+        found = list(map(self.words.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if not new:
+            return found
+        if len(self.words) + len(new) > MEMO_CORES:
+            self.words = {"": b""}
+        kinds: dict[bool | None, list[str]] = {True: [], False: [], None: []}
+        for w in new:
+            simple = w.isascii()  # and then lower case already, unless it is marks
+            kinds[simple if w.isalpha() and (simple or w == w.lower() and is_normalized("NFC", w)) else None].append(w)
+        for kind, library in self.lists.items():
+            own = kinds[kind]
+            ids = np.array(library.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids if own else [], self.dtype)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(ends) != len(own):  # a vocabulary that does not mark the ends of words
+                kinds[None] += own
+                continue
+            data = ids.tobytes()
+            self.words.update(zip(own, [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)], strict=True))
+        for w, got in zip(kinds[None], self.library.encode_batch_fast(kinds[None], add_special_tokens=False), strict=True):
+            self.words[w] = np.array(got.ids, self.dtype).tobytes()
+        return [self.words[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and how many each text has."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        found = lists.flatten().dictionary_encode()
+        chunks = found.dictionary
+        # As `split`: a core, and the marks behind it.
+        bare = pc.ascii_rtrim(chunks, characters=_TAIL.decode())
+        core = pc.if_else(pc.match_substring_regex(bare, "[a-zA-Z0-9]$"), bare, chunks)
+        core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
+        data, offsets = text_bytes(chunks)
+        size, kept = np.diff(offsets), pc.binary_length(core).to_numpy()
+        behind = data[np.arange(len(data), dtype=np.int32) >= np.repeat((offsets[:-1] + kept).astype(np.int32), size)]
+        bounds = np.concatenate([[0], np.cumsum(size - kept)]).astype(np.int32)
+        marks = pa.Array.from_buffers(pa.string(), len(chunks), [None, pa.py_buffer(bounds), pa.py_buffer(behind)])
+        # Long chunks and those with an added token are encoded each time, as they are.
+        odd = size > MEMO_BYTES
+        for t in self.added:
+            odd |= pc.match_substring(chunks, t.decode()).to_numpy(zero_copy_only=False)
+        parts = pa.concat_arrays([pc.if_else(pa.array(odd), "", p) for p in (core, marks)]).dictionary_encode()
+        pieces = self.known(parts.dictionary.to_numpy(zero_copy_only=False).tolist()) + [self.whole(c.encode("utf-8")) for c in chunks.filter(pa.array(odd)).to_pylist()]
+        place = parts.indices.to_numpy().reshape(2, -1).copy()
+        place[0, odd] = len(parts.dictionary) + np.arange(odd.sum())
+        table = pa.array(pieces, pa.binary())
+        whole = pc.binary_join_element_wise(*[table.take(pa.array(p)) for p in place], pa.scalar(b"", pa.binary()))
+        laid = whole.take(found.indices)
+        bounds = np.frombuffer(laid.buffers()[1], np.int32)[: len(laid) + 1] // self.dtype.itemsize
+        ids = np.frombuffer(laid.buffers()[2], self.dtype)[: bounds[-1]]
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        return ids, np.diff(bounds[ends].astype(np.int64))
+
+
 def encoder(path: str, added: bool = True) -> ChunkEncoder:
     return held(("chunks", path, added), lambda: ChunkEncoder(path, added))
 
 
+def column_encoder(path: str, added: bool = True) -> ColumnEncoder:
+    return held(("columns", path, added), lambda: ColumnEncoder(path, added))
+
+
 def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
