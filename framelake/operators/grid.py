@@ -58,8 +58,8 @@ HISTOGRAMS = 1 << 24  # counts held at once; a band of more columns times values
 BAND = 64  # rows of a picture that a filter in arrays gets at once, besides those within its reach
 
 
-def _by_band(grid: DataFrame, reach: int, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """frame, y, x, v of whole bands of rows: `kernel` gets a band with `reach` samples more on every side, borders replicated, and gives the band.
+def _by_band(grid: DataFrame, reach: int, kernel: Callable[[np.ndarray, int, int], np.ndarray]) -> DataFrame:
+    """frame, y, x, v of whole bands of rows: `kernel` gets a band with the picture's rows within `reach` of it, and which of them are the band, and gives the band.
 
     Rows near an edge of their band also go to the next one, so that a row is sent 1 + 2 reach / BAND times.
     """
@@ -76,8 +76,7 @@ def _by_band(grid: DataFrame, reach: int, kernel: Callable[[np.ndarray], np.ndar
                 out.append([])
                 continue
             table = wide.flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
-            table = np.pad(table, ((reach - low, max(0, reach - (len(y) - high))), (reach, reach)), "edge")
-            made = kernel(table[: high - low + 2 * reach])
+            made = kernel(table, low, high)
             out.append([{"y": int(k), "row": r} for k, r in zip(y[low:high], made, strict=True)])
         return pa.array(out, pa.list_(pa.struct([("y", pa.int64()), ("row", pa.list_(pa.int64()))])))
 
@@ -86,6 +85,12 @@ def _by_band(grid: DataFrame, reach: int, kernel: Callable[[np.ndarray], np.ndar
     return each.select("frame", "y", F.col("x").cast("long").alias("x"), "v")
 
 
+def _padded(table: np.ndarray, low: int, high: int, reach: int) -> np.ndarray:
+    """Rows low to high of a table with `reach` samples more on every side, borders replicated."""
+    own = table[max(0, low - reach) : high + reach]
+    return np.pad(own, ((max(0, reach - low), max(0, reach - (len(table) - high))), (reach, reach)), "edge")
+
+
 def _slide(a: np.ndarray, k: int, axis: int, pick: np.ufunc) -> np.ndarray:
     """Extremes of every k neighbours along an axis, two looks at each sample whatever k is: what a block of k has had so far, and what it has left
     (M. van Herk, 1992)."""
@@ -223,7 +228,7 @@ def gauss(grid: DataFrame, k: int, sigma: float) -> DataFrame:
 
 def median_filter(grid: DataFrame, k: int) -> DataFrame:
     """The middle one of k x k samples; what a sample costs depends on how many values there are, not on k."""
-    return _by_band(grid, k // 2, lambda table: _sliding_median(table, k // 2))
+    return _by_band(grid, k // 2, lambda *band: _sliding_median(_padded(*band, k // 2), k // 2))
 
 
 # The usual derivative kernels.
@@ -257,30 +262,36 @@ def _shape(shape: str, k: int) -> list[int]:
     return [math.isqrt(r * r - d * d) for d in range(r + 1)]
 
 
-def _extreme(grid: DataFrame, k: int, shape: str, pick: np.ufunc) -> DataFrame:
+def _extreme(table: np.ndarray, reach: list[int], pick: np.ufunc) -> np.ndarray:
     """Extremes over a shape, which is the union of rectangles: each half-width with the rows that reach as far. A rectangle is slid along either axis."""
-    reach, r = _shape(shape, k), k // 2
-    deepest = {w: max(d for d, own in enumerate(reach) if own >= w) for w in set(reach) if w >= 0}
+    r, (height, width) = len(reach) - 1, table.shape
+    table = np.pad(table, r, "edge")
+    parts = []
+    for w in {w for w in reach if w >= 0}:
+        d = max(d for d, own in enumerate(reach) if own >= w)
+        part = table[r - d : r + d + height, r - w : r + w + width]
+        parts.append(_slide(_slide(part, 2 * w + 1, 1, pick), 2 * d + 1, 0, pick))
+    return functools.reduce(pick, parts)
+
+
+#: What is taken one after the other, and what is then subtracted from what: the last of a list, or the samples themselves for an empty one.
+MORPHOLOGY: dict[str, tuple[list[np.ufunc], list[np.ufunc] | None]] = {
+    "erode": ([np.minimum], None), "dilate": ([np.maximum], None), "open": ([np.minimum, np.maximum], None), "close": ([np.maximum, np.minimum], None),
+    "gradient": ([np.maximum], [np.minimum]), "tophat": ([], [np.minimum, np.maximum]), "blackhat": ([np.maximum, np.minimum], []),
+}
 
-    def kernel(table: np.ndarray) -> np.ndarray:
-        height, width = table.shape[0] - 2 * r, table.shape[1] - 2 * r
-        parts = []
-        for w, d in deepest.items():
-            part = table[r - d : r + d + height, r - w : r + w + width]
-            parts.append(_slide(_slide(part, 2 * w + 1, 1, pick), 2 * d + 1, 0, pick))
-        return functools.reduce(pick, parts)
 
-    return _by_band(grid, r, kernel)
+def morphology(grid: DataFrame, op: str, shape: str = "rect", k: int = 3, iterations: int = 1) -> DataFrame:
+    """All steps of an operation, and the difference of two, are done on a band at once, which sees as many rows as they reach together. Each step
+    replicates the borders of what it gets; at a border that is not the picture's, only rows beyond the band come out wrong."""
+    reach = _shape(shape, k)
+    first, second = MORPHOLOGY[op]
 
+    def kernel(table: np.ndarray, low: int, high: int) -> np.ndarray:
+        after = lambda steps: functools.reduce(lambda t, pick: _extreme(t, reach, pick), [p for p in steps for _ in range(iterations)], table)[low:high]
+        return after(first) if second is None else after(first) - after(second)
 
-def morphology(grid: DataFrame, op: str, shape: str = "rect", k: int = 3, iterations: int = 1) -> DataFrame:
-    erode = lambda g: functools.reduce(lambda acc, _: _extreme(acc, k, shape, np.minimum), range(iterations), g)
-    dilate = lambda g: functools.reduce(lambda acc, _: _extreme(acc, k, shape, np.maximum), range(iterations), g)
-    minus = lambda a, b: a.join(b.select(*AT, F.col("v").alias("w")), AT).select(*AT, (F.col("v") - F.col("w")).alias("v"))
-    return {
-        "erode": lambda: erode(grid), "dilate": lambda: dilate(grid), "open": lambda: dilate(erode(grid)), "close": lambda: erode(dilate(grid)),
-        "gradient": lambda: minus(dilate(grid), erode(grid)), "tophat": lambda: minus(grid, dilate(erode(grid))), "blackhat": lambda: minus(erode(dilate(grid)), grid),
-    }[op]()
+    return _by_band(grid, (len(reach) - 1) * iterations * max(len(first), len(second or [])), kernel)
 
 
 def otsu_level(grid: DataFrame) -> DataFrame:
