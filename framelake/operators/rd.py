@@ -103,9 +103,10 @@ def fitted_mean(df: DataFrame, points: str, degree: Column, most: int = 3) -> Da
     for k in range(most + 1):
         df = df.withColumn("_square", fold("_at", lambda p: p["now"] * p["now"]))
         good = F.when(F.col("_square") >= 1e-12, F.col("_square"))
-        share = F.when(degree >= k, fold("_at", lambda p: p["y"] * p["now"]) / good).otherwise(0.0)
+        share = fold("_at", lambda p: p["y"] * p["now"]) / good
         df = df.withColumns({"_share": share, "_shift": fold("_at", lambda p: p["u"] * p["now"] * p["now"]) / good, "_ratio": F.lit(0.0) if k == 0 else good / F.col("_size")})
-        step = {f"_sum{i}": F.col(f"_sum{i}") + F.col("_share") * F.col(f"_now{i}") for i in (0, 1)}
+        # Terms beyond the degree are not looked at: too few points leave them null.
+        step = {f"_sum{i}": F.when(degree >= k, F.col(f"_sum{i}") + F.col("_share") * F.col(f"_now{i}")).otherwise(F.col(f"_sum{i}")) for i in (0, 1)}
         if k < most:
             step |= {f"_now{i}": (F.lit(x) - F.col("_shift")) * F.col(f"_now{i}") - F.col("_ratio") * F.col(f"_old{i}") for i, x in ((0, -root), (1, root))}
             step |= {f"_old{i}": F.col(f"_now{i}") for i in (0, 1)}
